@@ -1,6 +1,11 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import packing
+from . import huffman, packing, topk, warc
 
-QUERIES = {"op2_packing": packing.op2_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op3_token_output": huffman.op3_token_output,
+    "op6_warc": warc.op6_warc,
+    "op10_exact_topk": topk.op10_exact_topk,
+}
+ORACLE_SQL: dict[str, str] = {"op6_warc": warc.OP6_SQL, "op10_exact_topk": topk.OP10_SQL}
