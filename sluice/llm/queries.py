@@ -1,10 +1,11 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import huffman, packing, topk, warc
+from . import huffman, packing, topk, toxicity, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_token_output": huffman.op3_token_output,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_warc": warc.op6_warc,
     "op10_exact_topk": topk.op10_exact_topk,
 }
