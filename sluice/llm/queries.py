@@ -1,12 +1,13 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import huffman, packing, topk, toxicity, warc
+from . import huffman, jaccard, packing, topk, toxicity, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_token_output": huffman.op3_token_output,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_warc": warc.op6_warc,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_exact_topk": topk.op10_exact_topk,
 }
-ORACLE_SQL: dict[str, str] = {"op6_warc": warc.OP6_SQL, "op10_exact_topk": topk.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_warc": warc.OP6_SQL, "op9_jaccard_join": jaccard.OP9_SQL, "op10_exact_topk": topk.OP10_SQL}
