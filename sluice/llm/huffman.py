@@ -24,7 +24,7 @@ from .tokens import encoder, vocabulary_path
 
 TOKENS = "doc_id long, n_tokens long, ids binary"
 FILES = "part int, file int, n_ids long, doc_ids binary, known binary, doc_tokens binary, block_bits binary, checkpoints binary, payload binary"
-READ = "part int, file int, doc_id long, start_in_part long, n_tokens long, ids binary"
+READ = "part int, file int, doc_id long, start_in_file long, n_tokens long, ids binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -176,9 +176,7 @@ def write_files(ids: DataFrame, lengths: np.ndarray, file_ids: int = 1 << 20, bl
 
 
 def read_files(files: DataFrame, lengths: np.ndarray, block: int = 1 << 16, step: int = 64) -> DataFrame:
-    """The documents of encoded files: ids, and how many ids of the same part stand before them."""
-    before = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    heads = files.select("part", "file", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("n_ids")
+    """The documents of encoded files: part, file, doc_id, start_in_file (ids before it), n_tokens, ids."""
     look_up = decode_table(lengths)
 
     def rows(batches):
@@ -193,27 +191,38 @@ def read_files(files: DataFrame, lengths: np.ndarray, block: int = 1 << 16, step
                 yield pa.RecordBatch.from_arrays([pa.array([f["part"]] * n, pa.int32()), pa.array([f["file"]] * n, pa.int32()), doc_ids, pa.array(cuts[:-1]), pa.array(counts), binary], [c.split()[0] for c in READ.split(", ")])
 
     files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    docs = files.mapInArrow(rows, READ)
-    return docs.join(heads, ["part", "file"]).select("part", "doc_id", (F.col("base") + F.col("start_in_part")).alias("start_in_part"), "n_tokens", "ids")
+    return files.mapInArrow(rows, READ)
+
 
+def with_start(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """start (the ids of all documents before) in place of part, file and start_in_file.
 
-def with_global_start(docs: DataFrame, files: DataFrame) -> DataFrame:
-    """start: the ids of all documents before. The sums run over one row for each part."""
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_base"))
-    return docs.join(base, "part").withColumn("start", F.col("part_base") + F.col("start_in_part")).drop("part", "part_base", "start_in_part")
+    Sums run over one row for each file of a part, and then over one for each part.
+    """
+    heads = files.select("part", "file", "n_ids")
+    parts = heads.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    base = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).join(base, "part")
+    heads = heads.select("part", "file", (F.col("base") + F.col("before")).alias("file_start"))
+    return docs.join(heads, ["part", "file"]).withColumn("start", F.col("file_start") + F.col("start_in_file")).drop("part", "file", "file_start", "start_in_file")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, kind: str = "word", end_id: int = 2, size: int = 49_408, limit: int = 16) -> DataFrame:
-    """Tokenise, count, encode to files, read them back: doc_id, start, n_tokens, ids."""
+def encoded(docs: DataFrame, vocabulary: str, kind: str = "word", end_id: int = 2, size: int = 49_408, limit: int = 16) -> tuple[DataFrame, np.ndarray]:
+    """Tokenise, count and encode documents: the files, and the code lengths that read them."""
     ids = written(tokens(docs, vocabulary, kind, end_id), "token-ids", "zstd")
     lengths = code_lengths(id_counts(ids, size), limit)
-    files = write_files(ids, lengths)
-    return with_global_start(read_files(files, lengths), files)
+    return write_files(ids, lengths), lengths
+
+
+def round_trip(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
+    """doc_id, n_tokens, ids, start of every document, from its file."""
+    files, lengths = encoded(docs, vocabulary, **options)
+    return with_start(read_files(files, lengths), files)
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as word-level ids with end id 2, through Huffman files and back: one row for each document."""
-    docs = round_trip(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
-    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    files, lengths = encoded(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+    docs = read_files(files, lengths).withColumn("ids_crc32", F.crc32("ids")).drop("ids")  # ids need not travel to their start
+    return with_start(docs, files).select("doc_id", "start", "n_tokens", "ids_crc32")
