@@ -1,12 +1,13 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import huffman, jaccard, packing, topk, toxicity, warc
+from . import huffman, jaccard, packing, secret_scan, topk, toxicity, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_token_output": huffman.op3_token_output,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_warc": warc.op6_warc,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_exact_topk": topk.op10_exact_topk,
 }
