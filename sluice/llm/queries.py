@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import huffman, jaccard, packing, secret_scan, topk, toxicity, warc
+from . import huffman, jaccard, packing, pii, secret_scan, topk, toxicity, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_warc": warc.op6_warc,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_pii": pii.op8_pii,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_exact_topk": topk.op10_exact_topk,
 }
