@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import picked, table
-from .spans import count_of, listed, located, of_kind, overlaps
+from .spans import count_of, let, listed, located, of_kind, overlaps
 
 # The patterns, with the characters each must at least have (assign: in its second group).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,10 +38,9 @@ def assign_ok(hit: Column) -> Column:
 def peak_entropy(candidate: Column, window: Column) -> Column:
     """The highest Shannon entropy of any full window, in bits; 0 for candidates shorter than the window."""
     weight = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
-    slots = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     state = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("i"))
 
-    def step(s, i):
+    def step(slots, s, i):
         new, full = F.get(slots, i), i >= window
         old = F.when(full, F.get(slots, i - window)).otherwise(F.lit(-1))
         down = F.transform(s["counts"], lambda n, j: n - F.when(j == old, 1).otherwise(0))
@@ -52,7 +51,8 @@ def peak_entropy(candidate: Column, window: Column) -> Column:
         bits = F.when(i + 1 >= window, F.log2(window) - total / window).otherwise(F.lit(0.0))
         return F.struct(up.alias("counts"), total.alias("sum"), F.greatest(s["peak"], bits).alias("peak"), (i + 1).alias("i"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), state, step, lambda s: s["peak"])
+    slots_of = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return let(slots_of, lambda slots: F.aggregate(F.sequence(F.lit(0), F.size(slots) - 1), state, lambda s, i: step(slots, s, i), lambda s: s["peak"]))
 
 
 def suspicious(candidate: Column) -> Column:

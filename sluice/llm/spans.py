@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 FOUND = "array<struct<start:int,end:int,hit:string>>"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once for each row, however often `use` has it, even within lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def located(text: Column, pattern: str, guard: Column) -> Column:
     """All leftmost non-overlapping matches; texts for which the cheap `guard` is false are not searched."""
     none = F.array().cast(FOUND)
