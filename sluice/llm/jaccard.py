@@ -32,7 +32,7 @@ from .components import components
 from .shingles import shingle_sets
 from .vectors import chunks, key_filter, mixed, passes, slot, summed
 
-COUNTER_BITS, FILTER_BITS = 20, 23
+COUNTER_BITS, FILTER_BITS, PARITY = 20, 23, 1024
 #: Members of a list that one task chains.
 CHAIN = 1500
 #: Sizes beyond which no set counts as small.
@@ -52,10 +52,19 @@ def sets_of(batch: pa.RecordBatch, width: int):
         yield from zip(docs[i:j], shingle_sets(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], width), strict=True)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's shingles falls on each of PARITY bits, as longs.
+
+    Two sets' parities differ in at most as many bits as there are shingles in one of them alone.
+    """
+    odd = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of documents (doc_id, n, two 64-bit sums of the set) and, with `chunk`, of shingle counters."""
-    names = ["doc_id", "n", "s1", "s2", "chunk", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    """Rows of documents (doc_id, n, two 64-bit sums and the parity of the set) and, with `chunk`, of shingle counters."""
+    names = ["doc_id", "n", "s1", "s2", "bits", "chunk", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def rows(batches):
         total = np.zeros(1 << COUNTER_BITS, np.int64)
@@ -63,15 +72,15 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             out = []
             for doc, s in sets_of(b, width):
                 np.add.at(total, slot(s, COUNTER_BITS), 1)
-                out.append((doc, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)), None, None))
+                out.append((doc, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)), parity(s), None, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-        got = [(None, None, None, None, k, v) for k, v in chunks(total)]
+        got = [(None, None, None, None, None, k, v) for k, v in chunks(total)]
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names)
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, chunk int, counts binary")
+    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, bits array<long>, chunk int, counts binary")
 
 
 def boundary(sizes: dict[int, int], list_length: float, num: int, den: int) -> int:
@@ -82,7 +91,7 @@ def boundary(sizes: dict[int, int], list_length: float, num: int, den: int) -> i
     return min(range(1, SMALL + 1), key=lambda x: (cost(x), x))
 
 
-def keys_of(s: np.ndarray, counts: np.ndarray, x: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(s: np.ndarray, counts: np.ndarray, usual: int, x: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """The keys under which a set is listed, and into how many parts each list is chained."""
     n = len(s)
     least = need(n, num, den)
@@ -98,7 +107,7 @@ def keys_of(s: np.ndarray, counts: np.ndarray, x: int, num: int, den: int) -> tu
         common = counts[slot(s, COUNTER_BITS)]
         first = np.argsort(common, kind="stable")[: n - least + 1]
         out.append(s[first])
-        parts.append(1 + np.maximum(common[first] - counts.mean(), 0).astype(np.int64) // CHAIN)
+        parts.append(1 + np.maximum(common[first] - usual, 0) // CHAIN)
     return np.concatenate(out), np.concatenate(parts)
 
 
@@ -109,12 +118,13 @@ def postings(docs: DataFrame, counts: np.ndarray, copies: np.ndarray, kept: np.n
 
     def rows(batches):
         counts = shared.value
+        usual = int(counts.mean())
         for b in batches:
             out = []
             b = b.filter(pa.array(standing(b.column(0), copies, kept)))
             for doc, s in sets_of(b, width):
                 if len(s):
-                    keys, parts = keys_of(s, counts, x, num, den)
+                    keys, parts = keys_of(s, counts, usual, x, num, den)
                     at = (mixed(np.array([doc], np.int64).view(np.uint64))[0] % parts.astype(np.uint64)).astype(np.int32)
                     out.append((keys.view(np.int64), at, parts > 1, np.full(len(keys), doc), np.full(len(keys), len(s))))
             if out:
@@ -144,8 +154,17 @@ def sets_table(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc long, s array<long>")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets have at least num / den of their union in common."""
+def near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) without those that cannot be linked: parities bound what one set alone has from below."""
+    a, b = sketches.toDF("a", "na", "pa"), sketches.toDF("b", "nb", "pb")
+    apart = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    return pairs.join(a, "a").join(b, "b").filter(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b").distinct()
+
+
+def similar(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets have at least num / den of their union in common. pairs: a written table."""
+    ids = key_filter(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), FILTER_BITS)
+    sets = written(sets_table(docs, ids, width), "jaccard-sets")
     a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     both = pairs.join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return both.filter(den * F.col("i") >= num * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
@@ -181,8 +200,8 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_colu
     heads = heads.withColumn("b", F.lead("a").over(top)).withColumn("nb", F.lead("na").over(top))
     pairs = lists.select("a", "na", "b", "nb").union(heads.select("a", "na", "b", "nb")).filter("b is not null and a <> b").filter(sized(num, den))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-    sets = written(sets_table(docs, key_filter(lists.select("a").distinct(), FILTER_BITS), width), "jaccard-sets")
-    links = written(similar(pairs, sets, num, den), "jaccard-links")
+    sketches = prof.filter("chunk is null and doc_id is not null").select("doc_id", "n", "bits")
+    links = written(similar(written(near(pairs, sketches, num, den), "jaccard-near"), docs, width, num, den), "jaccard-links")
     nodes = components(links)
 
     # Members of one list in different components: every pair of them that is not yet compared.
@@ -194,8 +213,8 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_colu
     left = placed.join(meets, ["key", "c"]).select("key", "c2", "a", "na")
     right = placed.select("key", F.col("c").alias("c2"), F.col("a").alias("b"), F.col("na").alias("nb"))
     late = left.join(right, ["key", "c2"]).filter(sized(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = written(late.join(pairs, ["a", "b"], "left_anti"), "jaccard-late-pairs")
-    more = written(similar(late, sets, num, den), "jaccard-late-links")
+    late = written(near(late.join(pairs, ["a", "b"], "left_anti"), sketches, num, den), "jaccard-late-near")
+    more = written(similar(late, docs, width, num, den), "jaccard-late-links")
     if not more.isEmpty():
         nodes = components(links.union(more))
 
