@@ -1,8 +1,9 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import huffman, jaccard, packing, pii, secret_scan, topk, toxicity, warc
+from . import huffman, jaccard, licences, packing, pii, secret_scan, topk, toxicity, warc
 
 QUERIES = {
+    "op1_licences": licences.op1_licences,
     "op2_packing": packing.op2_packing,
     "op3_token_output": huffman.op3_token_output,
     "op4_toxicity": toxicity.op4_toxicity,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_exact_topk": topk.op10_exact_topk,
 }
-ORACLE_SQL: dict[str, str] = {"op6_warc": warc.OP6_SQL, "op9_jaccard_join": jaccard.OP9_SQL, "op10_exact_topk": topk.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_licences": licences.sql(), "op6_warc": warc.OP6_SQL, "op9_jaccard_join": jaccard.OP9_SQL, "op10_exact_topk": topk.OP10_SQL}
