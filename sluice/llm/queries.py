@@ -1,12 +1,13 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import huffman, jaccard, licences, packing, pii, secret_scan, topk, toxicity, warc
+from . import decontaminate, huffman, jaccard, licences, packing, pii, secret_scan, topk, toxicity, warc
 
 QUERIES = {
     "op1_licences": licences.op1_licences,
     "op2_packing": packing.op2_packing,
     "op3_token_output": huffman.op3_token_output,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_warc": warc.op6_warc,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_pii": pii.op8_pii,
