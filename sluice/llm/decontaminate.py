@@ -267,6 +267,26 @@ def search(docs: DataFrame, items: list[tuple[int, str, str | None]], terms: np.
     return docs.mapInArrow(run, FOUND)
 
 
+def without_items(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.72, sure: float = 0.8, likely: float = 0.6, shortest: int = 8) -> DataFrame:
+    """The documents, with all their columns, that hold no benchmark item; rows without an id are judged like any other."""
+    small_batches(docs.sparkSession)
+    items = benchmark.select(F.col("item_id").alias("i"), F.col("text").alias("t")).filter("t is not null")
+    blocks = -(-items.count() // ITEM_BLOCK)
+    terms = latent_terms(picked(docs, "text")) if blocks else None
+    for k in range(blocks):
+        rows = [(r["i"], r["t"], None) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).sort("i", "t").collect()]
+        block = docs.sparkSession.sparkContext.broadcast((Items(rows, terms, shortest), terms))
+
+        def clean(batches, block=block):
+            known, vectors = block.value
+            for b, i, j, t in texts_of(batches):
+                held = {r for r, item, _, lo, hi in (candidates(t, vectors, known, cosine) if len(t.words) else ()) if check(t, known, item, lo, hi, sure, likely)}
+                yield b.slice(i, j - i).filter(pa.array([r not in held for r in range(j - i)], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def find(
     docs: DataFrame, benchmark: DataFrame, cosine: float = 0.72, sure: float = 0.8, likely: float = 0.6, shortest: int = 8,
     id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", answer_column: str | None = None,

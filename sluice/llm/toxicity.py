@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import picked, row_slices, small_batches, table, utf8_of, written
 
@@ -170,19 +171,21 @@ def learn_lexicon(rows: DataFrame, most: int = 4000, least: int = 6, odds: float
     return {k: np.sort(np.array(v, np.int64).view(np.uint64)) for k, v in out.items()}
 
 
-def featured(docs: DataFrame, learned: dict[int, np.ndarray], others: list[str], types: str) -> DataFrame:
-    """Columns `others` (of the given types) and the features of `text`."""
+def featured(docs: DataFrame, learned: dict[int, np.ndarray], others: list[str]) -> DataFrame:
+    """Columns `others` (the text may be one of them) and the features of `text`."""
+    rows = picked(docs, *dict.fromkeys(["text", *others]))
+    places = [rows.columns.index(c) for c in others]
 
-    def rows(batches):
+    def score(batches):
         for b in batches:
             raw, ends = utf8_of(b.column(0))
             for i, j in row_slices(ends, 1 << 20):
                 x = features(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], learned)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in b.columns[1:]], lists], [*others, "features"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, j - i) for c in places], lists], [*others, "features"])
 
     small_batches(docs.sparkSession)
-    return picked(docs, "text", *others).mapInArrow(rows, f"{types}, features array<double>")
+    return rows.mapInArrow(score, StructType([*[rows.schema[c] for c in places], StructField("features", ArrayType(DoubleType()))]))
 
 
 def scorer(docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int = 20, depth: int = 3):
@@ -191,9 +194,9 @@ def scorer(docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int
     total = rows.agg(F.avg("label").alias("mean"), F.min("label").alias("low"), F.max("label").alias("high")).first()
     base = float(total["mean"] or 0.0)
     if total["low"] == total["high"]:
-        return lambda df, others, types: picked(df, *others).withColumn("score", F.lit(base))
+        return lambda df, others: picked(df, *others).withColumn("score", F.lit(base))
     learned = learn_lexicon(rows)
-    train = written(featured(rows, learned, ["label", "part"], "label double, part long").withColumn("x", array_to_vector("features")), "toxicity-features")
+    train = written(featured(rows, learned, ["label", "part"]).withColumn("x", array_to_vector("features")), "toxicity-features")
     fit = train.filter("part > 0")
     spread = fit.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
     if spread["low"] == spread["high"]:
@@ -202,8 +205,8 @@ def scorer(docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int
     margin = lambda df: trees_.transform(df).withColumn("margin", vector_to_array("probability")[1])
     steps = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="calibrated").fit(margin(train).select("margin", "label"))
 
-    def score(df: DataFrame, others: list[str], types: str) -> DataFrame:
-        scored = steps.transform(margin(featured(df, learned, others, types).withColumn("x", array_to_vector("features"))))
+    def score(df: DataFrame, others: list[str]) -> DataFrame:
+        scored = steps.transform(margin(featured(df, learned, others).withColumn("x", array_to_vector("features"))))
         return scored.select(*others, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "calibrated")).alias("score"))
 
     return score
@@ -216,6 +219,6 @@ def held_out(column):
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The calibrated score of every document; predicted where it reaches 0.7."""
     docs = table(spark, sf_dir, "documents")
-    scored = scorer(docs, table(spark, sf_dir, "labels"))(docs, ["doc_id"], "doc_id long")
+    scored = scorer(docs, table(spark, sf_dir, "labels"))(docs, ["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
