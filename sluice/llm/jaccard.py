@@ -6,9 +6,11 @@
    Large sets are found by scanning inverted lists of their first n - need(n) + 1 shingles, rare ones
    first; of linked pairs one such shingle is in both. The boundary between small and large is where
    the two costs, summed over the sizes that occur, are least.
-3. Each list is a chain by size; neighbours are compared in full, and components are formed. Then
-   members of one list that are still in different components are compared, all of them. No link
-   between different components is left out, and copies of one text are never paired with each other.
+3. Each list is ordered by size; neighbours at a few distances are compared in full, and components are
+   formed. Then members of one list that are still in different components are compared, all of them. No
+   link between different components is left out, and copies of one text are never paired with each other.
+   Before sets are fetched, parities (one bit for each of 256 or 1024 classes of shingles) bound from below
+   what only one of two sets has, which drops nearly all pairs that cannot be linked and none that can.
 
 What each task needs of the corpus has a fixed size: counters of shingles (for "rare ones first")
 and filters of ids, which never drop a key that is in them. A list that is long by those counters is
@@ -32,7 +34,9 @@ from .components import components
 from .shingles import shingle_sets
 from .vectors import chunks, key_filter, mixed, passes, slot, summed
 
-COUNTER_BITS, FILTER_BITS, PARITY = 20, 23, 1024
+COUNTER_BITS, FILTER_BITS, PARITY, SHORT = 23, 23, 1024, 256
+#: Neighbours at these distances in a list's order are compared first.
+DISTANCES = (1, 5, 23, 101)
 #: Members of a list that one task chains.
 CHAIN = 1500
 #: Sizes beyond which no set counts as small.
@@ -52,35 +56,35 @@ def sets_of(batch: pa.RecordBatch, width: int):
         yield from zip(docs[i:j], shingle_sets(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], width), strict=True)
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """Whether an odd number of the set's shingles falls on each of PARITY bits, as longs.
+def parity(s: np.ndarray, bits: int = PARITY) -> np.ndarray:
+    """Whether an odd number of the set's shingles falls on each of so many bits, as longs.
 
     Two sets' parities differ in at most as many bits as there are shingles in one of them alone.
     """
-    odd = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
     """Rows of documents (doc_id, n, two 64-bit sums and the parity of the set) and, with `chunk`, of shingle counters."""
-    names = ["doc_id", "n", "s1", "s2", "bits", "chunk", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    names = ["doc_id", "n", "s1", "s2", "bits", "few", "chunk", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def rows(batches):
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        total = np.zeros(1 << COUNTER_BITS, np.int32)
         for b in batches:
             out = []
             for doc, s in sets_of(b, width):
                 np.add.at(total, slot(s, COUNTER_BITS), 1)
-                out.append((doc, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)), parity(s), None, None))
+                out.append((doc, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)), parity(s), parity(s, SHORT), None, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-        got = [(None, None, None, None, None, k, v) for k, v in chunks(total)]
+        got = [(None, None, None, None, None, None, k, v) for k, v in chunks(total)]
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names)
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, bits array<long>, chunk int, counts binary")
+    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, bits array<long>, few array<long>, chunk int, counts binary")
 
 
 def boundary(sizes: dict[int, int], list_length: float, num: int, den: int) -> int:
@@ -154,11 +158,20 @@ def sets_table(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc long, s array<long>")
 
 
+def apart(a: str, b: str, bits: int):
+    """In how many bits two parities differ."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(bits // 64)), F.lit(0))
+
+
+def close(a: str, b: str, bits: int, num: int, den: int):
+    """Whether sets of na and nb with these parities can be linked."""
+    return apart(a, b, bits) * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)
+
+
 def near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) without those that cannot be linked: parities bound what one set alone has from below."""
     a, b = sketches.toDF("a", "na", "pa"), sketches.toDF("b", "nb", "pb")
-    apart = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
-    return pairs.join(a, "a").join(b, "b").filter(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b").distinct()
+    return pairs.join(a, "a").join(b, "b").filter(close("pa", "pb", PARITY, num, den)).select("a", "b").distinct()
 
 
 def similar(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -193,26 +206,26 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_colu
 
     listed = postings(docs, counts, copies, kept, width, x, num, den)
     chain = Window.partitionBy("key", "part").orderBy("n", "doc")
-    listed = listed.withColumn("b", F.lead("doc").over(chain)).withColumn("nb", F.lead("n").over(chain)).withColumn("first", F.lag("doc").over(chain).isNull())
-    lists = written(listed.filter("b is not null or not first or split").withColumnsRenamed({"doc": "a", "n": "na"}), "jaccard-lists")
+    ahead = F.array(*[F.struct(F.lead("doc", k).over(chain).alias("b"), F.lead("n", k).over(chain).alias("nb")) for k in DISTANCES])
+    listed = listed.withColumn("ahead", F.filter(ahead, lambda x: x["b"].isNotNull())).withColumn("first", F.lag("doc").over(chain).isNull())
+    lists = written(listed.filter("size(ahead) > 0 or not first or split").withColumnsRenamed({"doc": "a", "n": "na"}), "jaccard-lists")
     heads = lists.filter("split and first").select("key", "a", "na")
     top = Window.partitionBy("key").orderBy("na", "a")
     heads = heads.withColumn("b", F.lead("a").over(top)).withColumn("nb", F.lead("na").over(top))
-    pairs = lists.select("a", "na", "b", "nb").union(heads.select("a", "na", "b", "nb")).filter("b is not null and a <> b").filter(sized(num, den))
+    pairs = lists.select("a", "na", F.inline("ahead")).union(heads.select("a", "na", "b", "nb")).filter("b is not null and a <> b").filter(sized(num, den))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
     sketches = prof.filter("chunk is null and doc_id is not null").select("doc_id", "n", "bits")
     links = written(similar(written(near(pairs, sketches, num, den), "jaccard-near"), docs, width, num, den), "jaccard-links")
     nodes = components(links)
 
-    # Members of one list in different components: every pair of them that is not yet compared.
+    # Members of one list in different components: every pair of them whose short parities allow a link.
     placed = written(lists.select("key", "a", "na").join(nodes.withColumnRenamed("node", "a"), "a", "left").select("key", "a", "na", F.coalesce("component", "a").alias("c")), "jaccard-placed")
-    groups = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
-    mixed_keys = groups.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1").select("key")
-    groups = groups.join(mixed_keys, "key", "left_semi").select("key", "c")
-    meets = groups.join(groups.withColumnRenamed("c", "c2"), "key").filter("c < c2")
-    left = placed.join(meets, ["key", "c"]).select("key", "c2", "a", "na")
-    right = placed.select("key", F.col("c").alias("c2"), F.col("a").alias("b"), F.col("na").alias("nb"))
-    late = left.join(right, ["key", "c2"]).filter(sized(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    mixed_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
+    few = prof.filter("chunk is null and doc_id is not null").select(F.col("doc_id").alias("a"), F.col("few").alias("pa"))
+    left = written(placed.join(mixed_keys, "key", "left_semi").join(few, "a"), "jaccard-mixed")
+    right = left.withColumnsRenamed({"a": "b", "na": "nb", "c": "cb", "pa": "pb"})
+    late = left.join(right, "key").filter("c < cb").filter(sized(num, den)).filter(close("pa", "pb", SHORT, num, den))
+    late = late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     late = written(near(late.join(pairs, ["a", "b"], "left_anti"), sketches, num, den), "jaccard-late-near")
     more = written(similar(late, docs, width, num, den), "jaccard-late-links")
     if not more.isEmpty():

@@ -41,9 +41,9 @@ def summed(rows: DataFrame, size: int) -> np.ndarray:
             total += np.frombuffer(zlib.decompress(x), "<i8")
         return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "counts": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
 
-    out = np.zeros(size, np.int64)
-    for r in rows.select("chunk", "counts").groupBy("chunk").applyInPandas(add, ROW).collect():
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
+    out = np.zeros(size, np.int32)  # counts beyond it are held at its end
+    for r in rows.select("chunk", "counts").groupBy("chunk").applyInPandas(add, ROW).toLocalIterator():
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.minimum(np.frombuffer(zlib.decompress(r["counts"]), "<i8"), 2**31 - 1)
     return out
 
 
