@@ -110,8 +110,14 @@ def decode_ids(payload: bytes, n: int, starts: np.ndarray, points: np.ndarray, t
     return out.ravel()[:n]
 
 
-def tokens(docs: DataFrame, vocabulary: str, kind: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit, with the end id)."""
+def id_type(size: int) -> str:
+    """How the ids of a vocabulary are stored: little-endian, in two bytes if they fit."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def tokens(docs: DataFrame, vocabulary: str, kind: str, end_id: int, size: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids (of id_type(size), with the end id)."""
+    kept = np.dtype(id_type(size))
 
     def rows(batches):
         enc = encoder(vocabulary, kind)
@@ -119,9 +125,9 @@ def tokens(docs: DataFrame, vocabulary: str, kind: str, end_id: int, id_column:
             doc_ids = b.column(0)
             for first, last, ids, counts in enc.slices(*utf8_of(b.column(1))):
                 ends = np.cumsum(counts)
-                flat = np.insert(ids, ends, np.uint32(end_id))  # after each document's ids
+                flat = np.insert(ids, ends, np.uint32(end_id)).astype(kept)  # after each document's ids
                 cuts = np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
-                binary = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer((cuts * 4).astype(np.int64)), pa.py_buffer(flat)])
+                binary = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer((cuts * kept.itemsize).astype(np.int64)), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(first, last - first), pa.array(counts + 1), binary.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     small_batches(docs.sparkSession)
@@ -135,7 +141,7 @@ def id_counts(ids: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, np.uint32), minlength=size)
+                total += np.bincount(np.frombuffer(x, id_type(size)), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
@@ -154,7 +160,7 @@ def write_files(ids: DataFrame, lengths: np.ndarray, file_ids: int = 1 << 20, bl
 
         def flush():
             nonlocal file, held, n
-            flat = np.concatenate([np.frombuffer(x[2], np.uint32) for x in held])
+            flat = np.concatenate([np.frombuffer(x[2], id_type(len(lengths))) for x in held])
             payload, starts, points = encode_ids(flat, lengths, codes, block, step)
             row = [part, file, len(flat), np.array([x[0] or 0 for x in held], "<i8").tobytes(), np.array([x[0] is not None for x in held]).tobytes(), np.array([x[1] for x in held], "<i8").tobytes(), starts.astype("<i8").tobytes(), points.astype("<u4").tobytes(), payload]
             file, held, n = file + 1, [], 0
@@ -210,7 +216,7 @@ def with_start(docs: DataFrame, files: DataFrame) -> DataFrame:
 
 def encoded(docs: DataFrame, vocabulary: str, kind: str = "word", end_id: int = 2, size: int = 49_408, limit: int = 16) -> tuple[DataFrame, np.ndarray]:
     """Tokenise, count and encode documents: the files, and the code lengths that read them."""
-    ids = written(tokens(docs, vocabulary, kind, end_id), "token-ids", "zstd")
+    ids = written(tokens(docs, vocabulary, kind, end_id, size), "token-ids", "zstd")
     lengths = code_lengths(id_counts(ids, size), limit)
     return write_files(ids, lengths), lengths
 
