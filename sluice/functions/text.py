@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<text:string,span_start:int,span_end:int>>"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once for each row however often `use` has it, even within lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def blank_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
