@@ -2,8 +2,8 @@
 
 1. Documents are cut into passages of `passage` words. Inverse passage frequencies of hashed terms
    and a randomised SVD of the TF-IDF matrix are computed over all passages: every task multiplies its
-   own rows, A'(A G) for a Gaussian G, and sums of fixed size are added up on Spark; a second pass
-   takes the Gram matrix in the basis so found, whose eigenvectors give the right singular vectors.
+   own rows, Z = A'(A G) for a Gaussian G, and sums of fixed size are added up on Spark. From Z and G
+   alone (Nystrom's form of the method) come the right singular vectors and the singular values.
 2. Every window of a document, at the scale of each benchmark item, is a sum of its words' latent
    vectors. Windows whose cosine with an item reaches `cosine` are candidates.
 3. A candidate is checked word by word: the longest common subsequence of the item and the window
@@ -23,13 +23,14 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import picked, row_slices, small_batches, table, utf8_of
 from .shingles import word_hashes
 
-SLOT_BITS, RANK, OVER = 14, 40, 8
+SLOT_BITS, RANK, OVER = 14, 36, 8
 SCALES = (12, 16, 20, 24, 28, 32, 40, 48, 64, 96, 128)
 STEP, ITEM_BLOCK = 4, 2048
 #: Punctuation counts as white space.
@@ -59,12 +60,13 @@ class Text:
             each = np.add.reduceat(terms[self.slots], first, axis=0)
             self.step_sums = np.concatenate((np.zeros((1, terms.shape[1])), np.cumsum(each, axis=0, dtype=np.float64)))
             self.step_bounds = np.concatenate(([0], np.cumsum(-(-np.diff(self.bounds) // STEP))))
+            self.step_row = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.step_bounds))
         return self.step_sums
 
 
 def texts_of(batches):
     for b in batches:
-        raw, ends = utf8_of(b.column(b.schema.get_field_index("text")))
+        raw, ends = utf8_of(pc.utf8_lower(b.column(b.schema.get_field_index("text"))))
         for i, j in row_slices(ends, 1 << 20):
             yield b, i, j, Text(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
 
@@ -101,46 +103,49 @@ def latent_terms(docs: DataFrame, passage: int = 32, rank: int = RANK, seed: int
     """
     size = 1 << SLOT_BITS
 
-    def pairs(t: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Passage, slot (each pair once, by passage), and the first pair of each passage."""
-        of = t.passages(passage)[1]
-        keys = np.unique(of * size + t.slots)
-        of, slots = keys // size, keys % size
-        return of, slots, np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-
-    def rows(t: Text, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The passages' rows of A, at length 1, times a matrix that holds idf already."""
-        of, slots, first = pairs(t)
-        norm = np.sqrt(np.add.reduceat(idf[slots] ** 2, first)) + 1e-9
+    def terms_of(t: Text) -> tuple[np.ndarray, np.ndarray]:
+        """A row of slots for each passage, and which of them count: each slot once."""
+        first, of = t.passages(passage)
+        grid = np.full((len(first), passage), size, np.uint16)
+        grid[of, np.arange(len(of)) - first[of]] = t.slots
+        grid.sort(axis=1)
+        once = grid < size
+        once[:, 1:] &= grid[:, 1:] != grid[:, :-1]
+        return grid, once
+
+    def rows(t: Text, matrix: np.ndarray):
+        """Passage and slot of each term, the passages' lengths, and their rows of A times a matrix that holds idf already."""
+        grid, once = terms_of(t)
+        of, slots = np.nonzero(once)[0], grid[once]
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        norm = np.sqrt(np.add.reduceat(idf[slots] ** 2, first)) + np.float32(1e-9)
         return of, slots, norm, np.add.reduceat(matrix[slots], first, axis=0) / norm[:, None]
 
     def count(out: np.ndarray, t: Text) -> None:
-        of, slots, _ = pairs(t)
-        out[:, 0] += np.bincount(slots, minlength=size)
-        out[0, 1] += of[-1] + 1
+        grid, once = terms_of(t)
+        out[:, 0] += np.bincount(grid[once], minlength=size)
+        out[0, 1] += len(grid)
 
     counts = total(docs, (size, 2), count)
     idf = np.log((counts[0, 1] + 1) / (counts[:, 0] + 1)).astype(np.float32)
     wide = rank + OVER
-    start = idf[:, None] * np.random.default_rng(seed).standard_normal((size, wide)).astype(np.float32)
+    gauss = np.random.default_rng(seed).standard_normal((size, wide)).astype(np.float32)
+    start = idf[:, None] * gauss
 
     def gram(out: np.ndarray, t: Text) -> None:  # A' (A G)
         of, slots, norm, y = rows(t, start)
-        order = np.argsort(slots.astype(np.uint16), kind="stable")
+        order = np.argsort(slots, kind="stable")
         slots = slots[order]
         edge = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])))
         out[slots[edge]] += np.add.reduceat((y / norm[:, None])[of[order]], edge, axis=0)
 
-    basis, _ = np.linalg.qr(idf[:, None] * total(docs, (size, wide), gram))
-    weighted = (idf[:, None] * basis).astype(np.float32)
-
-    def small(out: np.ndarray, t: Text) -> None:  # (A Q)' (A Q)
-        y = rows(t, weighted)[3]
-        out += y.T @ y
-
-    squares, vectors = np.linalg.eigh(total(docs, (wide, wide), small))
-    best = np.argsort(-squares)[:rank]
-    return (weighted @ vectors[:, best] / np.sqrt(np.maximum(squares[best], 1e-9))).astype(np.float32)
+    # From Z = A'A G alone: A'A is near Z (G'Z)^-1 Z', whose eigenvectors are A's right singular vectors.
+    z = idf[:, None] * total(docs, (size, wide), gram)
+    core = gauss.T.astype(np.float64) @ z
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    keep = values > max(float(values.max(initial=0.0)) * 1e-10, 1e-12)
+    vectors, singular, _ = np.linalg.svd(z @ turn[:, keep] / np.sqrt(values[keep]), full_matrices=False)
+    return (idf[:, None] * vectors[:, :rank] / np.maximum(singular[:rank], 1e-6)).astype(np.float32)
 
 
 def lcs_length(masks: dict[int, int], n: int, words: list[int]) -> int:
@@ -167,12 +172,12 @@ class Items:
         self.ids, self.masks, self.size, self.answers = [], [], [], []
         by_scale: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text, answer in rows:
-            data = (text or "").encode()
+            data = (text or "").lower().encode()
             t = Text(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
             n = len(t.words)
             if n < shortest:
                 continue
-            last = (answer if answer is not None else last_sentence(text)).encode()
+            last = (answer if answer is not None else last_sentence(text)).lower().encode()
             own = Text(np.frombuffer(last, np.uint8), np.array([0, len(last)])).words.tolist()
             scale = next((s for s in SCALES if s >= n), SCALES[-1])
             v = terms[t.slots[:scale]].sum(0)
@@ -190,30 +195,41 @@ def last_sentence(text: str) -> str:
     return parts[-1] if parts else ""
 
 
-def windows(t: Text, terms: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word of every window (STEP words apart, of `scale` words or the rest of the text), and unit vectors."""
-    sums = t.sums(terms)
-    n_steps, span = np.diff(t.step_bounds), scale // STEP
-    count = np.where(n_steps > 0, np.maximum(n_steps - span + 1, 1), 0)
-    upto = np.concatenate(([0], np.cumsum(count)))
-    row = np.repeat(np.arange(len(count)), count)
-    step = t.step_bounds[row] + np.arange(upto[-1]) - upto[row]
-    end = np.minimum(step + span, t.step_bounds[row + 1])
-    v = (sums[end] - sums[step]).astype(np.float32)
-    return t.bounds[row] + (step - t.step_bounds[row]) * STEP, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+def windows(t: Text, terms: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, latent vector and its length of every window: `scale` words, or a text that has fewer.
+
+    Windows begin STEP words apart, those of large scales twice as far.
+    """
+    sums, bounds, span = t.sums(terms), t.step_bounds, scale // STEP
+    n, every = bounds[-1], 1 if scale < 32 else 2
+    row = t.step_row
+    steps = np.diff(bounds)
+    short = np.flatnonzero((steps > 0) & (steps < span))
+    wanted = np.zeros(n, bool)
+    if n >= span:
+        wanted[: n - span + 1 : every] = row[: n - span + 1 : every] == row[span - 1 :: every]
+    wanted[bounds[1:][steps >= span] - span] = True  # the last window of each text
+    begin = np.flatnonzero(wanted)
+    v = np.concatenate((sums[begin + span] - sums[begin], sums[bounds[short + 1]] - sums[bounds[short]])).astype(np.float32)
+    begin = np.concatenate((begin, bounds[short]))
+    order = np.argsort(begin, kind="stable")
+    begin, v = begin[order], v[order]
+    r = row[begin]
+    return t.bounds[r] + (begin - bounds[r]) * STEP, v, np.sqrt(np.einsum("ij,ij->i", v, v)) + np.float32(1e-12)
 
 
 def candidates(t: Text, terms: np.ndarray, items: Items, cosine: float):
     """(row, item, cosine, first word, word after the last): runs of neighbouring windows as one, with their best cosine."""
     for scale, (index, unit) in items.scales.items():
-        at, v = windows(t, terms, scale)
+        at, v, length = windows(t, terms, scale)
         for k in range(0, len(at), 1 << 15):
-            close = v[k : k + (1 << 15)] @ unit.T
-            w, i = np.nonzero(close >= cosine)
+            close, least = v[k : k + (1 << 15)] @ unit.T, cosine * length[k : k + (1 << 15)]
+            w, i = np.nonzero(close >= least[:, None])
             if not len(w):
                 continue
             order = np.lexsort((w, i))
-            w, i, c = w[order], i[order], close[w[order], i[order]]
+            w, i = w[order], i[order]
+            c = close[w, i] / length[k + w]
             begin, row = at[k + w], t.row[at[k + w]]
             new = np.concatenate(([True], (i[1:] != i[:-1]) | (row[1:] != row[:-1]) | (begin[1:] - begin[:-1] > scale)))
             edge = np.flatnonzero(new)
@@ -238,7 +254,8 @@ def check(t: Text, items: Items, item: int, lo: int, hi: int, sure: float, likel
     """(share of the item, answer found, first word, end) or None."""
     words, n = t.words[lo:hi].tolist(), items.size[item]
     masks = items.masks[item]
-    if sum(w in masks for w in words) < likely * n:
+    # A subsequence of likely * n words leaves out at most (1 - likely) * n of the item's distinct words.
+    if len(masks.keys() & set(words)) < len(masks) - (1 - likely) * n:
         return None
     length, begin, end = best_span(masks, n, words)
     answer_masks, m = items.answers[item]
@@ -267,7 +284,7 @@ def search(docs: DataFrame, items: list[tuple[int, str, str | None]], terms: np.
     return docs.mapInArrow(run, FOUND)
 
 
-def without_items(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.72, sure: float = 0.8, likely: float = 0.6, shortest: int = 8) -> DataFrame:
+def without_items(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.78, sure: float = 0.8, likely: float = 0.6, shortest: int = 8) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item; rows without an id are judged like any other."""
     small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").alias("i"), F.col("text").alias("t")).filter("t is not null")
@@ -288,7 +305,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.72, s
 
 
 def find(
-    docs: DataFrame, benchmark: DataFrame, cosine: float = 0.72, sure: float = 0.8, likely: float = 0.6, shortest: int = 8,
+    docs: DataFrame, benchmark: DataFrame, cosine: float = 0.78, sure: float = 0.8, likely: float = 0.6, shortest: int = 8,
     id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", answer_column: str | None = None,
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs (share of the item), answer, start and end (words of the document): a row for each item in a document."""
