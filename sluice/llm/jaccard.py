@@ -36,7 +36,9 @@ from .vectors import chunks, key_filter, mixed, passes, slot, summed
 
 COUNTER_BITS, FILTER_BITS, PARITY, SHORT = 23, 23, 1024, 256
 #: Neighbours at these distances in a list's order are compared first.
-DISTANCES = (1, 5, 23, 101)
+DISTANCES = (1, 2, 5, 23, 101)
+#: Lists of so many members are compared in full at distances 1 and 2.
+COVERED = 3
 #: Members of a list that one task chains.
 CHAIN = 1500
 #: Sizes beyond which no set counts as small.
@@ -170,8 +172,10 @@ def close(a: str, b: str, bits: int, num: int, den: int):
 
 def near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) without those that cannot be linked: parities bound what one set alone has from below."""
-    a, b = sketches.toDF("a", "na", "pa"), sketches.toDF("b", "nb", "pb")
-    return pairs.join(a, "a").join(b, "b").filter(close("pa", "pb", PARITY, num, den)).select("a", "b").distinct()
+    for column, bits in (("few", SHORT), ("bits", PARITY)):
+        side = sketches.select("doc_id", "n", column)
+        pairs = pairs.join(side.toDF("a", "na", "pa"), "a").join(side.toDF("b", "nb", "pb"), "b").filter(close("pa", "pb", bits, num, den)).select("a", "b")
+    return pairs.distinct()
 
 
 def similar(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -208,18 +212,20 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_colu
     chain = Window.partitionBy("key", "part").orderBy("n", "doc")
     ahead = F.array(*[F.struct(F.lead("doc", k).over(chain).alias("b"), F.lead("n", k).over(chain).alias("nb")) for k in DISTANCES])
     listed = listed.withColumn("ahead", F.filter(ahead, lambda x: x["b"].isNotNull())).withColumn("first", F.lag("doc").over(chain).isNull())
-    lists = written(listed.filter("size(ahead) > 0 or not first or split").withColumnsRenamed({"doc": "a", "n": "na"}), "jaccard-lists")
+    listed = listed.withColumn("members", F.count("*").over(Window.partitionBy("key", "part")))
+    lists = written(listed.filter("members > 1 or split").withColumnsRenamed({"doc": "a", "n": "na"}), "jaccard-lists")
     heads = lists.filter("split and first").select("key", "a", "na")
     top = Window.partitionBy("key").orderBy("na", "a")
     heads = heads.withColumn("b", F.lead("a").over(top)).withColumn("nb", F.lead("na").over(top))
     pairs = lists.select("a", "na", F.inline("ahead")).union(heads.select("a", "na", "b", "nb")).filter("b is not null and a <> b").filter(sized(num, den))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-    sketches = prof.filter("chunk is null and doc_id is not null").select("doc_id", "n", "bits")
+    sketches = prof.filter("chunk is null and doc_id is not null").select("doc_id", "n", "bits", "few")
     links = written(similar(written(near(pairs, sketches, num, den), "jaccard-near"), docs, width, num, den), "jaccard-links")
     nodes = components(links)
 
     # Members of one list in different components: every pair of them whose short parities allow a link.
-    placed = written(lists.select("key", "a", "na").join(nodes.withColumnRenamed("node", "a"), "a", "left").select("key", "a", "na", F.coalesce("component", "a").alias("c")), "jaccard-placed")
+    longer = lists.filter((F.col("members") > COVERED) | F.col("split")).select("key", "a", "na")
+    placed = written(longer.join(nodes.withColumnRenamed("node", "a"), "a", "left").select("key", "a", "na", F.coalesce("component", "a").alias("c")), "jaccard-placed")
     mixed_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
     few = prof.filter("chunk is null and doc_id is not null").select(F.col("doc_id").alias("a"), F.col("few").alias("pa"))
     left = written(placed.join(mixed_keys, "key", "left_semi").join(few, "a"), "jaccard-mixed")
