@@ -1 +1,96 @@
-"""Queries."""
+"""Queries on retrieval, votes and fusion (2-K)."""
+
+from pyspark.sql import functions as F
+
+from ..operators import fuse as O
+from .evaluation import PRED, PROBS, predictions
+from .registry import query, table
+
+C = F.col
+
+
+@query("k5_majority", "SELECT d.doc_id, (SELECT arg_max(lang, (n, lang)) FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)) AS y_pred FROM documents d")
+def k5(spark, d):
+    docs = table(spark, d, "documents")
+    major = docs.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max_by("lang", F.struct("n", "lang")).alias("y_pred"))
+    return docs.select("doc_id").crossJoin(F.broadcast(major))  # one row
+
+
+@query("k7_fallback", "SELECT d.doc_id, coalesce(CASE l.quality WHEN 1 THEN 'support' END, CASE WHEN l.toxic = 1 THEN 'not_support' END, CASE WHEN n_chars > 1000 THEN 'partial' ELSE 'not_support' END) AS y_pred FROM documents d LEFT JOIN labels l USING (doc_id)")
+def k7(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce(F.when(C("quality") == 1, "support"), F.when(C("toxic") == 1, "not_support"), F.when(C("n_chars") > 1000, "partial").otherwise("not_support")).alias("y_pred"))
+
+
+TOK = "tok AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS t FROM benchmark), x AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM tok), s AS (SELECT a.item_id AS query, b.item_id AS match, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS similarity FROM x a JOIN x b ON a.w = b.w AND a.item_id <> b.item_id GROUP BY ALL)"
+
+
+def pairs(spark, d):
+    items = table(spark, d, "benchmark").select("item_id", O.tokens(C("text")).alias("t"))
+    return O.jaccard_pairs(items, items, "item_id", "t")
+
+
+@query("k9_token_jaccard", f"WITH {TOK}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, match) AS rank FROM s) SELECT query, match, similarity, rank::INT AS rank FROM r WHERE rank <= 5")
+def k9(spark, d):
+    return O.nearest(pairs(spark, d), 5)
+
+
+@query("k10_label_aware", f"WITH {TOK}, r AS (SELECT *, match % 3 AS label, row_number() OVER (PARTITION BY query, match % 3 ORDER BY similarity DESC, match) AS rank FROM s) SELECT query, label, round(avg(similarity), 6) AS mean FROM r WHERE rank <= 3 GROUP BY ALL")
+def k10(spark, d):
+    near = O.nearest(pairs(spark, d).withColumn("label", C("match") % 3), 3, ("query", "label"))
+    return near.groupBy("query", "label").agg(F.round(F.avg("similarity"), 6).alias("mean"))
+
+
+@query("k11_similarity_vote", f"WITH {TOK}, r AS (SELECT *, CASE match % 3 WHEN 0 THEN 'support' WHEN 1 THEN 'partial' ELSE 'not_support' END AS label, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, match) AS rank FROM s), v AS (SELECT query, label, round(sum(greatest(similarity, 1e-4)), 6) AS weight FROM r WHERE rank <= 5 GROUP BY ALL) SELECT query, arg_max(label, (weight, CASE label WHEN 'support' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END)) AS label, max(weight) AS weight FROM v GROUP BY 1")
+def k11(spark, d):
+    name = F.when(C("match") % 3 == 0, "support").when(C("match") % 3 == 1, "partial").otherwise("not_support")
+    near = O.nearest(pairs(spark, d), 5).withColumn("label", name)
+    return O.vote(near, "query", "label", F.greatest("similarity", F.lit(1e-4)))
+
+
+@query("k12_majority_vote", f"WITH {PRED}, v AS (SELECT vec_id % 50 AS case_, y_pred AS label, count(*)::DOUBLE AS weight FROM pred GROUP BY ALL) SELECT case_, arg_max(label, (weight, CASE label WHEN 'support' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END)) AS label, max(weight) AS weight FROM v GROUP BY 1")
+def k12(spark, d):
+    return O.vote(predictions(spark, d).withColumn("case_", C("vec_id") % 50), "case_", "y_pred", F.lit(1.0))
+
+
+@query("k13_combine", f"WITH {PRED}, c AS (SELECT vec_id, (0.7::DOUBLE * pa + 0.3::DOUBLE * CASE WHEN y_pred = 'support' THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END) / 1.0 AS a, (0.7::DOUBLE * pb + 0.3::DOUBLE * CASE WHEN y_pred = 'partial' THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END) AS b, (0.7::DOUBLE * pc + 0.3::DOUBLE * CASE WHEN y_pred = 'not_support' THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END) AS c FROM pred) SELECT vec_id, round(a, 6) AS p_support, CASE WHEN round(a, 9) >= greatest(round(b, 9), round(c, 9)) THEN 'support' WHEN round(b, 9) >= round(c, 9) THEN 'partial' ELSE 'not_support' END AS label FROM c")
+def k13(spark, d):
+    both = O.weighted([(0.7, PROBS), (0.3, O.spread(C("y_pred"), F.lit(0.8)))])
+    return predictions(spark, d).select("vec_id", F.round(both[0], 6).alias("p_support"), O.argmax(both).alias("label"))
+
+
+@query("k14_hybrid", f"WITH {PRED}, h AS (SELECT vec_id, 0.5::DOUBLE * pa + 0.32::DOUBLE * 0.5::DOUBLE AS a, 0.5::DOUBLE * pb + 0.32::DOUBLE * 0.3::DOUBLE AS b, greatest(0.5::DOUBLE * pc + 0.32::DOUBLE * 0.2::DOUBLE - CASE WHEN fold = 0 THEN 0.05::DOUBLE ELSE 0 END, 0) AS c FROM pred) SELECT vec_id, round(a / (a + b + c), 6) AS p_support, round(c / (a + b + c), 6) AS p_not FROM h")
+def k14(spark, d):
+    prior = [0.5, 0.3, 0.2]
+    mixed = [0.5 * p + 0.32 * q for p, q in zip(PROBS, prior, strict=True)]
+    mixed[2] = F.greatest(mixed[2] - F.when(C("fold") == 0, 0.05).otherwise(0.0), F.lit(0.0))
+    out = O.normalised(mixed)
+    return predictions(spark, d).select("vec_id", F.round(out[0], 6).alias("p_support"), F.round(out[2], 6).alias("p_not"))
+
+
+@query("k15_boundary_rules", f"WITH {PRED} SELECT vec_id, CASE WHEN pa >= 0.4 THEN 'support' WHEN pb - pc > 0.02 THEN 'partial' ELSE y_pred END AS label FROM pred")
+def k15(spark, d):
+    return predictions(spark, d).select("vec_id", F.when(C("pa") >= 0.4, "support").when(C("pb") - C("pc") > 0.02, "partial").otherwise(C("y_pred")).alias("label"))
+
+
+@query("k16_model_weights", f"WITH {PRED} SELECT model_name, round(greatest(avg((y_true = y_pred)::INT), 0.05), 6) AS weight FROM pred WHERE fold > 0 GROUP BY 1")
+def k16(spark, d):
+    return predictions(spark, d).filter("fold > 0").groupBy("model_name").agg(F.round(F.greatest(F.avg((C("y_true") == C("y_pred")).cast("int")), F.lit(0.05)), 6).alias("weight"))
+
+
+@query("k20_consensus", f"WITH {PRED}, g AS (SELECT vec_id % 100 AS case_, count(*) AS n, count(DISTINCT y_pred) AS kinds, max(confidence) AS top FROM pred GROUP BY 1) SELECT case_, kinds, round(0.6::DOUBLE / kinds + 0.4::DOUBLE * top, 6) AS score FROM g")
+def k20(spark, d):
+    g = predictions(spark, d).groupBy((C("vec_id") % 100).alias("case_")).agg(F.count_distinct("y_pred").alias("kinds"), F.max("confidence").alias("top"))
+    return g.select("case_", "kinds", F.round(0.6 / C("kinds") + 0.4 * C("top"), 6).alias("score"))
+
+
+@query("k21_override", f"WITH {PRED} SELECT p.vec_id, CASE WHEN o.confidence >= 0.42 THEN o.y_pred ELSE p.y_pred END AS label FROM pred p LEFT JOIN pred o ON o.vec_id = p.vec_id + 1")
+def k21(spark, d):
+    rows = predictions(spark, d)
+    other = rows.select((C("vec_id") - 1).alias("vec_id"), C("y_pred").alias("other"), C("confidence").alias("sure"))
+    return rows.join(other, "vec_id", "left").select("vec_id", F.when(C("sure") >= 0.42, C("other")).otherwise(C("y_pred")).alias("label"))
+
+
+@query("k24_trace", "SELECT doc_id, '{\"id\":' || doc_id || ',\"lang\":' || to_json(lang) || ',\"long\":' || (n_chars > 1000)::VARCHAR || '}' AS trace FROM documents")
+def k24(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.to_json(F.struct(C("doc_id").alias("id"), "lang", (C("n_chars") > 1000).alias("long"))).alias("trace"))

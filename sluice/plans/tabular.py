@@ -1 +1,55 @@
-"""Queries."""
+"""Queries of the tabular feature job (2-L) on events."""
+
+from functools import reduce
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .registry import query, table
+
+C = F.col
+LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("l1_encodings", "SELECT event_id, count(*) OVER (PARTITION BY event_type) AS freq, dense_rank() OVER (ORDER BY event_type) AS code FROM events")
+def l1(spark, d):
+    ev = table(spark, d, "events")
+    codes = ev.groupBy("event_type").agg(F.count("*").alias("freq")).withColumn("code", F.dense_rank().over(Window.orderBy("event_type")))  # one row for each type
+    return ev.join(codes, "event_type").select("event_id", "freq", "code")
+
+
+@query("l2_row_statistics", "SELECT l_orderkey, l_linenumber, round((l_quantity + l_extendedprice + l_discount + l_tax) / 4, 4) AS mean, least(l_quantity, l_extendedprice, l_discount, l_tax) AS low, greatest(l_quantity, l_extendedprice, l_discount, l_tax) AS high FROM lineitem")
+def l2(spark, d):
+    total = reduce(lambda a, b: a + b, map(C, LINE))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(total / 4, 4).alias("mean"), F.least(*LINE).alias("low"), F.greatest(*LINE).alias("high"))
+
+
+@query("l3_top_variance", "SELECT name, round(v, 4) AS variance FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS name, unnest([var_samp(l_quantity), var_samp(l_extendedprice), var_samp(l_discount), var_samp(l_tax)]) AS v FROM lineitem) ORDER BY v DESC LIMIT 2")
+def l3(spark, d):
+    one = table(spark, d, "lineitem").agg(*[F.var_samp(c).alias(c) for c in LINE])
+    long = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), C(c).alias("v")) for c in LINE])))
+    return long.orderBy(C("v").desc()).limit(2).select("name", F.round("v", 4).alias("variance"))
+
+
+@query("l4_interactions", "SELECT l_orderkey, l_linenumber, round(l_quantity * l_discount, 4) AS product, round(l_extendedprice / (abs(l_quantity) + 1e-6), 4) AS ratio FROM lineitem")
+def l4(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(C("l_quantity") * C("l_discount"), 4).alias("product"), F.round(C("l_extendedprice") / (F.abs("l_quantity") + 1e-6), 4).alias("ratio"))
+
+
+@query("l5_lags", "SELECT event_id, round(lag(value) OVER w, 6) AS lag1, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS mean3, round(stddev_samp(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 4) AS std5, round(value - lag(value) OVER w, 6) AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def l5(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    lag = F.lag("value").over(w)
+    return table(spark, d, "events").select("event_id", F.round(lag, 6).alias("lag1"), F.round(F.avg("value").over(w.rowsBetween(-3, -1)), 6).alias("mean3"), F.round(F.stddev_samp("value").over(w.rowsBetween(-5, -1)), 4).alias("std5"), F.round(C("value") - lag, 6).alias("delta"))
+
+
+@query("l6_constant_columns", "SELECT unnest(['l_quantity', 'l_tax', 'one']) AS name, unnest([count(DISTINCT l_quantity) <= 1, count(DISTINCT l_tax) <= 1, TRUE]) AS dropped FROM lineitem")
+def l6(spark, d):
+    rows = table(spark, d, "lineitem").select("l_quantity", "l_tax", F.lit(1.0).alias("one"))
+    one = rows.agg(*[(F.min(c).eqNullSafe(F.max(c))).alias(c) for c in rows.columns])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), C(c).alias("dropped")) for c in rows.columns])))
+
+
+@query("l7_correlated", "SELECT round(corr(l_quantity, l_extendedprice), 4) AS price, abs(corr(l_quantity, l_quantity * 2)) > 0.985 AS twin FROM lineitem")
+def l7(spark, d):
+    return table(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 4).alias("price"), (F.abs(F.corr(C("l_quantity"), C("l_quantity") * 2)) > 0.985).alias("twin"))
