@@ -28,7 +28,8 @@ def predictions(spark, d):
     return rows.withColumn("y_pred", pred).withColumn("confidence", F.greatest("pa", "pb", "pc"))
 
 
-PROBS = [C("pa"), C("pb"), C("pc")]
+def probs():
+    return [C("pa"), C("pb"), C("pc")]
 
 
 @query("j1_confusion", f"WITH {PRED} SELECT model_name, a.c AS y_true, b.c AS y_pred, count(*) FILTER (WHERE p.y_true = a.c AND p.y_pred = b.c) AS n FROM pred p CROSS JOIN (VALUES ('support'), ('partial'), ('not_support')) a(c) CROSS JOIN (VALUES ('support'), ('partial'), ('not_support')) b(c) GROUP BY ALL")
@@ -81,7 +82,7 @@ TEMPER = ", ".join(f"({t}::DOUBLE)" for t in GRID)
 @query("j9_temperature", f"WITH {PRED}, g(t) AS (VALUES {TEMPER}), z AS (SELECT t, model_name, avg(-ln(greatest(CASE y_true WHEN 'support' THEN pow(pa, 1 / t) WHEN 'partial' THEN pow(pb, 1 / t) ELSE pow(pc, 1 / t) END / (pow(pa, 1 / t) + pow(pb, 1 / t) + pow(pc, 1 / t)), 1e-12))) AS nll FROM pred CROSS JOIN g GROUP BY ALL) SELECT model_name, arg_min(t, round(nll, 9)) AS temperature, round(min(nll), 6) AS nll FROM z GROUP BY 1")
 def j9(spark, d):
     rows = predictions(spark, d).withColumn("t", F.explode(F.array(*map(F.lit, GRID))))
-    each = rows.groupBy("model_name", "t").agg(F.avg(O.negative_log(C("y_true"), O.tempered(PROBS, C("t")))).alias("nll"))
+    each = rows.groupBy("model_name", "t").agg(F.avg(O.negative_log(C("y_true"), O.tempered(probs(), C("t")))).alias("nll"))
     return each.groupBy("model_name").agg(F.min_by("t", F.round("nll", 9)).alias("temperature"), F.round(F.min("nll"), 6).alias("nll"))
 
 
@@ -90,7 +91,7 @@ def j9(spark, d):
 def j10(spark, d):
     rows = predictions(spark, d)
     ece = O.calibration_error(rows, ["model_name"], C("confidence"), C("y_true") == C("y_pred"))
-    rest = rows.groupBy("model_name").agg(F.round(F.avg(O.brier(C("y_true"), PROBS)), 6).alias("brier"), F.round(F.avg(O.negative_log(C("y_true"), PROBS)), 6).alias("nll"))
+    rest = rows.groupBy("model_name").agg(F.round(F.avg(O.brier(C("y_true"), probs())), 6).alias("brier"), F.round(F.avg(O.negative_log(C("y_true"), probs())), 6).alias("nll"))
     return ece.join(rest, "model_name")
 
 

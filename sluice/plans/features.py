@@ -7,7 +7,7 @@ from ..operators import features as O
 from .registry import query, table
 from .text import TERMS
 
-C, X = F.col, F.col("text")
+C = F.col
 CORE, TOPIC, EVIDENCE, RISK = ["tion", "ung", "ment", "ción"], ["ing ", " die ", " les ", " los "], ["ed ", "eit", "eau", "ado"], ["password", "+1 (", "@mail"]
 ROLES = {"entitlement": ["tion", "ung"], "notice": ["heit", "eau", "thth"], "cause": ["because", "weil"], "impact": ["tion", "keit", "doad"]}
 RULES = [("german", ["ung ", "heit"]), ("french", ["eau", "eux"]), ("spanish", ["ción", "ado "])]
@@ -40,7 +40,7 @@ def chain_sql() -> str:
 
 
 def spans(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text", T.sentences(X).alias("s"))
+    return table(spark, d, "documents").select("doc_id", "text", T.sentences(C("text")).alias("s"))
 
 
 def chained(spark, d):
@@ -49,22 +49,22 @@ def chained(spark, d):
 
 @query("c1_distinct_hits", f"SELECT doc_id, {hits_sql(CORE)} AS core, {hits_sql(TOPIC)} AS topic FROM documents")
 def c1(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.hits(X, CORE).alias("core"), T.hits(X, TOPIC).alias("topic"))
+    return table(spark, d, "documents").select("doc_id", T.hits(C("text"), CORE).alias("core"), T.hits(C("text"), TOPIC).alias("topic"))
 
 
 @query("c2_occurrences", "SELECT doc_id, (" + " + ".join(f"(length(text) - length(replace(text, '{t}', ''))) // {len(t)}" for t in TERMS) + ")::BIGINT AS n FROM documents")
 def c2(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.occurrences(X, TERMS).alias("n"))
+    return table(spark, d, "documents").select("doc_id", T.occurrences(C("text"), TERMS).alias("n"))
 
 
 @query("c3_flags", "SELECT doc_id, concat_ws('|', " + ", ".join(f"CASE WHEN {any_sql(t)} THEN '{n}' END" for n, t in RULES) + ") AS flags FROM documents")
 def c3(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.concat_ws("|", *[F.when(T.any_of(X, t), n) for n, t in RULES]).alias("flags"))
+    return table(spark, d, "documents").select("doc_id", F.concat_ws("|", *[F.when(T.any_of(C("text"), t), n) for n, t in RULES]).alias("flags"))
 
 
 @query("c4_domain", f"SELECT doc_id FROM documents WHERE {any_sql(CORE)} AND {any_sql(TOPIC)}")
 def c4(spark, d):
-    return table(spark, d, "documents").filter(T.any_of(X, CORE) & T.any_of(X, TOPIC)).select("doc_id")
+    return table(spark, d, "documents").filter(T.any_of(C("text"), CORE) & T.any_of(C("text"), TOPIC)).select("doc_id")
 
 
 @query("c5_keyword_sentences", f"WITH {SENTENCES}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM s WHERE {any_sql(EVIDENCE)}) SELECT doc_id, r::INT AS place, text AS sentence, b AS span_start, e AS span_end FROM k WHERE r <= 12")
@@ -81,7 +81,7 @@ def c6(spark, d):
 
 @query("c7_context", f"WITH {SENTENCES} SELECT d.doc_id, coalesce(left(string_agg(s.text, ' ' ORDER BY i) FILTER (WHERE r <= 3), 500), '') AS summary, any_value({any_sql(CORE, 'd.text')}) AS has_core FROM documents d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM s) s USING (doc_id) GROUP BY d.doc_id")
 def c7(spark, d):
-    return spans(spark, d).select("doc_id", F.left(F.array_join(F.transform(F.slice("s", 1, 3), lambda s: s["text"]), " "), F.lit(500)).alias("summary"), T.any_of(X, CORE).alias("has_core"))
+    return spans(spark, d).select("doc_id", F.left(F.array_join(F.transform(F.slice("s", 1, 3), lambda s: s["text"]), " "), F.lit(500)).alias("summary"), T.any_of(C("text"), CORE).alias("has_core"))
 
 
 @query("c8_evidence_chain", f"WITH {chain_sql()} SELECT doc_id, role, text AS sentence, b AS span_start, duplicate FROM u")
@@ -97,57 +97,57 @@ def c9(spark, d):
 
 @query("c10_leakage", f"SELECT doc_id, regexp_matches(text, 'AKIA|[0-9]{{4,}}') AS leaks, array_to_string(list_filter(['{RISK[0]}', '{RISK[1]}', '{RISK[2]}'], lambda t: contains(text, t)), '|') AS terms FROM documents")
 def c10(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.rlike("AKIA|[0-9]{4,}").alias("leaks"), F.array_join(T.found_terms(X, RISK), "|").alias("terms"))
+    return table(spark, d, "documents").select("doc_id", C("text").rlike("AKIA|[0-9]{4,}").alias("leaks"), F.array_join(T.found_terms(C("text"), RISK), "|").alias("terms"))
 
 
 @query("c12_sufficiency", f"SELECT doc_id, round(greatest(0, least(1, 0.45::DOUBLE * {hits_sql(CORE)} / 4 + 0.15::DOUBLE * least({hits_sql(TOPIC)} / 5::DOUBLE, 1) + 0.2::DOUBLE * least({hits_sql(EVIDENCE)} / 5::DOUBLE, 1) + 0.2::DOUBLE * least({hits_sql(TERMS)} / 6::DOUBLE, 1))), 4) AS score FROM documents")
 def c12(spark, d):
-    score = O.sufficiency(T.hits(X, CORE) / 4, T.hits(X, TOPIC), T.hits(X, EVIDENCE), T.hits(X, TERMS))
+    score = O.sufficiency(T.hits(C("text"), CORE) / 4, T.hits(C("text"), TOPIC), T.hits(C("text"), EVIDENCE), T.hits(C("text"), TERMS))
     return table(spark, d, "documents").select("doc_id", score.alias("score"))
 
 
 @query("c13_numeric_features", f"WITH {SENTENCES} SELECT d.doc_id, length(d.text) AS chars, count(s.i) AS n_sentences, any_value({hits_sql(CORE, 'd.text')}) AS core, any_value({hits_sql(EVIDENCE, 'd.text')}) AS evidence, (any_value(lang) = 'en')::INT AS is_en FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, d.text")
 def c13(spark, d):
     rows = table(spark, d, "documents")
-    return rows.select("doc_id", F.length(X).cast("bigint").alias("chars"), F.size(T.sentences(X)).cast("bigint").alias("n_sentences"), T.hits(X, CORE).alias("core"), T.hits(X, EVIDENCE).alias("evidence"), (C("lang") == "en").cast("int").alias("is_en"))
+    return rows.select("doc_id", F.length(C("text")).cast("bigint").alias("chars"), F.size(T.sentences(C("text"))).cast("bigint").alias("n_sentences"), T.hits(C("text"), CORE).alias("core"), T.hits(C("text"), EVIDENCE).alias("evidence"), (C("lang") == "en").cast("int").alias("is_en"))
 
 
 @query("c15_local_quality", f"SELECT doc_id, round(greatest(0, least(1, least({hits_sql(CORE, 'left(text, 10000)')}, 3) * 0.12::DOUBLE + least({hits_sql(TOPIC, 'left(text, 3000)')}, 4) * 0.1::DOUBLE + CASE WHEN starts_with(text, 'T') THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN {any_sql(RISK)} THEN 0.3::DOUBLE ELSE 0 END)), 4) AS score FROM documents")
 def c15(spark, d):
-    score = O.local_quality(X, [(CORE, 10_000, 3, 0.12), (TOPIC, 3000, 4, 0.1)], F.startswith(X, F.lit("T")), T.any_of(X, RISK))
+    score = O.local_quality(C("text"), [(CORE, 10_000, 3, 0.12), (TOPIC, 3000, 4, 0.1)], F.startswith(C("text"), F.lit("T")), T.any_of(C("text"), RISK))
     return table(spark, d, "documents").select("doc_id", score.alias("score"))
 
 
 @query("c16_relevance", f"SELECT doc_id, round(least(1, 0.15::DOUBLE * least({hits_sql(CORE)}, 4) + 0.18::DOUBLE * least({hits_sql(TOPIC)}, 4) + CASE WHEN {hits_sql(CORE)} > 0 AND {hits_sql(TOPIC)} > 0 THEN 0.2::DOUBLE ELSE 0 END), 6) AS score FROM documents")
 def c16(spark, d):
-    return table(spark, d, "documents").select("doc_id", O.relevance(T.hits(X, CORE), T.hits(X, TOPIC)).alias("score"))
+    return table(spark, d, "documents").select("doc_id", O.relevance(T.hits(C("text"), CORE), T.hits(C("text"), TOPIC)).alias("score"))
 
 
 @query("c17_substantive", f"SELECT doc_id, {any_sql(CORE)} AND length(text) > 500 AS substantive, {any_sql(RISK)} AND {hits_sql(CORE)} = 0 AS procedural_only FROM documents")
 def c17(spark, d):
-    return table(spark, d, "documents").select("doc_id", (T.any_of(X, CORE) & (F.length(X) > 500)).alias("substantive"), (T.any_of(X, RISK) & (T.hits(X, CORE) == 0)).alias("procedural_only"))
+    return table(spark, d, "documents").select("doc_id", (T.any_of(C("text"), CORE) & (F.length(C("text")) > 500)).alias("substantive"), (T.any_of(C("text"), RISK) & (T.hits(C("text"), CORE) == 0)).alias("procedural_only"))
 
 
 @query("c19_info_score", f"SELECT doc_id, least({' + '.join(f'(length(text) - length(replace(text, {chr(39)}{t}{chr(39)}, {chr(39)}{chr(39)}))) // {len(t)}' for t in TERMS)}, 50)::BIGINT AS info, {rule_sql(RULES)} AS hint FROM documents")
 def c19(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.least(T.occurrences(X, TERMS), F.lit(50)).cast("bigint").alias("info"), O.first_rule(X, RULES, "other").alias("hint"))
+    return table(spark, d, "documents").select("doc_id", F.least(T.occurrences(C("text"), TERMS), F.lit(50)).cast("bigint").alias("info"), O.first_rule(C("text"), RULES, "other").alias("hint"))
 
 
 @query("c20_indices", f"SELECT doc_id, round(least({hits_sql(CORE)} / 3::DOUBLE, 1), 6) AS core_index, round(least({hits_sql(TOPIC)} / 2::DOUBLE, 1), 6) AS topic_index, CASE WHEN {hits_sql(CORE)} >= 3 THEN 'act' WHEN {hits_sql(TOPIC)} >= 1 THEN 'watch' ELSE 'none' END AS action FROM documents")
 def c20(spark, d):
-    index = lambda terms, n: F.round(F.least(T.hits(X, terms) / n, F.lit(1.0)), 6)
-    action = F.when(T.hits(X, CORE) >= 3, "act").when(T.hits(X, TOPIC) >= 1, "watch").otherwise("none")
+    index = lambda terms, n: F.round(F.least(T.hits(C("text"), terms) / n, F.lit(1.0)), 6)
+    action = F.when(T.hits(C("text"), CORE) >= 3, "act").when(T.hits(C("text"), TOPIC) >= 1, "watch").otherwise("none")
     return table(spark, d, "documents").select("doc_id", index(CORE, 3).alias("core_index"), index(TOPIC, 2).alias("topic_index"), action.alias("action"))
 
 
 @query("c21_first_rule", f"SELECT doc_id, {rule_sql(RULES)} AS label FROM documents")
 def c21(spark, d):
-    return table(spark, d, "documents").select("doc_id", O.first_rule(X, RULES, "other").alias("label"))
+    return table(spark, d, "documents").select("doc_id", O.first_rule(C("text"), RULES, "other").alias("label"))
 
 
 @query("c22_most_hits", f"WITH h AS (SELECT doc_id, {', '.join(f'{hits_sql(t)} AS {n}' for n, t in RULES)} FROM documents) SELECT doc_id, CASE WHEN greatest(german, french, spanish) = 0 THEN 'other' WHEN german >= french AND german >= spanish THEN 'german' WHEN french >= spanish THEN 'french' ELSE 'spanish' END AS label, greatest(german, french, spanish) AS hits FROM h")
 def c22(spark, d):
-    return table(spark, d, "documents").select("doc_id", O.most_hits(X, RULES, "other").alias("m")).select("doc_id", "m.label", "m.hits")
+    return table(spark, d, "documents").select("doc_id", O.most_hits(C("text"), RULES, "other").alias("m")).select("doc_id", "m.label", "m.hits")
 
 
 @query("c23_role_summary", f"WITH {SENTENCES}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM s WHERE {any_sql(ROLES['notice'])}) SELECT d.doc_id, coalesce(string_agg(k.text, ' ' ORDER BY i) FILTER (WHERE r <= 3), 'none') AS notice FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id")
@@ -164,8 +164,8 @@ def c24(spark, d):
 
 @query("c25_text_mode", "SELECT doc_id, length(left(text, 200) || chr(10) || right(text, 100))::INT AS both_chars FROM documents WHERE trim(text) <> ''")
 def c25(spark, d):
-    mode = O.by_mode("pre+post", F.left(X, F.lit(200)), F.right(X, F.lit(100)))
-    return table(spark, d, "documents").filter(F.trim(X) != "").select("doc_id", F.length(mode).alias("both_chars"))
+    mode = O.by_mode("pre+post", F.left(C("text"), F.lit(200)), F.right(C("text"), F.lit(100)))
+    return table(spark, d, "documents").filter(F.trim(C("text")) != "").select("doc_id", F.length(mode).alias("both_chars"))
 
 
 @query("c26_numbers", "SELECT event_id, coalesce(try_cast(CASE WHEN event_type = 'click' THEN value::VARCHAR ELSE event_type END AS DOUBLE), 0) AS n FROM events")
@@ -175,7 +175,7 @@ def c26(spark, d):
 
 @query("c27_record_checks", "SELECT d.doc_id, l.quality IN (0, 1) IS TRUE AS valid_label, length(d.text) > 20000 AS over_long, count(*) OVER (PARTITION BY md5(d.text)) > 1 AS duplicate FROM documents d LEFT JOIN labels l USING (doc_id)")
 def c27(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.md5(X.cast("binary")).alias("h"), F.length(X).alias("chars")).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    rows = table(spark, d, "documents").select("doc_id", F.md5(C("text").cast("binary")).alias("h"), F.length(C("text")).alias("chars")).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     copies = rows.groupBy("h").agg(F.count("*").alias("copies"))
     return rows.join(copies, "h").select("doc_id", F.coalesce(C("quality").isin(0, 1), F.lit(False)).alias("valid_label"), (C("chars") > 20_000).alias("over_long"), (C("copies") > 1).alias("duplicate"))
 
@@ -184,4 +184,4 @@ def c27(spark, d):
 def c28(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     count = lambda cond: F.count(F.when(cond, 1))
-    return rows.agg(F.count("*").alias("n"), count(C("quality").isNull()).alias("missing_label"), count(F.length(X) > 4000).alias("over_long"), count(X.rlike("[一-鿿]")).alias("residue"))
+    return rows.agg(F.count("*").alias("n"), count(C("quality").isNull()).alias("missing_label"), count(F.length(C("text")) > 4000).alias("over_long"), count(C("text").rlike("[一-鿿]")).alias("residue"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import fuse as O
-from .evaluation import PRED, PROBS, predictions
+from .evaluation import PRED, predictions, probs
 from .registry import query, table
 
 C = F.col
@@ -55,14 +55,14 @@ def k12(spark, d):
 
 @query("k13_combine", f"WITH {PRED}, c AS (SELECT vec_id, (0.7::DOUBLE * pa + 0.3::DOUBLE * CASE WHEN y_pred = 'support' THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END) / 1.0 AS a, (0.7::DOUBLE * pb + 0.3::DOUBLE * CASE WHEN y_pred = 'partial' THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END) AS b, (0.7::DOUBLE * pc + 0.3::DOUBLE * CASE WHEN y_pred = 'not_support' THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END) AS c FROM pred) SELECT vec_id, round(a, 6) AS p_support, CASE WHEN round(a, 9) >= greatest(round(b, 9), round(c, 9)) THEN 'support' WHEN round(b, 9) >= round(c, 9) THEN 'partial' ELSE 'not_support' END AS label FROM c")
 def k13(spark, d):
-    both = O.weighted([(0.7, PROBS), (0.3, O.spread(C("y_pred"), F.lit(0.8)))])
+    both = O.weighted([(0.7, probs()), (0.3, O.spread(C("y_pred"), F.lit(0.8)))])
     return predictions(spark, d).select("vec_id", F.round(both[0], 6).alias("p_support"), O.argmax(both).alias("label"))
 
 
 @query("k14_hybrid", f"WITH {PRED}, h AS (SELECT vec_id, 0.5::DOUBLE * pa + 0.32::DOUBLE * 0.5::DOUBLE AS a, 0.5::DOUBLE * pb + 0.32::DOUBLE * 0.3::DOUBLE AS b, greatest(0.5::DOUBLE * pc + 0.32::DOUBLE * 0.2::DOUBLE - CASE WHEN fold = 0 THEN 0.05::DOUBLE ELSE 0 END, 0) AS c FROM pred) SELECT vec_id, round(a / (a + b + c), 6) AS p_support, round(c / (a + b + c), 6) AS p_not FROM h")
 def k14(spark, d):
     prior = [0.5, 0.3, 0.2]
-    mixed = [0.5 * p + 0.32 * q for p, q in zip(PROBS, prior, strict=True)]
+    mixed = [0.5 * p + 0.32 * q for p, q in zip(probs(), prior, strict=True)]
     mixed[2] = F.greatest(mixed[2] - F.when(C("fold") == 0, 0.05).otherwise(0.0), F.lit(0.0))
     out = O.normalised(mixed)
     return predictions(spark, d).select("vec_id", F.round(out[0], 6).alias("p_support"), F.round(out[2], 6).alias("p_not"))

@@ -6,7 +6,7 @@ from ..functions import text as T
 from ..operators import labels as O
 from .registry import query, table
 
-C, X = F.col, F.col("text")
+C = F.col
 SPELLINGS = ["support", "Partial_Support", "not-support", "keep partially", "would not", "??"]
 
 
@@ -44,7 +44,7 @@ def d3(spark, d):
 
 @query("d4_outcome_from_text", r"SELECT doc_id, CASE WHEN regexp_matches(text, 'teil|part') THEN 'partial' WHEN regexp_matches(text, '\bnot\b|nicht') THEN 'not_support' WHEN regexp_matches(text, '\bis\b|ist') THEN 'support' ELSE 'unknown' END AS label FROM documents")
 def d4(spark, d):
-    return table(spark, d, "documents").select("doc_id", O.by_patterns(X, [("partial", "teil|part"), ("not_support", r"\bnot\b|nicht"), ("support", r"\bis\b|ist")], "unknown").alias("label"))
+    return table(spark, d, "documents").select("doc_id", O.by_patterns(C("text"), [("partial", "teil|part"), ("not_support", r"\bnot\b|nicht"), ("support", r"\bis\b|ist")], "unknown").alias("label"))
 
 
 RULES = [("owner", "tion", 1.6), ("owner", "ung", 1.3), ("contractor", "eau", 1.6), ("contractor", "ing", 1.2), ("other", "ado", 1.4)]
@@ -54,7 +54,7 @@ RULES = [("owner", "tion", 1.6), ("owner", "ung", 1.3), ("contractor", "eau", 1.
  s AS (SELECT doc_id, label, sum(w) AS score FROM p JOIN r ON contains(p, term) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, label) AS r, lead(score, 1, 0) OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, label) AS next FROM s)
  SELECT doc_id, label, round(score, 4) AS score, round(score - next, 4) AS margin, round(least(0.95, 0.55 + 0.1 * score + 0.05 * (score - next)), 4) AS confidence FROM k WHERE r = 1""")
 def d5(spark, d):
-    sentences = F.split(X, r"[.!?\n]")
+    sentences = F.split(C("text"), r"[.!?\n]")
     with_term = lambda term: F.size(F.filter(sentences, lambda s: F.contains(s, F.lit(term))))
     weights = {}
     for label, term, w in RULES:
@@ -68,7 +68,7 @@ def d5(spark, d):
 
 @query("d7_rule_baseline", "SELECT doc_id, CASE WHEN contains(text, 'not ') AND contains(text, 'tion') THEN 'partial' WHEN contains(text, 'tion') THEN 'support' ELSE 'not_support' END AS y_pred FROM documents")
 def d7(spark, d):
-    has = lambda t: F.contains(X, F.lit(t))
+    has = lambda t: F.contains(C("text"), F.lit(t))
     return table(spark, d, "documents").select("doc_id", O.bucket([("partial", has("not ") & has("tion")), ("support", has("tion"))], "not_support").alias("y_pred"))
 
 
@@ -98,8 +98,8 @@ def d11(spark, d):
 
 @query("d13_span_validation", "SELECT doc_id, strpos(text, left(text, 30)) - 1 AS first_start, strpos(text, 'no such span at all') - 1 AS second_start, 0.5::DOUBLE AS valid_rate, 1 AS duplicates FROM documents WHERE length(text) > 40")
 def d13(spark, d):
-    quoted = F.array(F.left(X, F.lit(30)), F.lit("no such span at all"), F.left(X, F.lit(30)), F.lit(""))
-    rows = table(spark, d, "documents").filter(F.length(X) > 40).select("doc_id", O.span_checks(X, quoted).alias("s"))
+    quoted = F.array(F.left(C("text"), F.lit(30)), F.lit("no such span at all"), F.left(C("text"), F.lit(30)), F.lit(""))
+    rows = table(spark, d, "documents").filter(F.length(C("text")) > 40).select("doc_id", O.span_checks(C("text"), quoted).alias("s"))
     total = lambda field: F.aggregate(F.transform("s", lambda s: s[field]), F.lit(0), lambda a, x: a + x)
     return rows.select("doc_id", C("s")[0]["start"].alias("first_start"), C("s")[1]["start"].alias("second_start"), (total("valid") / 4).alias("valid_rate"), total("duplicate").alias("duplicates"))
 
@@ -107,7 +107,7 @@ def d13(spark, d):
 @query("d14_acceptance_gate", "SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND l.toxic = 0 AND d.n_chars >= 300 AND NOT regexp_matches(d.text, 'password|AKIA')")
 def d14(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    return rows.filter((C("quality") == 1) & (C("toxic") == 0) & (C("n_chars") >= 300) & ~X.rlike("password|AKIA")).select("doc_id")
+    return rows.filter((C("quality") == 1) & (C("toxic") == 0) & (C("n_chars") >= 300) & ~C("text").rlike("password|AKIA")).select("doc_id")
 
 
 @query("d16_label_buckets", f"WITH {SOURCES} SELECT doc_id, CASE WHEN a = b AND n_chars >= 800 THEN 'strong' WHEN a = b THEN 'usable' WHEN a IS NOT NULL THEN 'weak' ELSE 'discarded' END AS bucket FROM src")

@@ -8,14 +8,14 @@ from ..operators import sets as S
 from .features import CORE, RISK, TOPIC, any_sql, hits_sql
 from .registry import query, table
 
-C, X = F.col, F.col("text")
+C = F.col
 MANIFEST = f"""m AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, d.text, {hits_sql(CORE, 'd.text')} AS core, {hits_sql(TOPIC, 'd.text')} AS topic, {any_sql(RISK, 'd.text')} AS risk, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
  t AS (SELECT *, CASE WHEN quality = 1 AND toxic = 0 AND core > 0 THEN 'accepted' WHEN core > 0 AND n_chars >= 1800 AND NOT risk THEN 'high_quality' WHEN core > 0 AND n_chars >= 500 THEN 'local_candidate' ELSE 'excluded_or_pending' END AS tier FROM m)"""
 RANK = "CASE tier WHEN 'accepted' THEN 3 WHEN 'high_quality' THEN 2 WHEN 'local_candidate' THEN 1 ELSE 0 END"
 
 
 def manifest(spark, d, *more):
-    rows = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", T.hits(X, CORE).alias("core"), T.hits(X, TOPIC).alias("topic"), T.any_of(X, RISK).alias("risk"), *more)
+    rows = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", T.hits(C("text"), CORE).alias("core"), T.hits(C("text"), TOPIC).alias("topic"), T.any_of(C("text"), RISK).alias("risk"), *more)
     rows = rows.join(table(spark, d, "labels"), "doc_id", "left")
     good = F.coalesce((C("quality") == 1) & (C("toxic") == 0), F.lit(False)) & (C("core") > 0)
     return rows.withColumn("tier", O.tier((C("core") > 0) & (C("n_chars") >= 500), (C("core") > 0) & (C("n_chars") >= 1800) & ~C("risk"), good))
@@ -63,7 +63,7 @@ def e8(spark, d):
 
 @query("e9_strict_pool", f"WITH {MANIFEST} SELECT min(doc_id) AS doc_id, sha256(text) AS h FROM t WHERE tier IN ('accepted', 'high_quality') GROUP BY sha256(text)")
 def e9(spark, d):
-    rows = manifest(spark, d, T.content_hash(X).alias("h")).filter(C("tier").isin("accepted", "high_quality"))
+    rows = manifest(spark, d, T.content_hash(C("text")).alias("h")).filter(C("tier").isin("accepted", "high_quality"))
     return rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
 
 
@@ -94,7 +94,7 @@ def e12(spark, d):
 
 @query("e13_quality_waterfall", f"WITH {MANIFEST}, f AS (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY sha256(text)) AS copy FROM t) SELECT doc_id, CASE WHEN copy THEN 'duplicate' WHEN toxic = 1 THEN 'toxic' WHEN n_chars < 300 THEN 'short' ELSE 'kept' END AS reason FROM f")
 def e13(spark, d):
-    rows = manifest(spark, d, T.content_hash(X).alias("h"))
+    rows = manifest(spark, d, T.content_hash(C("text")).alias("h"))
     firsts = rows.groupBy("h").agg(F.min("doc_id").alias("first"))
     rules = [("duplicate", C("doc_id") > C("first")), ("toxic", C("toxic") == 1), ("short", C("n_chars") < 300)]
     return O.waterfall(rows.join(firsts, "h"), rules).select("doc_id", "reason")
@@ -141,6 +141,6 @@ def a8(spark, d):
 @query("a17_run_counts", f"""WITH {MANIFEST}, b AS (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY {RANK} DESC, n_chars DESC, doc_id) AS r FROM t)
  SELECT tier, count(*) AS n_in, count(*) FILTER (WHERE r = 1) AS n_kept FROM b GROUP BY tier""")
 def a17(spark, d):
-    rows = manifest(spark, d, T.content_hash(X).alias("h"))
+    rows = manifest(spark, d, T.content_hash(C("text")).alias("h"))
     best = rows.groupBy("h").agg(F.min(F.struct(-O.rank(C("tier")), -C("n_chars"), C("doc_id").alias("id"))).alias("b")).select("h", C("b.id").alias("best"))
     return rows.join(best, "h").groupBy("tier").agg(F.count("*").alias("n_in"), F.count(F.when(C("doc_id") == C("best"), 1)).alias("n_kept"))
