@@ -171,3 +171,25 @@ def j29(spark, d):
     below = by.withColumn("under", F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     loss = rows.agg(F.round(F.avg(-(C("y") * F.log("s") + (1 - C("y")) * F.log(1 - C("s")))), 6).alias("log_loss"))
     return below.agg(F.round(F.sum(C("p") * (C("under") + C("q") / 2)) / (F.sum("p") * F.sum("q")), 6).alias("auc")).crossJoin(loss)
+
+
+@query("j17_known_only", f"WITH {PRED}, tagged AS (SELECT 'all' AS s, * FROM pred UNION ALL SELECT 'known', * FROM pred WHERE fold <> 4), rows_ AS (SELECT s AS g, y_true, y_pred FROM tagged), {GROUP_F1} SELECT g AS scope, n, accuracy, macro_f1 FROM m")
+def j17(spark, d):
+    scopes = F.array_compact(F.array(F.lit("all"), F.when(C("fold") != 4, "known")))
+    return O.scores(predictions(spark, d).withColumn("scope", F.explode(scopes)), ["scope"]).drop("weighted_f1")
+
+
+@query("j23_verifier_flag", f"WITH {PRED} SELECT vec_id, (confidence < 0.36 OR abs(pa - pb) < 0.01 OR fold = 4) AS flagged FROM pred")
+def j23(spark, d):
+    return predictions(spark, d).select("vec_id", ((C("confidence") < 0.36) | (F.abs(C("pa") - C("pb")) < 0.01) | (C("fold") == 4)).alias("flagged"))
+
+
+@query("j26_aggregates", f"WITH {PRED} SELECT fold, round(avg(confidence), 6) AS confidence, round(avg((confidence < 0.4)::INT), 6) AS uncertain, count(DISTINCT y_pred) AS kinds FROM pred GROUP BY 1")
+def j26(spark, d):
+    return predictions(spark, d).groupBy("fold").agg(F.round(F.avg("confidence"), 6).alias("confidence"), F.round(F.avg((C("confidence") < 0.4).cast("int")), 6).alias("uncertain"), F.count_distinct("y_pred").alias("kinds"))
+
+
+@query("g21_slices", f"WITH {PRED}, tagged AS (SELECT 'fold' || fold AS s, * FROM pred UNION ALL SELECT model_name, * FROM pred), rows_ AS (SELECT s AS g, y_true, y_pred FROM tagged), {GROUP_F1} SELECT g AS slice, n, accuracy, macro_f1, weighted_f1 FROM m")
+def g21(spark, d):
+    names = F.array(F.concat(F.lit("fold"), C("fold").cast("string")), "model_name")
+    return O.scores(predictions(spark, d).withColumn("slice", F.explode(names)), ["slice"])

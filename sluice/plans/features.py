@@ -185,3 +185,22 @@ def c28(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     count = lambda cond: F.count(F.when(cond, 1))
     return rows.agg(F.count("*").alias("n"), count(C("quality").isNull()).alias("missing_label"), count(F.length(C("text")) > 4000).alias("over_long"), count(C("text").rlike("[一-鿿]")).alias("residue"))
+
+
+@query("c14_signature", f"SELECT doc_id, array_to_string(list_filter([{', '.join(repr(t) for t in CORE + EVIDENCE)}], lambda t: contains(text, t)), '|') AS signature FROM documents")
+def c14(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(T.found_terms(C("text"), CORE + EVIDENCE)), "|").alias("signature"))
+
+
+@query("c18_extractability", f"SELECT doc_id, CASE WHEN {any_sql(RISK)} THEN 'blocked' WHEN {hits_sql(CORE)} >= 3 THEN 'clear' WHEN {hits_sql(CORE)} >= 1 THEN 'partial' ELSE 'none' END AS extractable FROM documents")
+def c18(spark, d):
+    kind = F.when(T.any_of(C("text"), RISK), "blocked").when(T.hits(C("text"), CORE) >= 3, "clear").when(T.hits(C("text"), CORE) >= 1, "partial").otherwise("none")
+    return table(spark, d, "documents").select("doc_id", kind.alias("extractable"))
+
+
+@query("c11_structured_case", f"WITH {SENTENCES} SELECT d.doc_id, any_value(left(d.text, (length(d.text) // 2)::BIGINT)) AS pre, count(s.i) FILTER (WHERE {any_sql(EVIDENCE, 's.text')})::INT AS evidence, any_value(CASE WHEN d.text <> '' THEN 0.55::DOUBLE ELSE 0.0::DOUBLE END) AS confidence FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id")
+def c11(spark, d):
+    x = C("text")
+    half = F.substr(x, F.lit(1), F.floor(F.length(x) / 2).cast("int"))
+    evidence = F.size(F.filter("s", lambda s: T.any_of(s["text"], EVIDENCE)))
+    return spans(spark, d).select("doc_id", half.alias("pre"), evidence.alias("evidence"), F.when(x != "", 0.55).otherwise(0.0).alias("confidence"))

@@ -94,3 +94,41 @@ def k21(spark, d):
 @query("k24_trace", "SELECT doc_id, '{\"id\":' || doc_id || ',\"lang\":' || to_json(lang) || ',\"long\":' || (n_chars > 1000)::VARCHAR || '}' AS trace FROM documents")
 def k24(spark, d):
     return table(spark, d, "documents").select("doc_id", F.to_json(F.struct(C("doc_id").alias("id"), "lang", (C("n_chars") > 1000).alias("long"))).alias("trace"))
+
+
+@query("g19_ranked_evidence", f"WITH {TOK}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, match) AS rank FROM s) SELECT query, string_agg(match || ':' || rank, ',' ORDER BY rank) AS evidence FROM r WHERE rank <= 3 GROUP BY 1")
+def g19(spark, d):
+    near = O.nearest(pairs(spark, d), 3)
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "match")))  # at most three
+    return near.groupBy("query").agg(F.array_join(F.transform(ranked, lambda x: F.concat_ws(":", x["match"].cast("string"), x["rank"].cast("string"))), ",").alias("evidence"))
+
+
+@query("f9_similarity_join", f"WITH {TOK} SELECT query, match, similarity FROM s WHERE similarity >= 0.1")
+def f9(spark, d):
+    return pairs(spark, d).filter("similarity >= 0.1")
+
+
+@query("k8_case_retrieval", f"WITH {TOK}, v AS (SELECT vec_id, embedding FROM embeddings), c AS (SELECT query, match, round(0.75::DOUBLE * list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 0.25::DOUBLE * similarity, 6) AS score FROM s JOIN v a ON a.vec_id = query JOIN v b ON b.vec_id = match), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, match) AS rank FROM c) SELECT query, match, score, rank::INT AS rank FROM r WHERE rank <= 3")
+def k8(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    both = pairs(spark, d).join(vectors.toDF("query", "a"), "query").join(vectors.toDF("match", "b"), "match")
+    cosine = dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b"))
+    scored = both.select("query", "match", F.round(0.75 * cosine + 0.25 * C("similarity"), 6).alias("similarity"))
+    return O.nearest(scored, 3).withColumnRenamed("similarity", "score")
+
+
+@query("k22_calibration_variants", f"WITH {PRED}, s AS (SELECT vec_id, 'full' AS variant, pa + 0.05::DOUBLE AS a, pb AS b, pc AS c FROM pred UNION ALL SELECT vec_id, 'no_shift', pa, pb, pc FROM pred UNION ALL SELECT vec_id, 'prior', 0.8::DOUBLE * pa + 0.1::DOUBLE, 0.8::DOUBLE * pb + 0.06::DOUBLE, 0.8::DOUBLE * pc + 0.04::DOUBLE FROM pred) SELECT vec_id, variant, round(a / (a + b + c), 6) AS p_support FROM s")
+def k22(spark, d):
+    a, b, c = probs()
+    kinds = {"full": (a + 0.05, b, c), "no_shift": (a, b, c), "prior": (0.8 * a + 0.1, 0.8 * b + 0.06, 0.8 * c + 0.04)}
+    rows = F.array(*[F.struct(F.lit(k).alias("variant"), F.round(O.normalised(list(p))[0], 6).alias("p_support")) for k, p in kinds.items()])
+    return predictions(spark, d).select("vec_id", F.inline(rows))
+
+
+@query("k23_weight_grid", f"WITH {PRED}, g(w) AS (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)), a AS (SELECT w, avg((CASE WHEN round(pa + w, 9) >= greatest(round(pb, 9), round(pc, 9)) THEN 'support' WHEN round(pb, 9) >= round(pc, 9) THEN 'partial' ELSE 'not_support' END = y_true)::INT) AS acc FROM pred, g WHERE fold = 0 GROUP BY w) SELECT w AS weight, round(acc, 6) AS accuracy FROM a ORDER BY round(acc, 9) DESC, w LIMIT 1")
+def k23(spark, d):
+    a, b, c = probs()
+    rows = predictions(spark, d).filter("fold = 0").withColumn("w", F.explode(F.array(F.lit(0.0), F.lit(0.1), F.lit(0.2))))
+    each = rows.groupBy("w").agg(F.avg((O.argmax([a + C("w"), b, c]) == C("y_true")).cast("int")).alias("acc"))
+    return each.orderBy(F.round("acc", 9).desc(), "w").limit(1).select(C("w").alias("weight"), F.round("acc", 6).alias("accuracy"))  # the best one

@@ -170,3 +170,34 @@ def d24(spark, d):
 def d27(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
     return rows.select("doc_id", *O.merged({"grade": F.when(C("quality") == 1, "good").otherwise(" ")}, {"grade": C("lang")}))
+
+
+@query("d6_diagnosis", "WITH h AS (SELECT doc_id, contains(text, 'tion')::INT * 1.5::DOUBLE + contains(text, 'ung')::INT AS owner, contains(text, 'eau')::INT * 1.5::DOUBLE + contains(text, 'ing')::INT AS contractor FROM documents) SELECT doc_id, CASE WHEN owner = contractor THEN 'shared' WHEN owner > contractor THEN 'owner' ELSE 'contractor' END AS party, round(least(0.95, 0.5 + 0.1 * abs(owner - contractor)), 4) AS confidence, abs(owner - contractor) < 1 AS uncertain FROM h")
+def d6(spark, d):
+    has = lambda t: F.contains(C("text"), F.lit(t)).cast("int")
+    h = table(spark, d, "documents").select("doc_id", (has("tion") * 1.5 + has("ung")).alias("o"), (has("eau") * 1.5 + has("ing")).alias("c"))
+    gap = F.abs(C("o") - C("c"))
+    party = F.when(C("o") == C("c"), "shared").when(C("o") > C("c"), "owner").otherwise("contractor")
+    return h.select("doc_id", party.alias("party"), F.round(F.least(F.lit(0.95), 0.5 + 0.1 * gap), 4).alias("confidence"), (gap < 1).alias("uncertain"))
+
+
+@query("d12_reply_record", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'support' WHEN 'error' THEN 'not_support' ELSE 'unknown' END AS label, round(greatest(0, least(1, value / 50)), 6) AS confidence, left(props, 10) AS note FROM events")
+def d12(spark, d):
+    label = O.outcome(C("event_type"), {"purchase": "support", "error": "not_support"})
+    return table(spark, d, "events").select("event_id", label.alias("label"), O.clamp(C("value") / 50).alias("confidence"), F.left("props", F.lit(10)).alias("note"))
+
+
+@query("d15_complete", f"WITH {SOURCES} SELECT doc_id, (a IS NOT NULL AND b IS NOT NULL AND c <> 'unknown' AND n_chars > 300) AS complete FROM src")
+def d15(spark, d):
+    return sources(spark, d).select("doc_id", (C("a").isNotNull() & C("b").isNotNull() & (C("c") != "unknown") & (C("n_chars") > 300)).alias("complete"))
+
+
+@query("d25_new_label_bucket", f"WITH {SOURCES} SELECT doc_id, CASE WHEN b = 'not_support' THEN 'discarded' WHEN c = a THEN 'strong' WHEN c <> 'unknown' THEN 'weak' ELSE 'rag_only' END AS bucket FROM src")
+def d25(spark, d):
+    return sources(spark, d).select("doc_id", O.bucket([("discarded", C("b") == "not_support"), ("strong", C("c") == C("a")), ("weak", C("c") != "unknown")], "rag_only").alias("bucket"))
+
+
+@query("d26_consistency", f"WITH {SOURCES} SELECT doc_id, CASE WHEN a = 'support' AND b = 'not_support' THEN 0.0::DOUBLE WHEN a IS NULL THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS consistency, (a = 'support' AND b = 'not_support') IS TRUE AS violation FROM src")
+def d26(spark, d):
+    bad = F.coalesce((C("a") == "support") & (C("b") == "not_support"), F.lit(False))
+    return sources(spark, d).select("doc_id", F.when(bad, 0.0).when(C("a").isNull(), 0.5).otherwise(1.0).alias("consistency"), bad.alias("violation"))

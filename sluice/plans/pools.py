@@ -144,3 +144,20 @@ def a17(spark, d):
     rows = manifest(spark, d, T.content_hash(C("text")).alias("h"))
     best = rows.groupBy("h").agg(F.min(F.struct(-O.rank(C("tier")), -C("n_chars"), C("doc_id").alias("id"))).alias("b")).select("h", C("b.id").alias("best"))
     return rows.join(best, "h").groupBy("tier").agg(F.count("*").alias("n_in"), F.count(F.when(C("doc_id") == C("best"), 1)).alias("n_kept"))
+
+
+@query("e7_prefilter", f"WITH {MANIFEST} SELECT doc_id, (n_chars >= 300 AND core > 0 AND NOT risk) AS keep FROM t")
+def e7(spark, d):
+    return manifest(spark, d).select("doc_id", ((C("n_chars") >= 300) & (C("core") > 0) & ~C("risk")).alias("keep"))
+
+
+@query("e14_queue_score", f"WITH {MANIFEST} SELECT doc_id, round(0.4::DOUBLE * core / 4 + 0.4::DOUBLE * topic / 4 + 0.2::DOUBLE * least(n_chars / 3000::DOUBLE, 1), 6) AS score FROM t WHERE quality IS NULL")
+def e14(spark, d):
+    score = 0.4 * C("core") / 4 + 0.4 * C("topic") / 4 + 0.2 * F.least(C("n_chars") / 3000, F.lit(1.0))
+    return O.minus(manifest(spark, d).drop("quality", "toxic"), table(spark, d, "labels"), key="doc_id").select("doc_id", F.round(score, 6).alias("score"))
+
+
+@query("e19_benchmark_pools", f"WITH {MANIFEST} SELECT doc_id, CASE WHEN tier = 'accepted' THEN 'strict' ELSE 'extended' END AS pool FROM t WHERE core > 0 AND NOT risk AND coalesce(toxic, 0) = 0")
+def e19(spark, d):
+    rows = manifest(spark, d).filter("core > 0 and not risk and coalesce(toxic, 0) = 0")
+    return rows.select("doc_id", F.when(C("tier") == "accepted", "strict").otherwise("extended").alias("pool"))

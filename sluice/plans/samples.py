@@ -104,3 +104,25 @@ def a11(spark, d):
 @query("a15_input_only", "SELECT doc_id, md5(text) AS input FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def a15(spark, d):
     return table(spark, d, "documents").join(labels(spark, d), "doc_id", "left_semi").select("doc_id", F.md5(C("text").cast("binary")).alias("input"))
+
+
+@query("h3_test_split", f"WITH {LAB} SELECT doc_id, quality, CASE WHEN r <= greatest(1, least(n - 1, round(n * 0.25::DOUBLE))) THEN 'dev' ELSE 'train' END AS split FROM r")
+def h3(spark, d):
+    size = F.greatest(F.lit(1.0), F.least(C("n") - 1, F.round(C("n") * 0.25)))
+    return O.stratified(labels(spark, d), "quality", "doc_id", 7, size)
+
+
+@query("h9_diverse_pool", "WITH r AS (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents), t AS (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20) SELECT doc_id FROM r WHERE r <= 10 UNION SELECT doc_id FROM t")
+def h9(spark, d):
+    from ..operators.sets import top_per_group
+
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    each = top_per_group(docs, ["lang"], 10, C("n_chars").desc(), C("doc_id")).select("doc_id")
+    return each.union(docs.orderBy(C("n_chars").desc(), "doc_id").limit(20).select("doc_id")).distinct()  # the feature: a fixed pool
+
+
+@query("h15_package_distribution", f"WITH {LAB} SELECT CASE WHEN r <= floor(n * 0.2::DOUBLE) THEN 'dev' ELSE 'train' END AS split, quality, count(*) AS n, min(length(text))::INT AS shortest, max(length(text))::INT AS longest FROM r JOIN documents USING (doc_id) GROUP BY ALL")
+def h15(spark, d):
+    split = O.stratified(labels(spark, d), "quality", "doc_id", 7, F.floor(C("n") * 0.2))
+    chars = table(spark, d, "documents").select("doc_id", F.length("text").alias("c"))
+    return split.join(chars, "doc_id").groupBy("split", "quality").agg(F.count("*").alias("n"), F.min("c").alias("shortest"), F.max("c").alias("longest"))
