@@ -5,7 +5,9 @@
    own rows, Z = A'(A G) for a Gaussian G, and sums of fixed size are added up on Spark. From Z and G
    alone (Nystrom's form of the method) come the right singular vectors and the singular values.
 2. Every window of a document, at the scale of each benchmark item, is a sum of its words' latent
-   vectors. Windows whose cosine with an item reaches `cosine` are candidates.
+   vectors. Windows whose cosine with an item reaches `cosine` are candidates. The cosine is low, so
+   that it leaves the decision to the checks; candidates with too few of an item's words for them are
+   dropped by counts over whole arrays, which loses none.
 3. A candidate is checked word by word: the longest common subsequence of the item and the window
    with its surroundings must cover `sure` of the item, or `likely` of it where also the item's answer
    (its last sentence, or a given column) stands there in order.
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import picked, row_slices, small_batches, table, utf8_of
 from .shingles import word_hashes
+from .vectors import mixed
 
-SLOT_BITS, RANK, OVER = 14, 36, 8
+SLOT_BITS, RANK, OVER, HELD_BITS = 14, 40, 8, 22
 SCALES = (12, 16, 20, 24, 28, 32, 40, 48, 64, 96, 128)
 STEP, ITEM_BLOCK = 4, 2048
 #: Punctuation counts as white space.
@@ -186,9 +189,19 @@ class Items:
             self.masks.append(masks_of(t.words.tolist()))
             self.size.append(n)
             self.answers.append((masks_of(own), len(own)))
+        self.sizes, self.keys = np.array(self.size, np.int64), mixed(np.arange(1, len(self.ids) + 1))
+        self.held = np.zeros(1 << HELD_BITS, bool)
+        for key, masks in zip(self.keys, self.masks, strict=True):
+            self.held[self.held_at(key, np.fromiter(masks, np.uint64, len(masks)))] = True
         self.scales = {s: (np.array([i for i, _ in x]), np.stack([v for _, v in x]).astype(np.float32)) for s, x in sorted(by_scale.items())}
 
 
+    @staticmethod
+    def held_at(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Where `held` says whether a word is an item's; pairs that share a place make it say so too often only."""
+        return (words ^ keys) >> np.uint64(64 - HELD_BITS)
+
+
 def last_sentence(text: str) -> str:
     """What follows the last full stop, question or exclamation mark that has words behind it."""
     parts = [p for p in text.replace("?", ".").replace("!", ".").replace("\n", ". ").split(". ") if p.strip(" .")]
@@ -196,18 +209,15 @@ def last_sentence(text: str) -> str:
 
 
 def windows(t: Text, terms: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, latent vector and its length of every window: `scale` words, or a text that has fewer.
-
-    Windows begin STEP words apart, those of large scales twice as far.
-    """
+    """First word, latent vector and its length of every window, STEP words apart: `scale` words, or a text that has fewer."""
     sums, bounds, span = t.sums(terms), t.step_bounds, scale // STEP
-    n, every = bounds[-1], 1 if scale < 32 else 2
+    n = bounds[-1]
     row = t.step_row
     steps = np.diff(bounds)
     short = np.flatnonzero((steps > 0) & (steps < span))
     wanted = np.zeros(n, bool)
     if n >= span:
-        wanted[: n - span + 1 : every] = row[: n - span + 1 : every] == row[span - 1 :: every]
+        wanted[: n - span + 1] = row[: n - span + 1] == row[span - 1 :]
     wanted[bounds[1:][steps >= span] - span] = True  # the last window of each text
     begin = np.flatnonzero(wanted)
     v = np.concatenate((sums[begin + span] - sums[begin], sums[bounds[short + 1]] - sums[bounds[short]])).astype(np.float32)
@@ -218,13 +228,28 @@ def windows(t: Text, terms: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndar
     return t.bounds[r] + (begin - bounds[r]) * STEP, v, np.sqrt(np.einsum("ij,ij->i", v, v)) + np.float32(1e-12)
 
 
-def candidates(t: Text, terms: np.ndarray, items: Items, cosine: float):
+def may_hold(t: Text, items: Items, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: float) -> np.ndarray:
+    """Whether any stretch that best_span() looks at can hold `least` of the item: has that many of its words, in any order."""
+    out, ends = np.zeros(len(lo), bool), np.concatenate(([0], np.cumsum(hi - lo)))
+    for i, j in row_slices(ends, 1 << 20):
+        first, stop = ends[i:j] - ends[i], ends[i + 1 : j + 1] - ends[i]
+        own = np.repeat(np.arange(i, j), stop - first)
+        at = np.arange(len(own))
+        word = t.words[at + (lo[i:j] - first)[own - i]]
+        upto = np.concatenate(([0], np.cumsum(items.held[items.held_at(items.keys[item[own]], word)])))
+        size = items.sizes[item[i:j]]
+        last = np.minimum(at + (size + size // 2)[own - i], stop[own - i])
+        out[i:j] = np.maximum.reduceat(upto[last] - upto[:-1], first) >= least * size - 1e-6
+    return out
+
+
+def candidates(t: Text, terms: np.ndarray, items: Items, cosine: float, least: float):
     """(row, item, cosine, first word, word after the last): runs of neighbouring windows as one, with their best cosine."""
     for scale, (index, unit) in items.scales.items():
         at, v, length = windows(t, terms, scale)
         for k in range(0, len(at), 1 << 15):
-            close, least = v[k : k + (1 << 15)] @ unit.T, cosine * length[k : k + (1 << 15)]
-            w, i = np.nonzero(close >= least[:, None])
+            close, bar = v[k : k + (1 << 15)] @ unit.T, cosine * length[k : k + (1 << 15)]
+            w, i = np.nonzero(close >= bar[:, None])
             if not len(w):
                 continue
             order = np.lexsort((w, i))
@@ -235,9 +260,11 @@ def candidates(t: Text, terms: np.ndarray, items: Items, cosine: float):
             edge = np.flatnonzero(new)
             last = np.append(edge[1:], len(w)) - 1
             best = np.maximum.reduceat(c, edge)
-            for r, item, x, lo, hi in zip(row[edge].tolist(), index[i[edge]].tolist(), best.tolist(), begin[edge].tolist(), begin[last].tolist(), strict=True):
-                margin = max(scale, items.size[item]) // 2
-                yield r, item, x, max(int(t.bounds[r]), lo - margin), min(int(t.bounds[r + 1]), hi + max(scale, items.size[item]) + margin)
+            row, item = row[edge], index[i[edge]]
+            size = np.maximum(scale, items.sizes[item])
+            lo, hi = np.maximum(t.bounds[row], begin[edge] - size // 2), np.minimum(t.bounds[row + 1], begin[last] + size + size // 2)
+            keep = may_hold(t, items, item, lo, hi, least)
+            yield from zip(*(x[keep].tolist() for x in (row, item, best, lo, hi)), strict=True)
 
 
 def best_span(masks: dict[int, int], n: int, words: list[int]) -> tuple[int, int, int]:
@@ -272,7 +299,7 @@ def search(docs: DataFrame, items: list[tuple[int, str, str | None]], terms: np.
         known, vectors = block.value
         for b, i, _, t in texts_of(batches):
             ids, best = b.column(0), {}
-            for r, item, c, lo, hi in candidates(t, vectors, known, cosine) if len(t.words) else ():
+            for r, item, c, lo, hi in candidates(t, vectors, known, cosine, min(sure, likely)) if len(t.words) else ():
                 got = check(t, known, item, lo, hi, sure, likely)
                 if got and (got[0], c) > best.get((r, item), (0.0, 0.0))[:2]:
                     best[r, item] = (got[0], c, got[1], got[2] - int(t.bounds[r]), got[3] - int(t.bounds[r]))
@@ -284,7 +311,7 @@ def search(docs: DataFrame, items: list[tuple[int, str, str | None]], terms: np.
     return docs.mapInArrow(run, FOUND)
 
 
-def without_items(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.78, sure: float = 0.8, likely: float = 0.6, shortest: int = 8) -> DataFrame:
+def without_items(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, sure: float = 0.8, likely: float = 0.6, shortest: int = 8) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item; rows without an id are judged like any other."""
     small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").alias("i"), F.col("text").alias("t")).filter("t is not null")
@@ -297,7 +324,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.78, s
         def clean(batches, block=block):
             known, vectors = block.value
             for b, i, j, t in texts_of(batches):
-                held = {r for r, item, _, lo, hi in (candidates(t, vectors, known, cosine) if len(t.words) else ()) if check(t, known, item, lo, hi, sure, likely)}
+                held = {r for r, item, _, lo, hi in (candidates(t, vectors, known, cosine, min(sure, likely)) if len(t.words) else ()) if check(t, known, item, lo, hi, sure, likely)}
                 yield b.slice(i, j - i).filter(pa.array([r not in held for r in range(j - i)], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
@@ -305,7 +332,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.78, s
 
 
 def find(
-    docs: DataFrame, benchmark: DataFrame, cosine: float = 0.78, sure: float = 0.8, likely: float = 0.6, shortest: int = 8,
+    docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, sure: float = 0.8, likely: float = 0.6, shortest: int = 8,
     id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", answer_column: str | None = None,
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs (share of the item), answer, start and end (words of the document): a row for each item in a document."""

@@ -64,3 +64,29 @@ def test_singular_vectors(monkeypatch):
     close = v @ v.T
     same = np.arange(200)[:, None] % 4 == np.arange(200)[None] % 4
     assert close[same].mean() > 0.9 and abs(close[~same]).mean() < 0.2
+
+
+def one_text(text):
+    data = text.lower().encode()
+    return D.Text(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+
+
+def test_find_all_that_the_checks_accept(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(1500)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(i, say(rng.randint(12, 70)) + ". " + say(6) + ".", None) for i in range(60)]
+    docs, want = [(10_000 + i, say(rng.randint(1, 300))) for i in range(100)], set()
+    block = D.Items(items, np.ones((1 << D.SLOT_BITS, 1), np.float32), 8)
+    for i, text, _ in items:
+        for share in (10, 20, 30):
+            w = text.split()
+            for k in rng.sample(range(len(w)), round(len(w) * share / 100)):
+                w[k] = rng.choice(words)
+            docs.append((100 * share + i, " ".join([say(rng.randint(30, 90)), *w, say(rng.randint(30, 90))])))
+            t = one_text(docs[-1][1])
+            if D.check(t, block, i, 0, len(t.words), 0.8, 0.6):
+                want.add((docs[-1][0], i))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([x[:2] for x in items], "item_id long, text string")
+    assert [sum(d // 1000 == n for d, _ in want) > 5 for n in (1, 2, 3)] == [True] * 3
+    assert {(r.doc_id, r.item_id) for r in D.find(df, bench).collect()} == want
