@@ -1,16 +1,17 @@
 """Personal data in texts, and words that disclose it (operator 8). DataFrame functions only.
 
 Patterns find e-mail addresses, IP addresses, payment cards (Luhn) and telephone numbers. Each value
-found is a protected entity. What else in a text reveals an entity is estimated from the corpus:
-the words within `radius` characters of a mention are its context; e and t have df(e) distinct
-contexts and df(t) documents, and co(t, e) of the contexts hold both. The share of the entity's
-information content that a term discloses is
+found is a protected entity. What else in a text reveals an entity is estimated from the corpus: of N
+distinct documents, df(e) hold the entity e, df(t) the term t, and co(t, e) both. A term is a word of any
+length outside the values found. The share of the entity's information content that a term discloses is
 
     PMI(t, e) / IC(e) = 1 - log(df(t) / co(t, e)) / log(N / df(e)),
 
 1 if the term is met beside the entity alone. Terms whose share reaches `remove` are removed, those
-that reach `generalise` are generalised, where at least `support` distinct contexts of one entity hold
-both. Contexts that are the same word for word count once, so copies of a text support nothing.
+that reach `generalise` are generalised, where at least `support` distinct documents hold both; wherever
+they stand, in all documents, with the entity or without it. Documents of the same set of terms count once,
+so copies of a text support nothing. Words are runs of letters, digits and underscores: of writing without
+spaces between words a whole run is one term.
 
 Defined cases: null and empty texts have no spans; a null doc_id stays null; repeated rows are
 scanned each; an empty table gives no rows; further columns are not read.
@@ -19,9 +20,9 @@ scanned each; an empty table gives no rows; further columns are not read.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import picked, table, written
+from .common import table, written
 from .secret_scan import redacted
-from .spans import count_of, listed, located, of_kind, overlaps
+from .spans import count_of, let, listed, located, of_kind, overlaps
 
 # The patterns of the kinds, in their order. A match of `email` or `ip` begins where a
 # run of its first characters does, or where the last match ended: \\G keeps the search linear.
@@ -30,7 +31,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-WORD = r"[\p{L}\p{N}_]{4,}+"
+WORD = r"[\p{L}\p{N}_]++"
 
 
 def digits_of(hit: Column) -> Column:
@@ -59,48 +60,57 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], F.when(span["kind"].isin("card", "phone"), digits_of(span["hit"])).otherwise(F.lower(span["hit"])))
 
 
-def contexts(found: DataFrame, radius: int) -> DataFrame:
-    """row, entity, words (structs of start, end, hit in lower case): a row for each mention."""
-    one = found.select("row", "text", "base", F.explode("base").alias("s"))
-    begin = F.greatest(F.col("s.start") - radius, F.lit(0))
-    near = one.select("row", "base", entity(F.col("s")).alias("entity"), begin.alias("begin"), F.substr("text", begin + 1, F.col("s.end") + radius - begin).alias("near"))
-    words = F.transform(located(F.col("near"), WORD, F.lit(True)), lambda x: F.struct((x["start"] + F.col("begin")).alias("start"), (x["end"] + F.col("begin")).alias("end"), F.lower(x["hit"]).alias("hit")))
-    return near.select("row", "entity", F.filter(words, lambda x: ~overlaps(F.col("base"), x)).alias("words"))
+def terms_of(text: Column, base: Column) -> Column:
+    """The distinct words of a text outside the spans found, in lower case, in order, with blanks between them."""
+    blank = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("kind")))
+    words = F.regexp_extract_all(redacted(text, blank), F.lit(WORD), F.lit(0))
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(words, F.lower))), " ")
 
 
-def disclosing(mentions: DataFrame, docs: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
-    """entity, term, share, action, for the terms that disclose at least `generalise` of an entity."""
-    own = mentions.select("entity", F.array_sort(F.array_distinct(F.transform("words", lambda w: w["hit"]))).alias("terms")).distinct()
-    df_e = own.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= support)
-    pairs = own.join(df_e, "entity", "left_semi").select("entity", F.explode("terms").alias("term"))
-    co = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= support).join(df_e, "entity"), "pii-pairs")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    df_t = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
-    total = docs.count()
-    share = 1 - F.log(F.greatest("df_t", "co") / F.col("co")) / F.log(F.lit(float(max(total, 2))) / F.col("df_e"))
-    shared = co.join(df_t, "term").withColumn("share", F.when(F.col("df_e") < total, share).otherwise(F.lit(0.0)))
-    return shared.filter(F.col("share") >= generalise).select("entity", "term", "share", F.when(F.col("share") >= remove, "removed").otherwise("generalised").alias("action"))
+def split_terms(rows: DataFrame) -> DataFrame:
+    """key, term."""
+    return rows.select("key", F.explode(F.split("terms", " ")).alias("term")).filter("term <> ''")
 
 
-def sanitise(docs: DataFrame, radius: int = 60, generalise: float = 0.8, remove: float = 0.95, support: int = 2, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def disclosing(base: DataFrame, classes: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
+    """term, action, for the terms that disclose at least `generalise` of an entity. classes: key, terms, a row for each distinct document."""
+    held = written(base.filter(F.size("base") > 0).select("key", F.explode(F.transform("base", entity)).alias("entity")).distinct(), "pii-entities")
+    df_e = held.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= support)
+    total = float(max(classes.count(), 2))
+    # As co(t, e) <= df(e), a share of `generalise` needs df(t) <= df(e) * (N / df(e)) ^ (1 - generalise): no other term is paired.
+    most = F.col("df_e") * F.pow(F.lit(total) / F.col("df_e"), F.lit(1 - generalise)) * (1 + 1e-9)
+    held = written(held.join(df_e.withColumn("most", most), "entity"), "pii-held")
+    df_t = split_terms(classes).groupBy("term").agg(F.count("*").alias("df_t")).filter(F.col("df_t") >= support)
+    near = split_terms(classes.join(held.select("key"), "key", "left_semi")).join(df_t, "term")
+    pairs = near.join(held, "key").filter(F.col("df_t") <= F.col("most"))
+    co = pairs.groupBy("entity", "term", "df_e", "df_t").agg(F.count("*").alias("co")).filter(F.col("co") >= support)
+    share = 1 - F.log(F.col("df_t") / F.col("co")) / F.log(F.lit(total) / F.col("df_e"))
+    shared = co.withColumn("share", F.when(F.col("df_e") < total, share).otherwise(F.lit(0.0))).filter(F.col("share") >= generalise)
+    return shared.groupBy("term").agg(F.max(F.when(F.col("share") >= remove, "removed").otherwise("generalised")).alias("action"))
+
+
+def sanitise(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns in `keep`, base (spans of the patterns), spans (with terms as kinds generalised, removed).
 
     `keep` may name the text, of which redacted() makes the sanitised one.
     """
     rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), *[F.col(f"`{c}`").alias(f"kept_{c}") for c in keep], F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("base", patterns(F.col("text")))
-    near = F.when(F.size("base") > 0, F.col("text"))
-    base = written(rows.select("row", "doc_id", *[f"kept_{c}" for c in keep], near.alias("text"), "base"), "pii-base", "zstd")
-    mentions = written(contexts(base.filter("text is not null"), radius), "pii-mentions")
-    texts = picked(docs, text_column).toDF("text").filter("text is not null")
-    terms = disclosing(mentions, texts, generalise, remove, support)
-    each = mentions.select("row", "entity", F.explode("words").alias("w"))
-    hits = each.join(terms, (each.entity == terms.entity) & (F.col("w.hit") == terms.term)).select("row", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.hit").alias("hit"), "action")
-    hits = hits.groupBy("row", "start", "end").agg(F.max("action").alias("kind"), F.first("hit").alias("hit"))
-    span = F.struct(F.when(F.col("kind") == "generalised", 4).otherwise(5).alias("order"), "kind", "start", "end", "hit")
-    more = hits.groupBy("row").agg(F.collect_list(span).alias("more"))
-    out = base.drop("text").join(more, "row", "left")
-    return out.select("doc_id", *[F.col(f"kept_{c}").alias(c) for c in keep], "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("spans"))
+    rows = rows.withColumn("base", patterns(F.col("text"))).withColumn("terms", terms_of(F.col("text"), F.col("base")))
+    base = written(rows.withColumn("key", F.sha2("terms", 256)), "pii-base", "zstd")
+    classes = written(base.groupBy("key").agg(F.first("terms").alias("terms")), "pii-classes", "zstd")
+    terms = written(disclosing(base, classes, generalise, remove, support), "pii-terms")
+    each = split_terms(classes).join(terms, "term")
+    marks = written(each.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("marks")), "pii-marks")
+    out = base.drop("terms").join(marks, "key", "left")
+
+    def named(hit):
+        return F.element_at("marks", F.lower(hit))
+
+    found = located(F.col("text"), WORD, F.col("marks").isNotNull(), lambda hit: hit.isNotNull() & named(hit).isNotNull())
+    free = let(found, lambda hits: F.filter(hits, lambda x: ~overlaps(F.col("base"), x)))
+    span = lambda x: F.struct(F.when(named(x["hit"]) == "generalised", 4).otherwise(5).alias("order"), named(x["hit"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["hit"]).alias("hit"))
+    spans = F.when(F.col("marks").isNull(), F.col("base")).otherwise(F.concat("base", F.transform(free, span)))
+    return out.select("doc_id", *[F.col(f"kept_{c}").alias(c) for c in keep], "base", spans.alias("spans"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

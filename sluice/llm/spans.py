@@ -15,8 +15,8 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def located(text: Column, pattern: str, guard: Column) -> Column:
-    """All leftmost non-overlapping matches; texts for which the cheap `guard` is false are not searched."""
+def located(text: Column, pattern: str, guard: Column, wanted=lambda hit: hit.isNotNull()) -> Column:
+    """All leftmost non-overlapping matches that are `wanted`; texts for which the cheap `guard` is false are not searched."""
     none = F.array().cast(FOUND)
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     start = F.struct(F.lit(0).alias("at"), none.alias("found"))
@@ -24,7 +24,7 @@ def located(text: Column, pattern: str, guard: Column) -> Column:
     def step(state, piece):
         begin = state["at"] + F.length(piece["gap"])
         end = begin + F.coalesce(F.length(piece["hit"]), F.lit(0))
-        one = F.when(piece["hit"].isNull(), none).otherwise(F.array(F.struct(begin.alias("start"), end.alias("end"), piece["hit"].alias("hit"))).cast(FOUND))
+        one = F.when(wanted(piece["hit"]), F.array(F.struct(begin.alias("start"), end.alias("end"), piece["hit"].alias("hit"))).cast(FOUND)).otherwise(none)
         return F.struct(end.alias("at"), F.concat(state["found"], one).alias("found"))
 
     return F.when(guard, F.aggregate(pieces, start, step, lambda s: s["found"])).otherwise(none)

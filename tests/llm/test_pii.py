@@ -55,3 +55,14 @@ def test_terms_that_disclose(spark):
     assert out[3].t == f"someone {others} [EMAIL] once" and out[90].t == "lonely [EMAIL] hapaxword"
     assert out[None].t == "copy of [EMAIL]" and out[5].t is None and out[6].t == "" and out[12].t == f"{others} number 2"
     assert P.sanitise(df.limit(0)).count() == 0
+
+
+def test_terms_are_found_in_whole_texts(spark):
+    far, mail = "plain words stand here " * 30, "ann@corp.example"
+    rows = [(1, f"Kim wrote {mail}. {far} and KIM left"), (2, f"{far} later kim, {mail} again"), (3, f"nobody but Kim; {far}"), (4, f"kimono {far}")]
+    rows += [(10 + i, f"{far} number{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = P.sanitise(df, keep=("text",))
+    out = {r.doc_id: r.t for r in got.select("doc_id", P.sanitised_text(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert out[1] == f"[GENERALISED] wrote [EMAIL]. {far} and [GENERALISED] left" and out[2] == f"{far} later [GENERALISED], [EMAIL] again"
+    assert out[3] == f"nobody but [GENERALISED]; {far}" and out[4] == rows[3][1] and out[20] == rows[14][1]
