@@ -5,7 +5,9 @@ a candidate. Its character class (hexadecimal, alphanumeric, Base64) sets a wind
 The window slides over the candidate; counts of its characters are kept, one goes up and one goes
 down at each step, and with them the sum of c * log2(c), from which the window's Shannon entropy
 follows. A candidate whose highest window reaches the threshold is a span of kind `entropy`, unless an
-allow-list pattern matches it or a pattern's span covers part of it.
+allow-list pattern matches it or half of it is placeholder words. Where spans of `assign` or `access` cover
+part of a candidate, what is left of it is tested by itself; of a candidate with a `hex` span inside, the
+whole is tested and what is outside the span is reported.
 
 Defined cases: null and empty texts have no spans; a null doc_id stays null; repeated rows are
 scanned each; an empty table gives no rows; further columns are not read.
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import picked, table
-from .spans import count_of, let, listed, located, of_kind, overlaps
+from .spans import FOUND, count_of, let, listed, located, of_kind
 
 # The patterns, with the characters each must at least have (assign: in its second group).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,8 +29,11 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 #: Class, pattern of its candidates, window, threshold in bits; the first that matches holds.
 CLASSES = (("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 20, 3.0), ("alphanumeric", r"^[0-9A-Za-z]+$", 20, 3.6), ("base64", r".", 20, 3.7))
-#: Candidates that are no secrets: words and names in letters alone, numbers, rulers, UUIDs, placeholders, paths of words.
-ALLOWED = (r"^[A-Za-z_=/+-]+$", r"^[0-9_=/+-]+$", r"^(.)\1+$", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"(?i)example|placeholder|your[_-]?|xxxx|0000|1234567", r"^(?:[a-z]+[/_-])+[a-z0-9]+$")
+#: Candidates that are no secrets: words, names and paths in letters alone, numbers, rulers, UUIDs.
+ALLOWED = (r"^[A-Za-z_=/+-]+$", r"^[0-9_=/+-]+$", r"^(.)\1+$", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+#: What makes a candidate a placeholder, if it is half of it or more.
+PLACEHOLDER = r"(?i)example|placeholder|your[_-]?|x{4,}|0{4,}|12345678?9?0?"
+LEAST = 20
 
 
 def assign_ok(hit: Column) -> Column:
@@ -57,7 +62,7 @@ def peak_entropy(candidate: Column, window: Column) -> Column:
 
 def suspicious(candidate: Column) -> Column:
     """Whether a candidate is not allowed and its entropy reaches its class's threshold."""
-    allowed = F.lit(False)
+    allowed = F.length(F.regexp_replace(candidate, PLACEHOLDER, "")) * 2 <= F.length(candidate)
     for pattern in ALLOWED:
         allowed = allowed | candidate.rlike(pattern)
     window, threshold = F.lit(None).cast("int"), F.lit(None).cast("double")
@@ -66,6 +71,22 @@ def suspicious(candidate: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(peak_entropy(candidate, window) >= threshold)
 
 
+def outside(piece: Column, spans: Column) -> Column:
+    """What the spans leave of a piece: structs of start, end, hit."""
+    met = F.array_sort(F.transform(F.filter(spans, lambda s: (s["start"] < piece["end"]) & (piece["start"] < s["end"])), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    cut = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substr(piece["hit"], a - piece["start"] + 1, b - a).alias("hit"))
+    begin = F.struct(piece["start"].alias("at"), F.array().cast(FOUND).alias("found"))
+
+    def step(state, x):
+        more = F.when(x["start"] > state["at"], F.array(cut(state["at"], x["start"])).cast(FOUND)).otherwise(F.array().cast(FOUND))
+        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.concat(state["found"], more).alias("found"))
+
+    def finish(state):
+        return F.when(state["at"] < piece["end"], F.concat(state["found"], F.array(cut(state["at"], piece["end"])).cast(FOUND))).otherwise(state["found"])
+
+    return F.aggregate(met, begin, step, finish)
+
+
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, text, base (spans of the patterns), spans (with those of high entropy): structs of order, kind, start, end, hit."""
     rows = picked(docs, id_column, text_column).toDF("doc_id", "text").withColumn("_t", F.coalesce("text", F.lit("")))
@@ -74,8 +95,11 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     access = F.filter(located(text, ACCESS, text.contains("AKIA")), lambda x: F.length(x["hit"]) >= ACCESS_LEAST)
     rows = rows.withColumn("base", F.concat(of_kind(assign, 0, "assign"), of_kind(access, 1, "access"), of_kind(located(text, HEX, text.rlike(HEX)), 2, "hex")))
     rows = rows.withColumn("_c", located(text, CANDIDATE, text.rlike(CANDIDATE)))
-    more = F.filter("_c", lambda x: ~overlaps(F.col("base"), x) & suspicious(x["hit"]))
-    return rows.withColumn("spans", F.concat("base", of_kind(more, 3, "entropy"))).drop("_t", "_c")
+    whole, inner = F.filter("base", lambda s: s["kind"] != "hex"), F.filter("base", lambda s: s["kind"] == "hex")
+    rows = rows.withColumn("_p", F.flatten(F.transform("_c", lambda x: outside(x, whole))))
+    left = F.filter("_p", lambda x: (F.length(x["hit"]) >= LEAST) & (F.size(outside(x, inner)) > 0) & suspicious(x["hit"]))
+    more = F.flatten(F.transform(left, lambda x: outside(x, inner)))
+    return rows.withColumn("spans", F.concat("base", of_kind(more, 3, "entropy"))).drop("_t", "_c", "_p")
 
 
 def redacted(text: Column, spans: Column) -> Column:
