@@ -8,7 +8,10 @@ from sluice.llm import topk as T
 def brute(rows, queries, k):
     out = []
     for q, x in queries:
-        scored = sorted((-sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), i) for i, y in rows if i != q and len(x) == len(y))[:k]
+        others = list(rows)
+        if (q, x) in others:
+            others.remove((q, x))
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), i) for i, y in others if len(x) == len(y))[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return out
 
@@ -31,7 +34,7 @@ def test_stops_early_on_skewed_scores():
 
 def test_top_k(spark):
     rng = np.random.default_rng(3)
-    good = [(int(i), [float(v) for v in rng.normal(size=4)]) for i in range(150)] + [(200, [0.5] * 4), (201, [0.5] * 4), (202, [0.5] * 4), (300, [0.0] * 4), (203, [9e30] * 4), (5, [1.0, 2.0])]
+    good = [(int(i), [float(v) for v in rng.normal(size=4)]) for i in range(150)] + [(200, [0.5] * 4), (201, [0.5] * 4), (202, [0.5] * 4), (300, [0.0] * 4), (203, [9e30] * 4), (5, [1.0, 2.0]), (50, [2.0, 0.0, 1.0, 0.0]), (50, [2.0, 0.0, 1.0, 0.0]), (50, [0.0, 0.25, 1.0, 0.0])]
     bad = [(100, None), (400, [1.0, None, 0.0, 0.0]), (500, [float("nan")] * 4), (600, [float("inf")] * 4), (None, [1.0] * 4)]
     df = spark.createDataFrame([(i, v, "x") for i, v in good + bad], "vec_id long, embedding array<double>, score string")
     got = [tuple(r) for r in T.top_k(df, df.filter("vec_id % 50 = 0"), k=4).collect()]
