@@ -3,8 +3,10 @@
 Features of a whole text: densities of two lexicons (a fixed seed, and word beginnings learned from
 labelled rows by log-odds), how many hits stand near a second person, rates of capitals, of
 punctuation and of obfuscation (digits or symbols within words, letters three times in a row).
-Labels are learned from a sample of at most `sample` labelled rows outside the held-out part; a
-fifth of it fits the calibration, the rest the trees. All documents are scored in one pass.
+Labels are learned from a sample of at most `sample` labelled rows outside the held-out part. The
+calibration sees margins of rows that words and trees had not seen: each third of the sample is judged by
+those of the other two (thirds whose rest lacks a label are left out; if all are, margins of the
+sample itself serve). The words and trees that score documents come from all of the sample. All documents are scored in one pass.
 
 Defined cases: null and empty texts have all features 0 and get a score like any other; a row with a
 null doc_id is scored and not held out; labels of several rows of one doc_id count as toxic if one
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import picked, row_slices, small_batches, table, utf8_of, written
+from .common import picked, row_slices, table, utf8_of, written
 
 #: Plain insults, and second persons, of the four languages.
 SEED = "awful clown coward disgusting dumb fool freak garbage idiot imbecile jerk loser moron pathetic pig scum stupid trash ugly vermin worthless dumm idiotin trottel versager abschaum crétin débile imbécile ordure raclure idiota imbécil basura inútil estúpido".split()
@@ -30,6 +32,8 @@ FEATURES = ("learned_density", "learned_hits", "seed_density", "near_second", "c
 #: Lengths in bytes of the word beginnings that a lexicon may hold; shorter words count whole.
 BEGINNINGS = (4, 5, 6, 7, 8)
 NEAR = 5
+#: Parts of the sample for the calibration.
+FOLDS = 3
 
 
 def _kinds() -> np.ndarray:
@@ -141,7 +145,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
     known = picked(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     chosen = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") >= 1, 1.0).otherwise(0.0)).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = picked(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by `sample`
-    return texts.withColumn("part", F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(5)))
+    return texts.withColumn("part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(FOLDS)))
 
 
 def learn_lexicon(rows: DataFrame, most: int = 4000, least: int = 6, odds: float = 2.5, errors: float = 1.5) -> dict[int, np.ndarray]:
@@ -184,7 +188,6 @@ def featured(docs: DataFrame, learned: dict[int, np.ndarray], others: list[str])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, j - i) for c in places], lists], [*others, "features"])
 
-    small_batches(docs.sparkSession)
     return rows.mapInArrow(score, StructType([*[rows.schema[c] for c in places], StructField("features", ArrayType(DoubleType()))]))
 
 
@@ -195,18 +198,32 @@ def scorer(docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int
     base = float(total["mean"] or 0.0)
     if total["low"] == total["high"]:
         return lambda df, others: picked(df, *others).withColumn("score", F.lit(base))
-    learned = learn_lexicon(rows)
-    train = written(featured(rows, learned, ["label", "part"]).withColumn("x", array_to_vector("features")), "toxicity-features")
-    fit = train.filter("part > 0")
-    spread = fit.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
-    if spread["low"] == spread["high"]:
-        fit = train
-    trees_ = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(fit)
-    margin = lambda df: trees_.transform(df).withColumn("margin", vector_to_array("probability")[1])
-    steps = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="calibrated").fit(margin(train).select("margin", "label"))
+    def trees_of(part: DataFrame, learned: dict[int, np.ndarray], name: str):
+        """Boosted trees of these rows; the function that is returned adds `margin` to documents with other columns."""
+        train = written(featured(part, learned, ["label"]).withColumn("x", array_to_vector("features")), name)
+        model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(train)
+
+        def margin(df: DataFrame, others: list[str]) -> DataFrame:
+            found = model.transform(featured(df, learned, others).withColumn("x", array_to_vector("features")))
+            return found.select(*others, vector_to_array("probability")[1].alias("margin"))
+
+        return margin
+
+    sums = None
+    for k in range(FOLDS):
+        fit, held = rows.filter(F.col("part") != k), rows.filter(F.col("part") == k)
+        if fit.agg(F.count_distinct("label")).first()[0] == 2:
+            one = trees_of(fit, learn_lexicon(fit), "toxicity-fold")(held, ["label"]).groupBy("margin").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
+            sums = one if sums is None else sums.union(one)
+    margin = trees_of(rows, learn_lexicon(rows), "toxicity-features")
+    if sums is None:
+        sums = margin(rows, ["label"]).groupBy("margin").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
+    # Equal margins as one row, however many texts have them.
+    sums = sums.groupBy("margin").agg((F.sum("bad") / F.sum("n")).alias("label"), F.sum("n").cast("double").alias("weight"))
+    steps = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="calibrated", weightCol="weight").fit(written(sums, "toxicity-margins"))
 
     def score(df: DataFrame, others: list[str]) -> DataFrame:
-        scored = steps.transform(margin(featured(df, learned, others).withColumn("x", array_to_vector("features"))))
+        scored = steps.transform(margin(df, others))
         return scored.select(*others, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "calibrated")).alias("score"))
 
     return score
