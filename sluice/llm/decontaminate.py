@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import picked, row_slices, small_batches, table, utf8_of
+from .common import picked, row_slices, table, utf8_of
 from .shingles import word_hashes
 from .vectors import mixed
 
@@ -313,7 +313,6 @@ def search(docs: DataFrame, items: list[tuple[int, str, str | None]], terms: np.
 
 def without_items(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, sure: float = 0.8, likely: float = 0.6, shortest: int = 8) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item; rows without an id are judged like any other."""
-    small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").alias("i"), F.col("text").alias("t")).filter("t is not null")
     blocks = -(-items.count() // ITEM_BLOCK)
     terms = latent_terms(picked(docs, "text")) if blocks else None
@@ -336,7 +335,6 @@ def find(
     id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", answer_column: str | None = None,
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs (share of the item), answer, start and end (words of the document): a row for each item in a document."""
-    small_batches(docs.sparkSession)
     docs = picked(docs, id_column, text_column).toDF("doc_id", "text")
     items = benchmark.select(F.col(f"`{item_column}`").alias("i"), F.col(f"`{item_text}`").alias("t"), (F.col(f"`{answer_column}`") if answer_column else F.lit(None)).cast("string").alias("a")).filter("t is not null")
     blocks = -(-items.count() // ITEM_BLOCK)

@@ -5,28 +5,45 @@ they are optimal under the limit. A file holds whole documents: its ids in block
 and in each block a checkpoint (bit offset) every `step` ids. Checkpoints let a reader decode all
 runs of a file side by side: one table look-up gives id and code length for every run at once.
 
-The ids are written by Spark's Parquet writer, one row for each file (no task can count on a local
-folder): part, file, n_ids, doc_ids, doc_tokens, block_bits (start of each block), checkpoints (from
-the block's start), payload (bits, most significant first). Files follow in the order of doc_id.
+A folder holds two tables that Spark's Parquet writer makes (no task can count on a local folder).
+`header`, one row: the code length of every id (one byte each, zlib), from which the canonical codes
+follow, and limit, block and step. `files`, one row for each file: part, file, n_ids, doc_ids, known
+(whether the doc_id is one), doc_tokens, block_bits (start of each block), checkpoints (from the block's
+start), payload (bits, most significant first). Files follow in the order of doc_id. The path alone is
+enough to read a folder, or one block of a file.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id comes first; rows of equal
 doc_id follow by their ids; an empty table gives no rows; further columns are not read.
 """
 
+import zlib
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import picked, small_batches, table, utf8_of, written
+from .common import new_path, picked, table, utf8_of, written
 from .tokens import encoder, vocabulary_path
 
 TOKENS = "doc_id long, n_tokens long, ids binary"
 FILES = "part int, file int, n_ids long, doc_ids binary, known binary, doc_tokens binary, block_bits binary, checkpoints binary, payload binary"
+HEADER = "lengths binary, size int, limit int, block int, step int"
 READ = "part int, file int, doc_id long, start_in_file long, n_tokens long, ids binary"
 
 
+@dataclass(frozen=True)
+class Code:
+    """What a folder's header says."""
+
+    lengths: np.ndarray
+    limit: int = 16
+    block: int = 1 << 16
+    step: int = 64
+
+
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """Optimal code lengths of at most `limit` bits for the symbols with a count; 0 for the others."""
     out, used = np.zeros(len(counts), np.int64), np.flatnonzero(counts)
@@ -110,6 +127,16 @@ def decode_ids(payload: bytes, n: int, starts: np.ndarray, points: np.ndarray, t
     return out.ravel()[:n]
 
 
+def decode_block(file: dict, k: int, code: Code, table_: tuple | None = None) -> np.ndarray:
+    """The ids of a file's block k alone, from the bytes that hold it; file: a row of the table `files`."""
+    starts, points = np.frombuffer(file["block_bits"], "<i8"), np.frombuffer(file["checkpoints"], "<u4").astype(np.int64)
+    each = -(-code.block // code.step)
+    first, last = int(starts[k]), int(starts[k + 1]) if k + 1 < len(starts) else 8 * len(file["payload"])
+    part = file["payload"][first // 8 : -(-last // 8)]
+    n = min(code.block, file["n_ids"] - k * code.block)
+    return decode_ids(part, n, np.array([first % 8]), points[k * each : (k + 1) * each], table_ or decode_table(code.lengths), code.block, code.step)
+
+
 def id_type(size: int) -> str:
     """How the ids of a vocabulary are stored: little-endian, in two bytes if they fit."""
     return "<u2" if size <= 1 << 16 else "<u4"
@@ -130,7 +157,6 @@ def tokens(docs: DataFrame, vocabulary: str, kind: str, end_id: int, size: int,
                 binary = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer((cuts * kept.itemsize).astype(np.int64)), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(first, last - first), pa.array(counts + 1), binary.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    small_batches(docs.sparkSession)
     return picked(docs, id_column, text_column).mapInArrow(rows, TOKENS)
 
 
@@ -151,9 +177,9 @@ def id_counts(ids: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def write_files(ids: DataFrame, lengths: np.ndarray, file_ids: int = 1 << 20, block: int = 1 << 16, step: int = 64) -> DataFrame:
-    """The encoded files in ascending order of doc_id, written to the shared folder and read back as rows."""
-    codes = canonical(lengths)
+def write_files(ids: DataFrame, code: Code, path: str, file_ids: int = 1 << 20) -> None:
+    """Header and encoded files, in ascending order of doc_id, in a new folder."""
+    lengths, codes, block, step = code.lengths, canonical(code.lengths), code.block, code.step
 
     def rows(batches):
         part, file, held, n = TaskContext.get().partitionId(), 0, [], 0
@@ -176,14 +202,25 @@ def write_files(ids: DataFrame, lengths: np.ndarray, file_ids: int = 1 << 20, bl
         if held:
             yield flush()
 
-    small_batches(ids.sparkSession)
     ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return written(ordered.mapInArrow(rows, FILES), "huffman-files", "none")
+    head = [(bytearray(zlib.compress(lengths.astype(np.uint8).tobytes())), len(lengths), code.limit, block, step)]
+    ids.sparkSession.createDataFrame(head, HEADER).coalesce(1).write.parquet(f"{path}/header")
+    ordered.mapInArrow(rows, FILES).write.option("compression", "none").parquet(f"{path}/files")
 
 
-def read_files(files: DataFrame, lengths: np.ndarray, block: int = 1 << 16, step: int = 64) -> DataFrame:
-    """The documents of encoded files: part, file, doc_id, start_in_file (ids before it), n_tokens, ids."""
-    look_up = decode_table(lengths)
+def read_code(spark: SparkSession, path: str) -> Code:
+    head = spark.read.schema(HEADER).parquet(f"{path}/header").first()
+    return Code(np.frombuffer(zlib.decompress(head["lengths"]), np.uint8).astype(np.int64), head["limit"], head["block"], head["step"])
+
+
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FILES).parquet(f"{path}/files")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a folder's files: part, file, doc_id, start_in_file (ids before it), n_tokens, ids."""
+    code = read_code(spark, path)
+    look_up, block, step = decode_table(code.lengths), code.block, code.step
 
     def rows(batches):
         for b in batches:
@@ -196,8 +233,13 @@ def read_files(files: DataFrame, lengths: np.ndarray, block: int = 1 << 16, step
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([f["part"]] * n, pa.int32()), pa.array([f["file"]] * n, pa.int32()), doc_ids, pa.array(cuts[:-1]), pa.array(counts), binary], [c.split()[0] for c in READ.split(", ")])
 
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    return files.mapInArrow(rows, READ)
+    return files_of(spark, path).mapInArrow(rows, READ)
+
+
+def read_block(spark: SparkSession, path: str, part: int, file: int, k: int) -> np.ndarray:
+    """The ids of one block of one file."""
+    row = files_of(spark, path).filter((F.col("part") == part) & (F.col("file") == file)).drop("doc_ids", "known", "doc_tokens").first()
+    return decode_block(row.asDict(), k, read_code(spark, path))
 
 
 def with_start(docs: DataFrame, files: DataFrame) -> DataFrame:
@@ -214,21 +256,22 @@ def with_start(docs: DataFrame, files: DataFrame) -> DataFrame:
     return docs.join(heads, ["part", "file"]).withColumn("start", F.col("file_start") + F.col("start_in_file")).drop("part", "file", "file_start", "start_in_file")
 
 
-def encoded(docs: DataFrame, vocabulary: str, kind: str = "word", end_id: int = 2, size: int = 49_408, limit: int = 16) -> tuple[DataFrame, np.ndarray]:
-    """Tokenise, count and encode documents: the files, and the code lengths that read them."""
+def encoded(docs: DataFrame, vocabulary: str, kind: str = "word", end_id: int = 2, size: int = 49_408, limit: int = 16, block: int = 1 << 16, step: int = 64, path: str | None = None) -> str:
+    """Tokenise, count and encode documents into a new folder (one in the shared folder unless named): its path."""
+    path = path or new_path(docs.sparkSession, "huffman-files")
     ids = written(tokens(docs, vocabulary, kind, end_id, size), "token-ids", "zstd")
-    lengths = code_lengths(id_counts(ids, size), limit)
-    return write_files(ids, lengths), lengths
+    write_files(ids, Code(code_lengths(id_counts(ids, size), limit), limit, block, step), path)
+    return path
 
 
 def round_trip(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
     """doc_id, n_tokens, ids, start of every document, from its file."""
-    files, lengths = encoded(docs, vocabulary, **options)
-    return with_start(read_files(files, lengths), files)
+    spark, path = docs.sparkSession, encoded(docs, vocabulary, **options)
+    return with_start(read_files(spark, path), files_of(spark, path))
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as word-level ids with end id 2, through Huffman files and back: one row for each document."""
-    files, lengths = encoded(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
-    docs = read_files(files, lengths).withColumn("ids_crc32", F.crc32("ids")).drop("ids")  # ids need not travel to their start
-    return with_start(docs, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+    path = encoded(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+    docs = read_files(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")  # ids need not travel to their start
+    return with_start(docs, files_of(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -3,7 +3,9 @@
 A text is cut where its tokenizer cuts it in any case (between a non-space and a space). The
 tokenizers library encodes each distinct piece once, and its ids are kept in sorted arrays under a
 64-bit hash of the piece's bytes. The ids of a text are those of its pieces in order, equal to
-encoding the text in one go. Python loops over missing pieces only; all else is done on arrays.
+encoding the text in one go. Python loops over missing pieces only; all else is done on arrays. A text
+that holds the string of a special token is encoded whole, since the library gives such a string its
+own id (where `special_as_text` is set, it is ordinary text).
 """
 
 import os
@@ -60,12 +62,13 @@ def ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """kind "byte": the white space before a word belongs to its piece; "word": white space is dropped."""
 
-    def __init__(self, path: str, kind: str, keep: int = 1_500_000):
+    def __init__(self, path: str, kind: str, keep: int = 1_500_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.alone = Tokenizer.from_file(path)
-        self.alone.encode_special_tokens = True
+        self.alone.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content.encode() for t in self.alone.get_added_tokens_decoder().values()]
         self.alone.model._resize_cache(0)
         self.letters = byte_letters()
         self.kind, self.keep = kind, keep
@@ -147,6 +150,21 @@ class PieceEncoder:
 
     def encode(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """raw: the UTF-8 bytes of all texts; ends: where they begin and end. All ids, and the number of each text's."""
+        text = raw.tobytes()
+        whole = [i for i in range(len(ends) - 1) if any(s in text[ends[i] : ends[i + 1]] for s in self.special)] if any(s in text for s in self.special) else []
+        ids, sizes, at = [], [], 0
+        for i in [*whole, len(ends) - 1]:
+            if i > at:
+                for got, to in zip(self.by_pieces(raw[ends[at] : ends[i]], ends[at : i + 1] - ends[at]), (ids, sizes), strict=True):
+                    to.append(got)
+            if i < len(ends) - 1:
+                ids.append(np.array(self.alone.encode(text[ends[i] : ends[i + 1]].decode(), add_special_tokens=False).ids, np.uint32))
+                sizes.append(np.array([len(ids[-1])], np.int64))
+            at = i + 1
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+    def by_pieces(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without special tokens."""
         if self.used > 4 * self.keep or len(self.levels[0][0]) > self.keep:
             self.forget()
         at, size, row = self.find(raw, ends)
