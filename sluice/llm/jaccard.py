@@ -7,14 +7,22 @@
    first; of linked pairs one such shingle is in both. The boundary between small and large is where
    the two costs, summed over the sizes that occur, are least.
 3. Each list is ordered by size; neighbours at a few distances are compared in full, and components are
-   formed. Then members of one list that are still in different components are compared, all of them. No
-   link between different components is left out, and copies of one text are never paired with each other.
-   Before sets are fetched, parities (one bit for each of 256 or 1024 classes of shingles) bound from below
-   what only one of two sets has, which drops nearly all pairs that cannot be linked and none that can.
-
-What each task needs of the corpus has a fixed size: counters of shingles (for "rare ones first")
-and filters of ids, which never drop a key that is in them. A list that is long by those counters is
-chained in parts, and the parts' heads in turn.
+   formed. Then come lists whose members are still in different components. Parities (one bit for each of
+   1024 classes of shingles) bound from below what only one of two sets has. Blocks of members are held
+   against each other by parities alone, as arrays within a task: first just the pairs that would join
+   the components of a block, the nearest ones, so no more than it has members; once these are tested
+   and components joined, every pair of different components that parities still allow. So no link
+   between different components is left out, copies of one text are never paired, and the pairs that leave
+   a task grow with the members of a list, but for pairs right below the threshold.
+
+The array work of the last step grows with the square of the members of a list while they are apart (a
+million pairs take a hundredth of a second); all else grows with the rows.
+
+What each task needs of the corpus has a fixed size: counters of shingles (for "rare ones first"; where
+a corpus has far more shingles than counters, those of rare ones differ by chance, and lists
+grow no worse than in any other order) and filters of ids, sized by their number up to 16 MB, which never
+drop a key that is in them. A list that is long by those counters is chained in parts, and the parts'
+heads in turn.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; a
 null doc_id links with nothing and is in no component (null); rows of one doc_id link if any of them
@@ -22,6 +30,7 @@ does, and each is returned with its own size; an empty table gives no rows; furt
 """
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -34,7 +43,7 @@ from .components import components
 from .shingles import shingle_sets
 from .vectors import chunks, key_filter, mixed, passes, slot, summed
 
-COUNTER_BITS, FILTER_BITS, PARITY, SHORT = 23, 23, 1024, 256
+COUNTER_BITS, PARITY, SHORT = 23, 1024, 256
 #: Neighbours at these distances in a list's order are compared first.
 DISTANCES = (1, 2, 5, 23, 101)
 #: Lists of so many members are compared in full at distances 1 and 2.
@@ -43,6 +52,10 @@ COVERED = 3
 CHAIN = 1500
 #: Sizes beyond which no set counts as small.
 SMALL = 60
+#: Ids up to which a filter of them goes to all tasks; of more, texts are joined with them.
+FILTERED = 2_000_000
+#: Members of lists that a task holds against each other.
+AT_ONCE = 20_000
 
 
 def need(n, num: int, den: int):
@@ -58,19 +71,19 @@ def sets_of(batch: pa.RecordBatch, width: int):
         yield from zip(docs[i:j], shingle_sets(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], width), strict=True)
 
 
-def parity(s: np.ndarray, bits: int = PARITY) -> np.ndarray:
-    """Whether an odd number of the set's shingles falls on each of so many bits, as longs.
+def parity(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's shingles falls on each of PARITY bits, as longs.
 
     Two sets' parities differ in at most as many bits as there are shingles in one of them alone.
     """
-    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    odd = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
     """Rows of documents (doc_id, n, two 64-bit sums and the parity of the set) and, with `chunk`, of shingle counters."""
-    names = ["doc_id", "n", "s1", "s2", "bits", "few", "chunk", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    names = ["doc_id", "n", "s1", "s2", "bits", "chunk", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def rows(batches):
         total = np.zeros(1 << COUNTER_BITS, np.int32)
@@ -78,14 +91,14 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             out = []
             for doc, s in sets_of(b, width):
                 np.add.at(total, slot(s, COUNTER_BITS), 1)
-                out.append((doc, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)), parity(s), parity(s, SHORT), None, None))
+                out.append((doc, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)), parity(s), None, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-        got = [(None, None, None, None, None, None, k, v) for k, v in chunks(total)]
+        got = [(None, None, None, None, None, k, v) for k, v in chunks(total)]
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names)
 
-    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, bits array<long>, few array<long>, chunk int, counts binary")
+    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, bits array<long>, chunk int, counts binary")
 
 
 def boundary(sizes: dict[int, int], list_length: float, num: int, den: int) -> int:
@@ -116,7 +129,7 @@ def keys_of(s: np.ndarray, counts: np.ndarray, usual: int, x: int, num: int, den
     return np.concatenate(out), np.concatenate(parts)
 
 
-def postings(docs: DataFrame, counts: np.ndarray, copies: np.ndarray, kept: np.ndarray, width: int, x: int, num: int, den: int) -> DataFrame:
+def postings(docs: DataFrame, standing: Callable[[pa.Array], np.ndarray], counts: np.ndarray, width: int, x: int, num: int, den: int) -> DataFrame:
     """key, part, split, doc, n for the sets of one text of each class."""
     names = ["key", "part", "split", "doc", "n"]
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -126,7 +139,7 @@ def postings(docs: DataFrame, counts: np.ndarray, copies: np.ndarray, kept: np.n
         usual = int(counts.mean())
         for b in batches:
             out = []
-            b = b.filter(pa.array(standing(b.column(0), copies, kept)))
+            b = b.filter(pa.array(standing(b.column(0))))
             for doc, s in sets_of(b, width):
                 if len(s):
                     keys, parts = keys_of(s, counts, usual, x, num, den)
@@ -138,18 +151,34 @@ def postings(docs: DataFrame, counts: np.ndarray, copies: np.ndarray, kept: np.n
     return docs.mapInArrow(rows, "key long, part int, split boolean, doc long, n long")
 
 
-def standing(ids: pa.Array, copies: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """Rows that may stand for their class: every one that does, and now and then a copy."""
-    known = ids.is_valid().to_numpy(zero_copy_only=False)
-    x = ids.fill_null(0).to_numpy(zero_copy_only=False)
-    return known & (~passes(copies, x) | passes(kept, x))
+def one_of_each(docs: DataFrame, classes: DataFrame, members: DataFrame) -> tuple[DataFrame, Callable[[pa.Array], np.ndarray]]:
+    """Documents, and which of their ids may stand for their class: every one that does, and now and then a copy."""
+    copies = written(members.filter("class_id <> doc_id").select("doc_id").distinct(), "jaccard-copies")
+    count = copies.count()
+    if count > FILTERED:
+        return docs.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text"), lambda ids: np.ones(len(ids), bool)
+    gone = key_filter(copies, count)
+    both = met(classes.select("class_id"), gone)
+    kept = key_filter(both, count)  # few of the classes pass the first filter
+
+    def standing(ids: pa.Array) -> np.ndarray:
+        x = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        return ids.is_valid().to_numpy(zero_copy_only=False) & (~passes(gone, x) | passes(kept, x))
+
+    return docs, standing
 
 
-def sets_table(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
+def sets_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """doc, s: the sets of the documents whose ids are in the column `wanted`, distinct and written."""
+    count = wanted.count()
+    known = key_filter(wanted, count) if count <= FILTERED else None
+    docs = docs if known is not None else docs.join(wanted.toDF("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+
     def rows(batches):
         for b in batches:
-            ids = b.column(0)
-            b = b.filter(pa.array(ids.is_valid().to_numpy(zero_copy_only=False) & passes(wanted, ids.fill_null(0).to_numpy(zero_copy_only=False))))
+            if known is not None:
+                ids = b.column(0)
+                b = b.filter(pa.array(ids.is_valid().to_numpy(zero_copy_only=False) & passes(known, ids.fill_null(0).to_numpy(zero_copy_only=False))))
             got = [(d, s) for d, s in sets_of(b, width) if len(s)]
             if got:
                 cuts = np.cumsum([0, *(len(s) for _, s in got)]).astype(np.int32)
@@ -159,27 +188,87 @@ def sets_table(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc long, s array<long>")
 
 
-def apart(a: str, b: str, bits: int):
-    """In how many bits two parities differ."""
-    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(bits // 64)), F.lit(0))
-
+def near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) without those that cannot be linked: parities bound what one set alone has from below."""
+    for x in "ab":
+        pairs = pairs.join(sketches.toDF(x, f"n{x}", f"p{x}"), x)
+    differ = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    return pairs.filter(differ * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b").distinct()
 
-def close(a: str, b: str, bits: int, num: int, den: int):
-    """Whether sets of na and nb with these parities can be linked."""
-    return apart(a, b, bits) * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)
 
+def joining(ids: np.ndarray, sizes: np.ndarray, label: np.ndarray, bits: np.ndarray, side: np.ndarray, num: int, den: int, all_pairs: bool) -> np.ndarray:
+    """Pairs (rows of an array of ids) of one block of a list whose components differ and whose parities allow a link.
 
-def near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) without those that cannot be linked: parities bound what one set alone has from below."""
-    for column, bits in (("few", SHORT), ("bits", PARITY)):
-        side = sketches.select("doc_id", "n", column)
-        pairs = pairs.join(side.toDF("a", "na", "pa"), "a").join(side.toDF("b", "nb", "pb"), "b").filter(close("pa", "pb", bits, num, den)).select("a", "b")
-    return pairs.distinct()
+    label: components; side: of a block's two parts of the list, 0 alone where it is one part against itself.
+    Unless `all_pairs`, only pairs that join the block's components, nearest first, as if each were a
+    link: at most one less than there are members.
+    """
+    short = np.bitwise_xor.reduce(bits.reshape(len(bits), -1, SHORT // 64), axis=1)  # parities of fewer classes
+    _, label = np.unique(label, return_inverse=True)
+    left, right = (np.flatnonzero(side == s) for s in (0, 1))
+    alone = not len(right)
+    right, found = (left if alone else right), [np.zeros((0, 3), np.int64)]
+    for k in range(0, len(left), 64):
+        i = left[k : k + 64]
+        far = np.bitwise_count(short[i][:, None] ^ short[right][None]).sum(2, dtype=np.int64)
+        may = (far * (den + num) <= (sizes[i][:, None] + sizes[right]) * (den - num)) & (label[i][:, None] != label[right])
+        x, y = np.nonzero(may)
+        x, y = i[x], right[y]
+        if alone:
+            x, y = x[x < y], y[x < y]
+        far = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+        ok = far * (den + num) <= (sizes[x] + sizes[y]) * (den - num)
+        found.append(np.column_stack((far[ok], x[ok], y[ok])))
+    pairs = np.concatenate(found)
+    if not all_pairs:
+        pairs, kept = pairs[np.argsort(pairs[:, 0], kind="stable")], []
+        while len(pairs := pairs[label[pairs[:, 1]] != label[pairs[:, 2]]]):
+            for row in pairs[np.unique(np.concatenate([np.unique(pairs[:, k], return_index=True)[1] for k in (1, 2)]))]:
+                a, b = label[row[1]], label[row[2]]
+                if a != b:
+                    label[label == a] = b
+                    kept.append(row)
+        pairs = np.array(kept, np.int64).reshape(-1, 3)
+    return np.sort(ids[pairs[:, 1:]], axis=1)
+
+
+def pairs_within(lists: DataFrame, num: int, den: int, all_pairs: bool, groups: int) -> DataFrame:
+    """key, a, b: what joining() finds in every block. lists: key, a, na, c, bits, members.
+
+    A list is cut into parts of about CHAIN members; a block is one of them with itself or with another.
+    A task takes many blocks at once (`groups` in all), as most are small.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col("members") / CHAIN)).cast("int")
+    rows = lists.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "a", "na", "c", "bits", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
+
+    def find(group: pa.Table) -> pa.Table:
+        key, i, j, ids, sizes, label, side = (group.column(c).to_numpy() for c in ("key", "i", "j", "a", "na", "c", "side"))
+        bits = group.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        order = np.lexsort((j, i, key))
+        at = np.flatnonzero(np.any([np.append(True, np.diff(x[order]) != 0) for x in (key, i, j)], axis=0))
+        keys, found = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+        for rows in np.split(order, at[1:]):
+            found.append(joining(ids[rows], sizes[rows], label[rows], bits[rows], side[rows], num, den, all_pairs))
+            keys.append(np.full(len(found[-1]), key[rows[0]]))
+        pairs = np.concatenate(found)
+        return pa.table({"key": np.concatenate(keys), "a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.groupBy("group").applyInArrow(find, "key long, a long, b long")
+
+
+def apart(lists: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """key, a, na, c (component), members of the lists whose members are in different components. lists: key, a, na."""
+    rows = written(lists.join(nodes.toDF("a", "component"), "a", "left").select("key", "a", "na", F.coalesce("component", "a").alias("c")), name)
+    found = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members")).filter("low < high")
+    return rows.join(found.select("key", "members"), "key")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets have at least num / den of their union in common. pairs: a written table."""
-    ids = key_filter(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), FILTER_BITS)
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-wanted")
     sets = written(sets_table(docs, ids, width), "jaccard-sets")
     a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     both = pairs.join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
@@ -200,14 +289,12 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_colu
     classes = written(rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "jaccard-classes")
     known = rows.filter("doc_id is not null")
     member = written(known.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "jaccard-members")
-    copies = key_filter(member.filter("class_id <> doc_id").select("doc_id"), FILTER_BITS)
-    kept = key_filter(met(classes.select("class_id"), copies), FILTER_BITS)
 
     sizes = {r["n"]: r["k"] for r in classes.filter(F.col("n") <= SMALL).groupBy("n").agg(F.count("*").alias("k")).collect()}
     total = float(counts.sum())
     x = boundary(sizes, max(1.0, float((counts.astype(float) ** 2).sum()) / max(total, 1.0) - total / len(counts)), num, den)
 
-    listed = postings(docs, counts, copies, kept, width, x, num, den)
+    listed = postings(*one_of_each(docs, classes, member), counts, width, x, num, den)
     chain = Window.partitionBy("key", "part").orderBy("n", "doc")
     ahead = F.array(*[F.struct(F.lead("doc", k).over(chain).alias("b"), F.lead("n", k).over(chain).alias("nb")) for k in DISTANCES])
     listed = listed.withColumn("ahead", F.filter(ahead, lambda x: x["b"].isNotNull())).withColumn("first", F.lag("doc").over(chain).isNull())
@@ -218,23 +305,25 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_colu
     heads = heads.withColumn("b", F.lead("a").over(top)).withColumn("nb", F.lead("na").over(top))
     pairs = lists.select("a", "na", F.inline("ahead")).union(heads.select("a", "na", "b", "nb")).filter("b is not null and a <> b").filter(sized(num, den))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-    sketches = prof.filter("chunk is null and doc_id is not null").select("doc_id", "n", "bits", "few")
-    links = written(similar(written(near(pairs, sketches, num, den), "jaccard-near"), docs, width, num, den), "jaccard-links")
-    nodes = components(links)
-
-    # Members of one list in different components: every pair of them whose short parities allow a link.
-    longer = lists.filter((F.col("members") > COVERED) | F.col("split")).select("key", "a", "na")
-    placed = written(longer.join(nodes.withColumnRenamed("node", "a"), "a", "left").select("key", "a", "na", F.coalesce("component", "a").alias("c")), "jaccard-placed")
-    mixed_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-    few = prof.filter("chunk is null and doc_id is not null").select(F.col("doc_id").alias("a"), F.col("few").alias("pa"))
-    left = written(placed.join(mixed_keys, "key", "left_semi").join(few, "a"), "jaccard-mixed")
-    right = left.withColumnsRenamed({"a": "b", "na": "nb", "c": "cb", "pa": "pb"})
-    late = left.join(right, "key").filter("c < cb").filter(sized(num, den)).filter(close("pa", "pb", SHORT, num, den))
-    late = late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = written(near(late.join(pairs, ["a", "b"], "left_anti"), sketches, num, den), "jaccard-late-near")
-    more = written(similar(late, docs, width, num, den), "jaccard-late-links")
-    if not more.isEmpty():
-        nodes = components(links.union(more))
+    sketches = prof.filter("chunk is null and doc_id is not null").select("doc_id", "n", "s1", "s2", "bits")
+    tested = written(near(pairs, sketches.select("doc_id", "n", "bits"), num, den), "jaccard-near")
+    nodes = components(written(similar(tested, docs, width, num, den), "jaccard-links"))
+
+    # Lists of members in different components: first pairs that would join these, then all that are still apart.
+    placed = lists.filter((F.col("members") > COVERED) | F.col("split")).select("key", "a", "na")
+    for all_pairs in (False, True):
+        placed = apart(placed, nodes, "jaccard-apart")
+        known = sketches.join(placed.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "n", "s1", "s2"])
+        joined = pairs_within(placed.join(known.select(F.col("doc_id").alias("a"), "bits"), "a"), num, den, all_pairs, 1 + placed.count() // AT_ONCE)
+        joined = written(joined, "jaccard-joining")
+        late = written(joined.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-late")
+        if joined.isEmpty():
+            break
+        if not late.isEmpty():
+            links = written(similar(late, docs, width, num, den), "jaccard-late-links")
+            nodes = components(nodes.toDF("a", "b").union(links))
+        tested = tested.union(late)
+        placed = placed.select("key", "a", "na").join(joined.select("key").distinct(), "key", "left_semi")  # in other lists no two can be linked
 
     out = member.join(nodes.withColumnRenamed("node", "class_id"), "class_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "class_id"))

@@ -47,19 +47,26 @@ def summed(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def key_filter(keys: DataFrame, bits: int) -> np.ndarray:
-    """Which slots a column of longs takes: a key that is in it always passes, another one rarely."""
+def key_filter(keys: DataFrame, count: int) -> np.ndarray:
+    """Which slots `count` longs of a column take, as bits, 256 for each: a key that is in it always passes, another one rarely."""
+    bits = min(max(count, 64).bit_length() + 8, 27)
 
-    def count(batches):
-        total = np.zeros(1 << bits, np.int64)
+    def mark(batches):
+        seen = np.zeros(1 << bits - 3, np.uint8)
         for b in batches:
-            x = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            total += np.bincount(slot(mixed(x), bits), minlength=1 << bits)
-        got = list(chunks(np.minimum(total, 1)))
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([v for _, v in got], pa.binary())], ["chunk", "counts"])
-
-    return np.packbits(summed(keys.mapInArrow(count, ROW), 1 << bits) > 0)
+            s = slot(mixed(b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), bits)
+            np.bitwise_or.at(seen, s >> 3, (128 >> (s & 7)).astype(np.uint8))
+        for k in range(0, len(seen), CHUNK):
+            if seen[k : k + CHUNK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([seen[k : k + CHUNK].tobytes()], pa.binary())], ["chunk", "counts"])
+
+    def unite(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "counts": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in part["counts"]]).tobytes()]})
+
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for r in keys.mapInArrow(mark, ROW).groupBy("chunk").applyInPandas(unite, ROW).toLocalIterator():
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint8)
+    return out
 
 
 def passes(found: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -73,3 +73,64 @@ def test_parity_bounds_the_difference():
         y = np.unique(np.concatenate((x[: n // 2], rng.integers(0, 2**63, n // 3).astype(np.uint64))))
         x = np.unique(x)
         assert sum(bin(int(p) ^ int(q)).count("1") for p, q in zip(J.parity(x).view(np.uint64), J.parity(y).view(np.uint64), strict=True)) <= len(np.setxor1d(x, y))
+
+
+def by_matrix(sets, num, den):
+    """Component of each set, from all overlaps at once."""
+    words = {w: k for k, w in enumerate(sorted({w for s in sets for w in s}))}
+    known = [w for w in words if sum(w in s for s in sets[:50]) > 1] or list(words)
+    shared = {w: k for k, w in enumerate(known)}  # the tests' other words stand in one set each
+    x = np.zeros((len(sets), len(shared)), np.float32)
+    for i, s in enumerate(sets):
+        x[i, [shared[w] for w in s if w in shared]] = 1
+    n, both = np.array([len(s) for s in sets]), x @ x.T
+    linked = den * both >= num * (n[:, None] + n[None] - both)
+    np.fill_diagonal(linked, True)
+    label = np.arange(len(sets))
+    while True:
+        least = np.array([label[row].min() for row in linked])
+        if (least == label).all():
+            return label
+        label = least
+
+
+def components_of(spark, sets, num, den):
+    df = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in enumerate(sets)], "doc_id long, text string")
+    return [r.component_id for r in J.join(df, 1, num, den).orderBy("doc_id").collect()]
+
+
+def test_near_copies_that_resemble_only_their_centre(spark):
+    rng = random.Random(5)
+    centre, sets = [f"c{i:03d}" for i in range(100)], []
+    for i in range(3000):
+        text = list(centre)
+        for k, p in enumerate(rng.sample(range(100), rng.choice([3, 4, 5, 6, 7]))):
+            text[p] = f"own{i}x{k}"
+        sets.append(set(text))
+    want = by_matrix(sets, 90, 100)
+    got = components_of(spark, sets, 90, 100)
+    assert got == want.tolist() and 50 < len(set(got)) < 3000
+
+
+def test_lists_longer_than_a_chain(spark):
+    rng = random.Random(6)
+    words = [f"hot{i:02d}" for i in range(40)]
+    sets = [set(rng.sample(words, 30)) for _ in range(2300)]
+    counts = np.full(1 << J.COUNTER_BITS, 0, np.int64)
+    assert min(sum(w in s for s in sets) for w in words) > J.CHAIN
+    counts[:] = 2 * J.CHAIN
+    assert J.keys_of(np.arange(30, dtype=np.uint64), counts, 0, 1, 80, 100)[1].min() > 1
+    assert components_of(spark, sets, 80, 100) == by_matrix(sets, 80, 100).tolist()
+
+
+def test_joining_leaves_no_component_alone():
+    rng = np.random.default_rng(2)
+    sets = [np.sort(rng.choice(60, 46, replace=False)).astype(np.uint64) for _ in range(60)]
+    bits, n = np.stack([J.parity(s) for s in sets]).view(np.uint64), np.array([len(s) for s in sets])
+    side = (np.arange(60) % 2).astype(np.int32)
+    for sides in (side, np.zeros(60, np.int32)):
+        every = J.joining(np.arange(60), n, np.arange(60), bits, sides, 60, 100, True)
+        few = J.joining(np.arange(60), n, np.arange(60), bits, sides, 60, 100, False)
+        near = {(a, b) for a in range(60) for b in range(a) if sides[a] != sides[b] or not sides.any() if 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))}
+        assert near and near <= {(b, a) for a, b in every.tolist()} and len(few) < 60
+        assert {tuple(x) for x in few.tolist()} <= {tuple(x) for x in every.tolist()}
