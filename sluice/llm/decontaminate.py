@@ -4,20 +4,24 @@
    and a randomised SVD of the TF-IDF matrix are computed over all passages: every task multiplies its
    own rows, Z = A'(A G) for a Gaussian G, and sums of fixed size are added up on Spark. From Z and G
    alone (Nystrom's form of the method) come the right singular vectors and the singular values.
-2. Every window of a document, at the scale of each benchmark item, is a sum of its words' latent
-   vectors. Windows whose cosine with an item reaches `cosine` are candidates. The cosine is low, so
-   that it leaves the decision to the checks; candidates with too few of an item's words for them are
-   dropped by counts over whole arrays, which loses none.
-3. A candidate is checked word by word: the longest common subsequence of the item and the window
+2. An item is a query, a longer one than the largest scale several: its pieces of that size, half of it
+   apart. Windows of a document at the query's scale are sums of their words' latent vectors; those
+   whose cosine with a query reaches its bar are candidates. The bar is `cosine`, or less where the item
+   itself would fall short of it: what it keeps in 19 of 20 trials with all but `likely` of its words
+   replaced by random ones, as is the case with items that stand in very many documents.
+   Windows are looked at only where an exact bound allows a match: whoever shares `likely` of an
+   item's words in a stretch has a certain number of its rarer ones there (see anchors()).
+3. A candidate is checked word by word: the longest common subsequence of the whole item and the window
    with its surroundings must cover `sure` of the item, or `likely` of it where also the item's answer
    (its last sentence, or a given column) stands there in order.
 
-Items are taken in blocks of a fixed number, so what each task holds does not grow with the benchmark.
+Items of fewer than `shortest` words are looked for as they stand, word for word, without retrieval.
+Up to ITEM_BLOCK items are searched in one pass; a larger benchmark takes a pass for each block, so
+what a task holds does not grow with it.
 
-Defined cases: a null or empty text or item, or one without words, matches nothing; items of fewer than
-`shortest` words are not looked for; items of more words than the largest scale are looked for by
-their first such piece and then checked whole; repeated rows match each; a null id stays null; equal cosines go to the
-earlier window; an empty table gives no rows; further columns are not read.
+Defined cases: a null or empty text or item, or one without words, matches nothing; repeated rows match
+each, equal items count each; a null id stays null; equal cosines go to the earlier window; an empty
+table gives no rows; further columns are not read.
 """
 
 from collections.abc import Callable
@@ -29,13 +33,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import picked, row_slices, table, utf8_of
+from .common import picked, ranges, row_slices, small_batches, table, utf8_of, written
 from .shingles import word_hashes
-from .vectors import mixed
 
-SLOT_BITS, RANK, OVER, HELD_BITS = 14, 40, 8, 22
+SLOT_BITS, RANK, OVER, DOOR_BITS = 14, 40, 8, 18
 SCALES = (12, 16, 20, 24, 28, 32, 40, 48, 64, 96, 128)
-STEP, ITEM_BLOCK = 4, 2048
+STEP, ITEM_BLOCK, TRIALS = 4, 1 << 16, 40
 #: Punctuation counts as white space.
 CLEAN = np.arange(256, dtype=np.uint8)
 CLEAN[[b for b in range(33, 127) if not chr(b).isalnum()]] = 32
@@ -56,22 +59,26 @@ class Text:
         first = at % size == 0
         return np.flatnonzero(first), np.cumsum(first) - 1
 
-    def sums(self, terms: np.ndarray) -> np.ndarray:
-        """Running sums of the words' vectors at every STEP words; kept for all scales."""
-        if not hasattr(self, "step_bounds"):
-            first, _ = self.passages(STEP)
-            each = np.add.reduceat(terms[self.slots], first, axis=0)
-            self.step_sums = np.concatenate((np.zeros((1, terms.shape[1])), np.cumsum(each, axis=0, dtype=np.float64)))
-            self.step_bounds = np.concatenate(([0], np.cumsum(-(-np.diff(self.bounds) // STEP))))
-            self.step_row = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.step_bounds))
-        return self.step_sums
+    def only(self, rows: np.ndarray) -> tuple["Text", np.ndarray]:
+        """The texts of these rows (a mask) alone, under their numbers, and the new place of each word."""
+        keep = rows[self.row]
+        out = object.__new__(Text)
+        out.words, out.row, out.slots = self.words[keep], self.row[keep], self.slots[keep]
+        out.bounds = np.concatenate(([0], np.cumsum(np.where(rows, np.diff(self.bounds), 0))))
+        return out, np.cumsum(keep) - 1
+
+    def sums(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the words' vectors at every STEP words, and where each text's begin."""
+        first, _ = self.passages(STEP)
+        each = np.add.reduceat(terms[self.slots], first, axis=0)
+        return np.concatenate((np.zeros((1, terms.shape[1])), np.cumsum(each, axis=0, dtype=np.float64))), np.concatenate(([0], np.cumsum(-(-np.diff(self.bounds) // STEP))))
 
 
 def texts_of(batches):
     for b in batches:
-        raw, ends = utf8_of(pc.utf8_lower(b.column(b.schema.get_field_index("text"))))
-        for i, j in row_slices(ends, 1 << 20):
-            yield b, i, j, Text(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+        texts = b.column(b.schema.get_field_index("text"))
+        for i, j in row_slices(utf8_of(texts)[1], 1 << 19):
+            yield b, i, j, Text(*utf8_of(pc.utf8_lower(texts.slice(i, j - i))))
 
 
 def total(docs: DataFrame, shape: tuple[int, int], add: Callable[[np.ndarray, Text], None], rows: int = 1024) -> np.ndarray:
@@ -93,14 +100,15 @@ def total(docs: DataFrame, shape: tuple[int, int], add: Callable[[np.ndarray, Te
         return pd.DataFrame({"at": [part["at"].iloc[0]], "x": [got.astype("<f8").tobytes()]})
 
     out = np.zeros(shape)
-    for r in docs.mapInArrow(run, "at int, x binary").groupBy("at").applyInPandas(sum_up, "at int, x binary").collect():
-        block = np.frombuffer(r["x"], "<f8").reshape(-1, shape[1])
-        out[r["at"] : r["at"] + len(block)] = block
+    with small_batches(docs.sparkSession):
+        for r in docs.mapInArrow(run, "at int, x binary").groupBy("at").applyInPandas(sum_up, "at int, x binary").collect():
+            block = np.frombuffer(r["x"], "<f8").reshape(-1, shape[1])
+            out[r["at"] : r["at"] + len(block)] = block
     return out
 
 
-def latent_terms(docs: DataFrame, passage: int = 32, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """A row for each slot: idf * V / S, by which texts are folded into the latent space. docs: a column `text`.
+def latent_terms(docs: DataFrame, passage: int = 32, rank: int = RANK, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each slot: idf * V / S, by which texts are folded into the latent space; and the passages that have it. docs: a column `text`.
 
     Dividing by the singular values keeps words that all texts share from making all texts alike.
     """
@@ -148,7 +156,7 @@ def latent_terms(docs: DataFrame, passage: int = 32, rank: int = RANK, seed: int
     values, turn = np.linalg.eigh((core + core.T) / 2)
     keep = values > max(float(values.max(initial=0.0)) * 1e-10, 1e-12)
     vectors, singular, _ = np.linalg.svd(z @ turn[:, keep] / np.sqrt(values[keep]), full_matrices=False)
-    return (idf[:, None] * vectors[:, :rank] / np.maximum(singular[:rank], 1e-6)).astype(np.float32)
+    return (idf[:, None] * vectors[:, :rank] / np.maximum(singular[:rank], 1e-6)).astype(np.float32), counts[:, 0]
 
 
 def lcs_length(masks: dict[int, int], n: int, words: list[int]) -> int:
@@ -168,38 +176,82 @@ def masks_of(words: list[int]) -> dict[int, int]:
     return out
 
 
-class Items:
-    """A block of benchmark items: by scale their unit vectors; masks for the check."""
+def words_of(text: str) -> Text:
+    data = text.lower().encode()
+    return Text(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+
+
+def anchors(words: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """The rarer words of a query, and how many times words of them stand wherever `least` of the query does.
+
+    What misses at most (1 - least) * n of n words holds k of any (1 - least) * n + k of them.
+    """
+    k = 1 + len(words) // 12
+    most = min(len(words), int((1 - least) * len(words) + 1e-6) + k)
+    return words[np.lexsort((np.arange(len(words)), counts))[:most]], k
 
-    def __init__(self, rows: list[tuple[int, str, str | None]], terms: np.ndarray, shortest: int):
-        self.ids, self.masks, self.size, self.answers = [], [], [], []
-        by_scale: dict[int, list[tuple[int, np.ndarray]]] = {}
+
+def bar_of(slots: np.ndarray, unit: np.ndarray, scale: int, terms: np.ndarray, often: np.ndarray, least: float, rng: np.random.Generator) -> float:
+    """The cosine that a query keeps in 19 of 20 trials with all but `least` of its words replaced, half by usual words and half by any."""
+    n = len(slots)
+    rows = np.concatenate((np.broadcast_to(slots, (TRIALS, n)), np.zeros((TRIALS, max(scale - n, 0)), slots.dtype)), axis=1)
+    other = np.where(np.arange(TRIALS)[:, None] % 2, rng.choice(often, rows.shape), rng.integers(0, len(terms), rows.shape))
+    gone = np.ones(rows.shape, bool)
+    gone[:, :n] = np.argsort(np.argsort(rng.random((TRIALS, n)), axis=1), axis=1) >= int(np.ceil(least * n))
+    gone[:, : STEP // 2] = True  # a window begins up to so many words beside the item
+    v = terms[np.where(gone, other, rows)].sum(1)
+    return float(np.quantile(v @ unit / (np.linalg.norm(v, axis=1) + 1e-12), 0.05))
+
+
+class Items:
+    """A block of benchmark items: their words, and as queries their unit vectors, bars and anchors."""
+
+    def __init__(self, rows: list[tuple[int, str, str | None]], latent: tuple[np.ndarray, np.ndarray], shortest: int, cosine: float = 0.4, least: float = 0.6):
+        terms, counts = latent
+        rng = np.random.default_rng(3)
+        often = rng.choice(len(counts), 1 << 16, p=counts / counts.sum()) if counts.sum() else np.zeros(1, np.int64)
+        self.ids, self.words, self.answers, self._masks = [], [], [], {}
+        queries, keys, owners, needs = [], [], [], []
+        self.short: list[tuple[np.uint64, int, int]] = []
         for item_id, text, answer in rows:
-            data = (text or "").lower().encode()
-            t = Text(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+            t, i = words_of(text or ""), len(self.ids)
             n = len(t.words)
+            if not n:
+                continue
+            self.ids.append(item_id)
+            self.words.append(t.words)
+            self.answers.append(words_of(answer if answer is not None else last_sentence(text)).words)
             if n < shortest:
+                at = int(np.argmin(counts[t.slots]))
+                self.short.append((t.words[at], i, at))
                 continue
-            last = (answer if answer is not None else last_sentence(text)).lower().encode()
-            own = Text(np.frombuffer(last, np.uint8), np.array([0, len(last)])).words.tolist()
             scale = next((s for s in SCALES if s >= n), SCALES[-1])
-            v = terms[t.slots[:scale]].sum(0)
-            by_scale.setdefault(scale, []).append((len(self.ids), v / max(float(np.linalg.norm(v)), 1e-12)))
-            self.ids.append(item_id)
-            self.masks.append(masks_of(t.words.tolist()))
-            self.size.append(n)
-            self.answers.append((masks_of(own), len(own)))
-        self.sizes, self.keys = np.array(self.size, np.int64), mixed(np.arange(1, len(self.ids) + 1))
-        self.held = np.zeros(1 << HELD_BITS, bool)
-        for key, masks in zip(self.keys, self.masks, strict=True):
-            self.held[self.held_at(key, np.fromiter(masks, np.uint64, len(masks)))] = True
-        self.scales = {s: (np.array([i for i, _ in x]), np.stack([v for _, v in x]).astype(np.float32)) for s, x in sorted(by_scale.items())}
-
-
-    @staticmethod
-    def held_at(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Where `held` says whether a word is an item's; pairs that share a place make it say so too often only."""
-        return (words ^ keys) >> np.uint64(64 - HELD_BITS)
+            for start in [0] if n <= scale else [*range(0, n - scale, scale // 2), n - scale]:
+                slots, own = t.slots[start : start + scale], t.words[start : start + scale]
+                v = terms[slots].sum(0)
+                unit = v / max(float(np.linalg.norm(v)), 1e-12)
+                rare, k = anchors(own, counts[slots], least)
+                keys.append(np.unique(rare))
+                owners.append(np.full(len(keys[-1]), len(queries)))
+                needs.append(k)
+                queries.append((i, start, scale, unit, min(cosine, bar_of(slots, unit, scale, terms, often, least, rng) - 0.02), n + n // 2))
+        self.item, self.start, self.scale, self.stretch = (np.array([q[k] for q in queries], np.int64) for k in (0, 1, 2, 5))
+        self.unit = np.array([q[3] for q in queries], np.float32).reshape(len(queries), terms.shape[1])
+        self.bar, self.needs = np.array([q[4] for q in queries]), np.array(needs, np.int64)
+        flat, owner = (np.concatenate(x) if x else np.zeros(0, y) for x, y in ((keys, np.uint64), (owners, np.int64)))
+        order = np.argsort(flat, kind="stable")
+        self.keys, first = np.unique(flat[order], return_index=True)
+        self.owners, self.first = owner[order], np.append(first, len(flat))
+        self.short.sort(key=lambda x: int(x[0]))
+        self.short_keys = np.array([x[0] for x in self.short], np.uint64)
+        self.door = np.zeros(1 << DOOR_BITS, bool)  # a cheap test before the search in `keys`
+        self.door[np.concatenate((self.keys, self.short_keys)) >> np.uint64(64 - DOOR_BITS)] = True
+
+    def masks(self, i: int) -> tuple[dict[int, int], int, dict[int, int], int]:
+        """Masks and sizes of an item and of its answer, made when first asked for."""
+        if i not in self._masks:
+            self._masks[i] = (masks_of(self.words[i].tolist()), len(self.words[i]), masks_of(self.answers[i].tolist()), len(self.answers[i]))
+        return self._masks[i]
 
 
 def last_sentence(text: str) -> str:
@@ -208,70 +260,78 @@ def last_sentence(text: str) -> str:
     return parts[-1] if parts else ""
 
 
-def windows(t: Text, terms: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, latent vector and its length of every window, STEP words apart: `scale` words, or a text that has fewer."""
-    sums, bounds, span = t.sums(terms), t.step_bounds, scale // STEP
-    n = bounds[-1]
-    row = t.step_row
-    steps = np.diff(bounds)
-    short = np.flatnonzero((steps > 0) & (steps < span))
-    wanted = np.zeros(n, bool)
-    if n >= span:
-        wanted[: n - span + 1] = row[: n - span + 1] == row[span - 1 :]
-    wanted[bounds[1:][steps >= span] - span] = True  # the last window of each text
-    begin = np.flatnonzero(wanted)
-    v = np.concatenate((sums[begin + span] - sums[begin], sums[bounds[short + 1]] - sums[bounds[short]])).astype(np.float32)
-    begin = np.concatenate((begin, bounds[short]))
-    order = np.argsort(begin, kind="stable")
-    begin, v = begin[order], v[order]
-    r = row[begin]
-    return t.bounds[r] + (begin - bounds[r]) * STEP, v, np.sqrt(np.einsum("ij,ij->i", v, v)) + np.float32(1e-12)
-
-
-def may_hold(t: Text, items: Items, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: float) -> np.ndarray:
-    """Whether any stretch that best_span() looks at can hold `least` of the item: has that many of its words, in any order."""
-    out, ends = np.zeros(len(lo), bool), np.concatenate(([0], np.cumsum(hi - lo)))
-    for i, j in row_slices(ends, 1 << 20):
-        first, stop = ends[i:j] - ends[i], ends[i + 1 : j + 1] - ends[i]
-        own = np.repeat(np.arange(i, j), stop - first)
-        at = np.arange(len(own))
-        word = t.words[at + (lo[i:j] - first)[own - i]]
-        upto = np.concatenate(([0], np.cumsum(items.held[items.held_at(items.keys[item[own]], word)])))
-        size = items.sizes[item[i:j]]
-        last = np.minimum(at + (size + size // 2)[own - i], stop[own - i])
-        out[i:j] = np.maximum.reduceat(upto[last] - upto[:-1], first) >= least * size - 1e-6
-    return out
-
-
-def candidates(t: Text, terms: np.ndarray, items: Items, cosine: float, least: float):
+def live_hits(t: Text, items: Items, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place) of anchors that stand near enough others of their query; at: places that may hold an anchor."""
+    k = np.minimum(np.searchsorted(items.keys, t.words[at]), len(items.keys) - 1)
+    met = items.keys[k] == t.words[at]
+    at, k = at[met], k[met]
+    many = items.first[k + 1] - items.first[k]
+    query, place = items.owners[ranges(items.first[k], many)], np.repeat(at, many)
+    order = np.argsort(query, kind="stable")
+    query, place = query[order], place[order]
+    last = np.arange(len(query)) + items.needs[query] - 1
+    full = last < len(query)
+    last = np.minimum(last, len(query) - 1)
+    full &= (query[last] == query) & (t.row[place[last]] == t.row[place]) & (place[last] - place < items.stretch[query])
+    live = np.zeros(len(query) + 1, np.int64)
+    np.add.at(live, np.flatnonzero(full), 1)
+    np.add.at(live, last[full] + 1, -1)
+    keep = np.cumsum(live)[:-1] > 0
+    return query[keep], place[keep]
+
+
+def candidates(t: Text, terms: np.ndarray, items: Items):
     """(row, item, cosine, first word, word after the last): runs of neighbouring windows as one, with their best cosine."""
-    for scale, (index, unit) in items.scales.items():
-        at, v, length = windows(t, terms, scale)
-        for k in range(0, len(at), 1 << 15):
-            close, bar = v[k : k + (1 << 15)] @ unit.T, cosine * length[k : k + (1 << 15)]
-            w, i = np.nonzero(close >= bar[:, None])
-            if not len(w):
-                continue
-            order = np.lexsort((w, i))
-            w, i = w[order], i[order]
-            c = close[w, i] / length[k + w]
-            begin, row = at[k + w], t.row[at[k + w]]
-            new = np.concatenate(([True], (i[1:] != i[:-1]) | (row[1:] != row[:-1]) | (begin[1:] - begin[:-1] > scale)))
-            edge = np.flatnonzero(new)
-            last = np.append(edge[1:], len(w)) - 1
-            best = np.maximum.reduceat(c, edge)
-            row, item = row[edge], index[i[edge]]
-            size = np.maximum(scale, items.sizes[item])
-            lo, hi = np.maximum(t.bounds[row], begin[edge] - size // 2), np.minimum(t.bounds[row + 1], begin[last] + size + size // 2)
-            keep = may_hold(t, items, item, lo, hi, least)
-            yield from zip(*(x[keep].tolist() for x in (row, item, best, lo, hi)), strict=True)
+    at = np.flatnonzero(items.door[t.words >> np.uint64(64 - DOOR_BITS)])
+    if not len(at) or not len(items.keys):
+        return
+    query, place = live_hits(t, items, at)
+    if not len(query):
+        return
+    rows = np.zeros(len(t.bounds) - 1, bool)
+    rows[t.row[place]] = True
+    part, moved = t.only(rows)
+    row, place, shift = t.row[place], moved[place], t.bounds - part.bounds
+    sums, bounds = part.sums(terms)
+    # Every window, STEP words apart, that holds the anchor; a text that has fewer words is one window.
+    span = items.scale[query] // STEP
+    spot = bounds[row] + (place - part.bounds[row]) // STEP
+    low, high = np.maximum(spot - span + 1, bounds[row]), np.minimum(spot, np.maximum(bounds[row + 1] - span, bounds[row]))
+    low = np.minimum(low, high)
+    begin, query, row = ranges(low, high - low + 1), np.repeat(query, high - low + 1), np.repeat(row, high - low + 1)
+    _, one = np.unique(query * (bounds[-1] + 1) + begin, return_index=True)
+    for k in range(0, len(one), 1 << 16):
+        begin_, query_, row_ = begin[one[k : k + (1 << 16)]], query[one[k : k + (1 << 16)]], row[one[k : k + (1 << 16)]]
+        v = (sums[np.minimum(begin_ + items.scale[query_] // STEP, bounds[row_ + 1])] - sums[begin_]).astype(np.float32)
+        close = np.einsum("ij,ij->i", v, items.unit[query_]) / (np.sqrt(np.einsum("ij,ij->i", v, v)) + np.float32(1e-12))
+        good = np.flatnonzero(close >= items.bar[query_])
+        if not len(good):
+            continue
+        begin_, query_, row_, close = begin_[good], query_[good], row_[good], close[good]
+        edge = np.flatnonzero(np.concatenate(([True], (query_[1:] != query_[:-1]) | (row_[1:] != row_[:-1]) | ((begin_[1:] - begin_[:-1]) * STEP > items.scale[query_[1:]]))))
+        last = np.append(edge[1:], len(good)) - 1
+        row_, item, n = row_[edge], items.item[query_[edge]], items.stretch[query_[edge]] * 2 // 3
+        first, stop = (part.bounds[row_] + (begin_[x] - bounds[row_]) * STEP + shift[row_] - items.start[query_[edge]] for x in (edge, last))
+        lo, hi = np.maximum(t.bounds[row_], first - (n + 1) // 2), np.minimum(t.bounds[row_ + 1], stop + np.maximum(n, items.scale[query_[edge]]) + (n + 1) // 2)
+        yield from zip(*(x.tolist() for x in (row_, item, np.maximum.reduceat(close, edge), lo, hi)), strict=True)
+
+
+def short_hits(t: Text, items: Items):
+    """(row, item, first word, word after the last) of short items that stand in a text as they are."""
+    at = np.flatnonzero(np.isin(t.words, items.short_keys)) if len(items.short_keys) else ()
+    for p in at:
+        for k in range(int(np.searchsorted(items.short_keys, t.words[p], "left")), int(np.searchsorted(items.short_keys, t.words[p], "right"))):
+            _, i, place = items.short[k]
+            lo, own, row = int(p) - place, items.words[i], int(t.row[p])
+            if lo >= t.bounds[row] and lo + len(own) <= t.bounds[row + 1] and (t.words[lo : lo + len(own)] == own).all():
+                yield row, i, lo, lo + len(own)
 
 
 def best_span(masks: dict[int, int], n: int, words: list[int]) -> tuple[int, int, int]:
-    """The longest common subsequence within any stretch of 1.5 n words, half a stretch apart: length, first, end."""
-    size = max(n + n // 2, 1)
+    """The longest common subsequence within any stretch of 1.5 n words, a sixteenth of n apart: length, first, end."""
+    size, step = max(n + n // 2, 1), max(1, n // 16)
     best = (0, 0, 0)
-    for k in range(0, max(1, len(words) - size + n // 2 + 1), max(1, n // 2)):
+    for k in range(0, max(1, len(words) - size + step), step):
         part = words[k : k + size]
         best = max(best, (lcs_length(masks, n, part), -k, k + len(part)))
     return best[0], -best[1], best[2]
@@ -279,51 +339,51 @@ def best_span(masks: dict[int, int], n: int, words: list[int]) -> tuple[int, int
 
 def check(t: Text, items: Items, item: int, lo: int, hi: int, sure: float, likely: float):
     """(share of the item, answer found, first word, end) or None."""
-    words, n = t.words[lo:hi].tolist(), items.size[item]
-    masks = items.masks[item]
+    words = t.words[lo:hi].tolist()
+    masks, n, answer_masks, m = items.masks(item)
     # A subsequence of likely * n words leaves out at most (1 - likely) * n of the item's distinct words.
     if len(masks.keys() & set(words)) < len(masks) - (1 - likely) * n:
         return None
+    if lcs_length(masks, n, words) < min(sure, likely) * n:  # no stretch has more than the whole
+        return None
     length, begin, end = best_span(masks, n, words)
-    answer_masks, m = items.answers[item]
     answer = m > 0 and lcs_length(answer_masks, m, words[begin:end]) >= 0.9 * m
     if length >= sure * n or (length >= likely * n and answer):
         return length / n, answer, lo + begin, lo + end
     return None
 
 
-def search(docs: DataFrame, items: list[tuple[int, str, str | None]], terms: np.ndarray, cosine: float, sure: float, likely: float, shortest: int) -> DataFrame:
-    block = docs.sparkSession.sparkContext.broadcast((Items(items, terms, shortest), terms))  # at most ITEM_BLOCK items
+def matches(t: Text, terms: np.ndarray, items: Items, sure: float, likely: float) -> dict[tuple[int, int], tuple]:
+    """By row and item the best match: share of the item, cosine, answer, first word, end."""
+    best: dict[tuple[int, int], tuple] = {}
+    for r, item, c, lo, hi in candidates(t, terms, items) if len(t.words) else ():
+        got = check(t, items, item, lo, hi, sure, likely)
+        if got and (got[0], c) > best.get((r, item), (0.0, 0.0))[:2]:
+            best[r, item] = (got[0], c, got[1], got[2] - int(t.bounds[r]), got[3] - int(t.bounds[r]))
+    for r, item, lo, hi in short_hits(t, items):
+        best.setdefault((r, item), (1.0, 1.0, True, lo - int(t.bounds[r]), hi - int(t.bounds[r])))
+    return best
 
-    def run(batches):
-        known, vectors = block.value
-        for b, i, _, t in texts_of(batches):
-            ids, best = b.column(0), {}
-            for r, item, c, lo, hi in candidates(t, vectors, known, cosine, min(sure, likely)) if len(t.words) else ():
-                got = check(t, known, item, lo, hi, sure, likely)
-                if got and (got[0], c) > best.get((r, item), (0.0, 0.0))[:2]:
-                    best[r, item] = (got[0], c, got[1], got[2] - int(t.bounds[r]), got[3] - int(t.bounds[r]))
-            if best:
-                rows = [(ids[i + r].as_py(), known.ids[item], c, share, answer, lo, hi) for (r, item), (share, c, answer, lo, hi) in sorted(best.items())]
-                types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in FOUND.split(", ")])
 
-    return docs.mapInArrow(run, FOUND)
+def blocks(benchmark: DataFrame, docs: DataFrame, cosine: float, likely: float, shortest: int, item_column: str = "item_id", item_text: str = "text", answer_column: str | None = None):
+    """Blocks of at most about ITEM_BLOCK items, each broadcast with the latent terms."""
+    answer = F.col(f"`{answer_column}`") if answer_column else F.lit(None)
+    items = benchmark.select(F.col(f"`{item_column}`").alias("i"), F.col(f"`{item_text}`").alias("t"), answer.cast("string").alias("a")).filter("t is not null")
+    many = -(-items.count() // ITEM_BLOCK)
+    latent = latent_terms(docs) if many else None
+    for k in range(many):
+        rows = [(r["i"], r["t"], r["a"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(many)) == k).sort("i", "t").collect()]
+        yield docs.sparkSession.sparkContext.broadcast((Items(rows, latent, shortest, cosine, likely), latent[0]))
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, sure: float = 0.8, likely: float = 0.6, shortest: int = 8) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item; rows without an id are judged like any other."""
-    items = benchmark.select(F.col("item_id").alias("i"), F.col("text").alias("t")).filter("t is not null")
-    blocks = -(-items.count() // ITEM_BLOCK)
-    terms = latent_terms(picked(docs, "text")) if blocks else None
-    for k in range(blocks):
-        rows = [(r["i"], r["t"], None) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).sort("i", "t").collect()]
-        block = docs.sparkSession.sparkContext.broadcast((Items(rows, terms, shortest), terms))
+    for block in blocks(benchmark, picked(docs, "text"), cosine, min(sure, likely), shortest):
 
         def clean(batches, block=block):
-            known, vectors = block.value
+            known, terms = block.value
             for b, i, j, t in texts_of(batches):
-                held = {r for r, item, _, lo, hi in (candidates(t, vectors, known, cosine, min(sure, likely)) if len(t.words) else ()) if check(t, known, item, lo, hi, sure, likely)}
+                held = {r for r, _ in matches(t, terms, known, sure, likely)}
                 yield b.slice(i, j - i).filter(pa.array([r not in held for r in range(j - i)], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
@@ -336,14 +396,19 @@ def find(
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs (share of the item), answer, start and end (words of the document): a row for each item in a document."""
     docs = picked(docs, id_column, text_column).toDF("doc_id", "text")
-    items = benchmark.select(F.col(f"`{item_column}`").alias("i"), F.col(f"`{item_text}`").alias("t"), (F.col(f"`{answer_column}`") if answer_column else F.lit(None)).cast("string").alias("a")).filter("t is not null")
-    blocks = -(-items.count() // ITEM_BLOCK)
-    terms = latent_terms(docs.select("text")) if blocks else np.zeros((1 << SLOT_BITS, RANK), np.float32)
-    found = None
-    for k in range(max(blocks, 1)):
-        rows = [(r["i"], r["t"], r["a"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(max(blocks, 1))) == k).sort("i", "t").collect()]
-        one = search(docs, rows, terms, cosine, sure, likely, shortest)
-        found = one if found is None else found.union(one)
+    found = docs.sparkSession.createDataFrame([], FOUND)
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
+    for block in blocks(benchmark, docs.select("text"), cosine, min(sure, likely), shortest, item_column, item_text, answer_column):
+
+        def run(batches, block=block):
+            known, terms = block.value
+            for b, i, _, t in texts_of(batches):
+                ids = b.column(0)
+                rows = [(ids[i + r].as_py(), known.ids[item], c, share, answer, lo, hi) for (r, item), (share, c, answer, lo, hi) in sorted(matches(t, terms, known, sure, likely).items())]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in FOUND.split(", ")])
+
+        found = found.union(written(docs.mapInArrow(run, FOUND), "decontaminate-found"))
     return found
 
 

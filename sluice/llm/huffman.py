@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, picked, table, utf8_of, written
+from .common import new_path, picked, small_batches, table, utf8_of, written
 from .tokens import encoder, vocabulary_path
 
 TOKENS = "doc_id long, n_tokens long, ids binary"
@@ -205,7 +205,8 @@ def write_files(ids: DataFrame, code: Code, path: str, file_ids: int = 1 << 20)
     ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     head = [(bytearray(zlib.compress(lengths.astype(np.uint8).tobytes())), len(lengths), code.limit, block, step)]
     ids.sparkSession.createDataFrame(head, HEADER).coalesce(1).write.parquet(f"{path}/header")
-    ordered.mapInArrow(rows, FILES).write.option("compression", "none").parquet(f"{path}/files")
+    with small_batches(ids.sparkSession):
+        ordered.mapInArrow(rows, FILES).write.option("compression", "none").parquet(f"{path}/files")
 
 
 def read_code(spark: SparkSession, path: str) -> Code:

@@ -67,7 +67,7 @@ def sets_of(batch: pa.RecordBatch, width: int):
     """doc_id (null: None) and shingle set of each row."""
     docs = batch.column(0).to_pylist()
     raw, ends = utf8_of(batch.column(1))
-    for i, j in row_slices(ends, 1 << 20):
+    for i, j in row_slices(ends):
         yield from zip(docs[i:j], shingle_sets(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], width), strict=True)
 
 

@@ -97,7 +97,7 @@ def pack(
         for b in batches:
             docs_of = b.column(0).to_pylist()
             raw, ends = utf8_of(b.column(1))
-            for first, last, ids, counts in enc.slices(raw, ends):
+            for first, last, ids, counts in enc.slices(raw, ends, 1 << 19):
                 at, most = 0, min(longest, max_tokens)
                 for doc, n in zip(docs_of[first:last], counts.tolist(), strict=True):
                     own = np.append(ids[at : at + n], np.uint32(end_id))

@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-from .common import row_slices
+from .common import ranges, row_slices
 
 # Unicode's White_Space, ASCII bytes and then longer characters in UTF-8.
 WHITE_BYTES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
@@ -53,12 +53,6 @@ def white(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """All indices at[i] .. at[i]+size[i]-1, one range after the other."""
-    upto = np.cumsum(size)
-    return np.repeat(at - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
-
-
 class PieceEncoder:
     """kind "byte": the white space before a word belongs to its piece; "word": white space is dropped."""
 

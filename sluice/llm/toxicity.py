@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import picked, row_slices, table, utf8_of, written
+from .common import picked, row_slices, small_batches, table, utf8_of, written
 
 #: Plain insults, and second persons, of the four languages.
 SEED = "awful clown coward disgusting dumb fool freak garbage idiot imbecile jerk loser moron pathetic pig scum stupid trash ugly vermin worthless dumm idiotin trottel versager abschaum crétin débile imbécile ordure raclure idiota imbécil basura inútil estúpido".split()
@@ -155,7 +155,7 @@ def learn_lexicon(rows: DataFrame, most: int = 4000, least: int = 6, odds: float
         for b in batches:
             label = b.column(1).to_numpy(zero_copy_only=False)
             raw, ends = utf8_of(b.column(0))
-            for i, j in row_slices(ends, 1 << 20):
+            for i, j in row_slices(ends):
                 w, parts = Words(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i]), []
                 for k, keys, which in w.beginnings():
                     pair = np.unique(np.column_stack((keys, w.row[which].astype(np.uint64))), axis=0) if len(keys) else np.zeros((0, 2), np.uint64)
@@ -168,7 +168,8 @@ def learn_lexicon(rows: DataFrame, most: int = 4000, least: int = 6, odds: float
     bad, good = float(total["toxic"] or 0) + 1, float(total["n"] - (total["toxic"] or 0)) + 1
     has, lacks = F.col("toxic") + 0.5, F.col("n") - F.col("toxic") + 0.5
     score = F.log(has / bad) - F.log(lacks / good) - errors * F.sqrt(1 / has + 1 / lacks)
-    best = counts.filter(F.col("toxic") >= least).withColumn("score", score).filter(F.col("score") >= odds).orderBy(F.desc("score"), F.desc("toxic"), "k", "key").limit(most).collect()
+    with small_batches(rows.sparkSession):
+        best = counts.filter(F.col("toxic") >= least).withColumn("score", score).filter(F.col("score") >= odds).orderBy(F.desc("score"), F.desc("toxic"), "k", "key").limit(most).collect()
     out: dict[int, list[int]] = {}
     for r in best:
         out.setdefault(r["k"], []).append(r["key"])
@@ -183,7 +184,7 @@ def featured(docs: DataFrame, learned: dict[int, np.ndarray], others: list[str])
     def score(batches):
         for b in batches:
             raw, ends = utf8_of(b.column(0))
-            for i, j in row_slices(ends, 1 << 20):
+            for i, j in row_slices(ends):
                 x = features(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], learned)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, j - i) for c in places], lists], [*others, "features"])

@@ -174,7 +174,7 @@ def read_back(archives: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     spark = pages.sparkSession
     raw = written(monolithic(revisits(pages, least)), "warc-monolithic", "none")
-    return read_back(written(normalised(raw), "warc-members", "none"))
+    return read_back(written(normalised(raw), "warc-members", "none", 1))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
