@@ -53,3 +53,22 @@ def test_stages_one_after_the_other(spark, tmp_path):
         want = np.array([*enc.encode(r.text or "", add_special_tokens=False).ids, 0], np.uint32)
         parts = sorted((p for p in kept[4] if p.doc_id == i), key=lambda p: p.start)
         assert [p.ids_crc32 for p in parts] == [zlib.crc32(want[p.start : p.start + p.length].tobytes()) for p in parts] and sum(p.length for p in parts) == len(want)
+
+
+def test_near_copies_with_repeated_and_missing_ids(spark):
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, say(1)), (1, say(1)), (2, say(2)), (2, say(1)), (3, say(3)), (None, say(3)), (None, say(3)), (4, None), (4, None), (5, say(2) + " more")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "row") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, n string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in C.near_copies_out(spark, docs, "").collect())
+    assert got == sorted([(1, say(1)), (2, say(2)), (3, say(3)), (0, say(3)), (0, say(3)), (4, ""), (4, "")])
+    assert C.near_copies_out(spark, docs.limit(0), "").count() == 0
+
+
+def test_empty_tables_and_null_ids(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs, left in ((spark.createDataFrame([], schema), 0), (spark.createDataFrame([(None, "mail a@b.example now", None, None, None), (7, None, "en", "s", 0)], schema), 2)):
+        for _, stage in C.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == left
