@@ -21,10 +21,20 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links reach (five-word shingles, Jaccard 0.8 or more) the one with the smallest doc_id (operator 9)."""
-    linked = jaccard.join(docs, width=5, num=80, den=100)
-    gone = linked.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of documents that links reach (five-word shingles, Jaccard 0.8 or more) the one with the smallest doc_id (operator 9).
+
+    Rows without a doc_id stay. Rows of one doc_id are documents each for itself: of equal ones one stays, and
+    one with another text stays or goes by its own links.
+    """
+    docs = docs.select(*COLUMNS)
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        linked = jaccard.join(docs, width=5, num=80, den=100)
+        return docs.join(linked.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    linked = jaccard.join(rows.filter("doc_id is not null"), width=5, num=80, den=100, id_column="row")
+    group = linked.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    stays = group.groupBy("component_id").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row")).select("row")
+    return rows.join(stays, "row", "left_semi").select(*COLUMNS).union(rows.filter("doc_id is null").select(*COLUMNS))
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
