@@ -93,18 +93,37 @@ def pieces(text: Column, ends: str = ".!?\n") -> Column:
     return F.split(text, f"(?<=[{escaped}])")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once for each row, however often `use` has it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(sizes: Column, start: Column) -> Column:
+    """Where each of consecutive parts begins; the array grows by one at each step, so for short arrays only."""
+    state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sizes, state, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+
+def offsets(sizes: Column, block: int = 128) -> Column:
+    """Where each of consecutive parts begins, from their sizes: block by block, so that long arrays take time in proportion."""
+
+    def whole(all_: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(all_), F.lit(1)) - 1) / block).cast("int")), lambda k: F.slice(all_, k * block + 1, F.lit(block)))
+        return once(parts, lambda ps: F.flatten(F.zip_with(ps, running(F.transform(ps, lambda p: F.aggregate(p, F.lit(0), lambda x, y: x + y)), F.lit(0)), running)))
+
+    return once(sizes, lambda x: F.when(F.size(x) <= block, running(x, F.lit(0))).otherwise(whole(x)))
+
+
 def sentences(text: Column, ends: str = ".!?\n") -> Column:
     """Trimmed sentences with start and end offsets in the text, as array<struct<text, span_start, span_end>>."""
 
-    def step(state, piece):
-        body = F.regexp_replace(piece, r"^\s+", "")
-        begin = state["at"] + F.length(piece) - F.length(body)
-        body = F.regexp_replace(body, r"\s+$", "")
-        one = F.array(F.struct(body.alias("text"), begin.alias("span_start"), (begin + F.length(body)).alias("span_end"))).cast(SPAN)
-        return F.struct((state["at"] + F.length(piece)).alias("at"), F.when(F.length(body) > 0, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+    def placed(piece: Column, at: Column) -> Column:
+        left = F.regexp_replace(piece, r"^\s+", "")
+        begin, body = at + F.length(piece) - F.length(left), F.regexp_replace(left, r"\s+$", "")
+        return F.struct(body.alias("text"), begin.alias("span_start"), (begin + F.length(body)).alias("span_end"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(pieces(text, ends), start, step, lambda s: s["out"])
+    found = once(pieces(text, ends), lambda ps: F.zip_with(ps, offsets(F.transform(ps, F.length)), placed))
+    return F.filter(found, lambda s: F.length(s["text"]) > 0).cast(SPAN)
 
 
 def short_sentences(text: Column, least: int = 6, ends: str = ".!?\n") -> Column:

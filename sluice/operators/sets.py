@@ -26,8 +26,9 @@ def top_per_group(df: DataFrame, keys: list[str], n: int, *order: Column) -> Dat
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def numbered(df: DataFrame, *order: Column, name: str = "position", parts: int = 64) -> DataFrame:
-    """Positions from 1 in an order, without one task for all rows: rows are ranged, counted by range, then numbered within."""
+def numbered(df: DataFrame, *order: Column, name: str = "position", parts: int | None = None) -> DataFrame:
+    """Positions from 1 in an order, without one task for all rows: rows are ranged (into the session's shuffle partitions), counted by range, then numbered within."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.withColumn("_part", F.spark_partition_id()) if not order else df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     sizes = ranged.groupBy("_part").count()
     before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -55,17 +55,17 @@ def j4(spark, d):
     return O.scores(rows, ["scope"]).drop("weighted_f1")
 
 
-@query("j5_invalid_as_wrong", f"WITH {PRED} SELECT model_name, round(avg((CASE WHEN vec_id % 7 = 0 THEN '__invalid__' ELSE y_pred END = y_true)::INT), 6) AS accuracy, round(avg((vec_id % 7 <> 0)::INT), 6) AS valid_rate FROM pred GROUP BY 1")
+@query("j5_invalid_as_wrong", f"WITH {PRED} SELECT model_name, round(avg((CASE WHEN confidence < 0.36 THEN '__invalid__' ELSE y_pred END = y_true)::INT), 6) AS accuracy, round(avg((confidence >= 0.36)::INT), 6) AS valid_rate FROM pred GROUP BY 1")
 def j5(spark, d):
-    said = F.coalesce(F.when(C("vec_id") % 7 != 0, C("y_pred")), F.lit("__invalid__"))
+    said = F.coalesce(F.when(C("confidence") >= 0.36, C("y_pred")), F.lit("__invalid__"))
     return predictions(spark, d).groupBy("model_name").agg(F.round(F.avg((said == C("y_true")).cast("int")), 6).alias("accuracy"), F.round(F.avg((said != "__invalid__").cast("int")), 6).alias("valid_rate"))
 
 
-@query("j6_coverage", scored("model_name", "SELECT g AS model_name, n, accuracy, round(n / (SELECT count(*) FROM pred WHERE model_name = g), 6) AS coverage FROM m", "vec_id % 7 <> 0"))
+@query("j6_coverage", scored("model_name", "SELECT g AS model_name, n, accuracy, round(n / (SELECT count(*) FROM pred WHERE model_name = g), 6) AS coverage FROM m", "confidence >= 0.36"))
 def j6(spark, d):
     rows = predictions(spark, d)
     total = rows.groupBy("model_name").agg(F.count("*").alias("all_"))
-    return O.scores(rows.filter("vec_id % 7 <> 0"), ["model_name"]).join(total, "model_name").select("model_name", "n", "accuracy", F.round(C("n") / C("all_"), 6).alias("coverage"))
+    return O.scores(rows.filter("confidence >= 0.36"), ["model_name"]).join(total, "model_name").select("model_name", "n", "accuracy", F.round(C("n") / C("all_"), 6).alias("coverage"))
 
 
 @query("j8_kappa", """WITH r AS (SELECT (quality = 1)::INT AS a, (toxic = 0)::INT AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), t AS (SELECT count(*) AS n, avg((a = b)::INT) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM r)

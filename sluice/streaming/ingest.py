@@ -1,5 +1,6 @@
 """Incremental intake of raw documents: files that arrive are cleaned, keyed and appended once (A12)."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -8,14 +9,21 @@ from ..functions import text as T
 
 
 def append_new(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """Read JSON files as they come; append rows whose pageid the sink does not have. Stops when all is read."""
+    """Read JSON files as they come; append rows whose pageid the sink does not have. Stops when all is read.
+
+    Of a batch's rows of one pageid the least by text hash and text is kept, so a replay gives the same. A batch
+    writes its own partition of the sink and replaces what a failed run of it left there.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("text_sha256", T.content_hash(F.col("raw_text"))).dropDuplicates(["pageid"])
-        jvm = spark._jvm.org.apache.hadoop.fs.Path(sink)
-        if jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
-            rows = rows.join(spark.read.parquet(sink).select("pageid"), "pageid", "left_anti")
-        rows.withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
+        first = Window.partitionBy("pageid").orderBy("text_sha256", "raw_text")
+        rows = batch.withColumn("text_sha256", T.content_hash(F.col("raw_text"))).withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+        try:
+            rows = rows.join(spark.read.parquet(sink).filter(F.col("batch") != number).select("pageid"), "pageid", "left_anti")
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        rows.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

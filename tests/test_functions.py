@@ -1,5 +1,7 @@
 """Text, features and labels on a small corpus with Chinese judgments of our own wording."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from sluice.functions import text as T
@@ -70,3 +72,18 @@ def test_invariants(spark):
     assert abs(one(spark, sum(probs[1:], probs[0]), t="") - 1) < 1e-12 and one(spark, fuse.argmax([F.lit(0.4), F.lit(0.4), F.lit(0.2)]), t="") == "support"
     assert S.numbered(spark.range(50), F.col("id")).filter("position <> id + 1").count() == 0
     assert pools.funnel(ids, [("all", F.lit(True)), ("even", F.col("id") % 2 == 0)]).collect()[1].n == 100
+
+
+def test_offsets_of_long_arrays(spark):
+    sizes = [k % 7 for k in range(1000)]
+    for n in (0, 1, 127, 128, 129, 1000):
+        got = spark.createDataFrame([(sizes[:n],)], "s array<int>").select(T.offsets(F.col("s")).alias("o")).first().o
+        assert got == [sum(sizes[:i]) for i in range(n)]
+
+
+def test_sentences_of_a_long_text(spark):
+    text = " A short one. " * 50_000
+    began = time.time()
+    got = spark.createDataFrame([(text,)], "t string").select(F.size(T.sentences(F.col("t"))).alias("n"), F.get(T.sentences(F.col("t")), 40_000).alias("s")).first()
+    assert got.n == 50_000 and text[got.s.span_start : got.s.span_end] == got.s.text == "A short one." and got.s.span_start == 40_000 * 14 + 1
+    assert time.time() - began < 60

@@ -1,6 +1,8 @@
 import hashlib
 import json
 
+import pytest
+
 from sluice.sources import files
 from sluice.streaming import ingest
 
@@ -33,3 +35,35 @@ def test_stream_appends_once(spark, tmp_path):
     arrive("b.json", ("2", "changed"), ("3", "x"))
     assert sorted(r.pageid for r in spark.read.parquet(sink).collect()) == ["1", "2", "3"]
     assert sorted(r.pageid for r in ingest.final_manifest(spark, sink).collect()) == ["1", "2"]
+
+
+def test_one_object_per_file_and_malformed_files(spark, tmp_path):
+    folder = tmp_path / "cases"
+    folder.mkdir()
+    for k in (1, 2):
+        (folder / f"{k}.json").write_text(json.dumps({"a": k, "b": {"c": ["x", "y"]}}, indent=2))
+    got = files.read_records(spark, str(folder), "a:int,b:struct<c:array<string>>").collect()
+    assert sorted((r.a, r.b.c) for r in got) == [(1, ["x", "y"]), (2, ["x", "y"])]
+    (tmp_path / "bad.json").write_text("{nonsense")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_records(spark, str(tmp_path / "bad.json"), "a:int").collect()
+    (tmp_path / "lines.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
+    assert sorted(r.a for r in files.read_json_lines(spark, str(tmp_path / "lines.jsonl"), "a:int").collect()) == [1, 2]
+
+
+def test_csv_encodings_and_missing_files(spark, tmp_path):
+    (tmp_path / "g.csv").write_bytes("k,t\n1,工期延误\n".encode("gbk"))
+    (tmp_path / "u.csv").write_bytes(b"\xef\xbb\xbf" + "k,t\n1,工期延误\n".encode())
+    for name in ("g.csv", "u.csv"):
+        assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / name), "k int, t string").collect()] == [(1, "工期延误")]
+    gone = files.read_csv(spark, str(tmp_path / "gone.csv"), "k int, t string")
+    assert gone.count() == 0 and gone.columns == ["k", "t"]
+
+
+def test_full_text_by_path(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for k in range(3):
+        (tmp_path / "a" / f"{k}.txt").write_text(f"line {k}\nmore")
+    rows = [(1, str(tmp_path / "a" / "1.txt")), (2, None), (3, str(tmp_path / "a" / "nowhere.txt")), (4, str(tmp_path / "a" / "1.txt"))]
+    got = files.with_text(spark.createDataFrame(rows, "id int, raw_text_path string")).collect()
+    assert sorted((r.id, r.text) for r in got if r.text) == [(1, "line 1\nmore"), (4, "line 1\nmore")] and len(got) == 4
