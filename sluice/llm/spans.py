@@ -7,6 +7,8 @@ repeats, since Java's matcher recurses for those.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import offsets
+
 FOUND = "array<struct<start:int,end:int,hit:string>>"
 
 
@@ -17,17 +19,16 @@ def let(value: Column, use) -> Column:
 
 def located(text: Column, pattern: str, guard: Column, wanted=lambda hit: hit.isNotNull()) -> Column:
     """All leftmost non-overlapping matches that are `wanted`; texts for which the cheap `guard` is false are not searched."""
-    none = F.array().cast(FOUND)
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
-    def step(state, piece):
-        begin = state["at"] + F.length(piece["gap"])
-        end = begin + F.coalesce(F.length(piece["hit"]), F.lit(0))
-        one = F.when(wanted(piece["hit"]), F.array(F.struct(begin.alias("start"), end.alias("end"), piece["hit"].alias("hit"))).cast(FOUND)).otherwise(none)
-        return F.struct(end.alias("at"), F.concat(state["found"], one).alias("found"))
+    def placed(piece, at):
+        begin = at + F.length(piece["gap"])
+        return F.struct(begin.alias("start"), (begin + F.length(piece["hit"])).alias("end"), piece["hit"].alias("hit"))
 
-    return F.when(guard, F.aggregate(pieces, start, step, lambda s: s["found"])).otherwise(none)
+    size = lambda piece: F.length(piece["gap"]) + F.coalesce(F.length(piece["hit"]), F.lit(0))
+    found = let(pieces, lambda ps: F.zip_with(ps, offsets(F.transform(ps, size)), placed))
+    kept = F.filter(found, lambda x: x["hit"].isNotNull() & wanted(x["hit"])).cast(FOUND)
+    return F.when(guard, kept).otherwise(F.array().cast(FOUND))
 
 
 def of_kind(found: Column, order: int, kind: str) -> Column:

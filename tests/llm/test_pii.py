@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -66,3 +67,11 @@ def test_terms_are_found_in_whole_texts(spark):
     out = {r.doc_id: r.t for r in got.select("doc_id", P.sanitised_text(F.col("text"), F.col("spans")).alias("t")).collect()}
     assert out[1] == f"[GENERALISED] wrote [EMAIL]. {far} and [GENERALISED] left" and out[2] == f"{far} later [GENERALISED], [EMAIL] again"
     assert out[3] == f"nobody but [GENERALISED]; {far}" and out[4] == rows[3][1] and out[20] == rows[14][1]
+
+
+def test_a_text_of_many_hits(spark):
+    text = " ".join(f"user{i}@mail{i % 9}.example.org" for i in range(50_000))
+    began = time.time()
+    got = spark.createDataFrame([(text,)], "text string").select(P.patterns(F.col("text")).alias("s")).select(F.size("s").alias("n"), F.get("s", 49_999).alias("last")).first()
+    assert got.n == 50_000 and text[got.last.start : got.last.end] == got.last.hit == "user49999@mail4.example.org"
+    assert time.time() - began < 60
