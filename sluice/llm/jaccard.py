@@ -188,8 +188,14 @@ def sets_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc long, s array<long>")
 
 
+def named(sketches: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sketches of these ids (a column doc_id). The ids are written, so that Spark knows their size and sends few of them to all tasks."""
+    return sketches.join(written(ids.distinct(), "jaccard-named"), "doc_id", "left_semi")
+
+
 def near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) without those that cannot be linked: parities bound what one set alone has from below."""
+    sketches = named(sketches, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     for x in "ab":
         pairs = pairs.join(sketches.toDF(x, f"n{x}", f"p{x}"), x)
     differ = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
@@ -313,7 +319,7 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_colu
     placed = lists.filter((F.col("members") > COVERED) | F.col("split")).select("key", "a", "na")
     for all_pairs in (False, True):
         placed = apart(placed, nodes, "jaccard-apart")
-        known = sketches.join(placed.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "n", "s1", "s2"])
+        known = named(sketches, placed.select(F.col("a").alias("doc_id"))).dropDuplicates(["doc_id", "n", "s1", "s2"])
         joined = pairs_within(placed.join(known.select(F.col("doc_id").alias("a"), "bits"), "a"), num, den, all_pairs, 1 + placed.count() // AT_ONCE)
         joined = written(joined, "jaccard-joining")
         late = written(joined.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-late")
