@@ -124,14 +124,6 @@ def latent_terms(docs: DataFrame, passage: int = 32, rank: int = RANK, seed: int
         once[:, 1:] &= grid[:, 1:] != grid[:, :-1]
         return grid, once
 
-    def rows(t: Text, matrix: np.ndarray):
-        """Passage and slot of each term, the passages' lengths, and their rows of A times a matrix that holds idf already."""
-        grid, once = terms_of(t)
-        of, slots = np.nonzero(once)[0], grid[once]
-        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        norm = np.sqrt(np.add.reduceat(idf[slots] ** 2, first)) + np.float32(1e-9)
-        return of, slots, norm, np.add.reduceat(matrix[slots], first, axis=0) / norm[:, None]
-
     def count(out: np.ndarray, t: Text) -> None:
         grid, once = terms_of(t)
         out[:, 0] += np.bincount(grid[once], minlength=size)
@@ -141,14 +133,19 @@ def latent_terms(docs: DataFrame, passage: int = 32, rank: int = RANK, seed: int
     idf = np.log((counts[0, 1] + 1) / (counts[:, 0] + 1)).astype(np.float32)
     wide = rank + OVER
     gauss = np.random.default_rng(seed).standard_normal((size, wide)).astype(np.float32)
-    start = idf[:, None] * gauss
+    start = np.concatenate((idf[:, None] * gauss, np.zeros((1, wide), np.float32)))  # the last row: no term
+    squares = np.append(idf, np.float32(0)) ** 2
 
     def gram(out: np.ndarray, t: Text) -> None:  # A' (A G)
-        of, slots, norm, y = rows(t, start)
-        order = np.argsort(slots, kind="stable")
-        slots = slots[order]
-        edge = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])))
-        out[slots[edge]] += np.add.reduceat((y / norm[:, None])[of[order]], edge, axis=0)
+        grid, once = terms_of(t)
+        slots = np.where(once, grid, size)
+        y = np.empty((len(grid), wide), np.float32)
+        for k in range(0, len(grid), 64):  # a few passages at a time stay in the cache
+            y[k : k + 64] = start[slots[k : k + 64]].sum(1)
+        y /= (np.sqrt(squares[slots].sum(1)) + np.float32(1e-9))[:, None] ** 2  # for A's rows twice
+        passage_of, terms = np.nonzero(once)[0], grid[once].astype(np.int64)
+        for c, column in enumerate(np.ascontiguousarray(y.T)):
+            out[:, c] += np.bincount(terms, column[passage_of], size)
 
     # From Z = A'A G alone: A'A is near Z (G'Z)^-1 Z', whose eigenvectors are A's right singular vectors.
     z = idf[:, None] * total(docs, (size, wide), gram)
