@@ -13,7 +13,10 @@
    the components of a block, the nearest ones, so no more than it has members; once these are tested
    and components joined, every pair of different components that parities still allow. So no link
    between different components is left out, copies of one text are never paired, and the pairs that leave
-   a task grow with the members of a list, but for pairs right below the threshold.
+   a task grow with the members of a list, but for pairs right below the threshold and for pairs of sets so
+   large (some thousand shingles) that parities say nothing. Before sets are fetched, tallies (how many
+   shingles fall into each of n/8 to n/4 classes) bound large sets in the same way, so that sets as a whole
+   go to pairs that are mostly linked.
 
 The array work of the last step grows with the square of the members of a list while they are apart (a
 million pairs take a hundredth of a second); all else grows with the rows.
@@ -56,6 +59,8 @@ SMALL = 60
 FILTERED = 2_000_000
 #: Members of lists that a task holds against each other.
 AT_ONCE = 20_000
+#: Sets of more shingles have tallies.
+LARGE = 1000
 
 
 def need(n, num: int, den: int):
@@ -80,10 +85,24 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def tally(s: np.ndarray) -> bytes:
+    """How many of the set's shingles fall into each class, modulo 256; the classes are a power of two above an eighth of the set."""
+    classes = 1 << (len(s) // 8).bit_length()
+    return np.bincount((s & np.uint64(classes - 1)).astype(np.int64), minlength=classes).astype(np.uint8).tobytes()
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """A lower bound of how many shingles only one of two sets has; the finer tally is added up to the classes of the other."""
+    x, y = (np.frombuffer(t, np.uint8) for t in (x, y))
+    classes = min(len(x), len(y))
+    differ = x.reshape(-1, classes).sum(0, dtype=np.uint8) - y.reshape(-1, classes).sum(0, dtype=np.uint8)
+    return int(np.minimum(differ, -differ).sum(dtype=np.int64))
+
+
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of documents (doc_id, n, two 64-bit sums and the parity of the set) and, with `chunk`, of shingle counters."""
-    names = ["doc_id", "n", "s1", "s2", "bits", "chunk", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    """Rows of documents (doc_id, n, two 64-bit sums, the parity and, of a large set, the tally) and, with `chunk`, of shingle counters."""
+    names = ["doc_id", "n", "s1", "s2", "bits", "tally", "chunk", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
 
     def rows(batches):
         total = np.zeros(1 << COUNTER_BITS, np.int32)
@@ -91,14 +110,14 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             out = []
             for doc, s in sets_of(b, width):
                 np.add.at(total, slot(s, COUNTER_BITS), 1)
-                out.append((doc, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)), parity(s), None, None))
+                out.append((doc, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)), parity(s), tally(s) if len(s) > LARGE else None, None, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-        got = [(None, None, None, None, None, k, v) for k, v in chunks(total)]
+        got = [(None, None, None, None, None, None, k, v) for k, v in chunks(total)]
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names)
 
-    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, bits array<long>, chunk int, counts binary")
+    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, bits array<long>, tally binary, chunk int, counts binary")
 
 
 def boundary(sizes: dict[int, int], list_length: float, num: int, den: int) -> int:
@@ -202,6 +221,21 @@ def near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame
     return pairs.filter(differ * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b").distinct()
 
 
+def likely(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) without those of two large sets that their tallies keep from being linked. sketches: doc_id, n, tally."""
+    sketches = named(sketches, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    for x in "ab":
+        pairs = pairs.join(sketches.toDF(x, f"n{x}", f"t{x}"), x)
+
+    def rows(batches):
+        for b in batches:
+            each = zip(*(b.column(c).to_pylist() for c in ("na", "nb", "ta", "tb")), strict=True)
+            may = [not x or not y or apart_at_least(x, y) * (den + num) <= (m + n) * (den - num) for m, n, x, y in each]
+            yield b.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
+
+    return pairs.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(rows, "a long, b long").distinct()
+
+
 def joining(ids: np.ndarray, sizes: np.ndarray, label: np.ndarray, bits: np.ndarray, side: np.ndarray, num: int, den: int, all_pairs: bool) -> np.ndarray:
     """Pairs (rows of an array of ids) of one block of a list whose components differ and whose parities allow a link.
 
@@ -312,8 +346,10 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_colu
     pairs = lists.select("a", "na", F.inline("ahead")).union(heads.select("a", "na", "b", "nb")).filter("b is not null and a <> b").filter(sized(num, den))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
     sketches = prof.filter("chunk is null and doc_id is not null").select("doc_id", "n", "s1", "s2", "bits")
+    tallies = prof.filter("chunk is null and doc_id is not null").select("doc_id", "n", "tally")
     tested = written(near(pairs, sketches.select("doc_id", "n", "bits"), num, den), "jaccard-near")
-    nodes = components(written(similar(tested, docs, width, num, den), "jaccard-links"))
+    checked = written(likely(tested, tallies, num, den), "jaccard-likely")
+    nodes = components(written(similar(checked, docs, width, num, den), "jaccard-links"))
 
     # Lists of members in different components: first pairs that would join these, then all that are still apart.
     placed = lists.filter((F.col("members") > COVERED) | F.col("split")).select("key", "a", "na")
@@ -326,7 +362,8 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_colu
         if joined.isEmpty():
             break
         if not late.isEmpty():
-            links = written(similar(late, docs, width, num, den), "jaccard-late-links")
+            checked = written(likely(late, tallies, num, den), "jaccard-likely")
+            links = written(similar(checked, docs, width, num, den), "jaccard-late-links")
             nodes = components(nodes.toDF("a", "b").union(links))
         tested = tested.union(late)
         placed = placed.select("key", "a", "na").join(joined.select("key").distinct(), "key", "left_semi")  # in other lists no two can be linked

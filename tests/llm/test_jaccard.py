@@ -134,3 +134,36 @@ def test_joining_leaves_no_component_alone():
         near = {(a, b) for a in range(60) for b in range(a) if sides[a] != sides[b] or not sides.any() if 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))}
         assert near and near <= {(b, a) for a, b in every.tolist()} and len(few) < 60
         assert {tuple(x) for x in few.tolist()} <= {tuple(x) for x in every.tolist()}
+
+
+def test_tallies_bound_what_one_set_alone_has(spark):
+    rng = np.random.default_rng(5)
+    for n, m in [(1001, 1100), (1500, 6000), (5000, 5200), (40_000, 41_000)]:
+        pool = rng.integers(0, 2**63, 2 * n + m, dtype=np.uint64)
+        for shared in (0, n // 2, n):
+            a, b = pool[:n], np.concatenate([pool[n - shared : n], pool[n : n + m - shared]])
+            alone = len(np.setxor1d(a, b))
+            least = J.apart_at_least(J.tally(a), J.tally(b))
+            assert least <= alone and (n > m - 300 or least >= m - n)
+            if not shared and n > m - 1100:
+                assert least * 190 > (n + m) * 10  # so much that sets without common shingles are told apart
+    assert J.apart_at_least(J.tally(pool[:40_000]), J.tally(pool[:40_000])) == 0
+
+
+def test_large_texts_with_a_common_passage(spark):
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(300)]
+    texts = []
+    for k in range(12):
+        base = passage + [f"w{rng.randrange(10**6)}" for _ in range(5000 + 20 * k)]
+        texts.append(base)
+        if k % 3 == 0:
+            near = list(base)
+            for i in rng.sample(range(len(near)), 60):
+                near[i] = "other"
+            texts.append(near)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, num, den in [(3, 90, 100), (5, 80, 100)]:
+        got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in J.join(df, width, num, den).collect())
+        assert got == brute(rows, width, num, den)
