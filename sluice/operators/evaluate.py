@@ -67,3 +67,17 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     total = cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("agree"))
     po, pe = F.col("agree") / F.col("n"), F.col("same") / (F.col("n") * F.col("n"))
     return total.crossJoin(chance).select("n", F.round(po, 6).alias("agreement"), F.round(F.when(pe == 1, F.lit(1.0)).otherwise((po - pe) / (1 - pe)), 6).alias("kappa"))
+
+
+def preview(items: Column, n: int) -> Column:
+    """The first n of a list in one string, empty ones left out."""
+    return F.array_join(F.filter(F.slice(items, 1, n), lambda x: x != ""), " | ")
+
+
+def run_delta(old: DataFrame, new: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """keys, metric, old, new, delta, status of each metric of two runs' summaries; a group that one run lacks has nulls there."""
+    long = lambda df, name: df.unpivot(keys, metrics, "metric", name)
+    both = long(old, "old_value").join(long(new, "new_value"), [*keys, "metric"], "full")
+    gap = F.round(F.col("new_value") - F.col("old_value"), 6)
+    status = F.when(gap.isNull(), "missing").when(gap < 0, "worse").when(gap > 0, "better").otherwise("same")
+    return both.select(*keys, "metric", "old_value", "new_value", gap.alias("delta"), status.alias("status"))

@@ -4,15 +4,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Hexadecimal digits of the hash by which rows of a label are counted: 4096 cells.
+DIGITS = 3
+
+
 def order_key(key: Column, seed: int) -> Column:
     return F.sha2(F.concat_ws("|", key.cast("string"), F.lit(str(seed))).cast("binary"), 256)
 
 
 def ranked(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    """r: the place of a row among its label's in hash order; n: how many there are."""
-    w = Window.partitionBy(label).orderBy(order_key(F.col(key), seed), key)
-    sizes = df.groupBy(label).agg(F.count("*").alias("n"))
-    return df.withColumn("r", F.row_number().over(w)).join(F.broadcast(sizes), label)  # one row for each label
+    """r: the place of a row among its label's in hash order; n: how many there are. Rows without a label are left out.
+
+    Rows are counted by the hash's first digits, then placed within these, so no task holds all rows of a label.
+    """
+    placed = df.withColumn("_spot", order_key(F.col(key), seed)).withColumn("_cell", F.substring("_spot", 1, DIGITS))
+    cells = placed.groupBy(label, "_cell").agg(F.count("*").alias("_size"))
+    upto = F.sum("_size").over(Window.partitionBy(label).orderBy("_cell"))
+    before = cells.select(label, "_cell", (upto - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy(label)).alias("n"))
+    own = F.row_number().over(Window.partitionBy(label, "_cell").orderBy("_spot", key))
+    return placed.withColumn("r", own).join(before, [label, "_cell"]).withColumn("r", F.col("r") + F.col("_before")).drop("_spot", "_cell", "_before")
 
 
 def stratified(df: DataFrame, label: str, key: str, seed: int, held: Column) -> DataFrame:
@@ -29,3 +39,27 @@ def balanced(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     rows = ranked(df, label, key, seed)
     least = df.groupBy(label).count().agg(F.min("count").alias("least"))
     return rows.crossJoin(least).filter("r <= least").drop("r", "n", "least")  # one row
+
+
+def mixed(df: DataFrame, key: str, seed: int, parts: list[tuple[str, Column, int]], total: int) -> DataFrame:
+    """Rows without replacement, tagged with the strategy that took them: of each in turn, up to so many that meet its condition, then any up to `total`.
+
+    Each strategy takes the first rows in hash order of what is left. The sample is the size of the report, not of the table.
+    """
+    left, out = df, None
+    for name, condition, n in [*parts, ("random_fill", F.lit(True), total)]:
+        rows = left.filter(condition)
+        if out is not None:  # earlier samples are small: their keys go to all tasks
+            rows = rows.join(F.broadcast(out.select(key)), key, "left_anti")
+        rows = rows.orderBy(order_key(F.col(key), seed), key).limit(n).withColumn("sample_strategy", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    rank = F.array_position(F.array(*[F.lit(p[0]) for p in parts], F.lit("random_fill")), F.col("sample_strategy"))
+    return out.orderBy(rank, order_key(F.col(key), seed), key).limit(total)
+
+
+def rotating_blocks(sources: DataFrame, position: str, categories: list[str], size: int) -> DataFrame:
+    """block_no (from 1) and category: each source, numbered from 1, takes `size` categories, beginning where the blocks before it leave the list."""
+    start = (F.col(position) - 1) * size
+    step = F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_step")
+    rows = sources.select("*", step)
+    return rows.withColumn("block_no", start + F.col("_step") + 1).withColumn("category", F.get(F.array(*map(F.lit, categories)), ((start % len(categories) + F.col("_step")) % len(categories)).cast("int"))).drop("_step")

@@ -1,5 +1,7 @@
 """Joins that keep one side's names, set operations by key, deduplication with a total order (2-F)."""
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,24 @@ def top_per_group(df: DataFrame, keys: list[str], n: int, *order: Column) -> Dat
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df by checkpoint() in spark.checkpoint.dir, which all executors share; a local folder is set only on one machine."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not (context.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+    return df.checkpoint()
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "position", parts: int | None = None) -> DataFrame:
-    """Positions from 1 in an order, without one task for all rows: rows are ranged (into the session's shuffle partitions), counted by range, then numbered within."""
+    """Positions from 1 in an order, without one task for all rows: rows are ranged (into the session's shuffle partitions), counted by range, then numbered within.
+
+    Spark samples a table for its ranges, each time anew, so the ranged rows are kept: counts and numbers are of the same ranges.
+    """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("_part", F.spark_partition_id()) if not order else df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    ranged = _kept((df.repartitionByRange(parts, *order) if order else df).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").count()
     before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

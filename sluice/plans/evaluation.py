@@ -193,3 +193,22 @@ def j26(spark, d):
 def g21(spark, d):
     names = F.array(F.concat(F.lit("fold"), C("fold").cast("string")), "model_name")
     return O.scores(predictions(spark, d).withColumn("slice", F.explode(names)), ["slice"])
+
+
+@query("j21_run_delta", f"""WITH {PRED}, rows_ AS (SELECT model_name || '/' || CASE WHEN confidence >= 0.45 THEN 'sure' ELSE 'unsure' END AS g, y_true, y_pred FROM pred), {GROUP_F1},
+ v AS (SELECT split_part(g, '/', 1) AS run, split_part(g, '/', 2) AS scope, unnest(['accuracy', 'macro_f1', 'weighted_f1']) AS metric, unnest([accuracy, macro_f1, weighted_f1]) AS v FROM m),
+ b AS (SELECT coalesce(o.scope, n.scope) AS scope, coalesce(o.metric, n.metric) AS metric, o.v AS old_value, n.v AS new_value, round(n.v - o.v, 6) AS delta FROM (SELECT * FROM v WHERE run = 'linear') o FULL JOIN (SELECT * FROM v WHERE run = 'tree') n ON o.scope = n.scope AND o.metric = n.metric)
+ SELECT *, CASE WHEN delta IS NULL THEN 'missing' WHEN delta < 0 THEN 'worse' WHEN delta > 0 THEN 'better' ELSE 'same' END AS status FROM b""")
+def j21(spark, d):
+    scope = F.when(C("confidence") >= 0.45, "sure").otherwise("unsure")
+    m = O.scores(predictions(spark, d).withColumn("scope", scope), ["model_name", "scope"])
+    run = lambda name: m.filter(C("model_name") == name).drop("model_name")
+    return O.run_delta(run("linear"), run("tree"), ["scope"], ["accuracy", "macro_f1", "weighted_f1"])
+
+
+@query("j25_error_table", f"""WITH {PRED} SELECT vec_id, y_true, y_pred, round(confidence, 6) AS confidence, left(trim(replace(text, chr(10), ' ')), 240) AS snippet, array_to_string(list_filter(string_split(text, '. ')[1:3], lambda x: x <> ''), ' | ') AS sentences
+ FROM pred LEFT JOIN documents ON doc_id = vec_id WHERE y_true <> y_pred""")
+def j25(spark, d):
+    wrong = predictions(spark, d).filter("y_true <> y_pred")
+    docs = table(spark, d, "documents").select(C("doc_id").alias("vec_id"), F.left(F.trim(F.replace("text", F.lit("\n"), F.lit(" "))), F.lit(240)).alias("snippet"), O.preview(F.split("text", "\\. "), 3).alias("sentences"))
+    return wrong.join(docs, "vec_id", "left").select("vec_id", "y_true", "y_pred", F.round("confidence", 6).alias("confidence"), "snippet", "sentences")

@@ -126,3 +126,27 @@ def h15(spark, d):
     split = O.stratified(labels(spark, d), "quality", "doc_id", 7, F.floor(C("n") * 0.2))
     chars = table(spark, d, "documents").select("doc_id", F.length("text").alias("c"))
     return split.join(chars, "doc_id").groupBy("split", "quality").agg(F.count("*").alias("n"), F.min("c").alias("shortest"), F.max("c").alias("longest"))
+
+
+H8 = """f AS (SELECT l.doc_id, quality, toxic, sha256(l.doc_id || '|5') AS h FROM labels l),
+ u AS (SELECT * FROM f WHERE quality = 0 AND toxic = 0 ORDER BY h, doc_id LIMIT 24), c AS (SELECT * FROM f WHERE quality = 1 AND toxic = 1 ORDER BY h, doc_id LIMIT 18),
+ t AS (SELECT * FROM f WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM c) ORDER BY h, doc_id LIMIT 18),
+ p AS (SELECT *, 'uncertain' AS sample_strategy, 1 AS k FROM u UNION ALL SELECT *, 'conflict', 2 FROM c UNION ALL SELECT *, 'tail', 3 FROM t),
+ a AS (SELECT * FROM p UNION ALL SELECT * FROM (SELECT *, 'random_fill', 4 FROM f WHERE doc_id NOT IN (SELECT doc_id FROM p) ORDER BY h, doc_id LIMIT 60))"""
+
+
+@query("h8_mixed_sample", f"WITH {H8} SELECT doc_id, sample_strategy FROM (SELECT * FROM a ORDER BY k, h, doc_id LIMIT 60)")
+def h8(spark, d):
+    plain, odd = (C("quality") == 0) & (C("toxic") == 0), (C("quality") == 1) & (C("toxic") == 1)
+    parts = [("uncertain", plain, 24), ("conflict", odd, 18), ("tail", C("quality") == 1, 18)]
+    return O.mixed(table(spark, d, "labels"), "doc_id", 5, parts, 60).select("doc_id", "sample_strategy")
+
+
+TAXONOMY = ["notice", "delay", "payment", "design", "site", "labour", "weather", "records"]
+
+
+@query("h12_rotating_blocks", f"WITH s AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark) SELECT item_id, (k * 6 + i + 1)::BIGINT AS block_no, ({TAXONOMY})[((k * 6 + i) % {len(TAXONOMY)})::INT + 1] AS category FROM s CROSS JOIN generate_series(0, 5) g(i)")
+def h12(spark, d):
+    from ..operators.sets import numbered
+
+    return O.rotating_blocks(numbered(table(spark, d, "benchmark").select("item_id"), C("item_id")), "position", TAXONOMY, 6).select("item_id", "block_no", "category")

@@ -1,10 +1,12 @@
 """Queries of the tabular feature job (2-L) on events."""
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import tabular as O
 from .registry import query, table
 
 C = F.col
@@ -31,16 +33,22 @@ def l3(spark, d):
     return long.orderBy(C("v").desc()).limit(2).select("name", F.round("v", 4).alias("variance"))
 
 
-@query("l4_interactions", "SELECT l_orderkey, l_linenumber, round(l_quantity * l_discount, 4) AS product, round(l_extendedprice / (abs(l_quantity) + 1e-6), 4) AS ratio FROM lineitem")
+MIXED = ["l_quantity", "l_extendedprice", "l_discount"]
+MIXED_SQL = ", ".join(f"round({e}, 4) AS {a}_{k}_{b}" for a, b in combinations(MIXED, 2) for k, e in (("plus", f"{a} + {b}"), ("minus", f"{a} - {b}"), ("mul", f"{a} * {b}"), ("div", f"{a} / (abs({b}) + 1e-6)")))
+
+
+@query("l4_interactions", f"SELECT l_orderkey, l_linenumber, {MIXED_SQL} FROM lineitem")
 def l4(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(C("l_quantity") * C("l_discount"), 4).alias("product"), F.round(C("l_extendedprice") / (F.abs("l_quantity") + 1e-6), 4).alias("ratio"))
+    rows = O.interactions(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *MIXED), MIXED).drop(*MIXED)
+    return rows.select(*rows.columns[:2], *[F.round(c, 4).alias(c) for c in rows.columns[2:]])
 
 
-@query("l5_lags", "SELECT event_id, round(lag(value) OVER w, 6) AS lag1, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS mean3, round(stddev_samp(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 4) AS std5, round(value - lag(value) OVER w, 6) AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("l5_lags", """SELECT event_id, round(lag(value) OVER w, 6) AS value_lag1, round(lag(value, 2) OVER w, 6) AS value_lag2, round(avg(value) OVER w3, 6) AS value_roll3_mean, round(avg(value) OVER w5, 6) AS value_roll5_mean, round(stddev_samp(value) OVER w5, 4) AS value_roll5_std,
+ round(value - lag(value) OVER w, 6) AS value_delta_lag1, round(value - avg(value) OVER w3, 6) AS value_delta_roll3 FROM events
+ WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), w3 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), w5 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
 def l5(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    lag = F.lag("value").over(w)
-    return table(spark, d, "events").select("event_id", F.round(lag, 6).alias("lag1"), F.round(F.avg("value").over(w.rowsBetween(-3, -1)), 6).alias("mean3"), F.round(F.stddev_samp("value").over(w.rowsBetween(-5, -1)), 4).alias("std5"), F.round(C("value") - lag, 6).alias("delta"))
+    rows = O.lags(table(spark, d, "events").select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"], ["value"])
+    return rows.select("event_id", *[F.round(c, 4 if c.endswith("std") else 6).alias(c) for c in rows.columns[4:]])
 
 
 @query("l6_constant_columns", "SELECT unnest(['l_quantity', 'l_tax', 'one']) AS name, unnest([count(DISTINCT l_quantity) <= 1, count(DISTINCT l_tax) <= 1, TRUE]) AS dropped FROM lineitem")
@@ -50,6 +58,11 @@ def l6(spark, d):
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), C(c).alias("dropped")) for c in rows.columns])))
 
 
-@query("l7_correlated", "SELECT round(corr(l_quantity, l_extendedprice), 4) AS price, abs(corr(l_quantity, l_quantity * 2)) > 0.985 AS twin FROM lineitem")
+TWINS = [*LINE, "twice", "discounted"]
+TWINS_SQL = ", ".join(f"{' OR '.join([f'abs(corr({x}, {c})) > 0.985' for x in TWINS[:i]]) or 'FALSE'}" for i, c in enumerate(TWINS))
+
+
+@query("l7_correlated", f"SELECT unnest({TWINS}) AS name, unnest([{TWINS_SQL}]) AS dropped FROM (SELECT *, l_quantity * 2 + 1 AS twice, l_extendedprice * (1 - l_discount) AS discounted FROM lineitem)")
 def l7(spark, d):
-    return table(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 4).alias("price"), (F.abs(F.corr(C("l_quantity"), C("l_quantity") * 2)) > 0.985).alias("twin"))
+    rows = table(spark, d, "lineitem").select(*LINE, (C("l_quantity") * 2 + 1).alias("twice"), (C("l_extendedprice") * (1 - C("l_discount"))).alias("discounted"))
+    return O.correlated(rows, TWINS)
