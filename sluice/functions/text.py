@@ -235,3 +235,27 @@ def glossary(text: Column, entries: list[tuple[str, str]], most: int) -> Column:
     """Targets of the source terms that occur, in the glossary's order, each once."""
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in entries])
     return F.slice(F.array_distinct(F.transform(F.filter(pairs, lambda p: F.contains(text, p["a"])), lambda p: p["b"])), 1, most)
+
+
+def sentence_score(sentence: Column, index: Column, weights: list[tuple[list[str], int]]) -> Column:
+    """Weighted numbers of terms that occur, 2 more for one of the first six sentences and 1 for 35 to 220 characters."""
+    length = F.length(sentence)
+    place = F.when(index < 6, 2).otherwise(0) + F.when((length >= 35) & (length <= 220), 1).otherwise(0)
+    return sum((hits(sentence, terms) * w for terms, w in weights), place)
+
+
+def section_of(sentences: Column, terms: list[str], weights: list[tuple[list[str], int]], limit: int, start: int = 0, most: int = 6) -> Column:
+    """The best sentences that hold a term, in their own order and cut to `limit` characters; where none does, the best of eight from `start` on."""
+
+    def scored(x: Column, i: Column) -> Column:
+        own, found = sentence_score(x, i, weights), hits(x, terms)
+        return F.struct((F.when(found > 0, found * 10).otherwise(0) + own).alias("score"), i.alias("i"), x.alias("text"), (found > 0).alias("hit"))
+
+    def best(rows: Column) -> Column:
+        any_hit = F.exists(rows, lambda r: r["hit"])
+        may = F.filter(rows, lambda r: F.when(any_hit, r["hit"]).otherwise((r["i"] >= start) & (r["i"] < start + 8)))
+        top = F.slice(F.sort_array(may, asc=False), 1, most)
+        ordered = F.sort_array(F.transform(top, lambda r: F.struct(r["i"].alias("i"), r["text"].alias("text"))))
+        return F.trim(F.left(F.array_join(F.transform(ordered, lambda r: r["text"]), " "), F.lit(limit)))
+
+    return once(F.transform(sentences, scored), best)

@@ -1,6 +1,6 @@
 """Retrieval by shared tokens, votes and fusion of probabilities (2-K)."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .labels import OUTCOMES
@@ -50,3 +50,32 @@ def argmax(probs: list[Column], labels: tuple[str, ...] = OUTCOMES) -> Column:
 def normalised(probs: list[Column]) -> list[Column]:
     total = sum(probs[1:], probs[0])
     return [F.when(total == 0, F.lit(1.0 / len(probs))).otherwise(p / total) for p in probs]
+
+
+def weight_sets(spark: SparkSession, models: int, n: int = 603) -> DataFrame:
+    """candidate, weights: n fixed sets of whole weights from 0 to 100, one for each model."""
+    return spark.range(n).select(F.col("id").alias("candidate"), F.array(*[(F.col("id") * (7 + 10 * j) + 31 * j) % 101 for j in range(models)]).alias("weights"))
+
+
+def weighted_vote(df: DataFrame, fold: str, true: str, votes: list[str], candidates: DataFrame, labels: tuple[str, ...] = OUTCOMES) -> DataFrame:
+    """fold, candidate, score, accuracy: the weights that are best on the other folds (.55 accuracy + .45 macro-F1), and how they do on the fold itself.
+
+    Rows are counted by what the models say before they meet the candidates, so that only distinct patterns of
+    votes do. Ties go to the earlier label and to the smaller candidate.
+    """
+    patterns = df.groupBy(F.col(fold).alias("fold"), F.col(true).alias("_true"), *votes).agg(F.count("*").alias("_k"))
+    points = [sum((F.when(F.col(v) == c, F.get("weights", F.lit(j))).otherwise(0) for j, v in enumerate(votes)), F.lit(0)) for c in labels]
+    pred = F.coalesce(*[F.when(p == F.greatest(*points), c) for c, p in zip(labels, points, strict=True)])
+    voted = patterns.crossJoin(F.broadcast(candidates)).select("fold", "candidate", "_true", pred.alias("_pred"), "_k")  # fixed candidates
+    count = lambda when: F.sum(F.when(when, F.col("_k")).otherwise(0))
+    cells = [x.alias(f"{k}{i}") for i, c in enumerate(labels) for k, x in (("tp", count((F.col("_true") == c) & (F.col("_pred") == c))), ("pp", count(F.col("_pred") == c)), ("sp", count(F.col("_true") == c)))]
+    own = voted.groupBy("candidate", "fold").agg(*cells)
+    names = [f"{k}{i}" for i in range(len(labels)) for k in ("tp", "pp", "sp")]
+    rest = {n: F.sum(n).over(Window.partitionBy("candidate")) - F.col(n) for n in names}  # a row for each fold
+    total = lambda kind, at: sum((at[f"{kind}{i}"] for i in range(len(labels))), F.lit(0))
+    f1 = [F.when(rest[f"pp{i}"] + rest[f"sp{i}"] == 0, 0.0).otherwise(F.try_divide(2 * rest[f"tp{i}"], rest[f"pp{i}"] + rest[f"sp{i}"])) for i in range(len(labels))]
+    score = 0.55 * F.try_divide(total("tp", rest), total("sp", rest)) + 0.45 * (sum(f1[1:], f1[0]) / len(labels))
+    mine = {n: F.col(n) for n in names}
+    scored = own.select("fold", "candidate", F.round(score, 9).alias("score"), F.round(F.try_divide(total("tp", mine), total("sp", mine)), 6).alias("accuracy"))
+    best = scored.groupBy("fold").agg(F.max_by(F.struct("candidate", "score", "accuracy"), F.struct("score", -F.col("candidate"))).alias("b"))
+    return best.select("fold", "b.candidate", F.round("b.score", 6).alias("score"), "b.accuracy")

@@ -5,6 +5,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sets import numbered
+
 #: Added to a divisor's size.
 EPS = 1e-6
 
@@ -43,3 +45,15 @@ def correlated(df: DataFrame, columns: list[str], threshold: float = 0.985) -> D
 def without_correlated(df: DataFrame, columns: list[str], threshold: float = 0.985) -> DataFrame:
     """df without the columns that correlated() drops; a row for each column reaches the driver."""
     return df.drop(*[r["name"] for r in correlated(df, columns, threshold).filter("dropped").collect()])
+
+
+def time_folds(df: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """fold: which of k blocks of equal size, at the end of the order, a row is in; 0 for the rows before them.
+
+    Fold f trains on the rows with a smaller number and validates on its own. A table of at most k rows has 0 alone.
+    """
+    placed = numbered(df, *order, name="_at")
+    size = placed.agg(F.count("*").alias("_n")).withColumn("_size", F.floor(F.col("_n") / (k + 1)))
+    into = F.col("_at") - 1 - (F.col("_n") - k * F.col("_size"))
+    fold = F.when((F.col("_size") == 0) | (into < 0), 0).otherwise(F.floor(F.try_divide(into, F.col("_size"))) + 1)
+    return placed.crossJoin(F.broadcast(size)).withColumn("fold", fold.cast("int")).drop("_at", "_n", "_size")  # one row

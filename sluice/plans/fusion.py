@@ -132,3 +132,20 @@ def k23(spark, d):
     rows = predictions(spark, d).filter("fold = 0").withColumn("w", F.explode(F.array(F.lit(0.0), F.lit(0.1), F.lit(0.2))))
     each = rows.groupBy("w").agg(F.avg((O.argmax([a + C("w"), b, c]) == C("y_true")).cast("int")).alias("acc"))
     return each.orderBy(F.round("acc", 9).desc(), "w").limit(1).select(C("w").alias("weight"), F.round("acc", 6).alias("accuracy"))  # the best one
+
+
+K19 = """v AS (SELECT fold, y_true, y_pred AS v1, CASE WHEN pa >= 0.34 THEN 'support' WHEN pb >= 0.34 THEN 'partial' ELSE 'not_support' END AS v2, CASE WHEN pc >= 0.3 THEN 'not_support' WHEN pa >= pb THEN 'support' ELSE 'partial' END AS v3 FROM pred),
+ pat AS (SELECT fold, y_true, v1, v2, v3, count(*) AS k FROM v GROUP BY ALL), sets AS (SELECT i AS candidate, (i * 7) % 101 AS w1, (i * 17 + 31) % 101 AS w2, (i * 27 + 62) % 101 AS w3 FROM generate_series(0, 602) g(i)),
+ s AS (SELECT *, w1 * (v1 = 'support')::INT + w2 * (v2 = 'support')::INT + w3 * (v3 = 'support')::INT AS a, w1 * (v1 = 'partial')::INT + w2 * (v2 = 'partial')::INT + w3 * (v3 = 'partial')::INT AS b, w1 * (v1 = 'not_support')::INT + w2 * (v2 = 'not_support')::INT + w3 * (v3 = 'not_support')::INT AS e FROM pat CROSS JOIN sets),
+ said AS (SELECT candidate, fold, y_true, k, CASE WHEN a >= b AND a >= e THEN 'support' WHEN b >= e THEN 'partial' ELSE 'not_support' END AS y_pred FROM s),
+ o AS (SELECT said.candidate, f.fold AS held, c AS label, coalesce(sum(k) FILTER (WHERE y_true = c AND y_pred = c), 0) AS tp, coalesce(sum(k) FILTER (WHERE y_pred = c), 0) AS pp, coalesce(sum(k) FILTER (WHERE y_true = c), 0) AS sp FROM said JOIN (SELECT DISTINCT fold FROM pred) f ON said.fold <> f.fold CROSS JOIN (VALUES ('support'), ('partial'), ('not_support')) l(c) GROUP BY ALL),
+ m AS (SELECT candidate, held, round(0.55::DOUBLE * (sum(tp)::DOUBLE / sum(sp)::DOUBLE) + 0.45::DOUBLE * avg(CASE WHEN pp + sp = 0 THEN 0 ELSE 2 * tp::DOUBLE / (pp + sp)::DOUBLE END), 9) AS score FROM o GROUP BY ALL),
+ best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY held ORDER BY score DESC, candidate) = 1)"""
+
+
+@query("k19_weight_search", f"WITH {PRED}, {K19} SELECT held AS fold, candidate, round(score, 6) AS score, round(sum(k) FILTER (WHERE y_true = y_pred)::DOUBLE / sum(k)::DOUBLE, 6) AS accuracy FROM best JOIN said USING (candidate) WHERE said.fold = held GROUP BY ALL")
+def k19(spark, d):
+    second = F.when(C("pa") >= 0.34, "support").when(C("pb") >= 0.34, "partial").otherwise("not_support")
+    third = F.when(C("pc") >= 0.3, "not_support").when(C("pa") >= C("pb"), "support").otherwise("partial")
+    rows = predictions(spark, d).select("fold", "y_true", C("y_pred").alias("v1"), second.alias("v2"), third.alias("v3"))
+    return O.weighted_vote(rows, "fold", "y_true", ["v1", "v2", "v3"], O.weight_sets(spark, 3))

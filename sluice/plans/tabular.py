@@ -66,3 +66,10 @@ TWINS_SQL = ", ".join(f"{' OR '.join([f'abs(corr({x}, {c})) > 0.985' for x in TW
 def l7(spark, d):
     rows = table(spark, d, "lineitem").select(*LINE, (C("l_quantity") * 2 + 1).alias("twice"), (C("l_extendedprice") * (1 - C("l_discount"))).alias("discounted"))
     return O.correlated(rows, TWINS)
+
+
+@query("l9_time_folds", "WITH r AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events), b AS (SELECT value, CASE WHEN i < n - 5 * (n // 6) THEN 0 ELSE (i - (n - 5 * (n // 6))) // (n // 6) + 1 END::INT AS fold FROM r), g AS (SELECT fold, count(*) AS n_valid, round(avg(value), 6) AS mean FROM b GROUP BY fold) SELECT fold, n_valid, (sum(n_valid) OVER (ORDER BY fold) - n_valid)::BIGINT AS n_train, mean FROM g")
+def l9(spark, d):
+    rows = O.time_folds(table(spark, d, "events").select("event_id", "ts", "value"), [C("ts"), C("event_id")], 5)
+    each = rows.groupBy("fold").agg(F.count("*").alias("n_valid"), F.round(F.avg("value"), 6).alias("mean"))
+    return each.withColumn("n_train", F.sum("n_valid").over(Window.orderBy("fold")) - C("n_valid"))  # a row for each fold

@@ -194,3 +194,19 @@ def b25(spark, d):
 def b28(spark, d):
     url = F.col("url")
     return table(spark, d, PAGES).select("page_id", F.concat_ws("; ", *[F.when(F.contains(url, F.lit(t)), name) for t, name in (("blog", "Blog"), ("?", "Query"), ("#", "Anchor"))]).alias("classes"))
+
+
+DELAY, EVIDENCE, CLAIM = ["ting", "ion"], ["and"], ["ble", "whst"]
+WEIGHTS = [(DELAY, 4), (EVIDENCE, 3), (CLAIM, 3)]
+B27 = " + ".join(f"{w} * ({' + '.join(f'contains(x, {t!r})::INT' for t in terms)})" for terms, w in WEIGHTS)
+
+
+@query("b27_section_summary", f"""WITH s AS (SELECT doc_id, list_filter(string_split(text, '. '), lambda x: x <> '') AS s FROM documents), e AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) - 1 AS i FROM s),
+ h AS (SELECT *, {' + '.join(f"contains(x, '{t}')::INT" for t in CLAIM)} AS hits, {B27} + CASE WHEN i < 6 THEN 2 ELSE 0 END + CASE WHEN length(x) BETWEEN 35 AND 220 THEN 1 ELSE 0 END AS own FROM e),
+ q AS (SELECT *, max(hits) OVER (PARTITION BY doc_id) AS most FROM h), c AS (SELECT *, hits * 10 + own AS score FROM q WHERE (most > 0 AND hits > 0) OR (most = 0 AND i BETWEEN 3 AND 10)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i DESC) AS r FROM c),
+ a AS (SELECT doc_id, trim(left(string_agg(x, ' ' ORDER BY i), 420), ' ') AS section FROM r WHERE r <= 6 GROUP BY doc_id)
+ SELECT doc_id, coalesce(section, '') AS section FROM documents LEFT JOIN a USING (doc_id)""")
+def b27(spark, d):
+    sentences = F.filter(F.split("text", "\\. "), lambda x: x != "")
+    return table(spark, d, DOCS).select("doc_id", T.section_of(sentences, CLAIM, WEIGHTS, 420, start=3).alias("section"))

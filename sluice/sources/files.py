@@ -93,3 +93,9 @@ def write_text(df: DataFrame, path: str, column: str) -> None:
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard") -> None:
     df.write.partitionBy(shard).parquet(path)
+
+
+def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
+    """A workbook's summary tables: one Parquet table for each sheet, in a folder of its name."""
+    for name, df in sheets.items():
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")

@@ -2,7 +2,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sluice.operators import evaluate, sample, sets, tabular
+from sluice.functions import text
+from sluice.operators import evaluate, fuse, sample, sets, tabular
 
 
 def test_positions_have_no_gaps_whatever_else_rows_hold(spark):
@@ -55,3 +56,23 @@ def test_run_delta_keeps_groups_that_one_run_lacks(spark):
     old, new = (spark.createDataFrame(r, "g string, f double") for r in ([("a", 0.5), ("b", 0.2)], [("a", 0.4), ("c", 0.9)]))
     got = {r.g: (r.delta, r.status) for r in evaluate.run_delta(old, new, ["g"], ["f"]).collect()}
     assert got == {"a": (-0.1, "worse"), "b": (None, "missing"), "c": (None, "missing")}
+
+
+def test_time_folds_are_equal_blocks_at_the_end(spark):
+    got = tabular.time_folds(spark.range(25).select(F.lit("x").alias("more"), (100 - F.col("id")).alias("t")), [F.col("t")], 3).toPandas().sort_values("t")
+    assert got["fold"].tolist() == [0] * 7 + [1] * 6 + [2] * 6 + [3] * 6
+    assert {r.fold for r in tabular.time_folds(spark.range(2), [F.col("id")], 3).collect()} == {0}
+
+
+def test_weights_are_chosen_on_the_other_folds(spark):
+    rows = [(f, t, t, "support") for f in range(3) for t in ("support", "partial", "not_support") for _ in range(4)]  # the first model is right
+    df = spark.createDataFrame(rows, "fold int, y string, good string, bad string")
+    got = fuse.weighted_vote(df, "fold", "y", ["good", "bad"], fuse.weight_sets(spark, 2)).collect()
+    assert sorted(r.fold for r in got) == [0, 1, 2] and all(r.accuracy == 1 and r.score == 1 for r in got)
+
+
+def test_sections_hold_the_best_sentences_in_their_order(spark):
+    sentences = ["none here", "a delay", "delay and claim", "x", "claim first, claim again, with words enough to count"]
+    df = spark.createDataFrame([(sentences,), ([],), (None,), (["p", "q", "r"],)], "s array<string>")
+    got = [r[0] for r in df.select(text.section_of(F.col("s"), ["claim"], [(["delay"], 4)], 200, start=1)).collect()]
+    assert got == ["delay and claim claim first, claim again, with words enough to count", "", None, "q r"]

@@ -67,3 +67,8 @@ def test_full_text_by_path(spark, tmp_path):
     rows = [(1, str(tmp_path / "a" / "1.txt")), (2, None), (3, str(tmp_path / "a" / "nowhere.txt")), (4, str(tmp_path / "a" / "1.txt"))]
     got = files.with_text(spark.createDataFrame(rows, "id int, raw_text_path string")).collect()
     assert sorted((r.id, r.text) for r in got if r.text) == [(1, "line 1\nmore"), (4, "line 1\nmore")] and len(got) == 4
+
+
+def test_sheets_are_tables_of_their_names(spark, tmp_path):
+    files.write_sheets({"counts": spark.range(3), "tiers": spark.range(2).selectExpr("id AS tier")}, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/counts").count() == 3 and spark.read.parquet(f"{tmp_path}/tiers").columns == ["tier"]
