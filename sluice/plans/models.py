@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, models
+from ..operators import evaluate, folded, models
 from ..operators.sample import folds
 from .evaluation import predictions
 from .registry import query, table
@@ -30,6 +30,46 @@ def k3(spark, d):
     return models.out_of_fold(labelled(spark, d), "svm", 2)
 
 
+NUMERIC = ("chars", "words", "lines", "digits", "capitals", "commas", "questions", "shouts", "quotes", "mean_word")
+
+
+def cases(spark, d, k=5):
+    """Labelled documents with three outcomes, ten numbers and a fold."""
+    label = F.when(F.max("toxic") == 1, "not_support").when(F.max("quality") == 1, "support").otherwise("partial")
+    rows = table(spark, d, "labels").filter("doc_id is not null").groupBy("doc_id").agg(label.alias("label"))
+    count = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("double")
+    numbers = {"chars": F.length("text").cast("double"), "words": count(r"\S+"), "lines": count(r"\n"), "digits": count(r"[0-9]"), "capitals": count(r"\p{Lu}"), "commas": count(","), "questions": count(r"\?"), "shouts": count("!"), "quotes": count("[\"']")}
+    docs = table(spark, d, "documents").select("doc_id", "text").filter("text is not null").dropDuplicates(["doc_id"]).withColumns(numbers)
+    return folds(rows, "label", "doc_id", 7, k).join(docs.withColumn("mean_word", C("chars") / F.greatest(C("words"), F.lit(1.0))), "doc_id")
+
+
+@query("k18_out_of_fold")
+def k18(spark, d):
+    """Every labelled document by every model of the other folds, the margin model with and without calibration, and the majority."""
+    rows = folded.feature_table(cases(spark, d), list(NUMERIC), "doc_id")
+    parts = folded.Parts(rows)
+    long = folded.level_one(rows, parts, nested=("char_svm",), iterations=8)
+    return folded.predictions(long.select(*folded.LONG).unionByName(folded.calibrated(long, parts)).unionByName(folded.majority(rows, parts)))
+
+
+@query("k17_stacking")
+def k17(spark, d):
+    """A second model over what two models of other folds say, and the ten numbers, with the two models beside it."""
+    rows = folded.feature_table(cases(spark, d, 3), list(NUMERIC), "doc_id")
+    parts, kinds = folded.Parts(rows), ("word_logistic", "char_bayes")
+    long = folded.level_one(rows, parts, kinds, kinds, iterations=8)
+    return folded.predictions(long.select(*folded.LONG).unionByName(folded.stacked(long, parts, kinds)))
+
+
+@query("k6_hybrid_features")
+def k6(spark, d):
+    """Metrics of words and standardised numbers together, and of words alone."""
+    rows = folded.feature_table(cases(spark, d, 2), list(NUMERIC), "doc_id")
+    parts = folded.Parts(rows)
+    long = folded.level_one(rows, parts, ("word_logistic", "hybrid_logistic"), iterations=8)
+    return evaluate.scores(folded.predictions(long.select(*folded.LONG)), ["model_name"])
+
+
 @query("j7_bootstrap_interval")
 def j7(spark, d):
     """Percentile interval of the accuracy over 100 Poisson resamples, drawn by hashes."""
