@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labels import OUTCOMES
+from .order import quantiles
 
 
 def confusion(df: DataFrame, by: list[str], labels: tuple[str, ...] = OUTCOMES, true: str = "y_true", pred: str = "y_pred") -> DataFrame:
@@ -58,6 +59,26 @@ def calibration_error(df: DataFrame, by: list[str], confidence: Column, correct:
     return binned.groupBy(*by).agg(F.round(F.sum(F.col("_n") * F.col("_gap")) / F.sum("_n"), 6).alias("ece"))
 
 
+def crossfit_threshold(df: DataFrame, fold: str, folds: list[int], score: Column, correct: Column, steps: int = 20, least: float = 0.3) -> DataFrame:
+    """fold, quantile, kept, coverage, accuracy: each fold above the threshold chosen on the other folds.
+
+    Thresholds are quantiles of the other folds' scores; the most accurate one that keeps at least `least` of their rows
+    is taken, ties go to more coverage, then to the lower quantile. Quantiles are exact and run over all tasks.
+    """
+    rows = df.select(F.col(fold).alias("_f"), score.alias("_s"), correct.cast("int").alias("_ok"))
+    others = rows.withColumn("_outer", F.explode(F.filter(F.array(*map(F.lit, folds)), lambda k: k != F.col("_f"))))
+    cuts = quantiles(others, "_s", [k / steps for k in range(1, steps)], ["_outer"]).select("_outer", (F.col("q") + 1).alias("quantile"), F.col("value").alias("_t"))
+    sizes = others.groupBy("_outer").agg(F.count("*").alias("_n"))
+    cuts = cuts.join(sizes, "_outer")  # a row for each fold and quantile
+    above = others.join(F.broadcast(cuts), "_outer").filter("_s >= _t")
+    each = above.groupBy("_outer", "quantile", "_t", "_n").agg(F.avg("_ok").alias("_acc"), (F.count("*") / F.col("_n")).alias("_cov")).filter(F.col("_cov") >= least)
+    best = each.groupBy("_outer").agg(F.max_by(F.struct("quantile", "_t"), F.struct(F.round("_acc", 9), "_cov", -F.col("quantile"))).alias("b"))
+    own = rows.join(F.broadcast(best), F.col("_f") == F.col("_outer"))  # a row for each fold
+    kept = F.col("_s") >= F.col("b._t")
+    made = own.groupBy("_f").agg(F.first("b.quantile").alias("quantile"), F.count(F.when(kept, 1)).alias("kept"), F.round(F.count(F.when(kept, 1)) / F.count("*"), 6).alias("coverage"), F.round(F.avg(F.when(kept, F.col("_ok"))), 6).alias("accuracy"))
+    return made.withColumnRenamed("_f", fold)
+
+
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """n, agreement and Cohen's kappa of two raters' labels (rows with a null are left out)."""
     rows = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull())

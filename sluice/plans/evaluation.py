@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as O
+from ..operators import order
 from .registry import query, table
 
 C = F.col
@@ -113,7 +114,7 @@ def j12(spark, d):
 @query("j13_coverage_curve", f"WITH {PRED}, q AS (SELECT unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE]) AS c, unnest(quantile_cont(confidence, [0.75, 0.5, 0.25])) AS t FROM pred), rows_ AS (SELECT c AS g, y_true, y_pred FROM pred JOIN q ON confidence >= t), {GROUP_F1} SELECT g AS coverage, n, accuracy FROM m")
 def j13(spark, d):
     rows = predictions(spark, d)
-    cuts = rows.agg(F.percentile("confidence", F.array(F.lit(0.75), F.lit(0.5), F.lit(0.25))).alias("t")).select(F.posexplode("t").alias("i", "t")).select((0.25 * (C("i") + 1)).alias("coverage"), "t")
+    cuts = order.quantiles(rows, "confidence", [0.75, 0.5, 0.25]).select((0.25 * (C("q") + 1)).alias("coverage"), C("value").alias("t"))
     kept = rows.join(F.broadcast(cuts), rows.confidence >= cuts.t)  # three rows
     return O.scores(kept, ["coverage"]).select("coverage", "n", "accuracy")
 
@@ -121,19 +122,28 @@ def j13(spark, d):
 @query("j14_threshold_choice", f"WITH {PRED}, q AS (SELECT unnest(range(1, 20)) AS k, unnest(quantile_cont(confidence, [{', '.join(str(k / 20) for k in range(1, 20))}])) AS t FROM pred), a AS (SELECT k, avg((y_true = y_pred)::INT) AS acc, count(*) / (SELECT count(*) FROM pred) AS cov FROM pred JOIN q ON confidence >= t GROUP BY k) SELECT k::INT AS quantile, round(acc, 6) AS accuracy, round(cov, 6) AS coverage FROM a WHERE cov >= 0.3 ORDER BY round(acc, 9) DESC, cov DESC LIMIT 1")
 def j14(spark, d):
     rows = predictions(spark, d)
-    cuts = rows.agg(F.percentile("confidence", F.array(*[F.lit(k / 20) for k in range(1, 20)])).alias("t"), F.count("*").alias("all_")).select("all_", F.posexplode("t").alias("i", "t"))
+    cuts = order.quantiles(rows, "confidence", [k / 20 for k in range(1, 20)]).select(C("q").alias("i"), C("value").alias("t")).crossJoin(F.broadcast(rows.agg(F.count("*").alias("all_"))))  # one row
     each = rows.join(F.broadcast(cuts), C("confidence") >= C("t")).groupBy("i", "all_").agg(F.avg((C("y_true") == C("y_pred")).cast("int")).alias("acc"), F.count("*").alias("n"))  # 19 rows
     each = each.withColumn("cov", C("n") / C("all_")).filter("cov >= 0.3")
     return each.orderBy(F.round("acc", 9).desc(), C("cov").desc()).limit(1).select((C("i") + 1).alias("quantile"), F.round("acc", 6).alias("accuracy"), F.round("cov", 6).alias("coverage"))  # the best one
 
 
+CROSSFIT = f"""WITH {PRED}, o AS (SELECT f.k AS outer_, pred.*, (y_true = y_pred)::INT AS ok FROM pred JOIN (SELECT unnest(range(0, 5)) AS k) f ON fold <> f.k),
+ q AS (SELECT outer_, unnest(range(1, 20)) AS k, unnest(quantile_cont(confidence, [{', '.join(str(k / 20) for k in range(1, 20))}])) AS t FROM o GROUP BY outer_),
+ a AS (SELECT q.outer_, k, t, avg(ok) AS acc, count(*) / any_value(n.n) AS cov FROM q JOIN o ON o.outer_ = q.outer_ AND confidence >= t JOIN (SELECT outer_, count(*) AS n FROM o GROUP BY 1) n ON n.outer_ = q.outer_ GROUP BY ALL),
+ b AS (SELECT outer_, k, t FROM a WHERE cov >= 0.3 QUALIFY row_number() OVER (PARTITION BY outer_ ORDER BY round(acc, 9) DESC, cov DESC, k) = 1)
+ SELECT fold, any_value(k)::INT AS quantile, count(*) FILTER (WHERE confidence >= t) AS kept, round(count(*) FILTER (WHERE confidence >= t) / count(*), 6) AS coverage, round(avg((y_true = y_pred)::INT) FILTER (WHERE confidence >= t), 6) AS accuracy FROM pred JOIN b ON outer_ = fold GROUP BY fold"""
+
+
+@query("j14_threshold_crossfit", CROSSFIT)
+def j14_crossfit(spark, d):
+    """Each fold by the threshold that is best on the other folds: chosen and judged on different rows."""
+    return O.crossfit_threshold(predictions(spark, d), "fold", list(range(5)), C("confidence"), C("y_true") == C("y_pred"), 20, 0.3)
+
+
 @query("j15_target_prefix", f"WITH {PRED}, r AS (SELECT model_name, row_number() OVER w AS n, avg((y_true = y_pred)::INT) OVER w AS acc FROM pred WINDOW w AS (PARTITION BY model_name ORDER BY confidence DESC, vec_id ROWS UNBOUNDED PRECEDING)) SELECT model_name, max(n) AS n FROM r WHERE acc >= 0.3 GROUP BY 1")
 def j15(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("model_name").orderBy(C("confidence").desc(), "vec_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = predictions(spark, d).select("model_name", F.count("*").over(w).alias("n"), F.avg((C("y_true") == C("y_pred")).cast("int")).over(w).alias("acc"))
-    return rows.filter("acc >= 0.3").groupBy("model_name").agg(F.max("n").alias("n"))
+    return order.longest_prefix(predictions(spark, d), ["model_name"], [F.desc("confidence"), C("vec_id")], C("y_true") == C("y_pred"), 0.3)
 
 
 @query("j16_recompute", f"WITH {PRED}, rows_ AS (SELECT model_name AS g, y_true, y_pred FROM pred), {GROUP_F1} SELECT g AS model_name, abs(accuracy - 0.33::DOUBLE) < 0.0005 AS agrees, round(abs(accuracy - 0.33::DOUBLE), 6) AS gap FROM m")
@@ -163,14 +173,9 @@ def j28(spark, d):
 
 @query("j29_auc_log_loss", f"WITH {PRED}, r AS (SELECT (y_true = 'support')::INT AS y, round(pa, 9) AS s FROM pred), k AS (SELECT y, s, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS rk FROM r), n AS (SELECT sum(y) AS p, count(*) - sum(y) AS q FROM r) SELECT round((sum(rk * y) - any_value(p * (p + 1) / 2)) / any_value(p * q), 6) AS auc, round((SELECT avg(-(y * ln(s) + (1 - y) * ln(1 - s))) FROM r), 6) AS log_loss FROM k, n")
 def j29(spark, d):
-    from pyspark.sql import Window
-
-    # Scores are counted first, so that ranks run over distinct scores alone.
     rows = predictions(spark, d).select((C("y_true") == "support").cast("int").alias("y"), F.round("pa", 9).alias("s"))
-    by = rows.groupBy("s").agg(F.sum("y").alias("p"), F.sum(1 - C("y")).alias("q"))
-    below = by.withColumn("under", F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     loss = rows.agg(F.round(F.avg(-(C("y") * F.log("s") + (1 - C("y")) * F.log(1 - C("s")))), 6).alias("log_loss"))
-    return below.agg(F.round(F.sum(C("p") * (C("under") + C("q") / 2)) / (F.sum("p") * F.sum("q")), 6).alias("auc")).crossJoin(loss)
+    return order.auc(rows, C("y"), C("s")).select(F.round("auc", 6).alias("auc")).crossJoin(loss)  # one row each
 
 
 @query("j17_known_only", f"WITH {PRED}, tagged AS (SELECT 'all' AS s, * FROM pred UNION ALL SELECT 'known', * FROM pred WHERE fold <> 4), rows_ AS (SELECT s AS g, y_true, y_pred FROM tagged), {GROUP_F1} SELECT g AS scope, n, accuracy, macro_f1 FROM m")

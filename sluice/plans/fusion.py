@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import fuse as O
+from ..operators import retrieve
 from .evaluation import PRED, predictions, probs
 from .registry import query, table
 
@@ -25,26 +26,35 @@ def k7(spark, d):
 TOK = "tok AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS t FROM benchmark), x AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM tok), s AS (SELECT a.item_id AS query, b.item_id AS match, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS similarity FROM x a JOIN x b ON a.w = b.w AND a.item_id <> b.item_id GROUP BY ALL)"
 
 
+def items_of(spark, d):
+    return table(spark, d, "benchmark").select("item_id", O.tokens(C("text")).alias("t"), (C("item_id") % 3).alias("label"))
+
+
+def nearest(spark, d, k, group=None):
+    items = items_of(spark, d)
+    return retrieve.nearest_by_items(items, items, "item_id", "t", k, group)
+
+
 def pairs(spark, d):
-    items = table(spark, d, "benchmark").select("item_id", O.tokens(C("text")).alias("t"))
+    items = items_of(spark, d)
     return O.jaccard_pairs(items, items, "item_id", "t")
 
 
 @query("k9_token_jaccard", f"WITH {TOK}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, match) AS rank FROM s) SELECT query, match, similarity, rank::INT AS rank FROM r WHERE rank <= 5")
 def k9(spark, d):
-    return O.nearest(pairs(spark, d), 5)
+    return nearest(spark, d, 5)
 
 
 @query("k10_label_aware", f"WITH {TOK}, r AS (SELECT *, match % 3 AS label, row_number() OVER (PARTITION BY query, match % 3 ORDER BY similarity DESC, match) AS rank FROM s) SELECT query, label, round(avg(similarity), 6) AS mean FROM r WHERE rank <= 3 GROUP BY ALL")
 def k10(spark, d):
-    near = O.nearest(pairs(spark, d).withColumn("label", C("match") % 3), 3, ("query", "label"))
+    near = nearest(spark, d, 3, "label")
     return near.groupBy("query", "label").agg(F.round(F.avg("similarity"), 6).alias("mean"))
 
 
 @query("k11_similarity_vote", f"WITH {TOK}, r AS (SELECT *, CASE match % 3 WHEN 0 THEN 'support' WHEN 1 THEN 'partial' ELSE 'not_support' END AS label, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, match) AS rank FROM s), v AS (SELECT query, label, round(sum(greatest(similarity, 1e-4)), 6) AS weight FROM r WHERE rank <= 5 GROUP BY ALL) SELECT query, arg_max(label, (weight, CASE label WHEN 'support' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END)) AS label, max(weight) AS weight FROM v GROUP BY 1")
 def k11(spark, d):
     name = F.when(C("match") % 3 == 0, "support").when(C("match") % 3 == 1, "partial").otherwise("not_support")
-    near = O.nearest(pairs(spark, d), 5).withColumn("label", name)
+    near = nearest(spark, d, 5).withColumn("label", name)
     return O.vote(near, "query", "label", F.greatest("similarity", F.lit(1e-4)))
 
 
@@ -98,14 +108,15 @@ def k24(spark, d):
 
 @query("g19_ranked_evidence", f"WITH {TOK}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, match) AS rank FROM s) SELECT query, string_agg(match || ':' || rank, ',' ORDER BY rank) AS evidence FROM r WHERE rank <= 3 GROUP BY 1")
 def g19(spark, d):
-    near = O.nearest(pairs(spark, d), 3)
+    near = nearest(spark, d, 3)
     ranked = F.array_sort(F.collect_list(F.struct("rank", "match")))  # at most three
     return near.groupBy("query").agg(F.array_join(F.transform(ranked, lambda x: F.concat_ws(":", x["match"].cast("string"), x["rank"].cast("string"))), ",").alias("evidence"))
 
 
 @query("f9_similarity_join", f"WITH {TOK} SELECT query, match, similarity FROM s WHERE similarity >= 0.1")
 def f9(spark, d):
-    return pairs(spark, d).filter("similarity >= 0.1")
+    items = items_of(spark, d)
+    return retrieve.pairs_above(items, items, "item_id", "t", 0.1)
 
 
 @query("k8_case_retrieval", f"WITH {TOK}, v AS (SELECT vec_id, embedding FROM embeddings), c AS (SELECT query, match, round(0.75::DOUBLE * list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 0.25::DOUBLE * similarity, 6) AS score FROM s JOIN v a ON a.vec_id = query JOIN v b ON b.vec_id = match), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, match) AS rank FROM c) SELECT query, match, score, rank::INT AS rank FROM r WHERE rank <= 3")

@@ -46,16 +46,16 @@ def cases(spark, d, k=5):
 @query("k18_out_of_fold")
 def k18(spark, d):
     """Every labelled document by every model of the other folds, the margin model with and without calibration, and the majority."""
-    rows = folded.feature_table(cases(spark, d), list(NUMERIC), "doc_id")
+    rows = folded.feature_table(cases(spark, d), list(NUMERIC), "doc_id", width=1 << 13)
     parts = folded.Parts(rows)
-    long = folded.level_one(rows, parts, nested=("char_svm",), iterations=8)
+    long = folded.level_one(rows, parts, nested=("char_svm",), iterations=5)
     return folded.predictions(long.select(*folded.LONG).unionByName(folded.calibrated(long, parts)).unionByName(folded.majority(rows, parts)))
 
 
 @query("k17_stacking")
 def k17(spark, d):
     """A second model over what two models of other folds say, and the ten numbers, with the two models beside it."""
-    rows = folded.feature_table(cases(spark, d, 3), list(NUMERIC), "doc_id")
+    rows = folded.feature_table(cases(spark, d, 3), list(NUMERIC), "doc_id", width=1 << 15)
     parts, kinds = folded.Parts(rows), ("word_logistic", "char_bayes")
     long = folded.level_one(rows, parts, kinds, kinds, iterations=8)
     return folded.predictions(long.select(*folded.LONG).unionByName(folded.stacked(long, parts, kinds)))
@@ -64,7 +64,7 @@ def k17(spark, d):
 @query("k6_hybrid_features")
 def k6(spark, d):
     """Metrics of words and standardised numbers together, and of words alone."""
-    rows = folded.feature_table(cases(spark, d, 2), list(NUMERIC), "doc_id")
+    rows = folded.feature_table(cases(spark, d, 2), list(NUMERIC), "doc_id", width=1 << 15)
     parts = folded.Parts(rows)
     long = folded.level_one(rows, parts, ("word_logistic", "hybrid_logistic"), iterations=8)
     return evaluate.scores(folded.predictions(long.select(*folded.LONG)), ["model_name"])
