@@ -259,3 +259,20 @@ def section_of(sentences: Column, terms: list[str], weights: list[tuple[list[str
         return F.trim(F.left(F.array_join(F.transform(ordered, lambda r: r["text"]), " "), F.lit(limit)))
 
     return once(F.transform(sentences, scored), best)
+
+
+def abstracted(text: Column, rules: list[tuple[str, str, str]], limits: dict[str, int], defaults: dict[str, str], joined: str = "; ") -> Column:
+    """struct with a sentence list in one string for each section: those whose pattern the text has, in the rules' order, each once, at most the section's limit; else its default.
+
+    rules: section, pattern, sentence; `{0}` in a sentence stands for the pattern's matches, different ones in order, at most three.
+    """
+    made = []
+    for section, limit in limits.items():
+        found = []
+        for _, pattern, sentence in [r for r in rules if r[0] == section]:
+            before, filled, after = sentence.partition("{0}")
+            values = F.array_join(F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))), 1, 3), ", ")
+            found.append(F.when(text.rlike(pattern), F.concat(F.lit(before), values, F.lit(after)) if filled else F.lit(sentence)))
+        there = F.slice(F.array_distinct(F.array_compact(F.array(*found))), 1, limit)
+        made.append(F.coalesce(F.nullif(F.array_join(there, joined), F.lit("")), F.lit(defaults[section])).alias(section))
+    return F.struct(*made)

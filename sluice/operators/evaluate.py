@@ -1,5 +1,6 @@
 """Metrics of label predictions (2-J)."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +80,55 @@ def crossfit_threshold(df: DataFrame, fold: str, folds: list[int], score: Column
     return made.withColumnRenamed("_f", fold)
 
 
+def bootstrap_macro_f1(df: DataFrame, by: list[str], rounds: int = 300, seed: int = 2026, labels: tuple[str, ...] = OUTCOMES, true: str = "y_true", pred: str = "y_pred") -> DataFrame:
+    """by, macro_f1, low, high: the 95 % percentile interval over resamples with replacement.
+
+    A cell of the confusion matrix with n rows is drawn Poisson(n) times in each round, which is what n rows with
+    Poisson weights add up to; so the work after the counts does not grow with the rows. A cell's draws
+    depend on the seed and the cell alone.
+    """
+    cells = confusion(df, by, labels, true, pred)
+    key = F.crc32(F.to_json(F.struct(*by, "y_true", "y_pred")).cast("binary"))
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields] + ["draws array<long>"])
+
+    def draw(parts):
+        for part in parts:
+            part["draws"] = [np.random.default_rng([seed, k]).poisson(n, rounds).tolist() for k, n in zip(part["_key"], part["n"], strict=True)]
+            yield part.drop(columns="_key")
+
+    drawn = cells.withColumn("_key", key).mapInPandas(draw, schema)
+    long = drawn.select(*by, "y_true", "y_pred", F.posexplode("draws").alias("_round", "n"))
+    f1 = per_class(long, [*by, "_round"], labels).groupBy(*by, "_round").agg(F.avg("f1").alias("f1"))
+    interval = f1.groupBy(*by).agg(F.percentile("f1", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))  # as many as there are rounds
+    whole = per_class(cells, by, labels).groupBy(*by).agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
+    joined = whole.join(interval, by) if by else whole.crossJoin(interval)
+    return joined.select(*by, "macro_f1", F.round(F.get("q", F.lit(0)), 6).alias("low"), F.round(F.get("q", F.lit(1)), 6).alias("high"))
+
+
+def ablation(df: DataFrame, settings: dict[str, dict[str, Column]], score, rates: dict[str, str], labels: tuple[str, ...] = OUTCOMES, second: tuple[str, str, tuple[str, ...]] | None = None) -> DataFrame:
+    """setting, accuracy, macro_f1, weighted_f1 [, those of a second task], and means of columns, for each setting, in one plan.
+
+    settings: what columns a setting replaces; score: from a table with `setting` to one with y_true and y_pred; rates: name
+    -> column; second: true column, predicted column, labels. Rows with other true labels count in no score, as in scores().
+    """
+    rows = df.withColumn("setting", F.explode(F.array(*map(F.lit, settings))))
+    changed = {c for columns in settings.values() for c in columns}
+    made = {}
+    for c in changed:
+        value = F.col(c)
+        for name, columns in settings.items():
+            if c in columns:
+                value = F.when(F.col("setting") == name, columns[c]).otherwise(value)
+        made[c] = value
+    rows = score(rows.withColumns(made))
+    out = scores(rows, ["setting"], labels).drop("n")
+    if second:
+        true, pred, kinds = second
+        other = scores(rows, ["setting"], kinds, true=true, pred=pred)
+        out = out.join(other.select("setting", F.col("accuracy").alias("second_accuracy"), F.col("macro_f1").alias("second_macro_f1")), "setting", "left").fillna(0.0, ["second_accuracy", "second_macro_f1"])
+    return out.join(rows.groupBy("setting").agg(*[F.round(F.avg(F.col(c).cast("double")), 6).alias(n) for n, c in rates.items()]), "setting")
+
+
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """n, agreement and Cohen's kappa of two raters' labels (rows with a null are left out)."""
     rows = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull())

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from .labels import OUTCOMES
 
 
@@ -31,6 +32,49 @@ def vote(rows: DataFrame, case: str, label: str, weight: Column, order: tuple[st
     return sums.groupBy(case).agg(F.max_by("label", F.struct("weight", "_p")).alias("label"), F.max("weight").alias("weight"))
 
 
+def majority(rows: DataFrame, case: str, label: str, confidence: Column, labels: tuple[str, ...] = OUTCOMES) -> DataFrame:
+    """case, label, confidence, agreement: the label of most votes, ties go to the higher mean confidence, then to the earlier label.
+
+    confidence: the mean of the label's votes; agreement: its share of the votes with a known label. A case without any is unknown, with 0.
+    """
+    known = F.when(F.col(label).isin(*labels), F.col(label))
+    place = F.coalesce(*[F.when(F.col("_l") == c, -i) for i, c in enumerate(labels)])
+    each = rows.select(case, known.alias("_l"), F.coalesce(confidence.cast("double"), F.lit(0.0)).alias("_c")).groupBy(case, "_l").agg(F.count("*").alias("_n"), F.avg("_c").alias("_m"))
+    voted = F.col("_l").isNotNull()
+    best = each.groupBy(case).agg(F.max(F.when(voted, F.struct("_n", F.round("_m", 9).alias("_t"), place.alias("_p"), "_l", "_m"))).alias("b"), F.sum(F.when(voted, F.col("_n"))).alias("_all"))
+    return best.select(case, F.coalesce("b._l", F.lit("unknown")).alias("label"), F.round(F.coalesce("b._m", F.lit(0.0)), 6).alias("confidence"), F.round(F.coalesce(F.col("b._n") / F.col("_all"), F.lit(0.0)), 6).alias("agreement"))
+
+
+def label_shares(near: DataFrame, query: str, label: str, labels: tuple[str, ...] = OUTCOMES) -> DataFrame:
+    """query, a probability for each label, top_label, top_prob, margin: means of the nearest rows' similarities by label, as shares; equal ones where all are 0."""
+    means = near.groupBy(query).agg(*[F.coalesce(F.avg(F.when(F.col(label) == c, F.col("similarity"))), F.lit(0.0)).alias(c) for c in labels])
+    shares = normalised([F.col(c) for c in labels])
+    made = means.select(query, *[F.round(p, 6).alias(f"{c}_prob") for c, p in zip(labels, shares, strict=True)], argmax(shares, labels).alias("top_label"), F.reverse(F.array_sort(F.array(*shares))).alias("_s"))
+    return made.withColumns({"top_prob": F.round(F.get("_s", F.lit(0)), 6), "margin": F.round(F.get("_s", F.lit(0)) - F.get("_s", F.lit(1)), 6)}).drop("_s")
+
+
+def consensus(votes: Column, labels: tuple[str, ...] = OUTCOMES) -> Column:
+    """struct<label, agreement> of an array of models' labels: the known label that most models give, ties to the one that comes first among the models; agreement counts unknown ones too."""
+    known = F.filter(votes, lambda v: v.isin(*labels))
+
+    def most(k: Column) -> Column:
+        tally = F.transform(F.array_distinct(k), lambda c: F.struct(F.size(F.filter(k, lambda v: v == c)).alias("n"), (-F.array_position(k, c)).alias("at"), c.alias("label")))
+        top = F.array_max(tally)
+        return F.struct(top["label"].alias("label"), F.coalesce(top["n"] / F.nullif(F.size(F.filter(votes, lambda v: v.isNotNull())), F.lit(0)), F.lit(0.0)).alias("agreement"))
+
+    return once(known, most)
+
+
+def selective_score(agreement: Column, parts: list[tuple[float, Column]], weight: float = 0.55) -> Column:
+    """weight * agreement + the parts' weights times their values, nulls as 0."""
+    return sum((w * F.coalesce(c, F.lit(0.0)) for w, c in parts), weight * agreement)
+
+
+def switched(base: Column, agreed: Column, agreement: Column, top: Column, margin: Column, least: float = 0.5, least_margin: float = 0.08) -> Column:
+    """Whether the models' consensus takes the place of the base label: enough of them agree, and what was retrieved says the same clearly."""
+    return F.coalesce((agreed != base) & (agreement >= least) & (top == agreed) & (margin >= least_margin), F.lit(False))
+
+
 def spread(label: Column, confidence: Column, labels: tuple[str, ...] = OUTCOMES) -> list[Column]:
     """A label and its confidence as probabilities; the others share the rest."""
     return [F.when(label == c, confidence).otherwise((1 - confidence) / (len(labels) - 1)) for c in labels]

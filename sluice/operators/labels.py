@@ -66,3 +66,63 @@ def merged(model: dict[str, Column], local: dict[str, Column]) -> list[Column]:
     """Model fields over local ones, one by one, and how many came from the model."""
     fields = [F.coalesce(T.blank_null(model[k]) if k in model else F.lit(None), local[k]).alias(k) for k in local]
     return [*fields, sum((T.blank_null(c).isNotNull().cast("int") for c in model.values()), F.lit(0)).alias("from_model")]
+
+
+def new_label_score(relevance: Column, substantive: Column, confidence: Column, extractable: Column, conflict: Column, review: Column, coverage: Column) -> Column:
+    """Seven terms: how far a new label of a case can be relied on."""
+    terms = ((0.20, relevance), (0.18, substantive), (0.18, confidence), (0.18, extractable), (0.10, 1 - conflict), (0.08, 1 - review), (0.08, coverage))
+    return sum((w * c for w, c in terms), F.lit(0.0))
+
+
+def new_label_bucket(label: Column, frozen: Column, relevance: Column, substantive: Column, procedural: Column, confidence: Column, conflict: Column, review: Column, pre_length: Column, min_confidence: float = 0.9, min_pre: int = 500) -> Column:
+    """frozen_test, strong_label_train_candidate, weak_label_candidate or discarded."""
+    known = F.coalesce(label.isin(*OUTCOMES), F.lit(False))
+    strong = known & (confidence >= min_confidence) & (conflict == 0) & (review == 0) & (relevance >= 0.8) & (substantive == 1) & (procedural == 0) & (pre_length >= min_pre)
+    return bucket([("frozen_test", frozen), ("strong_label_train_candidate", strong), ("weak_label_candidate", known & (relevance >= 0.65))], "discarded")
+
+
+def existing_label_score(relevance: Column, substantive: Column, confidence: Column, extractable: Column, consistent: Column, coverage: Column, valid_spans: Column, pre_length: Column) -> Column:
+    """Eight terms: how far a label that is there already can be relied on."""
+    one = lambda c: F.least(c, F.lit(1.0))
+    terms = ((0.18, relevance), (0.15, substantive), (0.14, one(confidence)), (0.15, extractable), (0.12, consistent), (0.10, one(coverage)), (0.06, one(valid_spans)), (0.10, one(pre_length / 3000)))
+    return sum((w * c for w, c in terms), F.lit(0.0))
+
+
+def existing_label_bucket(score: Column, label: Column, frozen: Column, duplicate: Column, status: Column, relevance: Column, substantive: Column, procedural: Column, confidence: Column, review: Column, extractable: Column, pre_length: Column, min_confidence: float = 0.85, min_pre: int = 500) -> Column:
+    """struct<bucket, reason>: the first rule that holds; reason is empty where no hard rule does."""
+    known = F.coalesce(label.isin(*OUTCOMES), F.lit(False))
+    strong = (confidence >= min_confidence) & (review == 0) & (relevance >= 0.80) & (extractable >= 0.70) & (score >= 0.78)
+    rules = [
+        (frozen, "frozen_test", "candidate_or_frozen_test_excluded"), (duplicate, "discarded", "duplicate_case"), (F.coalesce(status, F.lit("")).isin("", "api_available") == F.lit(False), "discarded", "api_not_available"),
+        (~known, "discarded", "invalid_or_unknown_label"), (pre_length < min_pre, "discarded", "short_pre_decision_text"), ((substantive == 0) & (relevance >= 0.8), "rag_only", "no_substantive_decision_content"),
+        (substantive == 0, "discarded", "no_substantive_decision_content"), (procedural == 1, "discarded", "procedural_only"), (strong, "strong_label_train_candidate", ""), (relevance >= 0.70, "weak_label_candidate", ""), (relevance >= 0.55, "rag_only", ""),
+    ]
+    named = [F.when(cond, F.struct(F.lit(b).alias("bucket"), F.lit(r).alias("reason"))) for cond, b, r in rules]
+    return F.coalesce(*named, F.struct(F.lit("discarded").alias("bucket"), F.lit("").alias("reason")))
+
+
+def contradictions(label: Column, reason: Column, items: Column, support: list[str], refuse: list[str], part: list[str]) -> Column:
+    """Names of what contradicts a label in its reason and its items' evidence, sorted, each once.
+
+    items: array of structs with `label` and `evidence`; the first six make up the case's evidence, cut at 2,000
+    characters, and the first eight are looked at one by one. The lists are regular expressions.
+    """
+    hit = lambda text, patterns: F.coalesce(text.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False))
+    quoted = F.filter(F.transform(F.slice(items, 1, 6), lambda i: F.coalesce(i["evidence"], F.lit(""))), lambda e: e != "")
+    evidence, label = F.left(F.array_join(quoted, " "), F.lit(2000)), F.coalesce(label, F.lit("unknown"))
+    either = lambda patterns: hit(evidence, patterns) | hit(reason, patterns)
+    among = lambda name, patterns: F.exists(F.slice(items, 1, 8), lambda i: (i["label"] == name) & hit(i["evidence"], patterns))
+    rules = {
+        "support_but_not_keywords": (label == "support") & either(refuse),
+        "not_support_but_support_keywords": (label == "not_support") & either(support),
+        "partial_without_partial_markers": (label == "partial") & ~either(part),
+        "unknown_but_has_disposition_keywords": (label == "unknown") & (hit(evidence, support) | hit(evidence, refuse)),
+        "item_support_but_not_kw": F.coalesce(among("support", refuse), F.lit(False)),
+        "item_not_support_but_support_kw": F.coalesce(among("not_support", support), F.lit(False)),
+    }
+    return F.array_sort(F.array_compact(F.array(*[F.when(cond, name) for name, cond in rules.items()])))
+
+
+def flag_report(df: DataFrame, flags: str = "flags") -> DataFrame:
+    """flag, n: how many rows carry each flag; rows without any count as none."""
+    return df.select(F.explode(F.when(F.size(flags) > 0, F.col(flags)).otherwise(F.array(F.lit("none")))).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sets import numbered
+
 TIERS = ("excluded_or_pending", "local_candidate", "high_quality", "accepted")
 
 
@@ -44,3 +46,40 @@ def funnel(df: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
 def minus(df: DataFrame, *others: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in none of the other tables."""
     return reduce(lambda a, b: a.join(b.select(key), key, "left_anti"), others, df)
+
+
+def first_of(df: DataFrame, same: str, key: str) -> DataFrame:
+    """`first`: whether a row has the smallest key of all rows that are the same; by an aggregate and a join, not by a sort of each group."""
+    least = df.groupBy(same).agg(F.min(key).alias("_least"))
+    return df.join(least.withColumnRenamed(same, "_same"), F.col(same).eqNullSafe(F.col("_same"))).withColumn("first", F.col(key) == F.col("_least")).drop("_least", "_same")
+
+
+def ranked_pool(df: DataFrame, conditions: list[Column], same: str, key: str, score: Column, *then: Column) -> DataFrame:
+    """The first of equal rows among those that meet all conditions, with score and rank by score, then the further order, then key; positions are counted by range, not in one task."""
+    kept = df.filter(reduce(lambda a, b: a & b, conditions))
+    return numbered(first_of(kept, same, key).filter("first").drop("first").withColumn("score", score), F.desc("score"), *then, F.col(key), name="rank")
+
+
+def wide_score(delay: Column, procedure: Column, evidence: Column, chars: Column) -> Column:
+    return delay * 5 + procedure * 2 + evidence + F.least(F.greatest(chars / 5000, F.lit(0.0)), F.lit(5.0))
+
+
+def label_queue(df: DataFrame, known: list[tuple[str, Column]], later: list[tuple[str, Column]], same: str, key: str, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """The queue with its positions, and the report of what was left out.
+
+    `known` reasons are counted each by itself (a row may have several); then a row that repeats an earlier one, kept or not,
+    goes; `later` reasons are counted among the rows that are left. The report: metric, value, in that order.
+    """
+    rows = first_of(df.withColumns({f"_k{i}": F.coalesce(c, F.lit(False)) for i, (_, c) in enumerate(known)} | {f"_l{i}": F.coalesce(c, F.lit(False)) for i, (_, c) in enumerate(later)}), same, key)
+    count = lambda c: F.count(F.when(c, 1))
+    keep = reduce(lambda a, b: a & b, [~F.col(f"_k{i}") for i in range(len(known))], F.lit(True))
+    metrics = [(name, count(F.col(f"_k{i}"))) for i, (name, _) in enumerate(known)] + [("repeated_text", count(keep & ~F.col("first")))]
+    keep = keep & F.col("first")
+    for i, (name, _) in enumerate(later):
+        metrics.append((name, count(keep & F.col(f"_l{i}"))))
+        keep = keep & ~F.col(f"_l{i}")
+    metrics = [("source_rows", F.count("*")), ("queue_rows", count(keep)), *metrics]
+    one = rows.agg(*[c.alias(f"m{i}") for i, (_, c) in enumerate(metrics)])
+    report = one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("metric"), F.col(f"m{i}").alias("value")) for i, (name, _) in enumerate(metrics)])))
+    marks = [*(f"_k{i}" for i in range(len(known))), *(f"_l{i}" for i in range(len(later))), "first"]
+    return numbered(rows.filter(keep).drop(*marks), *order, F.col(key)), report

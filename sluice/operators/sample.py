@@ -63,3 +63,28 @@ def rotating_blocks(sources: DataFrame, position: str, categories: list[str], si
     step = F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_step")
     rows = sources.select("*", step)
     return rows.withColumn("block_no", start + F.col("_step") + 1).withColumn("category", F.get(F.array(*map(F.lit, categories)), ((start % len(categories) + F.col("_step")) % len(categories)).cast("int"))).drop("_step")
+
+
+def training_pairs(blocks: DataFrame, key: str, source: str, category: str, role: str, seed: int, rate: float = 0.3, held: float = 0.2) -> DataFrame:
+    """key, category (of the question), match (the content's key), kind, label, split: questions about a block's category with the block, and about `rate` of all pairs with another block.
+
+    A positive draws a negative by the hash of its key, and with it the kind: `near` is the next block of the same category
+    in hash order, `hard` the next block of the same source if its role differs, `random` the next block of the split if its
+    category differs. A negative whose partner is missing, the block itself, or does not differ as it should is not made. Splits go by source and
+    partners are of the same split, so no content is in both. Positions are counted by range, so no task holds a category.
+    """
+    share = lambda column, s: F.conv(F.substring(order_key(column, s), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    rows = blocks.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(category).alias("category"), F.col(role).alias("role")).filter("key is not null and source is not null and category is not null").dropDuplicates(["key"])
+    rows = rows.withColumn("split", F.when(share(F.col("source"), seed) < held, "validation").otherwise("train"))
+    drawn, which = share(F.col("key"), seed + 1), share(F.col("key"), seed + 2)
+    rows = rows.withColumn("kind", F.when(drawn < rate / (1 - rate), F.when(which < 1 / 3, "near").when(which < 2 / 3, "hard").otherwise("random")))
+    positive = rows.select("key", "category", F.col("key").alias("match"), F.lit("positive").alias("kind"), F.lit(1).alias("label"), "split")
+    near = F.col("category") == F.col("category_2")
+    differs = {"near": (F.concat_ws("|", "split", "category"), near), "hard": (F.col("source"), ~F.col("role").eqNullSafe(F.col("role_2"))), "random": (F.col("split"), ~near)}
+    out = positive
+    for i, (kind, (group, fits)) in enumerate(differs.items()):
+        placed = ranked(rows.withColumn("_g", group), "_g", "key", seed + 3 + i)
+        other = placed.select("_g", F.col("r").alias("_next"), F.col("key").alias("match"), F.col("category").alias("category_2"), F.col("role").alias("role_2"))
+        met = placed.filter(F.col("kind") == kind).withColumn("_next", F.col("r") % F.col("n") + 1).join(other, ["_g", "_next"]).filter((F.col("key") != F.col("match")) & fits)
+        out = out.unionByName(met.select("key", "category", "match", "kind", F.lit(0).alias("label"), "split"))
+    return out

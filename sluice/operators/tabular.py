@@ -5,6 +5,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .sets import numbered
 
 #: Added to a divisor's size.
@@ -20,6 +21,42 @@ def interactions(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns(made)
 
 
+def finite(column: Column) -> Column:
+    """A number without infinite values and NaN, which are missing."""
+    value = column.cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
+def row_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
+    """row_mean, row_std (sample; null for fewer than two values), row_min, row_max, row_median, row_na_count, row_abs_mean over the columns' values; nulls, NaN and infinite values do not count."""
+    values = F.filter(F.array(*[finite(F.col(c)) for c in columns]), lambda x: x.isNotNull())
+
+    def figures(v: Column) -> Column:
+        n, order = F.size(v), F.array_sort(v)
+        mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.nullif(n, F.lit(0))
+        square = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+        middle = (F.get(order, F.floor((n - 1) / 2).cast("int")) + F.get(order, F.floor(n / 2).cast("int"))) / 2
+        return F.struct(
+            mean.alias("row_mean"), F.when(n >= 2, F.sqrt(square / (n - 1))).alias("row_std"), F.array_min(v).alias("row_min"), F.array_max(v).alias("row_max"), F.when(n > 0, middle).alias("row_median"),
+            (F.lit(len(columns)) - n).alias("row_na_count"), (F.aggregate(v, F.lit(0.0), lambda a, x: a + F.abs(x)) / F.nullif(n, F.lit(0))).alias("row_abs_mean"),
+        )
+
+    return df.withColumn("_figures", T.once(values, figures)).select("*", "_figures.*").drop("_figures")
+
+
+def useless(df: DataFrame, columns: list[str]) -> DataFrame:
+    """name, dropped: a column goes if it is missing in all rows, or the same in all; a null beside a value is a second value. One pass."""
+    there = {c: finite(F.col(c)) for c in columns}
+    gone = [((F.count(x) == 0) | ((F.count(x) == F.count("*")) & (F.min(x) == F.max(x)))).alias(c) for c, x in there.items()]
+    return df.agg(*gone).select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("dropped")) for c in columns])))
+
+
+def without_useless(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with the columns' infinite values as nulls, without those that useless() drops; a row for each column reaches the driver."""
+    gone = [r["name"] for r in useless(df, columns).filter("dropped").collect()]
+    return df.withColumns({c: finite(F.col(c)) for c in columns if c not in gone}).drop(*gone)
+
+
 def lags(df: DataFrame, group: str, order: list[str], columns: list[str]) -> DataFrame:
     """Of each column the last two values before a row, means of the last 3 and 5, deviation of the last 5 (two at least), and the gaps to the last one and to the mean of 3."""
     w = Window.partitionBy(group).orderBy(*order)
