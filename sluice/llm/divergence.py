@@ -30,7 +30,7 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 #: Rows and columns of a leaf; groups in a range; counts of a block that a task should get about; leaves compared at once.
 LEAF_ROWS, LEAF_COLS, RANGE, ENTRIES, AT_ONCE = 8, 32, 512, 1 << 18, 1024
 #: Terms that a task counts before it hands them on, and bytes of a text that it splits at once.
-HELD, SLICE = 1 << 18, 1 << 20
+HELD, SLICE = 1 << 19, 1 << 20
 COUNTS = "lang string, source string, term string, n long, docs long"
 
 
@@ -53,9 +53,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
         n, within, held = {}, {}, 0
 
         def rows():
-            keys = [(g, t) for g, c in n.items() for t in c]
-            columns = [[g[0] for g, _ in keys], [g[1] for g, _ in keys], [None if t is None else t.decode("utf-8", "replace") for _, t in keys], [n[g][t] for g, t in keys], [within[g][t] for g, t in keys]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [pa.int64()] * 2, strict=True)], ["lang", "source", "term", "n", "docs"])
+            for (lang, source), own in n.items():
+                term = pa.array(list(own), pa.binary()).cast(pa.string())  # whole characters, since terms end at ASCII
+                columns = [pa.repeat(pa.scalar(lang), len(own)), pa.repeat(pa.scalar(source), len(own)), term]
+                sums = [np.fromiter(x, np.int64, len(own)) for x in (own.values(), map(within[lang, source].__getitem__, own))]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, sums)], ["lang", "source", "term", "n", "docs"])
 
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
@@ -71,10 +73,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 within[group][None] += 1
                 held += len(own) - size
                 if held >= HELD:
-                    yield rows()
+                    yield from rows()
                     n, within, held = {}, {}, 0
         if n:
-            yield rows()
+            yield from rows()
 
     found = picked(docs, "lang", "source", "text").mapInArrow(count, COUNTS)
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
