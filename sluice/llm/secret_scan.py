@@ -34,41 +34,58 @@ ALLOWED = (r"^[A-Za-z_=/+-]+$", r"^[0-9_=/+-]+$", r"^(.)\1+$", r"(?i)^[0-9a-f]{8
 #: What makes a candidate a placeholder, if it is half of it or more.
 PLACEHOLDER = r"(?i)example|placeholder|your[_-]?|x{4,}|0{4,}|12345678?9?0?"
 LEAST = 20
+#: Bits of a count, and counts in a long.
+BITS, PER_WORD = 6, 10
 
 
 def assign_ok(hit: Column) -> Column:
     return F.length(F.regexp_extract(hit, ASSIGN, 2)) >= ASSIGN_LEAST
 
 
-def peak_entropy(candidate: Column, window: Column) -> Column:
-    """The highest Shannon entropy of any full window, in bits; 0 for candidates shorter than the window."""
+def peak_entropy(candidate: Column, window: Column | int) -> Column:
+    """The highest Shannon entropy of any full window, in bits; 0 for candidates shorter than the window (at most 63).
+
+    The alphabet's counts stand in a few longs, BITS bits each, so that a step changes two of them at a constant price.
+    """
+    window = F.lit(window)  # a constant: it is evaluated at every step
     weight = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
-    state = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("i"))
+    shift = lambda value, slot: F.call_function("shiftleft", value, (slot % PER_WORD * BITS).cast("int"))
+    words = -(-len(ALPHABET) // PER_WORD)
+    state = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"))
+
+    def count(counts, slot):
+        return F.call_function("shiftright", F.get(counts, F.floor(slot / PER_WORD).cast("int")), (slot % PER_WORD * BITS).cast("int")).bitwiseAND(F.lit(2**BITS - 1))
 
     def step(slots, s, i):
-        new, full = F.get(slots, i), i >= window
-        old = F.when(full, F.get(slots, i - window)).otherwise(F.lit(-1))
-        down = F.transform(s["counts"], lambda n, j: n - F.when(j == old, 1).otherwise(0))
-        n_old = F.coalesce(F.get(s["counts"], F.when(full, old)), F.lit(0))
-        n_new = F.get(down, new)
-        total = s["sum"] - F.when(full, weight(n_old) - weight(n_old - 1)).otherwise(0.0) + weight(n_new + 1) - weight(n_new)
-        up = F.transform(down, lambda n, j: n + F.when(j == new, 1).otherwise(0))
-        bits = F.when(i + 1 >= window, F.log2(window) - total / window).otherwise(F.lit(0.0))
-        return F.struct(up.alias("counts"), total.alias("sum"), F.greatest(s["peak"], bits).alias("peak"), (i + 1).alias("i"))
+        new, old = F.get(slots, i), F.get(slots, F.when(i >= window, i - window))
+        one = F.lit(1).cast("long")
+
+        def moved(n, j):
+            less = F.when(F.floor(old / PER_WORD) == j, shift(one, old)).otherwise(F.lit(0).cast("long"))
+            return n - less + F.when(F.floor(new / PER_WORD) == j, shift(one, new)).otherwise(F.lit(0).cast("long"))
+
+        def total(n_old, n_new):
+            gone = F.when(old.isNotNull(), weight(n_old) - weight(n_old - 1)).otherwise(0.0)
+            held = n_new - F.when(old == new, 1).otherwise(0)
+            return s["sum"] - gone + weight(held + 1) - weight(held)
+
+        sums = total(F.coalesce(count(s["counts"], old), F.lit(0).cast("long")), count(s["counts"], new))
+        bits = lambda t: F.when(i + 1 >= window, F.log2(window) - t / window).otherwise(F.lit(0.0))
+        return let(sums, lambda t: F.struct(F.transform(s["counts"], moved).alias("counts"), t.alias("sum"), F.greatest(s["peak"], bits(t)).alias("peak")))
 
     slots_of = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     return let(slots_of, lambda slots: F.aggregate(F.sequence(F.lit(0), F.size(slots) - 1), state, lambda s, i: step(slots, s, i), lambda s: s["peak"]))
 
 
 def suspicious(candidate: Column) -> Column:
-    """Whether a candidate is not allowed and its entropy reaches its class's threshold."""
+    """Whether a candidate is not allowed and its entropy reaches its class's threshold; classes are told apart once, outside the window's steps."""
     allowed = F.length(F.regexp_replace(candidate, PLACEHOLDER, "")) * 2 <= F.length(candidate)
     for pattern in ALLOWED:
         allowed = allowed | candidate.rlike(pattern)
-    window, threshold = F.lit(None).cast("int"), F.lit(None).cast("double")
-    for _, pattern, size, bits in reversed(CLASSES):
-        window, threshold = F.when(candidate.rlike(pattern), size).otherwise(window), F.when(candidate.rlike(pattern), bits).otherwise(threshold)
-    return F.when(allowed, F.lit(False)).otherwise(peak_entropy(candidate, window) >= threshold)
+    found = F.when(allowed, F.lit(False))
+    for _, pattern, window, bits in CLASSES:
+        found = found.when(candidate.rlike(pattern), peak_entropy(candidate, window) >= bits)
+    return found.otherwise(F.lit(False))
 
 
 def outside(piece: Column, spans: Column) -> Column:

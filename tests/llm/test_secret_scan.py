@@ -66,3 +66,38 @@ def test_secrets_with_prefixes_zeros_and_neighbours(spark):
     got = rows_of(spark, texts)
     assert [got[i].r for i in (0, 1, 2)] == ["[ENTROPY]"] * 3 and got[3].r == "[ACCESS][ENTROPY]"
     assert got[4].r.count("[ENTROPY]") >= 1 and key not in got[4].r and [got[i].r for i in (5, 6)] == texts[5:]
+
+
+def test_a_candidate_of_200000_characters(spark):
+    import random
+    import time
+
+    rng = random.Random(4)
+    long = "".join(rng.choice(S.ALPHABET) for _ in range(200_000))
+    rows_of(spark, ["warm up " + long[:100]])
+    began = time.time()
+    got = rows_of(spark, ["see " + long + " there", "word " * 40_000 + long[:50_000]])
+    assert time.time() - began < 15 and got[0].r == "see [ENTROPY] there" and got[1].s == f"entropy:200000:{250_000}"
+
+
+def test_planted_secrets_of_each_class(spark):
+    """Recall by class on keys drawn at random, and false hits on prose, names, paths, numbers and placeholders."""
+    import random
+    import string
+
+    rng = random.Random(9)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    classes = {"hexadecimal": "0123456789ABCDEF", "alphanumeric": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+    planted = {c: [f"The value of run {i} is {draw(a, rng.randint(32, 64))} as seen." for i in range(200)] for c, a in classes.items()}
+    clean = [f"{w} " * 5 for w in ("internationalisation_of_everything", "2024-11-28T10:00:00_0000000001", "src/main/java/org/example/Thing", "00000000000000000000000000", "your_api_key_placeholder_1234567890", "550e8400-e29b-41d4-a716-446655440000", "Donaudampfschifffahrtsgesellschaft")]
+    texts = [t for rows in planted.values() for t in rows] + clean
+    got = rows_of(spark, texts)
+    recall = {c: sum("entropy" in got[i + 200 * k].s for i in range(200)) / 200 for k, c in enumerate(classes)}
+    assert all(r >= 0.97 for r in recall.values()), recall
+    assert not [t for i, t in enumerate(clean) if "entropy" in got[600 + i].s]
+
+
+def test_empty_tables_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "token=abcdefghijklmnop"), (1, "token=abcdefghijklmnop"), (1, "token=abcdefghijklmnop")], "doc_id long, text string")
+    assert [(r.doc_id, len(r.spans)) for r in S.scan(df).orderBy("doc_id").collect()] == [(None, 1), (1, 1), (1, 1)]
+    assert S.scan(df.limit(0)).count() == 0
