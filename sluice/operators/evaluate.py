@@ -152,3 +152,89 @@ def run_delta(old: DataFrame, new: DataFrame, keys: list[str], metrics: list[str
     gap = F.round(F.col("new_value") - F.col("old_value"), 6)
     status = F.when(gap.isNull(), "missing").when(gap < 0, "worse").when(gap > 0, "better").otherwise("same")
     return both.select(*keys, "metric", "old_value", "new_value", gap.alias("delta"), status.alias("status"))
+
+
+def inflation(scores_: DataFrame, keys: list[str], mode: str, base: str, metric: str = "macro_f1", limit: float = 0.005) -> DataFrame:
+    """scores_ with base_<metric>, delta (6 digits) and risk: whether another text mode scores more than `limit` above the base one. Without a base row they are null, null and 0."""
+    own = scores_.filter(F.col(mode) == base).select(*keys, F.col(metric).alias(f"base_{metric}"))
+    joined = scores_.join(own, keys, "left") if keys else scores_.crossJoin(own)
+    delta = F.round(F.col(metric) - F.col(f"base_{metric}"), 6)
+    return joined.withColumn("delta", delta).withColumn("risk", F.coalesce((F.col(mode) != base) & (F.col("delta") > limit), F.lit(False)).cast("int"))
+
+
+def error_rules(c: dict[str, Column]) -> dict[str, list[tuple[str, Column]]]:
+    """Six sets of ordered rules that name an error; the last rule of a set always holds. c: true, pred, confidence and the evidence columns by name.
+
+    `diagnosis` is for errors only and looks at evidence first, `copilot` too but at the label first; `selective` and `dispute`
+    name correct rows as such; `partial` and `support` tell one boundary from the rest.
+    """
+    true, pred, right = c["true"], c["pred"], c["true"] == c["pred"]
+    has = lambda label: (true == label) | (pred == label)
+    always = F.lit(True)
+    return {
+        "diagnosis": [
+            ("responsibility_evidence_inconsistency", c["consistent"] == 0), ("insufficient_evidence", (c["valid_spans"] < 0.70) | (c["coverage"] < 0.45) | (c["sufficiency"] < 0.38)), ("concurrent_delay_conflict", c["both"]),
+            ("procedural_noncompliance_confusion", c["noncompliant"]), ("partial_support_boundary_confusion", has("partial")), ("ambiguous_causality", always),
+        ],
+        "copilot": [
+            ("partial_support_boundary_confusion", has("partial")), ("insufficient_evidence", c["valid_spans"] < 0.5), ("ambiguous_causality", c["causality"] >= 0.5), ("procedural_noncompliance_confusion", c["procedure_risk"] >= 0.5),
+            ("model_label_mismatch", always),
+        ],
+        "selective": [
+            ("correct", right), ("support_under_recognition", true == "support"), ("not_support_partial_boundary", (true == "not_support") & (pred == "partial")), ("partial_boundary_confusion", true == "partial"), ("other_label_confusion", always),
+        ],
+        "dispute": [
+            ("correct", right), ("low_confidence_boundary", c["confidence"] < 0.55), ("candidate_label_conflict", c["conflict"] == 1), ("partial_support_boundary_confusion", has("partial")), ("management_mechanism_high_dispute", c["dispute"] == 1),
+            ("outcome_class_confusion", always),
+        ],
+        "partial": [("partial_boundary_confusion", has("partial")), ("other_class_confusion", always)],
+        "support": [("support_boundary_error", has("support")), ("other_error", always)],
+    }
+
+
+def error_categories(rules: list[tuple[str, Column]]) -> Column:
+    """The first rule that holds; a null condition does not."""
+    return F.coalesce(*[F.when(cond, name) for name, cond in rules])
+
+
+def root_causes(df: DataFrame, dataset: str, gold: str, pred: str, hint: str, conflict: str, labels: tuple[str, ...], groups: dict[str, list[str]]) -> DataFrame:
+    """cause, metric, dataset, value: what speaks for bad labels (by dataset), for a task cut too fine, and for a weak model (all datasets together).
+
+    Labels are compared as they are, nulls as unknown; groups: coarser labels and their members. Scores are macro-F1 over rows with known
+    labels; the majority is that of the gold labels, ties to the earlier one.
+    """
+    plain = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
+    rows = df.select(F.col(dataset).alias("dataset"), plain(gold).alias("gold"), plain(pred).alias("pred"), plain(hint).alias("hint"), F.coalesce(F.col(conflict), F.lit(0)).alias("conflict"))
+    sizes = rows.groupBy("dataset", "gold").count().groupBy("dataset").agg(F.max("count").alias("top"))
+    share = lambda cond: F.avg(cond.cast("double"))
+    by = rows.groupBy("dataset").agg(share(F.col("gold") == "unknown").alias("unknown_ratio"), share(F.col("conflict") == 1).alias("conflict_rate"), share(F.col("gold") != F.col("hint")).alias("hint_disagreement"), F.count("*").alias("n")).join(sizes, "dataset")
+    label_rows = by.select("dataset", F.inline(F.array(*[F.struct(F.lit("label_problem").alias("cause"), F.lit(m).alias("metric"), v.alias("value")) for m, v in (("unknown_ratio", F.col("unknown_ratio")), ("max_class_ratio", F.col("top") / F.col("n")), ("conflict_rate", F.col("conflict_rate")), ("hint_disagreement", F.col("hint_disagreement")))])))
+    coarse = lambda c: F.coalesce(*[F.when(F.col(c).isin(*members), name) for name, members in groups.items()], F.lit("unknown"))
+    place = F.coalesce(*[F.when(F.col("gold") == c, -i) for i, c in enumerate(labels)])
+    majority = rows.filter(F.col("gold").isin(*labels)).groupBy("gold").agg(F.count("*").alias("n"), F.first(place).alias("p")).agg(F.max_by("gold", F.struct("n", "p")).alias("majority"))
+    rows = rows.crossJoin(F.broadcast(majority))  # one row
+    tests = [
+        ("task_problem", "macro_f1_all_labels", F.col("gold"), F.col("pred"), labels), ("task_problem", "macro_f1_folded", coarse("gold"), coarse("pred"), tuple(groups)), ("model_problem", "diagnosis_macro_f1", F.col("gold"), F.col("pred"), labels),
+        ("model_problem", "hint_macro_f1", F.col("gold"), F.col("hint"), labels), ("model_problem", "majority_macro_f1", F.col("gold"), F.col("majority"), labels),
+    ]
+    out = label_rows.select("cause", "metric", "dataset", F.round("value", 6).alias("value"))
+    for cause, metric, true, says, known in tests:
+        made = scores(rows.select(true.alias("y_true"), says.alias("y_pred")), [], known)
+        out = out.unionByName(made.select(F.lit(cause).alias("cause"), F.lit(metric).alias("metric"), F.lit("all").alias("dataset"), F.coalesce("macro_f1", F.lit(0.0)).alias("value")))
+    return out
+
+
+def claim_tiers(runs: DataFrame, recomputed: DataFrame, covered: DataFrame, current: str, headline: Column, required: list[str]) -> DataFrame:
+    """run_name, audit_status, metric_recomputed, artifact_traceable, leakage_sentinel_passed, tier, headline_claimable of each run.
+
+    runs: run_name, audit_status; recomputed: run_name, metric_match, traceability_status and what `headline` needs, which is looked at for the
+    current run only; covered: dataset_name of the leakage sentinel. A run without recomputed metrics is neither recomputed nor traceable.
+    """
+    counted = recomputed.filter((F.col("run_name") != current) | headline)
+    checks = counted.groupBy("run_name").agg(F.min((F.coalesce("metric_match", F.lit(0)) == 1).cast("int")).alias("metric_recomputed"), F.min((F.coalesce("traceability_status", F.lit("")) == "complete").cast("int")).alias("artifact_traceable"))
+    seen = covered.filter(F.col("dataset_name").isin(*required)).agg((F.count_distinct("dataset_name") == len(set(required))).cast("int").alias("_seen"))
+    rows = runs.select("run_name", "audit_status").join(checks, "run_name", "left").fillna(0, ["metric_recomputed", "artifact_traceable"]).crossJoin(F.broadcast(seen))  # one row
+    now = F.col("run_name") == current
+    rows = rows.withColumn("leakage_sentinel_passed", F.when(now, F.col("_seen")).otherwise(0)).withColumn("tier", F.when(now, "claimable with caution").otherwise("historical reference only"))
+    claimable = now & (F.col("audit_status") == "complete") & (F.col("metric_recomputed") == 1) & (F.col("artifact_traceable") == 1) & (F.col("leakage_sentinel_passed") == 1)
+    return rows.withColumn("headline_claimable", F.coalesce(claimable, F.lit(False)).cast("int")).drop("_seen")

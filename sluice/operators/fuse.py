@@ -123,3 +123,25 @@ def weighted_vote(df: DataFrame, fold: str, true: str, votes: list[str], candida
     scored = own.select("fold", "candidate", F.round(score, 9).alias("score"), F.round(F.try_divide(total("tp", mine), total("sp", mine)), 6).alias("accuracy"))
     best = scored.groupBy("fold").agg(F.max_by(F.struct("candidate", "score", "accuracy"), F.struct("score", -F.col("candidate"))).alias("b"))
     return best.select("fold", "b.candidate", F.round("b.score", 6).alias("score"), "b.accuracy")
+
+
+def prior_weight(label: Column, conflict: Column, review: Column, labels: tuple[str, ...] = OUTCOMES) -> Column:
+    """.32 for a known label without conflict or review, .18 for another known one, 0 for an unknown one."""
+    return F.when(F.coalesce(label.isin(*labels), F.lit(False)), F.when((conflict == 0) & (review == 0), 0.32).otherwise(0.18)).otherwise(0.0)
+
+
+def hybrid(base: list[Column], retrieved: list[Column], rule: Column, prior: Column, weight: Column, hint: Column, evidence: Column, incomplete: Column, owner: Column) -> list[Column]:
+    """Probabilities of support, partial and not_support: base, retrieval, rule, prior and hint weighed, moved by the evidence, normalised.
+
+    Incomplete records move weight from support to not_support, an owner's responsibility with evidence of .58 or more moves it back,
+    and evidence under .38 mixes a fifth of a cautious distribution in. Labels that are unknown or null add nothing.
+    """
+    is_ = lambda label, c: F.coalesce((label == c).cast("double"), F.lit(0.0))
+    p = [0.50 * b + 0.20 * r + 0.10 * is_(rule, c) + weight * is_(prior, c) + 0.08 * is_(hint, c) for b, r, c in zip(base, retrieved, OUTCOMES, strict=True)]
+    support, partial, refuse = p
+    shift = F.when(incomplete, F.least(F.lit(0.12), support * 0.35 + 0.04)).otherwise(0.0)
+    support, refuse = F.greatest(F.lit(0.0), support - shift), refuse + shift
+    back = F.when(owner & (evidence >= 0.58), F.least(F.lit(0.08), refuse * 0.30 + 0.03)).otherwise(0.0)
+    support, refuse = support + back, F.greatest(F.lit(0.0), refuse - back)
+    cautious = lambda x, share: F.greatest(F.when(evidence < 0.38, 0.80 * x + 0.20 * share).otherwise(x), F.lit(1e-8))
+    return normalised([cautious(support, 0.15), cautious(partial, 0.45), cautious(refuse, 0.40)])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluate, fuse, labels, pools, preprocess, sample, tabular
-from .evaluation import PRED, predictions
+from .evaluation import GROUP_F1, PRED, predictions, probs
 from .features import CORE, RISK, TOPIC, any_sql, hits_sql
 from .fusion import nearest
 from .registry import query, table
@@ -258,3 +258,74 @@ SETS = [[1, 1, 1], *[[(i * (7 + 10 * j) + 31 * j) % 101 + 1 for j in range(3)] f
 def l10(spark, d):
     rows = predictions(spark, d).select((C("y_true") == "support").cast("int").alias("y"), "pa", (1 - C("pb")).alias("qb"), (1 - C("pc")).alias("qc"))
     return preprocess.blend(rows, "y", ["pa", "qb", "qc"], np.array(SETS, float))
+
+
+@query("j18_inflation", f"WITH {PRED}, rows_ AS (SELECT (vec_id % 2)::VARCHAR || '|' || CASE fold % 3 WHEN 0 THEN 'pre' WHEN 1 THEN 'post' ELSE 'both' END AS g, y_true, y_pred FROM pred), {GROUP_F1}, t AS (SELECT split_part(g, '|', 1)::BIGINT AS dataset, split_part(g, '|', 2) AS mode, macro_f1 FROM m) SELECT t.*, b.macro_f1 AS base_macro_f1, round(t.macro_f1 - b.macro_f1, 6) AS delta, (t.mode <> 'pre' AND round(t.macro_f1 - b.macro_f1, 6) > 0.005)::INT AS risk FROM t LEFT JOIN t b ON b.dataset = t.dataset AND b.mode = 'pre'")
+def j18_inflation(spark, d):
+    mode = F.when(C("fold") % 3 == 0, "pre").when(C("fold") % 3 == 1, "post").otherwise("both")
+    rows = predictions(spark, d).withColumns({"dataset": C("vec_id") % 2, "mode": mode})
+    return evaluate.inflation(evaluate.scores(rows, ["dataset", "mode"]).select("dataset", "mode", "macro_f1"), ["dataset"], "mode", "pre")
+
+
+JUDGED = f"""{CASES}, e AS (SELECT doc_id, label AS y_true, CASE WHEN rel >= 0.7 THEN 'support' WHEN core > 1 THEN 'partial' ELSE 'not_support' END AS y_pred, conf, consistent, coverage, rel, extractable, conflict, risk, topic > 2 AND core > 2 AS both_, review FROM c WHERE label <> 'unknown')"""
+PARTIAL, BOUNDARY = "(y_true = 'partial' OR y_pred = 'partial')", "'partial_support_boundary_confusion'"
+
+
+@query("j24_six_rule_sets", f"""WITH {JUDGED} SELECT doc_id,
+ CASE WHEN consistent = 0 THEN 'responsibility_evidence_inconsistency' WHEN conf < 0.7 OR coverage < 0.45 OR rel < 0.38 THEN 'insufficient_evidence' WHEN both_ THEN 'concurrent_delay_conflict' WHEN risk = 1 THEN 'procedural_noncompliance_confusion' WHEN {PARTIAL} THEN {BOUNDARY} ELSE 'ambiguous_causality' END AS diagnosis,
+ CASE WHEN {PARTIAL} THEN {BOUNDARY} WHEN conf < 0.5 THEN 'insufficient_evidence' WHEN extractable < 0.6 THEN 'ambiguous_causality' WHEN rel >= 0.5 THEN 'procedural_noncompliance_confusion' ELSE 'model_label_mismatch' END AS copilot,
+ CASE WHEN y_true = y_pred THEN 'correct' WHEN y_true = 'support' THEN 'support_under_recognition' WHEN y_true = 'not_support' AND y_pred = 'partial' THEN 'not_support_partial_boundary' WHEN y_true = 'partial' THEN 'partial_boundary_confusion' ELSE 'other_label_confusion' END AS selective,
+ CASE WHEN y_true = y_pred THEN 'correct' WHEN conf < 0.55 THEN 'low_confidence_boundary' WHEN conflict = 1 THEN 'candidate_label_conflict' WHEN {PARTIAL} THEN {BOUNDARY} WHEN review = 1 THEN 'management_mechanism_high_dispute' ELSE 'outcome_class_confusion' END AS dispute,
+ CASE WHEN {PARTIAL} THEN 'partial_boundary_confusion' ELSE 'other_class_confusion' END AS "partial", CASE WHEN y_true = 'support' OR y_pred = 'support' THEN 'support_boundary_error' ELSE 'other_error' END AS support FROM e""")
+def j24(spark, d):
+    pred = F.when(C("rel") >= 0.7, "support").when(C("core") > 1, "partial").otherwise("not_support")
+    rows = cases(spark, d).filter("label <> 'unknown'").withColumn("y_pred", pred)
+    columns = {"true": C("label"), "pred": C("y_pred"), "confidence": C("conf"), "consistent": C("consistent"), "valid_spans": C("conf"), "coverage": C("coverage"), "sufficiency": C("rel"), "both": (C("topic") > 2) & (C("core") > 2), "noncompliant": C("risk") == 1, "causality": F.when(C("extractable") < 0.6, 1.0).otherwise(0.0), "procedure_risk": C("rel"), "conflict": C("conflict"), "dispute": C("review")}
+    return rows.select("doc_id", *[evaluate.error_categories(rules).alias(name) for name, rules in evaluate.error_rules(columns).items()])
+
+
+PARTIES, FOLDED = ("owner", "contractor", "both", "third"), {"owner": ["owner"], "contractor": ["contractor"], "shared": ["both", "third"]}
+CAUSES = f"""{CASES}, k AS (SELECT CASE WHEN lang = 'en' THEN 'strict' ELSE 'extended' END AS dataset, CASE WHEN n_chars % 7 = 0 THEN 'unknown' WHEN topic > 2 THEN 'both' WHEN risk = 1 THEN 'third' WHEN core > 1 THEN 'contractor' ELSE 'owner' END AS gold, CASE WHEN topic > 1 THEN 'both' WHEN core > 1 THEN 'contractor' ELSE 'owner' END AS pred, CASE WHEN topic > 3 THEN 'third' WHEN n_chars % 3 = 0 THEN 'contractor' ELSE 'owner' END AS hint, conflict FROM c),
+ mj AS (SELECT gold AS majority FROM k WHERE gold <> 'unknown' GROUP BY gold ORDER BY count(*) DESC, list_position(['owner', 'contractor', 'both', 'third'], gold) LIMIT 1),
+ fold_ AS (SELECT CASE WHEN gold IN ('both', 'third') THEN 'shared' ELSE gold END AS gold, CASE WHEN pred IN ('both', 'third') THEN 'shared' ELSE pred END AS pred FROM k),
+ t AS (SELECT 'a' AS g, gold, pred, l FROM k, (SELECT unnest(['owner', 'contractor', 'both', 'third']) AS l) UNION ALL SELECT 'f', gold, pred, l FROM fold_, (SELECT unnest(['owner', 'contractor', 'shared']) AS l) UNION ALL SELECT 'h', gold, hint, l FROM k, (SELECT unnest(['owner', 'contractor', 'both', 'third']) AS l) UNION ALL SELECT 'm', gold, majority, l FROM k, mj, (SELECT unnest(['owner', 'contractor', 'both', 'third']) AS l)),
+ f1 AS (SELECT g, l, coalesce(2 * count(*) FILTER (WHERE gold = l AND pred = l) / nullif(count(*) FILTER (WHERE pred = l AND gold <> 'unknown') + count(*) FILTER (WHERE gold = l), 0), 0) AS f FROM t GROUP BY g, l), s AS (SELECT g, round(avg(f), 6) AS v FROM f1 GROUP BY g),
+ top AS (SELECT dataset, max(n) AS top FROM (SELECT dataset, gold, count(*) AS n FROM k GROUP BY ALL) GROUP BY 1),
+ b AS (SELECT dataset, avg((gold = 'unknown')::INT) AS u, any_value(top) / count(*) AS x, avg(conflict) AS c, avg((gold <> hint)::INT) AS h FROM k JOIN top USING (dataset) GROUP BY dataset)"""
+
+
+@query("j19_root_causes", f"""WITH {CAUSES} SELECT 'label_problem' AS cause, unnest(['unknown_ratio', 'max_class_ratio', 'conflict_rate', 'hint_disagreement']) AS metric, dataset, round(unnest([u, x, c, h]), 6) AS value FROM b
+ UNION ALL SELECT CASE WHEN n < 3 THEN 'task_problem' ELSE 'model_problem' END, metric, 'all', v FROM (SELECT unnest(range(1, 6)) AS n, unnest(['a', 'f', 'a', 'h', 'm']) AS g, unnest(['macro_f1_all_labels', 'macro_f1_folded', 'diagnosis_macro_f1', 'hint_macro_f1', 'majority_macro_f1']) AS metric) JOIN s USING (g)""")
+def j19(spark, d):
+    gold = F.when(C("n_chars") % 7 == 0, F.lit(None)).when(C("topic") > 2, "both").when(C("risk") == 1, "third").when(C("core") > 1, "contractor").otherwise("owner")
+    pred, hint = F.when(C("topic") > 1, "both").when(C("core") > 1, "contractor").otherwise("owner"), F.when(C("topic") > 3, "third").when(C("n_chars") % 3 == 0, "contractor").otherwise("owner")
+    rows = cases(spark, d).select(F.when(C("lang") == "en", "strict").otherwise("extended").alias("dataset"), gold.alias("gold"), pred.alias("pred"), hint.alias("hint"), "conflict")
+    return evaluate.root_causes(rows, "dataset", "gold", "pred", "hint", "conflict", PARTIES, FOLDED)
+
+
+@query("j20_claim_tiers", """WITH runs AS (SELECT source AS run_name, CASE WHEN max(n_chars) > 2000 THEN 'complete' ELSE 'partial' END AS audit_status FROM documents GROUP BY source),
+ r AS (SELECT source AS run_name, lang, (n_chars > 150 OR lang <> 'en')::INT AS metric_match, CASE WHEN n_chars > 40 OR lang <> 'en' THEN 'complete' ELSE 'missing' END AS trace FROM documents), k AS (SELECT run_name, min(metric_match) AS metric_recomputed, min((trace = 'complete')::INT) AS artifact_traceable FROM r WHERE run_name <> 'src1' OR lang = 'de' GROUP BY 1),
+ s AS (SELECT (count(DISTINCT lang) = 2)::INT AS seen FROM documents WHERE lang IN ('en', 'de')), j AS (SELECT run_name, audit_status, coalesce(metric_recomputed, 0) AS metric_recomputed, coalesce(artifact_traceable, 0) AS artifact_traceable, CASE WHEN run_name = 'src1' THEN seen ELSE 0 END AS leakage_sentinel_passed FROM runs LEFT JOIN k USING (run_name), s)
+ SELECT *, CASE WHEN run_name = 'src1' THEN 'claimable with caution' ELSE 'historical reference only' END AS tier, (run_name = 'src1' AND audit_status = 'complete' AND metric_recomputed = 1 AND artifact_traceable = 1 AND leakage_sentinel_passed = 1)::INT AS headline_claimable FROM j""")
+def j20(spark, d):
+    docs = table(spark, d, "documents")
+    runs = docs.groupBy(C("source").alias("run_name")).agg(F.when(F.max("n_chars") > 2000, "complete").otherwise("partial").alias("audit_status"))
+    checks = docs.select(C("source").alias("run_name"), "lang", ((C("n_chars") > 150) | (C("lang") != "en")).cast("int").alias("metric_match"), F.when((C("n_chars") > 40) | (C("lang") != "en"), "complete").otherwise("missing").alias("traceability_status"))
+    return evaluate.claim_tiers(runs, checks, docs.select(C("lang").alias("dataset_name")).distinct(), "src1", C("lang") == "de", ["en", "de"])
+
+
+IS = "(coalesce({0}, '') = '{1}')::INT"
+MIXES = ", ".join(f"0.5::DOUBLE * p{k} + 0.2::DOUBLE * r{k} + 0.1::DOUBLE * {IS.format('rule', c)} + w * {IS.format('prior', c)} + 0.08::DOUBLE * {IS.format('hint', c)} AS {k}" for k, c in (("a", "support"), ("b", "partial"), ("c", "not_support")))
+
+
+@query("k14_hybrid_full", f"""WITH {PRED}, x AS (SELECT vec_id, pa, pb, pc, pb AS ra, pc AS rb, pa AS rc, y_pred AS rule, CASE WHEN fold = 4 THEN 'unknown' ELSE y_true END AS prior, CASE WHEN fold = 4 THEN 0 WHEN vec_id % 3 = 0 THEN 0.18::DOUBLE ELSE 0.32::DOUBLE END AS w, CASE WHEN fold = 3 THEN NULL ELSE y_pred END AS hint, 2 * pa AS ev, fold = 0 AS inc, model_name = 'tree' AS own FROM pred),
+ m AS (SELECT *, {MIXES} FROM x), s1 AS (SELECT *, CASE WHEN inc THEN least(0.12::DOUBLE, a * 0.35::DOUBLE + 0.04::DOUBLE) ELSE 0 END AS sh FROM m), s2 AS (SELECT vec_id, ev, own, greatest(0, a - sh) AS a, b, c + sh AS c FROM s1),
+ s3 AS (SELECT *, CASE WHEN own AND ev >= 0.58 THEN least(0.08::DOUBLE, c * 0.3::DOUBLE + 0.03::DOUBLE) ELSE 0 END AS sh FROM s2), s4 AS (SELECT vec_id, ev, a + sh AS a, b, greatest(0, c - sh) AS c FROM s3),
+ s5 AS (SELECT vec_id, greatest(CASE WHEN ev < 0.38 THEN 0.8::DOUBLE * a + 0.03::DOUBLE ELSE a END, 1e-8) AS a, greatest(CASE WHEN ev < 0.38 THEN 0.8::DOUBLE * b + 0.09::DOUBLE ELSE b END, 1e-8) AS b, greatest(CASE WHEN ev < 0.38 THEN 0.8::DOUBLE * c + 0.08::DOUBLE ELSE c END, 1e-8) AS c FROM s4)
+ SELECT vec_id, round(a / (a + b + c), 6) AS support, round(b / (a + b + c), 6) AS "partial", round(c / (a + b + c), 6) AS not_support FROM s5""")
+def k14(spark, d):
+    prior = F.when(C("fold") == 4, "unknown").otherwise(C("y_true"))
+    weight = fuse.prior_weight(prior, (C("vec_id") % 3 == 0).cast("int"), F.lit(0))
+    p = probs()
+    made = fuse.hybrid(p, [p[1], p[2], p[0]], C("y_pred"), prior, weight, F.when(C("fold") == 3, F.lit(None)).otherwise(C("y_pred")), 2 * C("pa"), C("fold") == 0, C("model_name") == "tree")
+    return predictions(spark, d).select("vec_id", *[F.round(x, 6).alias(c) for x, c in zip(made, labels.OUTCOMES, strict=True)])

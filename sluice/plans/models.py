@@ -89,3 +89,17 @@ def j18(spark, d):
         got = models.out_of_fold(rows.withColumn("text", text), "bayes", 2).select(F.lit(mode).alias("mode"), C("label").cast("int").cast("string").alias("y_true"), C("y_pred").cast("string").alias("y_pred"))
         out = got if out is None else out.union(got)
     return evaluate.scores(out, ["mode"], ("0", "1"), **names)
+
+
+@query("j18_sentinel_flags")
+def j18_flags(spark, d):
+    """Macro-F1 by text mode, how far each is above the first half's, and whether that is more than .005."""
+    out = None
+    rows = cases(spark, d, 2)
+    half = F.floor(F.length("text") / 2).cast("int")
+    for mode, text in (("first_half", F.left("text", half)), ("second_half", F.substr("text", half + 1, F.length("text"))), ("whole", C("text"))):
+        found = folded.feature_table(rows.withColumn("text", text), [], "doc_id", width=1 << 15)
+        long = folded.level_one(found, folded.Parts(found), ("char_bayes",))
+        got = folded.predictions(long.select(*folded.LONG)).select(F.lit(mode).alias("mode"), "y_true", "y_pred")
+        out = got if out is None else out.unionByName(got)
+    return evaluate.inflation(evaluate.scores(out, ["mode"]), [], "mode", "first_half")
