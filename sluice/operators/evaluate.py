@@ -238,3 +238,18 @@ def claim_tiers(runs: DataFrame, recomputed: DataFrame, covered: DataFrame, curr
     rows = rows.withColumn("leakage_sentinel_passed", F.when(now, F.col("_seen")).otherwise(0)).withColumn("tier", F.when(now, "claimable with caution").otherwise("historical reference only"))
     claimable = now & (F.col("audit_status") == "complete") & (F.col("metric_recomputed") == 1) & (F.col("artifact_traceable") == 1) & (F.col("leakage_sentinel_passed") == 1)
     return rows.withColumn("headline_claimable", F.coalesce(claimable, F.lit(False)).cast("int")).drop("_seen")
+
+
+def crossfit_temperature(df: DataFrame, fold: str, folds: list[int], true: str, probs: list[Column], grid: list[float], labels: tuple[str, ...] = OUTCOMES) -> DataFrame:
+    """fold, temperature, nll_before, nll_after: the temperature with the least loss on the other folds, applied unchanged to the fold; ties go to the smaller one.
+
+    A row gives its loss at every temperature at once, and these are summed by fold: the other folds' sum is the total less the fold's own.
+    """
+    losses = F.array(*[negative_log(F.col(true), tempered(probs, F.lit(t))) for t in grid])
+    rows = df.filter(F.col(true).isin(*labels)).select(F.col(fold).alias("_f"), losses.alias("_l"), negative_log(F.col(true), probs).alias("_b"))
+    own = rows.groupBy("_f").agg(F.array(*[F.sum(F.get("_l", F.lit(i))) for i in range(len(grid))]).alias("_s"), F.count("*").alias("_n"), F.sum("_b").alias("_before"))
+    total = own.agg(F.array(*[F.sum(F.get("_s", F.lit(i))) for i in range(len(grid))]).alias("_t"))
+    both = own.filter(F.col("_f").isin(*folds)).crossJoin(F.broadcast(total))  # one row
+    rest = F.transform(F.zip_with("_t", "_s", lambda t, s: F.round(t - s, 9)), lambda x, i: F.struct(x.alias("loss"), i.alias("i")))
+    best = F.array_min(rest)["i"]
+    return both.select(F.col("_f").alias(fold), F.get(F.array(*map(F.lit, grid)), best).alias("temperature"), F.round(F.col("_before") / F.col("_n"), 6).alias("nll_before"), F.round(F.get("_s", best) / F.col("_n"), 6).alias("nll_after"))

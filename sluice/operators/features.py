@@ -79,3 +79,18 @@ def by_mode(mode: str, pre: Column, post: Column) -> Column:
 
 def numbers(value: Column, default: float = 0.0) -> Column:
     return F.coalesce(value.try_cast("double"), F.lit(default))
+
+
+def mechanism_indices(text: Column, groups: dict[str, tuple[list[str], float]]) -> list[Column]:
+    """For each group (terms, divisor) how many of its terms the text has, over the divisor, held in [0, 1], 4 digits."""
+    return [F.round(F.least(F.lit(1.0), T.hits(text, terms) / by), 4).alias(name) for name, (terms, by) in groups.items()]
+
+
+def numeric_features(events: Column, cues: Column, mentions: Column, claims: Column, defences: Column, pre: Column, chain: Column, leakage: Column) -> list[Column]:
+    """Ten numbers of a case: five list lengths, the text's length, the chain's coverage and missing rate, its sufficiency, a leakage flag. Null lists are empty."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("double")
+    rates = chain_metrics(chain)
+    return [
+        size(events).alias("delay_event_count"), size(cues).alias("procedure_cue_count"), size(mentions).alias("evidence_mention_count"), size(claims).alias("claim_count"), size(defences).alias("defense_count"), F.length(F.coalesce(pre, F.lit(""))).cast("double").alias("pre_text_length"),
+        F.round(rates["coverage"], 6).alias("role_coverage_rate"), F.round(rates["missing"], 6).alias("missing_role_rate"), sufficiency(rates["coverage"], size(cues), size(mentions), size(claims)).alias("evidence_sufficiency"), leakage.cast("double").alias("potential_leakage_flag"),
+    ]

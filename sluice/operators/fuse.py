@@ -145,3 +145,46 @@ def hybrid(base: list[Column], retrieved: list[Column], rule: Column, prior: Col
     support, refuse = support + back, F.greatest(F.lit(0.0), refuse - back)
     cautious = lambda x, share: F.greatest(F.when(evidence < 0.38, 0.80 * x + 0.20 * share).otherwise(x), F.lit(1e-8))
     return normalised([cautious(support, 0.15), cautious(partial, 0.45), cautious(refuse, 0.40)])
+
+
+#: What a mechanism is measured by.
+MECHANISMS = ("documentation_gap", "procedure_risk", "ambiguity", "concurrency", "critical_path", "negotiation")
+
+
+def mechanism_shift(base: list[Column], m: dict[str, Column], weight: Column, prior: Column | None = None, prior_confidence: Column | None = None, prior_weight: float = 0.0, evidence_chain: bool = True) -> list[Column]:
+    """Probabilities moved by what the mechanisms say: risk from support to not_support, backing the other way, doubt towards partial; then a prior label mixed in.
+
+    m: MECHANISMS in [0, 1]. Without the evidence chain its three mechanisms are 0.
+    """
+    from_chain = lambda c: m[c] if evidence_chain else F.lit(0.0)
+    gap, critical, talks = from_chain("documentation_gap"), from_chain("critical_path"), from_chain("negotiation")
+    risk = 0.36 * gap + 0.26 * m["procedure_risk"] + 0.24 * m["ambiguity"] + 0.14 * m["concurrency"]
+    backing = 0.36 * critical + 0.24 * (1 - gap) + 0.18 * (1 - m["procedure_risk"]) + 0.22 * talks
+    doubt, zero = F.greatest(m["ambiguity"], m["concurrency"]), F.lit(0.0)
+    state = lambda s, p, r: F.struct(s.alias("s"), p.alias("p"), r.alias("r"))
+    down = F.when(risk > 0.42, F.least(F.lit(0.16), weight * (risk - 0.42))).otherwise(zero)
+    up = F.when((backing > 0.62) & (gap < 0.55), F.least(F.lit(0.12), weight * (backing - 0.62))).otherwise(zero)
+    aside = F.when(doubt > 0.50, F.least(F.lit(0.10), weight * 0.5 * doubt)).otherwise(zero)
+    # Each step is computed once: written out, the steps would repeat one another many times over.
+    lowered = once(state(*normalised(base)), lambda x: state(F.greatest(zero, x["s"] - down), x["p"], x["r"] + down))
+    raised = once(lowered, lambda x: state(x["s"] + up, x["p"], F.greatest(zero, x["r"] - up)))
+    moved = once(raised, lambda x: state(F.when(x["s"] >= x["r"], F.greatest(zero, x["s"] - aside)).otherwise(x["s"]), x["p"] + aside, F.when(x["s"] >= x["r"], x["r"]).otherwise(F.greatest(zero, x["r"] - aside))))
+    if prior_weight:
+        said = spread(prior, prior_confidence)
+        moved = once(moved, lambda x: state(*[(1 - prior_weight) * x[f] + prior_weight * q for f, q in zip("spr", said, strict=True)]))
+    whole = once(moved, lambda x: state(*normalised([x["s"], x["p"], x["r"]])))
+    return [whole["s"], whole["p"], whole["r"]]
+
+
+def mechanism_confidence(coverage: Column, evidence: Column, gap: Column, procedure_risk: Column) -> Column:
+    return F.round(F.greatest(F.lit(0.42), F.least(F.lit(0.82), 0.48 + 0.18 * coverage + 0.14 * evidence - 0.10 * F.greatest(gap, procedure_risk))), 4)
+
+
+def tuned(df: DataFrame, grid: list[float], score, true: str, valid: Column, labels: tuple[str, ...] = OUTCOMES) -> DataFrame:
+    """weight, macro_f1, chosen: how each weight of a grid does on the validation rows alone; the best is chosen, ties go to the smaller weight. score: from a weight column to a predicted label."""
+    from .evaluate import scores
+
+    rows = df.filter(valid).withColumn("weight", F.explode(F.array(*map(F.lit, grid))))
+    made = scores(rows.select("weight", F.col(true).alias("y_true"), score(F.col("weight")).alias("y_pred")), ["weight"], labels).select("weight", "macro_f1")
+    best = made.agg(F.max_by("weight", F.struct("macro_f1", -F.col("weight"))).alias("_best"))
+    return made.crossJoin(F.broadcast(best)).select("weight", "macro_f1", (F.col("weight") == F.col("_best")).alias("chosen"))  # one row

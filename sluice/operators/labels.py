@@ -126,3 +126,54 @@ def contradictions(label: Column, reason: Column, items: Column, support: list[s
 def flag_report(df: DataFrame, flags: str = "flags") -> DataFrame:
     """flag, n: how many rows carry each flag; rows without any count as none."""
     return df.select(F.explode(F.when(F.size(flags) > 0, F.col(flags)).otherwise(F.array(F.lit("none")))).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+def candidate(seed: Column, weak: Column, model: Column, post: Column, seed_confidence: Column, party: Column, coverage: Column, least: float = 0.78) -> Column:
+    """struct<label, provenance, conflict, confidence, needs_review> of a case from up to four sources; unknown and null labels say nothing.
+
+    A seed label decides; then two sources that agree (weak and post, model and post, weak and model); then a single one. A
+    conflict is more than one label among weak, model and post. seed_confidence: null without a number.
+    """
+    plain = lambda c: F.when(F.coalesce(c.isin(*OUTCOMES), F.lit(False)), c)
+    weak, model, post, seed_known = plain(weak), plain(model), plain(post), seed.isNotNull()
+    rules = [("seed_reference", seed_known, F.coalesce(plain(seed), F.lit("unknown"))), ("weak+post_agree", weak == post, weak), ("llm+post_agree", model == post, model), ("weak+llm_agree", weak == model, weak), ("post_only", post.isNotNull(), post), ("weak_only", weak.isNotNull(), weak), ("llm_only", model.isNotNull(), model)]
+    label = F.coalesce(*[F.when(cond, value) for _, cond, value in rules], F.lit("unknown"))
+    provenance = F.coalesce(*[F.when(cond, name) for name, cond, _ in rules], F.lit("none"))
+    conflict = (F.size(F.array_distinct(F.array_compact(F.array(weak, model, post)))) > 1).cast("int")
+    same = lambda c: F.coalesce((c == label).cast("int"), F.lit(0))
+    held = F.coalesce(party != "unknown", F.lit(False))
+    seeded = F.when(seed_known, 0.25 + F.coalesce(F.least(seed_confidence * 0.3, F.lit(0.3)), F.lit(0.2))).otherwise(0.0)
+    score = 0.2 + seeded + F.when(post.isNotNull(), 0.25).otherwise(0.0) + 0.15 * same(weak) + 0.15 * same(model) + F.when(held, 0.08).otherwise(0.0) + coverage * 0.12 - 0.18 * conflict
+    confidence = F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.98), score)), 4)
+    review = ((conflict == 1) | (confidence < least) | ~held).cast("int")
+    return F.struct(label.alias("label"), provenance.alias("provenance"), conflict.alias("conflict"), confidence.alias("confidence"), review.alias("needs_review"))
+
+
+def accepted(bucket_: Column, score: Column, completeness: Column, sufficiency: Column, related: Column, material: Column, facts: Column, adjudicated: Column, procedural: Column, reason: Column, risky: str, least: float = 0.72, least_parts: float = 0.65) -> Column:
+    """Whether a screening reply lets a case in: its bucket, three thresholds, five booleans, and no wording of doubt in its reason. Nulls refuse."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    no_doubt = ~F.coalesce(reason, F.lit("")).rlike(risky)
+    return yes((bucket_ == "accept") & (score >= least) & (completeness >= least_parts) & (sufficiency >= least_parts)) & yes(related) & yes(material) & yes(facts) & yes(adjudicated) & ~F.coalesce(procedural, F.lit(True)) & no_doubt
+
+
+def label_tiers(label: Column, confidence: Column, sufficiency: Column, basis: Column, material: Column, substantive: Column, procedural: Column, conflict: Column, review: Column, relaxed: tuple[float, float, int] = (0.6, 0.3, 2), allow_conflict: bool = False, ultra: bool = False, allow_empty: bool = False) -> Column:
+    """struct<bucket, tier>: strong, usable, relaxed or weak. relaxed: least confidence, sufficiency and characters of the basis; ultra: only confidence and basis (or none, if `allow_empty`) count for relaxed."""
+    known, said = F.coalesce(label.isin(*OUTCOMES), F.lit(False)), F.length(F.trim(F.coalesce(basis, F.lit(""))))
+    merits = known & material & substantive & ~procedural
+    usable = merits & (confidence >= 0.72) & (sufficiency >= 0.40) & ~conflict & (said >= 4)
+    strong = merits & (confidence >= 0.80) & (sufficiency >= 0.50) & ~conflict & ~review & (said >= 4)
+    if ultra:
+        loose = known & (confidence >= relaxed[0]) & ((said >= relaxed[2]) | F.lit(allow_empty))
+    else:
+        loose = merits & (confidence >= relaxed[0]) & (sufficiency >= relaxed[1]) & (F.lit(allow_conflict) | ~conflict) & (said >= relaxed[2])
+    names = [("unknown_or_discarded", ~known), ("strong_label", strong), ("lora_usable_label", usable), ("relaxed_lora_usable_label", loose)]
+    return F.struct(bucket(names, "weak_label").alias("bucket"), bucket([("strong", strong), ("standard_lora", usable), ("relaxed_lora", loose)], "weak_or_unknown").alias("tier"))
+
+
+def label_health(df: DataFrame, by: list[str], label: str, conflict: str, other: str) -> DataFrame:
+    """by, unknown_ratio, max_class_ratio, conflict_rate, disagreement_rate of labels against another source; nulls are unknown labels and no conflict."""
+    plain = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
+    each = df.groupBy(*by, plain(label).alias("_l")).agg(F.count("*").alias("_n"), F.sum(F.coalesce(F.col(conflict), F.lit(0))).alias("_c"), F.count(F.when(plain(label) != plain(other), 1)).alias("_d"))
+    n = F.sum("_n")
+    rate = lambda c: F.round(c / n, 6)
+    return each.groupBy(*by).agg(rate(F.sum(F.when(F.col("_l") == "unknown", F.col("_n")).otherwise(0))).alias("unknown_ratio"), rate(F.max("_n")).alias("max_class_ratio"), rate(F.sum("_c")).alias("conflict_rate"), rate(F.sum("_d")).alias("disagreement_rate"))

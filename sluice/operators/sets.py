@@ -81,3 +81,17 @@ def overlap_report(parts: dict[str, DataFrame], key: str) -> DataFrame:
             one = parts[a].select(key).distinct().join(parts[b], key, "left_semi").agg(F.count("*").alias("shared")).select(F.lit(a).alias("left_"), F.lit(b).alias("right_"), "shared")
             out = one if out is None else out.union(one)
     return out
+
+
+def pool_overlap(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str] = ("left", "right")) -> DataFrame:
+    """part, n: how many different keys both pools have, and how many one of them alone has; null keys are left out."""
+    sides = left.select(F.col(key).alias("k"), F.lit(1).alias("side")).unionByName(right.select(F.col(key).alias("k"), F.lit(2).alias("side"))).filter("k is not null")
+    each = sides.groupBy("k").agg(F.bit_or("side").alias("sides"))
+    counts = each.agg(*[F.count(F.when(F.col("sides") == v, 1)).alias(f"n{v}") for v in (1, 2, 3)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("part"), F.col(f"n{v}").alias("n")) for v, name in ((3, "both"), (1, f"{names[0]}_only"), (2, f"{names[1]}_only"))])))
+
+
+def forbidden_fields(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """field, n: in how many rows' records (JSON text) a field name stands that must not be there, every name listed."""
+    counts = df.agg(*[F.count(F.when(F.col(column).rlike(f'"{name}"\\s*:'), 1)).alias(f"f{i}") for i, name in enumerate(names)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"f{i}").alias("n")) for i, name in enumerate(names)])))

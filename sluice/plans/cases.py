@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, fuse, labels, pools, preprocess, sample, tabular
+from ..operators import evaluate, features, fuse, labels, pools, preprocess, sample, sets, tabular
 from .evaluation import GROUP_F1, PRED, predictions, probs
 from .features import CORE, RISK, TOPIC, any_sql, hits_sql
 from .fusion import nearest
@@ -329,3 +329,121 @@ def k14(spark, d):
     p = probs()
     made = fuse.hybrid(p, [p[1], p[2], p[0]], C("y_pred"), prior, weight, F.when(C("fold") == 3, F.lit(None)).otherwise(C("y_pred")), 2 * C("pa"), C("fold") == 0, C("model_name") == "tree")
     return predictions(spark, d).select("vec_id", *[F.round(x, 6).alias(c) for x, c in zip(made, labels.OUTCOMES, strict=True)])
+
+
+FOUR = f"""{CASES}, f AS (SELECT *, CASE WHEN source = 'src5' THEN label END AS seed, CASE WHEN n_chars % 4 = 0 THEN 'unknown' WHEN core > 1 THEN 'support' ELSE 'partial' END AS weak, CASE WHEN n_chars % 3 = 0 THEN NULL WHEN topic > 1 THEN 'support' ELSE 'not_support' END AS model, CASE WHEN risk = 1 THEN 'unknown' WHEN topic > 2 THEN 'support' WHEN core = 0 THEN 'unknown' ELSE 'partial' END AS post, CASE WHEN lang = 'de' THEN 'unknown' ELSE 'owner' END AS party, CASE WHEN review = 0 THEN (n_chars % 89) / 88::DOUBLE END AS sure FROM c),
+ g AS (SELECT *, nullif(weak, 'unknown') AS w, model AS m, nullif(post, 'unknown') AS p FROM f),
+ h AS (SELECT *, CASE WHEN seed IS NOT NULL THEN seed WHEN w = p THEN w WHEN m = p THEN m WHEN w = m THEN w ELSE coalesce(p, w, m, 'unknown') END AS out, CASE WHEN seed IS NOT NULL THEN 'seed_reference' WHEN w = p THEN 'weak+post_agree' WHEN m = p THEN 'llm+post_agree' WHEN w = m THEN 'weak+llm_agree' WHEN p IS NOT NULL THEN 'post_only' WHEN w IS NOT NULL THEN 'weak_only' WHEN m IS NOT NULL THEN 'llm_only' ELSE 'none' END AS provenance,
+  (len(list_distinct(list_filter([w, m, p], lambda x: x IS NOT NULL))) > 1)::INT AS clash FROM g),
+ k AS (SELECT *, round(greatest(0.05, least(0.98, 0.2::DOUBLE + CASE WHEN seed IS NOT NULL THEN 0.25::DOUBLE + coalesce(least(sure * 0.3::DOUBLE, 0.3), 0.2) ELSE 0 END + CASE WHEN p IS NOT NULL THEN 0.25::DOUBLE ELSE 0 END + 0.15::DOUBLE * coalesce((w = out)::INT, 0) + 0.15::DOUBLE * coalesce((m = out)::INT, 0) + CASE WHEN party <> 'unknown' THEN 0.08::DOUBLE ELSE 0 END + coverage * 0.12::DOUBLE - 0.18::DOUBLE * clash)), 4) AS confidence FROM h)"""
+
+
+@query("d8_candidate_record", f"WITH {FOUR} SELECT doc_id, out AS label, provenance, clash AS conflict, confidence, (clash = 1 OR confidence < 0.78 OR party = 'unknown')::INT AS needs_review FROM k")
+def d8(spark, d):
+    seed = F.when(C("source") == "src5", C("label"))
+    weak = F.when(C("n_chars") % 4 == 0, "unknown").when(C("core") > 1, "support").otherwise("partial")
+    model = F.when(C("n_chars") % 3 == 0, F.lit(None)).when(C("topic") > 1, "support").otherwise("not_support")
+    post = F.when(C("risk") == 1, "unknown").when(C("topic") > 2, "support").when(C("core") == 0, "unknown").otherwise("partial")
+    made = labels.candidate(seed, weak, model, post, F.when(C("review") == 0, (C("n_chars") % 89) / 88.0), F.when(C("lang") == "de", "unknown").otherwise("owner"), C("coverage"))
+    return cases(spark, d).select("doc_id", made.alias("m")).select("doc_id", "m.*")
+
+
+@query("d14_screening_gate", f"WITH {CASES} SELECT doc_id, (source <> 'src2' AND conf >= 0.4 AND coverage >= 0.25 AND rel >= 0.25 AND core > 0 AND topic > 0 AND review = 0 AND conflict = 0 AND risk = 0 AND NOT regexp_matches(left(text, 100), 'not|kein')) AS accepted FROM c")
+def d14(spark, d):
+    bucket = F.when(C("source") != "src2", "accept").otherwise("reject")
+    gate = labels.accepted(bucket, C("conf"), C("coverage"), C("rel"), C("core") > 0, C("topic") > 0, C("review") == 0, C("conflict") == 0, C("risk") == 1, F.left("text", F.lit(100)), "not|kein", 0.4, 0.25)
+    return cases(spark, d).select("doc_id", gate.alias("accepted"))
+
+
+KNOWN, MERITS = "label <> 'unknown'", "label <> 'unknown' AND core > 0 AND topic > 0 AND risk = 0"
+STRONG, USABLE = f"{MERITS} AND conf >= 0.8 AND rel >= 0.5 AND conflict = 0 AND review = 0 AND said >= 4", f"{MERITS} AND conf >= 0.72 AND rel >= 0.4 AND conflict = 0 AND said >= 4"
+LOOSE = {"relaxed": f"{MERITS} AND conf >= 0.4 AND rel >= 0.3 AND conflict = 0 AND said >= 2", "ultra": f"{KNOWN} AND conf >= 0.4 AND said >= 2"}
+TIERED = ", ".join(f"CASE WHEN NOT ({KNOWN}) THEN 'unknown_or_discarded' WHEN {STRONG} THEN 'strong_label' WHEN {USABLE} THEN 'lora_usable_label' WHEN {x} THEN 'relaxed_lora_usable_label' ELSE 'weak_label' END AS {n}_bucket, CASE WHEN {STRONG} THEN 'strong' WHEN {USABLE} THEN 'standard_lora' WHEN {x} THEN 'relaxed_lora' ELSE 'weak_or_unknown' END AS {n}_tier" for n, x in LOOSE.items())
+
+
+@query("d17_label_tiers", f"WITH {CASES}, b AS (SELECT *, length(trim(left(text, 5))) AS said FROM c) SELECT doc_id, {TIERED} FROM b")
+def d17(spark, d):
+    made = [labels.label_tiers(C("label"), C("conf"), C("rel"), F.left("text", F.lit(5)), C("core") > 0, C("topic") > 0, C("risk") == 1, C("conflict") == 1, C("review") == 1, (0.4, 0.3, 2), ultra=ultra) for ultra in (False, True)]
+    return cases(spark, d).select("doc_id", *[m[f].alias(f"{n}_{f}") for n, m in zip(LOOSE, made, strict=True) for f in ("bucket", "tier")])
+
+
+@query("g16_label_health", f"WITH {CASES}, o AS (SELECT lang, label, conflict, CASE WHEN topic > 1 THEN 'support' ELSE 'partial' END AS other FROM c), n AS (SELECT lang, label, count(*) AS n FROM o GROUP BY ALL), x AS (SELECT lang, max(n) AS top FROM n GROUP BY 1) SELECT lang, round(avg((label = 'unknown')::INT), 6) AS unknown_ratio, round(any_value(top) / count(*), 6) AS max_class_ratio, round(avg(conflict), 6) AS conflict_rate, round(avg((label <> other)::INT), 6) AS disagreement_rate FROM o JOIN x USING (lang) GROUP BY lang")
+def g16(spark, d):
+    return labels.label_health(cases(spark, d).withColumn("other", F.when(C("topic") > 1, "support").otherwise("partial")), ["lang"], "label", "conflict", "other")
+
+
+MECH = {"documentation_gap": (["tion", "und"], 2.0), "procedure_risk": (["que", "eit"], 2.0), "ambiguity": (["ing ", "los "], 2.0), "concurrency": (["ado", "eau"], 2.0), "critical_path": (["ment", "ung"], 2.0), "negotiation": (["ción", "the "], 2.0)}
+INDEX = ", ".join(f"round(least(1, {hits_sql(terms)} / {by}::DOUBLE), 4) AS {name}" for name, (terms, by) in MECH.items())
+
+
+@query("c20_six_indices", f"SELECT doc_id, {INDEX} FROM documents")
+def c20(spark, d):
+    return table(spark, d, "documents").select("doc_id", *features.mechanism_indices(C("text"), MECH))
+
+
+SHIFT = f"""i AS (SELECT doc_id AS vec_id, {INDEX} FROM documents), x AS (SELECT v, w, vec_id, y_true, pa, pb, pc, CASE WHEN v = 'no_chain' THEN 0 ELSE documentation_gap END AS gap, procedure_risk AS pr, ambiguity AS am, concurrency AS co, CASE WHEN v = 'no_chain' THEN 0 ELSE critical_path END AS cp, CASE WHEN v = 'no_chain' THEN 0 ELSE negotiation END AS ne FROM pred JOIN i USING (vec_id), v),
+ r AS (SELECT *, 0.36::DOUBLE * gap + 0.26::DOUBLE * pr + 0.24::DOUBLE * am + 0.14::DOUBLE * co AS risk, 0.36::DOUBLE * cp + 0.24::DOUBLE * (1 - gap) + 0.18::DOUBLE * (1 - pr) + 0.22::DOUBLE * ne AS back, greatest(am, co) AS doubt FROM x),
+ s1 AS (SELECT *, CASE WHEN risk > 0.42 THEN least(0.16, w * (risk - 0.42::DOUBLE)) ELSE 0 END AS d1 FROM r), s2 AS (SELECT * REPLACE (greatest(0, pa - d1) AS pa, pc + d1 AS pc), CASE WHEN back > 0.62 AND gap < 0.55 THEN least(0.12, w * (back - 0.62::DOUBLE)) ELSE 0 END AS d2 FROM s1),
+ s3 AS (SELECT * REPLACE (pa + d2 AS pa, greatest(0, pc - d2) AS pc), CASE WHEN doubt > 0.5 THEN least(0.1, w * 0.5::DOUBLE * doubt) ELSE 0 END AS d3 FROM s2),
+ s4 AS (SELECT * REPLACE (CASE WHEN pa >= pc THEN greatest(0, pa - d3) ELSE pa END AS pa, pb + d3 AS pb, CASE WHEN pa >= pc THEN pc ELSE greatest(0, pc - d3) END AS pc) FROM s3)"""
+
+
+@query("k22_mechanism_shift", f"WITH {PRED}, v AS (SELECT * FROM (VALUES ('full', 0.3::DOUBLE), ('no_chain', 0.3::DOUBLE), ('no_mechanism', 0::DOUBLE)) t(v, w)), {SHIFT} SELECT vec_id, v AS variant, round(pa / (pa + pb + pc), 6) AS support, round(pb / (pa + pb + pc), 6) AS \"partial\", round(pc / (pa + pb + pc), 6) AS not_support, (risk >= 0.5 AND doubt >= 0.5) AS high_dispute FROM s4")
+def k22(spark, d):
+    """Full calibration, without what the evidence chain says, and without any mechanism."""
+    rows = predictions(spark, d).join(c20(spark, d).withColumnRenamed("doc_id", "vec_id"), "vec_id")
+    m, out = {c: C(c) for c in MECH}, []
+    for variant, weight, chain in (("full", 0.3, True), ("no_chain", 0.3, False), ("no_mechanism", 0.0, True)):
+        gap = C("documentation_gap") if chain else F.lit(0.0)
+        risk = 0.36 * gap + 0.26 * C("procedure_risk") + 0.24 * C("ambiguity") + 0.14 * C("concurrency")
+        high = (risk >= 0.5) & (F.greatest("ambiguity", "concurrency") >= 0.5)
+        moved = fuse.mechanism_shift(probs(), m, F.lit(weight), evidence_chain=chain)
+        out.append(F.struct(F.lit(variant).alias("variant"), *[F.round(p, 6).alias(c) for p, c in zip(moved, labels.OUTCOMES, strict=True)], high.alias("high_dispute")))
+    return rows.select("vec_id", F.inline(F.array(*out)))
+
+
+GRID = [0.0, 0.08, 0.2, 0.5, 1.0]
+
+
+@query("k23_weight_grid", f"WITH {PRED}, v AS (SELECT 'full' AS v, unnest({GRID})::DOUBLE AS w), {SHIFT}, rows_ AS (SELECT w AS g, y_true, CASE WHEN round(pa, 9) >= greatest(round(pb, 9), round(pc, 9)) THEN 'support' WHEN round(pb, 9) >= round(pc, 9) THEN 'partial' ELSE 'not_support' END AS y_pred FROM s4 WHERE vec_id % 5 <> 0), {GROUP_F1} SELECT g AS weight, macro_f1, row_number() OVER (ORDER BY macro_f1 DESC, g) = 1 AS chosen FROM m")
+def k23(spark, d):
+    """The weight of the mechanisms, chosen on four folds; the fifth is not looked at."""
+    rows = predictions(spark, d).join(c20(spark, d).withColumnRenamed("doc_id", "vec_id"), "vec_id")
+    shifted = lambda w: fuse.argmax(fuse.mechanism_shift(probs(), {c: C(c) for c in MECH}, w))
+    return fuse.tuned(rows, GRID, shifted, "y_true", C("fold") != 0)
+
+
+HEATS = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
+
+
+@query("j9_temperature_crossfit", f"""WITH {PRED}, t AS (SELECT fold, T, sum(-ln(greatest(CASE y_true WHEN 'support' THEN pow(pa, 1 / T) WHEN 'partial' THEN pow(pb, 1 / T) ELSE pow(pc, 1 / T) END / (pow(pa, 1 / T) + pow(pb, 1 / T) + pow(pc, 1 / T)), 1e-12))) AS s, count(*) AS n FROM pred, (SELECT unnest({HEATS})::DOUBLE AS T) GROUP BY ALL),
+ o AS (SELECT *, round(sum(s) OVER (PARTITION BY T) - s, 9) AS rest FROM t), b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY fold ORDER BY rest, T) = 1) SELECT b.fold, b.T AS temperature, round(a.s / a.n, 6) AS nll_before, round(b.s / b.n, 6) AS nll_after FROM b JOIN t a ON a.fold = b.fold AND a.T = 1""")
+def j9(spark, d):
+    return evaluate.crossfit_temperature(predictions(spark, d), "fold", list(range(5)), "y_true", probs(), HEATS)
+
+
+@query("e16_pool_overlap", f"WITH {CASES}, h AS (SELECT sha256(text) AS h, bool_or(core > 0) AS a, bool_or(topic > 1) AS b FROM c GROUP BY 1) SELECT unnest(['both', 'core_only', 'topic_only']) AS part, unnest([count(*) FILTER (WHERE a AND b), count(*) FILTER (WHERE a AND NOT b), count(*) FILTER (WHERE b AND NOT a)]) AS n FROM h")
+def e16(spark, d):
+    rows = hashed(spark, d)
+    return sets.pool_overlap(rows.filter("core > 0"), rows.filter("topic > 1"), "hash", ("core", "topic"))
+
+
+@query("f20_forbidden_fields", "SELECT unnest(['path', 'user_id', 'label']) AS field, unnest([count(*) FILTER (WHERE regexp_matches(props, '\"path\"\\s*:')), count(*) FILTER (WHERE regexp_matches(props, '\"user_id\"\\s*:')), count(*) FILTER (WHERE regexp_matches(props, '\"label\"\\s*:'))]) AS n FROM events")
+def f20(spark, d):
+    return sets.forbidden_fields(table(spark, d, "events"), "props", ["path", "user_id", "label"])
+
+
+@query("g9_censored_trend", """WITH y AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT min(y) AS lo, max(y) AS hi FROM y), a AS (SELECT unnest(generate_series(lo, hi)) AS y FROM r), t AS (SELECT a.y, coalesce(n, 0) AS n, avg(coalesce(n, 0)) OVER (ORDER BY a.y ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS trend, a.y > (SELECT hi FROM r) - 2 AS censored FROM a LEFT JOIN y USING (y)),
+ s AS (SELECT avg(trend) AS carry FROM (SELECT trend FROM t WHERE NOT censored ORDER BY y DESC LIMIT 3)) SELECT y::INT AS year, n, round(trend, 6) AS trend, censored, round(CASE WHEN censored THEN coalesce(carry, trend) ELSE trend END, 6) AS display FROM t, s""")
+def g9(spark, d):
+    """Orders by year with a five-year trailing mean; the last two years carry the mean of the last three stable points. A row for each year from the first count on."""
+    from pyspark.sql import Window
+
+    counts = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n")).filter("year is not null")
+    ends = counts.agg(F.min("year").alias("lo"), F.max("year").alias("hi"))
+    years = ends.filter("lo is not null").select("hi", F.explode(F.sequence("lo", "hi")).alias("year"))
+    trend = F.avg("n").over(Window.orderBy("year").rowsBetween(-4, 0))
+    rows = years.join(counts, "year", "left").fillna(0, ["n"]).withColumns({"trend": trend, "censored": C("year") > C("hi") - 2})
+    carry = rows.filter(~C("censored")).orderBy(F.desc("year")).limit(3).agg(F.avg("trend").alias("carry"))  # three years
+    display = F.when(C("censored"), F.coalesce("carry", "trend")).otherwise(C("trend"))
+    return rows.crossJoin(F.broadcast(carry)).select("year", "n", F.round("trend", 6).alias("trend"), "censored", F.round(display, 6).alias("display"))
