@@ -120,7 +120,6 @@ def k12(spark, d):
     return fuse.majority(rows, "case_", "label", C("confidence"))
 
 
-NAMED = F.when(C("label") == 0, "support").when(C("label") == 1, "partial").otherwise("not_support")
 SHARES = """i AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[一-鿿]{2,4}|[a-z0-9]{2,}')) AS t FROM benchmark), s AS (SELECT a.item_id AS query, b.item_id AS match, b.item_id % 3 AS label, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS similarity FROM i a JOIN i b ON a.item_id <> b.item_id AND len(list_intersect(a.t, b.t)) > 0),
  m AS (SELECT query, coalesce(avg(similarity) FILTER (WHERE label = 0), 0) AS a, coalesce(avg(similarity) FILTER (WHERE label = 1), 0) AS b, coalesce(avg(similarity) FILTER (WHERE label = 2), 0) AS c FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query, label ORDER BY similarity DESC, match) <= 3) GROUP BY query),
  n AS (SELECT query, a / (a + b + c) AS a, b / (a + b + c) AS b, c / (a + b + c) AS c FROM m)"""
@@ -128,7 +127,8 @@ SHARES = """i AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text),
 
 @query("k10_label_shares", f"WITH {SHARES} SELECT query, round(a, 6) AS support_prob, round(b, 6) AS partial_prob, round(c, 6) AS not_support_prob, CASE WHEN round(a, 9) >= greatest(round(b, 9), round(c, 9)) THEN 'support' WHEN round(b, 9) >= round(c, 9) THEN 'partial' ELSE 'not_support' END AS top_label, round(greatest(a, b, c), 6) AS top_prob, round(greatest(a, b, c) - list_sort([a, b, c])[2], 6) AS margin FROM n")
 def k10(spark, d):
-    return fuse.label_shares(nearest(spark, d, 3, "label").withColumn("label", NAMED), "query", "label")
+    named = F.when(C("label") == 0, "support").when(C("label") == 1, "partial").otherwise("not_support")
+    return fuse.label_shares(nearest(spark, d, 3, "label").withColumn("label", named), "query", "label")
 
 
 VOTES = "[" + ", ".join(f"CASE WHEN embedding[{j}] > 0.05 THEN 'support' WHEN embedding[{j}] > -0.05 THEN 'partial' ELSE 'not_support' END" for j in range(1, 9)) + "]"
