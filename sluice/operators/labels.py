@@ -177,3 +177,65 @@ def label_health(df: DataFrame, by: list[str], label: str, conflict: str, other:
     n = F.sum("_n")
     rate = lambda c: F.round(c / n, 6)
     return each.groupBy(*by).agg(rate(F.sum(F.when(F.col("_l") == "unknown", F.col("_n")).otherwise(0))).alias("unknown_ratio"), rate(F.max("_n")).alias("max_class_ratio"), rate(F.sum("_c")).alias("conflict_rate"), rate(F.sum("_d")).alias("disagreement_rate"))
+
+
+def outcome_with_snippet(text: Column, patterns: list[tuple[str, str]], before: int = 80, after: int = 120, default: str = "unknown") -> Column:
+    """struct<label, snippet>: the label of the first pattern that matches, and what stands around its first match; the default and an empty snippet without any."""
+    found = []
+    for label, pattern in patterns:
+        at = F.regexp_instr(text, F.lit(f"({pattern})"))
+        size = F.length(F.regexp_extract(text, f"({pattern})", 1))
+        begin = F.greatest(at - before, F.lit(1))
+        found.append(F.when(text.rlike(pattern), F.struct(F.lit(label).alias("label"), F.substr(text, begin, at - begin + size + after).alias("snippet"))))
+    return F.coalesce(*found, F.struct(F.lit(default).alias("label"), F.lit("").alias("snippet")))
+
+
+def party_scores(text: Column, sentences: Column, explicit: list[tuple[str, list[str], float]], rules: list[tuple[str, list[str], list[str], float]], hint: Column, hint_weight: float) -> Column:
+    """Array of struct<score, place, label>, the best first, of the parties that anything speaks for; ties go to the earlier party.
+
+    explicit: party, phrases, weight of each that the text has; rules: party, terms of the role, terms of a cause, weight of each sentence with both;
+    hint: a party, or unknown or null.
+    """
+    labels = list(dict.fromkeys([r[0] for r in explicit] + [r[0] for r in rules]))
+
+    def both(roles: list[str], causes: list[str]):
+        return lambda s: T.any_of(s, roles) & T.any_of(s, causes)
+
+    def scored(all_: Column) -> Column:
+        parts = []
+        for i, label in enumerate(labels):
+            score = sum((T.hits(text, phrases) * w for name, phrases, w in explicit if name == label), F.lit(0.0))
+            for name, roles, causes, w in rules:
+                if name == label:
+                    score = score + F.size(F.filter(all_, both(roles, causes))) * w
+            score = score + F.when(hint == label, hint_weight).otherwise(0.0)
+            parts.append(F.struct(F.round(score, 6).alias("score"), F.lit(-i).alias("place"), F.lit(label).alias("label")))
+        return F.reverse(F.array_sort(F.filter(F.array(*parts), lambda p: p["score"] > 0)))
+
+    return T.once(sentences, scored)
+
+
+def responsible(scores: Column, hint: Column) -> Column:
+    """struct<label, margin, confidence> from what a decision says: .55 + .1 of the score + .05 of the margin, at most .95; without scores the hint at .35, or unknown at .2."""
+    top, next_ = F.get(scores, F.lit(0)), F.coalesce(F.get(scores, F.lit(1))["score"], F.lit(0.0))
+    margin = top["score"] - next_
+    named = F.when(F.coalesce(hint != "unknown", F.lit(False)), F.struct(hint.alias("label"), F.lit(0.0).alias("margin"), F.lit(0.35).alias("confidence"))).otherwise(F.struct(F.lit("unknown").alias("label"), F.lit(0.0).alias("margin"), F.lit(0.2).alias("confidence")))
+    found = F.struct(top["label"].alias("label"), F.round(margin, 4).alias("margin"), F.round(F.least(F.lit(0.95), 0.55 + 0.1 * top["score"] + 0.05 * margin), 4).alias("confidence"))
+    return F.when(F.size(scores) > 0, found).otherwise(named)
+
+
+def diagnosis(scores: Column, procedures: Column, evidence: Column, incomplete: Column, noncompliant: Column) -> Column:
+    """struct<primary, secondary, kind, procedure, documents, confidence, uncertain> from what a record says before the decision.
+
+    A second party counts with at least .8 and seven tenths of the first one's score; the confidence is .35 + .08 of all scores + .05 a
+    procedure + .04 a piece of evidence, at most .95, and under .62 uncertain.
+    """
+    first, second = F.get(scores, F.lit(0)), F.get(scores, F.lit(1))
+    primary = F.coalesce(first["label"], F.lit("unknown"))
+    secondary = F.coalesce(F.when(second["score"] >= F.greatest(F.lit(0.8), first["score"] * 0.7), second["label"]), F.lit("unknown"))
+    total = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s["score"])
+    confidence = F.least(F.lit(0.95), F.round(0.35 + 0.08 * total + 0.05 * procedures + 0.04 * evidence, 4))
+    kind = F.when((primary == "both") | (secondary != "unknown"), "shared").when(primary != "unknown", "single_party").otherwise("uncertain")
+    documents = F.when(incomplete, "incomplete").when(evidence >= 2, "complete").otherwise("uncertain")
+    procedure = F.when(noncompliant, "noncompliant").when(procedures >= 1, "partially_compliant").otherwise("uncertain")
+    return F.struct(primary.alias("primary"), secondary.alias("secondary"), kind.alias("kind"), procedure.alias("procedure"), documents.alias("documents"), confidence.alias("confidence"), ((primary == "unknown") | (confidence < 0.62)).cast("int").alias("uncertain"))

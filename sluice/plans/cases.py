@@ -8,6 +8,7 @@ from ..operators import evaluate, features, fuse, labels, pools, preprocess, sam
 from .evaluation import GROUP_F1, PRED, predictions, probs
 from .features import CORE, RISK, TOPIC, any_sql, hits_sql
 from .fusion import nearest
+from ..sources import package
 from .registry import query, table
 
 C = F.col
@@ -447,3 +448,95 @@ def g9(spark, d):
     carry = rows.filter(~C("censored")).orderBy(F.desc("year")).limit(3).agg(F.avg("trend").alias("carry"))  # three years
     display = F.when(C("censored"), F.coalesce("carry", "trend")).otherwise(C("trend"))
     return rows.crossJoin(F.broadcast(carry)).select("year", "n", F.round("trend", 6).alias("trend"), "censored", F.round(display, 6).alias("display"))
+
+
+OUTCOME = [("partial", "teil|part"), ("not_support", "not |nicht"), ("support", "ist |is ")]
+SNIPPETS = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{{0}}'" for _, p in OUTCOME)
+
+
+def snippet_sql(pattern: str) -> str:
+    at = f"(length(string_split_regex(text, '{pattern}')[1]) + 1)"
+    begin = f"greatest({at} - 80, 1)"
+    return f"substr(text, {begin}, {at} - {begin} + length(regexp_extract(text, '{pattern}')) + 120)"
+
+
+@query("d4_outcome_snippet", f"SELECT doc_id, CASE {' '.join(f'WHEN regexp_matches(text, {chr(39)}{p}{chr(39)}) THEN {chr(39)}{c}{chr(39)}' for c, p in OUTCOME)} ELSE 'unknown' END AS label, CASE {' '.join(f'WHEN regexp_matches(text, {chr(39)}{p}{chr(39)}) THEN {snippet_sql(p)}' for _, p in OUTCOME)} ELSE '' END AS snippet FROM documents")
+def d4(spark, d):
+    return table(spark, d, "documents").select("doc_id", labels.outcome_with_snippet(C("text"), OUTCOME).alias("m")).select("doc_id", "m.*")
+
+
+EXPLICIT = [("both", ["tion und", "que les"], 3.0), ("policy", ["ment", "heit"], 2.4)]
+SAID = [("owner", ["tion", "ung"], ["ing", "ed "], 1.6), ("contractor", ["eau", "que"], ["les", "ent"], 1.6), ("subcontractor", ["los", "para"], ["ado", "ción"], 1.3), ("designer", ["ich", "ein"], ["die", "der"], 1.2)]
+ORDER = ["both", "policy", "owner", "contractor", "subcontractor", "designer"]
+PARTY = f"""s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?\\n]')) AS p FROM documents),
+ e AS (SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'owner' WHEN n_chars % 3 = 1 THEN 'unknown' END AS hint, text FROM documents),
+ w AS ({' UNION ALL '.join([f"SELECT doc_id, '{c}' AS label, {hits_sql(t)} * {w}::DOUBLE AS score FROM documents" for c, t, w in EXPLICIT] + [f"SELECT doc_id, '{c}', count(*) FILTER (WHERE {any_sql(a, 'p')} AND {any_sql(b, 'p')}) * {w}::DOUBLE FROM s GROUP BY doc_id" for c, a, b, w in SAID] + ["SELECT doc_id, hint, 1.2::DOUBLE FROM e WHERE hint <> 'unknown'"])}),
+ t AS (SELECT doc_id, label, round(sum(score), 6) AS score FROM w GROUP BY ALL HAVING round(sum(score), 6) > 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, list_position({ORDER}, label)) AS r FROM t)"""
+
+
+def scored_parties(spark, d):
+    rows = table(spark, d, "documents").withColumn("hint", F.when(C("n_chars") % 3 == 0, "owner").when(C("n_chars") % 3 == 1, "unknown"))
+    return rows.withColumn("scores", labels.party_scores(C("text"), F.split("text", "[.!?\n]"), EXPLICIT, SAID, C("hint"), 1.2))
+
+
+@query("d5_responsibility_full", f"WITH {PARTY}, a AS (SELECT doc_id, label, score, score - coalesce((SELECT score FROM r x WHERE x.doc_id = r.doc_id AND x.r = 2), 0) AS margin FROM r WHERE r = 1) SELECT e.doc_id, coalesce(label, CASE WHEN hint <> 'unknown' THEN hint END, 'unknown') AS label, coalesce(round(margin, 4), 0) AS margin, CASE WHEN label IS NOT NULL THEN round(least(0.95, 0.55::DOUBLE + 0.1::DOUBLE * score + 0.05::DOUBLE * margin), 4) WHEN hint <> 'unknown' THEN 0.35 ELSE 0.2 END AS confidence FROM e LEFT JOIN a USING (doc_id)")
+def d5(spark, d):
+    return scored_parties(spark, d).select("doc_id", labels.responsible(C("scores"), C("hint")).alias("m")).select("doc_id", "m.*")
+
+
+@query("d6_diagnosis_full", f"""WITH {PARTY}, g AS (SELECT doc_id, max(CASE WHEN r = 1 THEN label END) AS l1, max(CASE WHEN r = 1 THEN score END) AS s1, max(CASE WHEN r = 2 THEN label END) AS l2, max(CASE WHEN r = 2 THEN score END) AS s2, sum(score) AS total FROM r GROUP BY doc_id),
+ x AS (SELECT e.doc_id, coalesce(l1, 'unknown') AS "primary", CASE WHEN s2 >= greatest(0.8, s1 * 0.7::DOUBLE) THEN l2 ELSE 'unknown' END AS secondary, {hits_sql(CORE)} AS proc, {hits_sql(TOPIC)} AS ev, contains(text, 'password') AS inc, contains(text, '@mail') AS non, coalesce(total, 0) AS total FROM e LEFT JOIN g USING (doc_id)),
+ y AS (SELECT *, least(0.95, round(0.35::DOUBLE + 0.08::DOUBLE * total + 0.05::DOUBLE * proc + 0.04::DOUBLE * ev, 4)) AS confidence FROM x)
+ SELECT doc_id, "primary", secondary, CASE WHEN "primary" = 'both' OR secondary <> 'unknown' THEN 'shared' WHEN "primary" <> 'unknown' THEN 'single_party' ELSE 'uncertain' END AS kind, CASE WHEN non THEN 'noncompliant' WHEN proc >= 1 THEN 'partially_compliant' ELSE 'uncertain' END AS procedure, CASE WHEN inc THEN 'incomplete' WHEN ev >= 2 THEN 'complete' ELSE 'uncertain' END AS documents, confidence, ("primary" = 'unknown' OR confidence < 0.62)::INT AS uncertain FROM y""")
+def d6(spark, d):
+    has = lambda t: F.contains(C("text"), F.lit(t))
+    made = labels.diagnosis(C("scores"), T.hits(C("text"), CORE), T.hits(C("text"), TOPIC), has("password"), has("@mail"))
+    return scored_parties(spark, d).select("doc_id", made.alias("m")).select("doc_id", "m.*")
+
+
+@query("a8_split_folders", f"WITH {CASES}, o AS (SELECT *, core > 0 AND risk = 0 AS usable FROM c) SELECT output, count(*) AS n, sum(n_chars)::BIGINT AS chars, sum(length(text))::BIGINT AS text_chars FROM (SELECT 'full' AS output, * FROM o UNION ALL SELECT 'usable', * FROM o WHERE usable UNION ALL SELECT 'excluded', * FROM o WHERE NOT usable) GROUP BY 1 UNION ALL SELECT 'manifest', count(*), sum(n_chars)::BIGINT, 0 FROM o")
+def a8(spark, d):
+    """What the folders of a split hold, read back from them."""
+    path = package.shared_path(spark, "splits")
+    package.write_splits(cases(spark, d).select("doc_id", "text", "n_chars", C("label").alias("tier"), "core", "risk"), path, (C("core") > 0) & (C("risk") == 0))
+    out = None
+    for name in ("full", "usable", "excluded", "manifest"):
+        rows = spark.read.parquet(f"{path}/{name}")
+        size = F.sum(F.length("text")) if "text" in rows.columns else F.lit(0).cast("long")
+        one = rows.agg(F.lit(name).alias("output"), F.count("*").alias("n"), F.sum("n_chars").alias("chars"), size.alias("text_chars"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("a9_record_files", "SELECT md5('Reply as ' || role) AS instruction, md5(coalesce(conv_id::VARCHAR, '')) AS input, md5(text) AS output FROM conversations")
+def a9(spark, d):
+    """Instruction records written as JSON lines and read back; digests stand for the fields."""
+    path = package.shared_path(spark, "records")
+    package.write_records(table(spark, d, "conversations"), package.records(F.concat(F.lit("Reply as "), C("role")), C("conv_id").cast("string"), C("text")), path)
+    return spark.read.schema("instruction string, input string, output string").json(path).select(*[F.md5(C(c).cast("binary")).alias(c) for c in ("instruction", "input", "output")])
+
+
+@query("a10_prompt_files", "SELECT md5('### Instruction:' || chr(10) || 'Reply as ' || role || CASE WHEN turn > 0 THEN chr(10) || chr(10) || '### Input:' || chr(10) || turn ELSE '' END || chr(10) || chr(10) || '### Response:' || chr(10) || text) AS prompt FROM conversations")
+def a10(spark, d):
+    """Prompts written as text and read back."""
+    path, turn = package.shared_path(spark, "prompts"), F.when(C("turn") > 0, C("turn").cast("string"))
+    mark = "\n\n\x1e\n"
+    package.write_prompts(table(spark, d, "conversations"), package.records(F.concat(F.lit("Reply as "), C("role")), turn, C("text")), path, mark)
+    return package.read_prompts(spark, path, mark).select(F.md5(C("value").cast("binary")).alias("prompt"))
+
+
+@query("a11_shard_folders", "WITH s AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 300 AS shard FROM documents) SELECT shard::INT AS shard, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM s GROUP BY 1")
+def a11(spark, d):
+    path = package.shared_path(spark, "shards")
+    package.write_shards(table(spark, d, "documents").select("doc_id", "text"), path, 300, C("doc_id"))
+    return spark.read.parquet(path).groupBy("shard").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+@query("h15_package_quality", f"WITH {CASES}, p AS (SELECT doc_id, CASE WHEN source < 'src2' THEN 'dev' ELSE 'train' END AS split, text, label FROM c), i AS (SELECT text, count(*) AS n, count(DISTINCT split) AS s FROM p GROUP BY 1) SELECT (SELECT count(*) FROM p) AS rows, (SELECT count(*) FILTER (WHERE doc_id IS NULL) FROM p) AS missing_ids, 0::BIGINT AS empty_outputs, sum(n - 1)::BIGINT AS repeated_inputs, count(*) FILTER (WHERE s > 1) AS inputs_across_splits FROM i")
+def h15(spark, d):
+    """The quality report of a package, from its folder."""
+    path = package.shared_path(spark, "package")
+    rows = cases(spark, d).select("doc_id", F.when(C("source") < "src2", "dev").otherwise("train").alias("split"), "text", "label")
+    package.write_package(rows, path, "doc_id", "split", "label", package.records(F.lit("Decide"), C("text"), C("label")))
+    return spark.read.parquet(f"{path}/quality")

@@ -72,3 +72,38 @@ def test_full_text_by_path(spark, tmp_path):
 def test_sheets_are_tables_of_their_names(spark, tmp_path):
     files.write_sheets({"counts": spark.range(3), "tiers": spark.range(2).selectExpr("id AS tier")}, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/counts").count() == 3 and spark.read.parquet(f"{tmp_path}/tiers").columns == ["tier"]
+
+
+def test_audit_keeps_the_last_arrival_of_each_page(spark, tmp_path):
+    source, sink, state, audit = (str(tmp_path / n) for n in ("in", "out", "state", "audit"))
+    (tmp_path / "in").mkdir()
+
+    def arrive(name, *rows):
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps({"pageid": p, "raw_text": t}) for p, t in rows))
+        ingest.append_new(spark, source, "pageid string, raw_text string", sink, state, audit).awaitTermination()
+
+    arrive("a.json", ("1", "x"), ("2", "y"), ("2", "y"))
+    arrive("b.json", ("2", "changed"), ("3", "x"))
+    got = {r.pageid: (r.batch, r.chars, r.status) for r in ingest.last_audit(spark, audit).collect()}
+    assert got == {"1": (0, 1, "appended"), "2": (1, 7, "known"), "3": (1, 1, "appended")}
+    assert spark.read.parquet(audit).count() == 5 and spark.read.parquet(sink).count() == 3
+
+
+def test_package_folders(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sluice.sources import package
+
+    rows = [(1, "train", "a", "in", "out"), (2, "dev", "b", "in", ""), (None, "train", "a", None, None), (4, "train", "b", "line\n\nbreak", "é")]
+    df = spark.createDataFrame(rows, "id long, split string, label string, i string, o string")
+    record = package.records(F.lit("Do"), F.col("i"), F.col("o"))
+    package.write_package(df, str(tmp_path / "p"), "id", "split", "label", record)
+    assert tuple(spark.read.parquet(str(tmp_path / "p/quality")).first()) == (4, 1, 2, 1, 1)
+    assert sorted((r.input, r.output) for r in spark.read.schema("input string, output string, split string").json(str(tmp_path / "p/records")).collect()) == [("", ""), ("in", ""), ("in", "out"), ("line\n\nbreak", "é")]
+    assert "output" not in spark.read.json(str(tmp_path / "p/inputs")).columns
+    package.write_prompts(df.filter("id is not null"), record, str(tmp_path / "t"), "\n@@\n")
+    assert sorted(r.value for r in package.read_prompts(spark, str(tmp_path / "t"), "\n@@\n").collect()) == ["### Instruction:\nDo\n\n### Input:\nin\n\n### Response:\n", "### Instruction:\nDo\n\n### Input:\nin\n\n### Response:\nout", "### Instruction:\nDo\n\n### Input:\nline\n\nbreak\n\n### Response:\né"]
+    package.write_shards(df.filter("id is not null"), str(tmp_path / "s"), 2, F.col("id"))
+    assert sorted((r.id, r.shard) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [(1, 0), (2, 0), (4, 1)]
+    package.write_splits(df.withColumn("text", F.col("i")).withColumn("tier", F.col("label")), str(tmp_path / "x"), F.length("o") > 0)
+    assert [spark.read.parquet(str(tmp_path / f"x/{n}")).count() for n in ("full", "usable", "excluded", "manifest")] == [4, 2, 2, 4] and "text" not in spark.read.parquet(str(tmp_path / "x/manifest")).columns
