@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sets import _kept
+
 
 #: Hexadecimal digits of the hash by which rows of a label are counted: 4096 cells.
 DIGITS = 3
@@ -51,7 +53,8 @@ def mixed(df: DataFrame, key: str, seed: int, parts: list[tuple[str, Column, int
         rows = left.filter(condition)
         if out is not None:  # earlier samples are small: their keys go to all tasks
             rows = rows.join(F.broadcast(out.select(key)), key, "left_anti")
-        rows = rows.orderBy(order_key(F.col(key), seed), key).limit(n).withColumn("sample_strategy", F.lit(name))
+        # Kept, so that the next strategies read this sample and do not draw it again.
+        rows = _kept(rows.orderBy(order_key(F.col(key), seed), key).limit(n).withColumn("sample_strategy", F.lit(name)))
         out = rows if out is None else out.unionByName(rows)
     rank = F.array_position(F.array(*[F.lit(p[0]) for p in parts], F.lit("random_fill")), F.col("sample_strategy"))
     return out.orderBy(rank, order_key(F.col(key), seed), key).limit(total)
