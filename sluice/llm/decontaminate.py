@@ -1,6 +1,6 @@
 """Benchmark passages in documents, found by latent semantic retrieval (operator 5).
 
-1. Documents are cut into passages of `passage` words. Inverse passage frequencies of hashed terms
+1. Documents are split into words once, cut into passages of `passage` words, and kept as slots. Inverse passage frequencies of hashed terms
    and a randomised SVD of the TF-IDF matrix are computed over all passages: every task multiplies its
    own rows, Z = A'(A G) for a Gaussian G, and sums of fixed size are added up on Spark. From Z and G
    alone (Nystrom's form of the method) come the right singular vectors and the singular values.
@@ -27,7 +27,6 @@ table gives no rows; further columns are not read.
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -81,32 +80,82 @@ def texts_of(batches):
             yield b, i, j, Text(*utf8_of(pc.utf8_lower(texts.slice(i, j - i))))
 
 
-def total(docs: DataFrame, shape: tuple[int, int], add: Callable[[np.ndarray, Text], None], rows: int = 1024) -> np.ndarray:
-    """The sum over all tasks of an array that add() fills from each text; it travels in blocks of rows."""
+class Slots(Text):
+    """The slots of many texts alone, as a pass over the texts has left them; what needs words is not to be asked of it."""
 
-    def run(batches):
-        out = np.zeros(shape)
-        for *_, t in texts_of(batches):
-            if len(t.words):
-                add(out, t)
-        for k in range(0, shape[0], rows):
-            if out[k : k + rows].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([out[k : k + rows].astype("<f4").tobytes()], pa.binary())], ["at", "x"])
+    def __init__(self, slots: bytes, bounds: bytes):
+        self.slots, self.bounds = np.frombuffer(slots, "<u2"), np.frombuffer(bounds, "<i8")
+        self.words, self.row = self.slots, np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+
+
+PARTS, KEPT = "at int, x binary", "at int, x binary, slots binary, bounds binary"
 
-    def sum_up(part: pd.DataFrame) -> pd.DataFrame:
-        got = np.zeros(len(part["x"].iloc[0]) // 4)
-        for x in part["x"]:
-            got += np.frombuffer(x, "<f4")
-        return pd.DataFrame({"at": [part["at"].iloc[0]], "x": [got.astype("<f8").tobytes()]})
 
+def parts(out: np.ndarray, rows: int = 1024):
+    """An array in blocks of rows, on its way to summed(); blocks of zeros are left out."""
+    for k in range(0, len(out), rows):
+        if out[k : k + rows].any():
+            yield k, out[k : k + rows].astype("<f4").tobytes()
+
+
+def summed(found: DataFrame, shape: tuple[int, int], fan: int = 64) -> np.ndarray:
+    """The sum of all tasks' blocks: first of tasks of one number modulo `fan`, then of these sums. A task reads blocks one after the other and holds one sum for each `at` it meets."""
+
+    def add(batches):
+        sums = {}
+        for b in batches:
+            for at, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                block = np.frombuffer(x.as_buffer(), "<f8" if b.schema.names[-1] == "second" else "<f4")
+                sums[at] = sums[at] + block if at in sums else block.astype(np.float64)
+        for at, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([x.astype("<f8").tobytes()], pa.binary())], ["at", "x"])
+
+    first = found.select("at", "x", F.pmod(F.spark_partition_id(), F.lit(fan)).alias("part")).repartition("at", "part").mapInArrow(add, PARTS)
     out = np.zeros(shape)
-    with small_batches(docs.sparkSession):
-        for r in docs.mapInArrow(run, "at int, x binary").groupBy("at").applyInPandas(sum_up, "at int, x binary").collect():
+    with small_batches(found.sparkSession):
+        for r in first.withColumn("second", F.lit(True)).repartition("at").mapInArrow(add, PARTS).collect():  # of the array's size
             block = np.frombuffer(r["x"], "<f8").reshape(-1, shape[1])
             out[r["at"] : r["at"] + len(block)] = block
     return out
 
 
+class Texts:
+    """Documents that are split into words in the first pass over them only; later passes read the slots that it has left."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs, self.split = docs, None
+
+
+def total(texts: Texts, shape: tuple[int, int], add: Callable[[np.ndarray, Text], None]) -> np.ndarray:
+    """The sum over all tasks of an array that add() fills from each text."""
+
+    def kept(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["at", "x", "slots", "bounds"])
+
+    def first_pass(batches):
+        out = np.zeros(shape)
+        for *_, t in texts_of(batches):
+            if len(t.words):
+                add(out, t)
+                yield kept([None], [None], [t.slots.astype("<u2").tobytes()], [t.bounds.astype("<i8").tobytes()])
+        for at, x in parts(out):
+            yield kept([at], [x], [None], [None])
+
+    def later_pass(batches):
+        out = np.zeros(shape)
+        for b in batches:
+            for slots, bounds in zip(b.column(0), b.column(1), strict=True):
+                add(out, Slots(slots.as_buffer(), bounds.as_buffer()))
+        for at, x in parts(out):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([x], pa.binary())], ["at", "x"])
+
+    if texts.split is None:
+        found = texts.split = written(texts.docs.mapInArrow(first_pass, KEPT), "decontaminate-slots", "zstd")
+        return summed(found.filter("at is not null"), shape)
+    found = texts.split.filter("slots is not null").select("slots", "bounds").mapInArrow(later_pass, PARTS)
+    return summed(written(found, "decontaminate-products", rows=16), shape)
+
+
 def latent_terms(docs: DataFrame, passage: int = 32, rank: int = RANK, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """A row for each slot: idf * V / S, by which texts are folded into the latent space; and the passages that have it. docs: a column `text`.
 
@@ -129,7 +178,8 @@ def latent_terms(docs: DataFrame, passage: int = 32, rank: int = RANK, seed: int
         out[:, 0] += np.bincount(grid[once], minlength=size)
         out[0, 1] += len(grid)
 
-    counts = total(docs, (size, 2), count)
+    texts = Texts(docs)
+    counts = total(texts, (size, 2), count)
     idf = np.log((counts[0, 1] + 1) / (counts[:, 0] + 1)).astype(np.float32)
     wide = rank + OVER
     gauss = np.random.default_rng(seed).standard_normal((size, wide)).astype(np.float32)
@@ -148,7 +198,7 @@ def latent_terms(docs: DataFrame, passage: int = 32, rank: int = RANK, seed: int
             out[:, c] += np.bincount(terms, column[passage_of], size)
 
     # From Z = A'A G alone: A'A is near Z (G'Z)^-1 Z', whose eigenvectors are A's right singular vectors.
-    z = idf[:, None] * total(docs, (size, wide), gram)
+    z = idf[:, None] * total(texts, (size, wide), gram)
     core = gauss.T.astype(np.float64) @ z
     values, turn = np.linalg.eigh((core + core.T) / 2)
     keep = values > max(float(values.max(initial=0.0)) * 1e-10, 1e-12)
