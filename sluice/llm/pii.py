@@ -10,7 +10,8 @@ length outside the values found. The share of the entity's information content t
 1 if the term is met beside the entity alone. Terms whose share reaches `remove` are removed, those
 that reach `generalise` are generalised, where at least `support` distinct documents hold both; wherever
 they stand, in all documents, with the entity or without it. Documents of the same set of terms count once,
-so copies of a text support nothing. Words are runs of letters, digits and underscores: of writing without
+so copies of a text support nothing; nor does an entity met in one distinct document alone reveal anything of
+its words, since every rare word there would be met beside it alone. Words are runs of letters, digits and underscores: of writing without
 spaces between words a whole run is one term.
 
 Defined cases: null and empty texts have no spans; a null doc_id stays null; repeated rows are
@@ -72,21 +73,45 @@ def split_terms(rows: DataFrame) -> DataFrame:
     return rows.select("key", F.explode(F.split("terms", " ")).alias("term")).filter("term <> ''")
 
 
+def alike(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    """name, the columns `more`, first: the smallest name of those met under the same keys, by 128 bits of hashes of these."""
+    marks = [F.bit_xor(F.xxhash64("key", F.lit(seed))).alias(f"mark{seed}") for seed in (0, 1)]
+    met = written(rows.groupBy(name, *more).agg(F.count("*").alias("times"), *marks), f"pii-{name}-marks")
+    same = [*more, "times", "mark0", "mark1"]
+    return met.join(met.groupBy(*same).agg(F.min(name).alias("first")), same).select(name, *more, "first")
+
+
+def co_occurrences(near: DataFrame, held: DataFrame, most_entities: int = 1000) -> DataFrame:
+    """entity, term, df_e, df_t, co. A document of more entities than `most_entities` is dealt by entity into parts, and each part meets its terms."""
+    parts = held.groupBy("key").agg(F.ceil(F.count("*") / most_entities).cast("int").alias("parts"))
+    dealt = held.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("entity"), "parts").cast("int")).drop("parts")
+    spread = near.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    pairs = spread.join(dealt, ["key", "part"]).filter(F.col("df_t") <= F.col("most"))
+    return pairs.groupBy("entity", "term", "df_e", "df_t").agg(F.count("*").alias("co"))
+
+
 def disclosing(base: DataFrame, classes: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
-    """term, action, for the terms that disclose at least `generalise` of an entity. classes: key, terms, a row for each distinct document."""
-    held = written(base.filter(F.size("base") > 0).select("key", F.explode(F.transform("base", entity)).alias("entity")).distinct(), "pii-entities")
-    df_e = held.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= support)
+    """term, action, for the terms that disclose at least `generalise` of an entity. classes: key, terms, a row for each distinct document.
+
+    Entities of the same documents share all their co-occurrences, and so do terms of the same documents and df(t): one of each
+    stands for all, so lists of addresses that stand together in some documents are paired with terms once.
+    """
+    met = written(base.filter(F.size("base") > 0).select("key", F.explode(F.transform("base", entity)).alias("entity")).distinct(), "pii-entities")
+    df_e = met.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= support)
     total = float(max(classes.count(), 2))
     # As co(t, e) <= df(e), a share of `generalise` needs df(t) <= df(e) * (N / df(e)) ^ (1 - generalise): no other term is paired.
     most = F.col("df_e") * F.pow(F.lit(total) / F.col("df_e"), F.lit(1 - generalise)) * (1 + 1e-9)
-    held = written(held.join(df_e.withColumn("most", most), "entity"), "pii-held")
-    df_t = split_terms(classes).groupBy("term").agg(F.count("*").alias("df_t")).filter(F.col("df_t") >= support)
-    near = split_terms(classes.join(held.select("key"), "key", "left_semi")).join(df_t, "term")
-    pairs = near.join(held, "key").filter(F.col("df_t") <= F.col("most"))
-    co = pairs.groupBy("entity", "term", "df_e", "df_t").agg(F.count("*").alias("co")).filter(F.col("co") >= support)
+    one = alike(met.join(df_e, "entity"), "entity", "df_e").filter("entity = first").select("entity", "df_e", most.alias("most"))
+    held = written(met.join(one, "entity"), "pii-held")
+    top = held.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
+    df_t = split_terms(classes).groupBy("term").agg(F.count("*").alias("df_t")).filter(F.col("df_t").between(support, top))
+    near = written(split_terms(classes.join(held.select("key"), "key", "left_semi")).join(df_t, "term"), "pii-near")
+    terms = written(alike(near, "term", "df_t"), "pii-alike")
+    co = co_occurrences(near.join(terms.filter("term = first").select("term"), "term", "left_semi"), held).filter(F.col("co") >= support)
     share = 1 - F.log(F.col("df_t") / F.col("co")) / F.log(F.lit(total) / F.col("df_e"))
     shared = co.withColumn("share", F.when(F.col("df_e") < total, share).otherwise(F.lit(0.0))).filter(F.col("share") >= generalise)
-    return shared.groupBy("term").agg(F.max(F.when(F.col("share") >= remove, "removed").otherwise("generalised")).alias("action"))
+    actions = shared.groupBy(F.col("term").alias("first")).agg(F.max(F.when(F.col("share") >= remove, "removed").otherwise("generalised")).alias("action"))
+    return terms.join(actions, "first").select("term", "action")
 
 
 def sanitise(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,5 +1,8 @@
+import math
+import random
 import re
 import time
+from collections import defaultdict
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -75,3 +78,69 @@ def test_a_text_of_many_hits(spark):
     got = spark.createDataFrame([(text,)], "text string").select(P.patterns(F.col("text")).alias("s")).select(F.size("s").alias("n"), F.get("s", 49_999).alias("last")).first()
     assert got.n == 50_000 and text[got.last.start : got.last.end] == got.last.hit == "user49999@mail4.example.org"
     assert time.time() - began < 60
+
+
+def brute_actions(texts, generalise=0.8, remove=0.95, support=2):
+    """term -> action, from all pairs of the distinct documents."""
+    docs = {}
+    for text in texts:
+        mails = {m[0].lower() for m in re.finditer(PLAIN[0][1], text)}
+        words = frozenset(w.lower() for w in re.findall(r"\w+", re.sub(PLAIN[0][1], " ", text)))
+        docs[words] = docs.get(words, set()) | mails
+    df_t, df_e, co = defaultdict(int), defaultdict(int), defaultdict(int)
+    for words, mails in docs.items():
+        for w in words:
+            df_t[w] += 1
+        for e in mails:
+            df_e[e] += 1
+            for w in words:
+                co[w, e] += 1
+    out = {}
+    for (w, e), n in co.items():
+        if n >= support and df_e[e] < len(docs):
+            share = 1 - math.log(df_t[w] / n) / math.log(len(docs) / df_e[e])
+            if share >= generalise:
+                out[w] = max(out.get(w, ""), "removed" if share >= remove else "generalised")
+    return out
+
+
+def actions_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = P.sanitise(rows).select(F.explode("spans").alias("s")).filter("s.order > 3").select("s.hit", "s.kind").distinct().collect()
+    return {r.hit: r.kind for r in spans}
+
+
+def test_shares_against_all_pairs(spark):
+    draw = random.Random(5)
+    people = [f"p{i}@mail{i % 3}.org" for i in range(12)]
+    texts = []
+    for _ in range(300):
+        who = draw.randrange(40)
+        words = [f"w{int(draw.paretovariate(0.7)) % 400}" for _ in range(draw.randrange(1, 25))]
+        if who < 12:
+            words += [people[who]] + [f"nick{who}"] * (draw.random() < 0.9) + [f"team{who // 3}"] * (draw.random() < 0.8)
+        elif draw.random() < 0.03:
+            words.append(f"nick{draw.randrange(12)}")
+        texts.append(" ".join(words))
+    expected = brute_actions(texts)
+    assert set(expected.values()) == {"removed", "generalised"} and actions_of(spark, texts) == expected
+
+
+def test_many_entities_beside_many_terms(spark):
+    mails, words = " ".join(f"u{i}@list.org" for i in range(5000)), " ".join(f"term{i}" for i in range(5000))
+    texts = [f"{mails} {words} one", f"{mails} {words} two"] + [f"filler text number {i}" for i in range(50)]
+    began = time.time()
+    assert actions_of(spark, texts) == dict.fromkeys(words.split(), "removed")
+    assert time.time() - began < 120
+
+
+def test_parts_of_a_document_of_many_entities(spark):
+    held = spark.createDataFrame([(k, f"e{i}", 2, 9.0) for k in "ab" for i in range(30)], "key string, entity string, df_e long, most double")
+    near = spark.createDataFrame([("a", "x", 2), ("b", "x", 2), ("a", "y", 3), ("b", "z", 99)], "key string, term string, df_t long")
+    got = {(r.entity, r.term): r.co for r in P.co_occurrences(near, held, 7).collect()}
+    assert got == {(f"e{i}", t): n for i in range(30) for t, n in (("x", 2), ("y", 1))}
+
+
+def test_repeated_rows_are_scanned_each(spark):
+    rows = spark.createDataFrame([(1, "a@b.co twice"), (1, "a@b.co twice"), (None, None)], "doc_id long, text string")
+    assert sorted(r.n for r in P.sanitise(rows).select(F.size("spans").alias("n")).collect()) == [0, 1, 1]
