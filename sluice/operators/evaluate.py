@@ -253,3 +253,42 @@ def crossfit_temperature(df: DataFrame, fold: str, folds: list[int], true: str,
     rest = F.transform(F.zip_with("_t", "_s", lambda t, s: F.round(t - s, 9)), lambda x, i: F.struct(x.alias("loss"), i.alias("i")))
     best = F.array_min(rest)["i"]
     return both.select(F.col("_f").alias(fold), F.get(F.array(*map(F.lit, grid)), best).alias("temperature"), F.round(F.col("_before") / F.col("_n"), 6).alias("nll_before"), F.round(F.get("_s", best) / F.col("_n"), 6).alias("nll_after"))
+
+
+METRICS = ("accuracy", "macro_f1", "weighted_f1")
+
+
+def recomputed(predictions: DataFrame, reported: DataFrame, keys: list[str], tolerance: float = 1e-9, labels: tuple[str, ...] = OUTCOMES, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """keys, n, each metric recomputed and reported, metric_match, traceability_status.
+
+    A group matches where no metric that is reported is `tolerance` or more away. Groups with predictions are complete (without
+    a report they match nothing else and so agree); groups that are reported alone are unverifiable, with n 0 and no match.
+    """
+    own = scores(predictions, keys, labels).select(*keys, "n", *[F.col(m).alias(f"{m}_recomputed") for m in metrics])
+    told = reported.select(*keys, *[F.col(m).cast("double").alias(f"summary_{m}") for m in metrics])
+    both = own.join(told, keys, "full")
+    near = [F.coalesce(F.abs(F.col(f"summary_{m}") - F.col(f"{m}_recomputed")) < tolerance, F.lit(True)) for m in metrics]
+    match = F.col("n").isNotNull() & F.forall(F.array(*near), lambda x: x)
+    return both.withColumns({"metric_match": match.cast("int"), "traceability_status": F.when(F.col("n").isNull(), "unverifiable").otherwise("complete"), "n": F.coalesce("n", F.lit(0))})
+
+
+def run_risks(runs: DataFrame, run: str, current: str, settings: dict[str, tuple[str, list[str]]], metric: str) -> DataFrame:
+    """A row for each older run and setting, against the run named `current`: both values, score_inflation_risk, expected_direction, impact and its band.
+
+    settings: category -> (column, values that raise a score). A value that raises it makes the risk `yes`, any other difference
+    `unclear`, none `no`. The band is that of the measured difference of the metric: large from 0.05, medium from 0.01, else small;
+    unknown where either is null. Without a row of the current run there are no rows.
+    """
+    old, new = runs.filter(F.col(run) != current), runs.filter(F.col(run) == current)
+    text = lambda row, column: F.col(f"{row}.{column}").cast("string")
+    impact = F.round(F.col(f"o.{metric}") - F.col(f"n.{metric}"), 6)
+    rows = []
+    for category, (column, raising) in settings.items():
+        raises = F.coalesce(text("o", column).isin(raising), F.lit(False)) & ~F.coalesce(text("n", column).isin(raising), F.lit(False))
+        same = text("o", column).eqNullSafe(text("n", column))
+        risk = F.when(raises, "yes").when(same, "no").otherwise("unclear")
+        rows.append(F.struct(F.lit(category).alias("category"), text("o", column).alias("old_value"), text("n", column).alias("new_value"), risk.alias("score_inflation_risk"), F.when(raises, "raise").when(same, "none").otherwise("mixed").alias("expected_direction")))
+    band = F.when(impact.isNull(), "unknown").when(F.abs(impact) >= 0.05, "large").when(F.abs(impact) >= 0.01, "medium").otherwise("small")
+    # The current run is one row.
+    pairs = old.alias("o").crossJoin(F.broadcast(new.limit(1).alias("n")))
+    return pairs.select(F.col(f"o.{run}").alias("old_run"), F.lit(current).alias("new_run"), impact.alias("impact"), band.alias("impact_band"), F.explode(F.array(*rows)).alias("r")).select("old_run", "new_run", "r.*", "impact", "impact_band")

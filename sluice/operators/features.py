@@ -94,3 +94,17 @@ def numeric_features(events: Column, cues: Column, mentions: Column, claims: Col
         size(events).alias("delay_event_count"), size(cues).alias("procedure_cue_count"), size(mentions).alias("evidence_mention_count"), size(claims).alias("claim_count"), size(defences).alias("defense_count"), F.length(F.coalesce(pre, F.lit(""))).cast("double").alias("pre_text_length"),
         F.round(rates["coverage"], 6).alias("role_coverage_rate"), F.round(rates["missing"], 6).alias("missing_role_rate"), sufficiency(rates["coverage"], size(cues), size(mentions), size(claims)).alias("evidence_sufficiency"), leakage.cast("double").alias("potential_leakage_flag"),
     ]
+
+
+def record_checks(record: Column, label: Column, key: str, headers: list[str], required: int, risk: list[str], labels: tuple[str, ...]) -> list[Column]:
+    """What a record of "Header: text" lines lacks, as columns; the first `required` headers must have text. A null record is empty, a null label invalid."""
+    text = F.coalesce(record, F.lit(""))
+    own = {h: T.labelled(text, h) for h in headers}
+    body = F.concat_ws("\n", *own.values())
+    missing = F.filter(F.array(*[F.when(own[h] == "", h) for h in headers[:required]]), lambda x: x.isNotNull())
+    case, valid, terms = T.labelled(text, key), F.coalesce(label.isin(*labels), F.lit(False)), T.found_terms(body, risk)
+    return [
+        case.alias("case_id"), (case == "").alias("case_id_missing"), (F.trim(text) != "").alias("record_present"), valid.alias("label_valid"),
+        F.size(missing).alias("missing_field_count"), F.array_join(missing, "|").alias("missing_fields"), (F.size(terms) > 0).alias("post_decision_risk"), F.array_join(terms, "|").alias("post_decision_terms"),
+        F.length(body).alias("summary_chars"), T.count_matching(body, "\u4e00-\u9fff").alias("summary_chinese_chars"), F.length(text).alias("record_chars"), ((F.trim(text) != "") & (case != "") & valid).alias("field_parse_ok"),
+    ]

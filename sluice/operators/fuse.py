@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import once
+from .features import UNIT
 from .labels import OUTCOMES
 
 
@@ -188,3 +189,56 @@ def tuned(df: DataFrame, grid: list[float], score, true: str, valid: Column, lab
     made = scores(rows.select("weight", F.col(true).alias("y_true"), score(F.col("weight")).alias("y_pred")), ["weight"], labels).select("weight", "macro_f1")
     best = made.agg(F.max_by("weight", F.struct("macro_f1", -F.col("weight"))).alias("_best"))
     return made.crossJoin(F.broadcast(best)).select("weight", "macro_f1", (F.col("weight") == F.col("_best")).alias("chosen"))  # one row
+
+
+def two_stage(probs: list[Column], gap: Column, procedure: Column, causality: Column) -> Column:
+    """Refusal where its probability, raised by the three risks, is 0.05 above the others; else partial where that, raised by two, reaches support."""
+    support, partial, refused = probs
+    refuse = F.round(refused + 0.08 * gap + 0.05 * procedure + 0.05 * causality - F.greatest(support, partial) - 0.05, 9) >= 0
+    part = F.round(partial + 0.08 * causality + 0.04 * procedure - support, 9) >= 0
+    return F.when(refuse, "not_support").when(part, "partial").otherwise("support")
+
+
+def boosted(probs: list[Column]) -> Column:
+    """The label once support has 0.08 and partial 0.02 more."""
+    return argmax([probs[0] + 0.08, probs[1] + 0.02, probs[2]])
+
+
+def boundary(boost: Column, base: list[Column], retrieved: list[Column]) -> Column:
+    """A boosted label, unless text and retrieval both refuse, or it refuses where the text's other two outweigh 0.55."""
+    both = (argmax(base) == "not_support") & (argmax(retrieved) == "not_support")
+    return F.when(both, "not_support").when((boost == "not_support") & (F.round(base[0] + base[1], 9) > 0.55), "partial").otherwise(boost)
+
+
+def support_detector(base: list[Column], retrieved: list[Column], least: float = 0.28) -> Column:
+    """struct<score, label>: support where 0.55 of the text's and 0.45 of the retrieval's probability reach `least`, else the likelier of the others."""
+    support, partial, refused = weighted([(0.55, base), (0.45, retrieved)])
+    other = F.when(F.round(partial, 9) >= F.round(refused, 9), "partial").otherwise("not_support")
+    return F.struct(support.alias("score"), F.when(F.round(support, 9) >= least, "support").otherwise(other).alias("label"))
+
+
+def support_tuned(probs: list[Column], score: Column) -> Column:
+    """The label once a detector's score of 0.33 has raised support by 0.1, or one under 0.18 lowered it by 0.05."""
+    near = F.round(score, 9)
+    return argmax([probs[0] + F.when(near >= 0.33, 0.1).when(near < 0.18, -0.05).otherwise(0.0), probs[1], probs[2]])
+
+
+def reasoning_trace(case: Column, label: Column, party: Column, retrieved: Column, chain: Column, procedure: Column, incomplete: Column, uncertain: Column, sufficiency: Column, leakage: Column, words: dict[str, str], entitlement: str, applied: list[str]) -> Column:
+    """The record that says why a case has its label, as a nested struct.
+
+    chain: units as of evidence_chain. procedure: compliant, noncompliant or uncertain. words: issue, basis, procedure, records,
+    repair, keep: the sentences of the record. Null flags count as false, a null chain as empty.
+    """
+    units = F.coalesce(chain, F.array().cast(f"array<{UNIT}>"))
+    of = lambda role: F.filter(units, lambda u: (u["role"] == role) & (u["text"] != ""))
+    true = lambda c: F.coalesce(c.cast("boolean"), F.lit(False))
+    some = lambda *c: F.filter(F.array(*c), lambda x: x.isNotNull())
+    found = [F.when(F.size(of(role)) > 0, F.struct(F.lit(role).alias("role"), F.left(F.get(of(role), F.lit(0))["text"], F.lit(180)).alias("text"))) for role in applied]
+    repairs = some(F.when(true(incomplete), words["records"]), F.when(procedure == "noncompliant", words["repair"]))
+    return F.struct(
+        case.alias("case_id"), retrieved.alias("retrieved_cases"), F.lit(words["issue"]).alias("issue_focus"),
+        some(F.when(F.size(of(entitlement)) > 0, words["basis"]), F.when(procedure != "uncertain", F.concat(F.lit(words["procedure"]), procedure))).alias("rule_basis"),
+        some(*found).alias("application_findings"), F.filter(units, lambda u: u["text"] != "").alias("evidence_citations"), (~true(leakage)).cast("int").alias("leakage_check"),
+        party.alias("responsibility_primary"), label.alias("outcome_label"), F.when(F.size(repairs) > 0, repairs).otherwise(F.array(F.lit(words["keep"]))).alias("management_action"),
+        (true(uncertain) | F.coalesce(sufficiency < 0.45, F.lit(True))).cast("int").alias("high_dispute_flag"),
+    )

@@ -239,3 +239,25 @@ def diagnosis(scores: Column, procedures: Column, evidence: Column, incomplete:
     documents = F.when(incomplete, "incomplete").when(evidence >= 2, "complete").otherwise("uncertain")
     procedure = F.when(noncompliant, "noncompliant").when(procedures >= 1, "partially_compliant").otherwise("uncertain")
     return F.struct(primary.alias("primary"), secondary.alias("secondary"), kind.alias("kind"), procedure.alias("procedure"), documents.alias("documents"), confidence.alias("confidence"), ((primary == "unknown") | (confidence < 0.62)).cast("int").alias("uncertain"))
+
+
+#: The record's texts with the longest form that is kept, and its indices in [0, 1].
+REPLY_TEXTS = {"responsibility_type": 80, "issue": 300, "rule": 500, "application": 800, "conclusion": 400, "management_action": 500, "managerial_failure_type": 120}
+REPLY_INDICES = ("outcome_confidence", "responsibility_confidence", "documentation_gap_index", "procedural_compliance_risk", "causality_ambiguity", "concurrency_risk", "critical_path_support", "negotiation_readiness_score")
+
+
+def response_record(reply: Column, pre: Column, spans: Column, parties: dict[str, list[str]]) -> list[Column]:
+    """A parsed reply (map of string to string) as the record's columns: labels, texts cut, indices held in [0, 1], the doubt, checks of its quotes.
+
+    Missing keys: labels unknown, the type uncertain, texts empty, indices 0. It is in doubt where the reply says so or
+    its outcome is unknown. Without quotes the rates are 0.
+    """
+    said = lambda name: F.try_element_at(reply, F.lit(name))
+    label = outcome(said("outcome_label"))
+    label = F.when(label.isin(*OUTCOMES), label).otherwise("unknown")
+    texts = [F.left(F.coalesce(said(name), F.lit("uncertain" if name == "responsibility_type" else "")), F.lit(most)).alias(name) for name, most in REPLY_TEXTS.items()]
+    doubt = F.coalesce(F.lower(said("uncertainty_flag")).isin("true", "1", "yes"), F.lit(False)) | (label == "unknown")
+    checks = span_checks(pre, F.coalesce(spans, F.array().cast("array<string>")))
+    rate = lambda field: F.coalesce(F.round(F.aggregate(checks, F.lit(0), lambda a, s: a + s[field]) / F.nullif(F.size(checks), F.lit(0)), 6), F.lit(0.0)).alias(f"{field}_rate")
+    party = [folded(F.lower(F.trim(said(name))), parties, "unknown").alias(name) for name in ("primary_responsible_party", "secondary_responsible_party")]
+    return [label.alias("outcome_label"), *party, *texts, *[clamp(said(name)).alias(name) for name in REPLY_INDICES], doubt.cast("int").alias("uncertainty_flag"), F.size(checks).alias("span_count"), rate("valid"), rate("duplicate")]

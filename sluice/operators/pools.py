@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sets import numbered
@@ -83,3 +83,30 @@ def label_queue(df: DataFrame, known: list[tuple[str, Column]], later: list[tupl
     report = one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("metric"), F.col(f"m{i}").alias("value")) for i, (name, _) in enumerate(metrics)])))
     marks = [*(f"_k{i}" for i in range(len(known))), *(f"_l{i}" for i in range(len(later))), "first"]
     return numbered(rows.filter(keep).drop(*marks), *order, F.col(key)), report
+
+
+def lexical_pools(chars: Column, construction: Column, delay: Column, core: Column, evidence: Column, decision: Column, procedural: Column) -> list[Column]:
+    """Four flags from counts of terms: research candidate, relaxed, usable, strong. core: whether a core term of delay occurs; two delay terms do as well."""
+    fit = (construction >= 1) & (decision >= 1) & (procedural == 0)
+    on_topic = fit & ((delay >= 2) | core)
+    usable = on_topic & (chars >= 1800)
+    flags = {"research_candidate": fit & (delay >= 1) & (chars >= 1200), "relaxed": on_topic & (chars >= 1500), "usable": usable, "strong": usable & (evidence >= 1) & (decision >= 2)}
+    return [F.coalesce(flag, F.lit(False)).cast("int").alias(name) for name, flag in flags.items()]
+
+
+def representatives(df: DataFrame, category: str, preferred: list[str], order: list[str], key: str, n: int, eligible: Column) -> DataFrame:
+    """At most n rows of df with their position: the best of each preferred category in turn, then the best of all that are left.
+
+    Only eligible rows are looked at, unless there are none. order: numeric columns, more is better, null is least;
+    ties go to the smaller key. Keys are distinct. An empty table gives no rows.
+    """
+    rows = df.withColumn("ok_", F.coalesce(eligible, F.lit(False)))
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.coalesce(F.bool_or("ok_"), F.lit(False)).alias("any_")))).filter("ok_ or not any_").drop("ok_", "any_")
+    worth = [(-F.coalesce(F.col(c).cast("double"), F.lit(float("-inf")))).alias(f"by{i}") for i, c in enumerate(order)]
+    ranked = rows.withColumn("worth_", F.struct(*worth, F.col(key)))
+    place = F.array_position(F.array(*map(F.lit, preferred)), F.col(category)).cast("int")
+    best = ranked.filter(F.col(category).isin(preferred)).groupBy(category).agg(F.min_by(F.struct("*"), "worth_").alias("r")).select("r.*").withColumn("place_", place)
+    rest = ranked.orderBy("worth_").limit(n + len(preferred)).withColumn("place_", F.lit(len(preferred) + 1))
+    few = best.unionByName(rest).groupBy(key).agg(F.min_by(F.struct("*"), "place_").alias("r")).select("r.*")
+    # At most n and twice the preferred categories are left, so one task may number them.
+    return few.withColumn("position", F.row_number().over(Window.orderBy("place_", "worth_"))).filter(F.col("position") <= n).drop("worth_", "place_")

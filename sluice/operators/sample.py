@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import any_of, pieces
 from .sets import _kept
 
 
@@ -91,3 +92,17 @@ def training_pairs(blocks: DataFrame, key: str, source: str, category: str, role
         met = placed.filter(F.col("kind") == kind).withColumn("_next", F.col("r") % F.col("n") + 1).join(other, ["_g", "_next"]).filter((F.col("key") != F.col("match")) & fits)
         out = out.unionByName(met.select("key", "category", "match", "kind", F.lit(0).alias("label"), "split"))
     return out
+
+
+def minority_views(df: DataFrame, key: str, text: str, minority: Column, compacted: Column, evidence: Column, terms: list[str], longest: int = 3000, mark: str = "evidence: ", ends: str = ".!?\n") -> DataFrame:
+    """New rows of a minority class: its shortened text with its evidence, and its sentences that hold a term.
+
+    df's columns with the key `<key>__aug<i>` and the view as text, then source_key and is_augmented. Blank views make no row;
+    a null text or evidence is empty.
+    """
+    plain = lambda c: F.coalesce(c, F.lit(""))
+    told = F.filter(pieces(plain(F.col(text)), ends), lambda s: any_of(s, terms))
+    views = F.array(F.concat(plain(compacted), F.lit("\n" + mark), plain(evidence)), F.left(F.array_join(told, "\n"), F.lit(longest)))
+    made = df.filter(minority).select("*", F.posexplode(views).alias("view_", "made_")).filter(F.trim("made_") != "")
+    new = made.withColumns({"source_key": F.col(key), key: F.concat(F.col(key).cast("string"), F.lit("__aug"), (F.col("view_") + 1).cast("string")), text: F.col("made_"), "is_augmented": F.lit(1)})
+    return new.drop("view_", "made_")
