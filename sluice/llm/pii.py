@@ -114,6 +114,24 @@ def disclosing(base: DataFrame, classes: DataFrame, generalise: float, remove: f
     return terms.join(actions, "first").select("term", "action")
 
 
+SLOTS = 1 << 20
+
+
+def maybe_marked(terms: DataFrame, slots: int = SLOTS) -> Column:
+    """Whether a text's `terms` may hold one of the table's: a filter of `slots` bits (128 KB), whatever the table's size.
+
+    It is never wrong where it says no. Where the table has many more terms than bits, it says yes to all.
+    """
+    slot = F.pmod(F.xxhash64("term"), F.lit(slots))
+    set_bits = terms.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 8).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot % 8 as int))")).alias("bits"))
+    filled = bytearray(slots // 8)
+    for row in set_bits.toLocalIterator():
+        filled[row["byte"]] = row["bits"]
+    place = lambda t: F.pmod(F.xxhash64(t), F.lit(slots)).cast("int")
+    byte = lambda at: F.conv(F.hex(F.substring(F.lit(filled), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("long")
+    return F.exists(F.split("terms", " "), lambda t: F.getbit(byte(place(t)), place(t) % 8) == 1)
+
+
 def sanitise(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns in `keep`, base (spans of the patterns), spans (with terms as kinds generalised, removed).
 
@@ -126,7 +144,10 @@ def sanitise(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, sup
     terms = written(disclosing(base, classes, generalise, remove, support), "pii-terms")
     each = split_terms(classes).join(terms, "term")
     marks = written(each.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("marks")), "pii-marks")
-    out = base.drop("terms").join(marks, "key", "left")
+    # Texts without any such term go past the join.
+    may = maybe_marked(terms)
+    plain = base.filter(~may).drop("terms").withColumn("marks", F.lit(None).cast("map<string,string>"))
+    out = plain.unionByName(base.filter(may).drop("terms").join(marks, "key", "left"))
 
     def named(hit):
         return F.element_at("marks", F.lower(hit))
