@@ -121,7 +121,7 @@ def sanitise(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, sup
     """
     rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), *[F.col(f"`{c}`").alias(f"kept_{c}") for c in keep], F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("base", patterns(F.col("text"))).withColumn("terms", terms_of(F.col("text"), F.col("base")))
-    base = written(rows.withColumn("key", F.sha2("terms", 256)), "pii-base", "zstd")
+    base = written(rows.withColumn("key", F.unhex(F.substring(F.sha2("terms", 256), 1, 32))), "pii-base", "zstd")
     classes = written(base.groupBy("key").agg(F.first("terms").alias("terms")), "pii-classes", "zstd")
     terms = written(disclosing(base, classes, generalise, remove, support), "pii-terms")
     each = split_terms(classes).join(terms, "term")
