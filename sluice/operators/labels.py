@@ -261,3 +261,22 @@ def response_record(reply: Column, pre: Column, spans: Column, parties: dict[str
     rate = lambda field: F.coalesce(F.round(F.aggregate(checks, F.lit(0), lambda a, s: a + s[field]) / F.nullif(F.size(checks), F.lit(0)), 6), F.lit(0.0)).alias(f"{field}_rate")
     party = [folded(F.lower(F.trim(said(name))), parties, "unknown").alias(name) for name in ("primary_responsible_party", "secondary_responsible_party")]
     return [label.alias("outcome_label"), *party, *texts, *[clamp(said(name)).alias(name) for name in REPLY_INDICES], doubt.cast("int").alias("uncertainty_flag"), F.size(checks).alias("span_count"), rate("valid"), rate("duplicate")]
+
+
+def extractability_score(label: Column, post: Column, anchor: Column, phrases: list[str]) -> Column:
+    """How well a label can be read from a text: 0 for an unknown one, else 0.45, 0.3 more with an anchor and 0.25 with one of the phrases. Nulls count as empty."""
+    anchored = F.when(F.coalesce(anchor, F.lit("")) != "", 0.3).otherwise(0.0)
+    stated = F.when(F.coalesce(T.any_of(post, phrases), F.lit(False)), 0.25).otherwise(0.0)
+    return F.when(label.isin(*OUTCOMES), F.round(F.least(F.lit(1.0), 0.45 + anchored + stated), 4)).otherwise(0.0)
+
+
+# Words of a reply that state a label.
+STATED = {"support": ["支持", "support"], "not_support": ["不予支持", "驳回", "not_support"], "partial": ["部分", "partial"]}
+
+
+def label_consistency(label: Column, confidence: Column, review: Column, reply: Column, sure: float = 0.85) -> Column:
+    """1 where a known label needs no review and is sure or stated in the reply, else 0; a null review flag asks for review."""
+    said = F.lower(F.coalesce(reply, F.lit("")))
+    stated = [(label == name) & T.any_of(said, words) for name, words in STATED.items()]
+    good = label.isin(*OUTCOMES) & (review == 0) & ((F.coalesce(confidence, F.lit(0.0)) >= sure) | stated[0] | stated[1] | stated[2])
+    return F.coalesce(good, F.lit(False)).cast("int")

@@ -27,5 +27,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _part in ("text", "features", "labels", "pools", "sets", "profiles", "samples", "evaluation", "fusion", "tabular", "models", "cases", "records"):
+for _part in ("text", "features", "labels", "pools", "sets", "profiles", "samples", "evaluation", "fusion", "tabular", "models", "cases", "records", "structure"):
     import_module(f"sluice.plans.{_part}")
