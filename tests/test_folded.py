@@ -1,5 +1,8 @@
+import threading
+
 import numpy as np
 import pytest
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from sluice.operators import evaluate, folded
@@ -102,3 +105,57 @@ def test_nulls_and_empty_tables(spark):
     parts = folded.Parts(none)
     long = folded.level_one(none, parts)
     assert folded.predictions(long).count() == 0 and folded.majority(none, parts).count() == 0 and folded.stacked(long, parts, ("char_bayes",)).count() == 0
+
+
+def test_gram_counts_are_those_of_hashing_tf(spark):
+    texts = ["", "a", "ab", "Äß é ñ — 漢字かな  x\n", "hello  world\n\tfoo bar" * 30, "é" * 70_000 + "yz", None]
+    df = spark.createDataFrame([(i, t, "support", i % 2) for i, t in enumerate(texts)], "case_id long, text string, label string, fold int")
+    plain = df.select("case_id", folded.char_grams(F.coalesce("text", F.lit(""))).alias("grams"))
+    for width in (1 << 13, 1000):
+        want = {r["case_id"]: r["o"] for r in HashingTF(inputCol="grams", outputCol="o", numFeatures=width).transform(plain).collect()}
+        table = folded.feature_table(df, [], "case_id", width=width, grams=("chars",))
+        assert "words" not in table.columns and {r["id"]: r["chars"] for r in table.collect()} == want
+    assert folded.gram_counts("a😀b".encode(), 64, 2, 2).sum() == 2  # runs of characters, not of halves of one
+
+
+def test_a_stored_table_is_a_fraction_of_its_vectors_bytes(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, " ".join(rng.choice(WORDS, 300)), "support", i % 2) for i in range(200)], "case_id long, text string, label string, fold int")
+    table = folded.feature_table(df.coalesce(2), [], "case_id", width=1 << 13)
+    files = [f.removeprefix("file:") for f in table.inputFiles()]
+    size = sum(len(open(f, "rb").read()) for f in files)
+    slots = sum(v.sum() for by in folded.Parts(table).df.values() for v in by.values())
+    assert files and all("/fold=" in f for f in files) and size * 2 < 12 * slots
+
+
+def test_fits_follow_one_another_where_their_features_are_large(spark, monkeypatch):
+    table = folded.feature_table(spark.createDataFrame(cases(40), SCHEMA).coalesce(1), [], "case_id", width=256, grams=("chars",))
+    parts, lock, now, most = folded.Parts(table), threading.Lock(), [0], [0]
+    assert parts.held(("char_svm",)) == 12 * sum(len(r["chars"].indices) for r in table.collect())
+    plain = folded.scorer
+
+    def counted(*args):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        try:
+            return plain(*args)
+        finally:
+            with lock:
+                now[0] -= 1
+
+    monkeypatch.setattr(folded, "scorer", counted)
+    monkeypatch.setattr(folded, "HELD", 1)
+    folded.level_one(table, parts, ("char_svm",), iterations=2)
+    assert most == [1]
+
+
+def test_margins_are_those_of_one_against_the_rest(spark):
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+
+    table = folded.feature_table(spark.createDataFrame(cases(80), SCHEMA).coalesce(1), [], "case_id", width=512, grams=("chars",))
+    rows = folded.Parts(table).features(table, "char_svm", (0,))
+    train = rows.filter("fold <> 0")
+    got = {r["id"]: r["margins"] for r in folded.scorer("char_svm", train, 4, [0, 1, 2])(rows.filter("fold = 0")).collect()}
+    want = OneVsRest(classifier=LinearSVC(maxIter=4, regParam=0.001), weightCol="weight").fit(train).transform(rows.filter("fold = 0"))
+    assert len(got) > 20 and all(np.allclose(got[r["id"]], r["rawPrediction"].toArray(), atol=1e-9) for r in want.collect())
