@@ -32,6 +32,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
+#: The bits of monotonically_increasing_id() that count within a task.
+LOW = (1 << 33) - 1
 WORD = r"[\p{L}\p{N}_]++"
 
 
@@ -81,6 +83,22 @@ def alike(rows: DataFrame, name: str, *more: str) -> DataFrame:
     return met.join(met.groupBy(*same).agg(F.min(name).alias("first")), same).select(name, *more, "first")
 
 
+def classes_of(base: DataFrame) -> DataFrame:
+    """key, terms: one row of `base` for each key, the one with the smallest `row`, picked where it stands: no terms are shuffled.
+
+    base: key, terms, row (of monotonically_increasing_id(), stored). What all tasks get is a bit for each row.
+    """
+    first = base.groupBy("key").agg(F.min("row").alias("row"))
+    bits = first.groupBy(F.shiftright("row", 33).alias("task"), F.bitmap_bucket_number(F.col("row").bitwiseAND(F.lit(LOW))).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("row").bitwiseAND(F.lit(LOW)))).alias("bits"))
+    bits = written(bits, "pii-first", "zstd")
+    own = F.col("row").bitwiseAND(F.lit(LOW))
+    rows = base.select("key", "terms", "row", F.shiftright("row", 33).alias("task"), F.bitmap_bucket_number(own).alias("bucket"))
+    at = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(bits), ["task", "bucket"])
+    return met.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select("key", "terms")
+
+
 def co_occurrences(near: DataFrame, held: DataFrame, most_entities: int = 1000) -> DataFrame:
     """entity, term, df_e, df_t, co. A document of more entities than `most_entities` is dealt by entity into parts, and each part meets its terms."""
     parts = held.groupBy("key").agg(F.ceil(F.count("*") / most_entities).cast("int").alias("parts"))
@@ -121,12 +139,12 @@ def sanitise(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, sup
     """
     rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), *[F.col(f"`{c}`").alias(f"kept_{c}") for c in keep], F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("base", patterns(F.col("text"))).withColumn("terms", terms_of(F.col("text"), F.col("base")))
-    base = written(rows.withColumn("key", F.unhex(F.substring(F.sha2("terms", 256), 1, 32))), "pii-base", "zstd")
-    classes = written(base.groupBy("key").agg(F.first("terms").alias("terms")), "pii-classes", "zstd")
+    base = written(rows.withColumns({"key": F.unhex(F.substring(F.sha2("terms", 256), 1, 32)), "row": F.monotonically_increasing_id()}), "pii-base", "zstd")
+    classes = classes_of(base)
     terms = written(disclosing(base, classes, generalise, remove, support), "pii-terms")
     each = split_terms(classes).join(terms, "term")
     marks = written(each.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("marks")), "pii-marks")
-    out = base.drop("terms").join(marks, "key", "left")
+    out = base.drop("terms", "row").join(marks, "key", "left")
 
     def named(hit):
         return F.element_at("marks", F.lower(hit))

@@ -144,3 +144,13 @@ def test_parts_of_a_document_of_many_entities(spark):
 def test_repeated_rows_are_scanned_each(spark):
     rows = spark.createDataFrame([(1, "a@b.co twice"), (1, "a@b.co twice"), (None, None)], "doc_id long, text string")
     assert sorted(r.n for r in P.sanitise(rows).select(F.size("spans").alias("n")).collect()) == [0, 1, 1]
+
+
+def test_classes_without_a_shuffle_of_terms(spark):
+    texts = [f"w{i % 700} x" for i in range(40_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, terms string").repartition(3)
+    base = P.written(rows.select(F.md5("terms").cast("binary").alias("key"), "terms", F.monotonically_increasing_id().alias("row")), "test-base")
+    got = P.classes_of(base)
+    assert sorted(r.terms for r in got.select("terms").collect()) == sorted(set(texts))
+    assert got.select("key").distinct().count() == 700 and P.classes_of(base.limit(0)).count() == 0
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
