@@ -1,11 +1,13 @@
 """Text classifiers with MLlib (2-K)."""
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sets import _stored
+
 
 def word_features(text: str = "text", vocabulary: int = 20_000, min_df: int = 2) -> list:
     """Stages that make TF-IDF of one- and two-word grams, as `features`."""
@@ -42,11 +44,17 @@ def classifier(kind: str, label: str = "label"):
 
 
 def out_of_fold(df: DataFrame, kind: str, folds: int, fold: str = "fold", keep: tuple[str, ...] = ("doc_id", "label", "fold")) -> DataFrame:
-    """Each row's prediction by a model of the other folds: a loop over a few folds, the work in Spark."""
-    out = None
+    """Each row's prediction by a model of the other folds: a loop over a few folds, the work in Spark.
+
+    df is read and split into words once, and counted once for each fold; weights, fits and predictions read the stored counts.
+    """
+    tokens, *grams, counter, idf, assembler = word_features()
+    columns, out = list(dict.fromkeys([*keep, "label", fold])), None
+    words = _stored(tokens.transform(df).select(*columns, "words"), fold)
+    told = PipelineModel(grams).transform(words)
     for k in range(folds):
-        train = class_weights(df.filter(F.col(fold) != k))
-        model = Pipeline(stages=[*word_features(), classifier(kind)]).fit(train)
-        one = model.transform(df.filter(F.col(fold) == k)).select(*keep, F.col("prediction").cast("int").alias("y_pred"))
+        counts = _stored(counter.fit(told.filter(F.col(fold) != k)).transform(told).select(*columns, "tf"), fold, ascending=("tf.indices",))
+        model = Pipeline(stages=[idf, assembler, classifier(kind)]).fit(class_weights(counts.filter(F.col(fold) != k)))
+        one = model.transform(counts.filter(F.col(fold) == k)).select(*keep, F.col("prediction").cast("int").alias("y_pred"))
         out = one if out is None else out.unionByName(one)
     return out
