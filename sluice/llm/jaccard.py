@@ -177,8 +177,7 @@ def one_of_each(docs: DataFrame, classes: DataFrame, members: DataFrame) -> tupl
     if count > FILTERED:
         return docs.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text"), lambda ids: np.ones(len(ids), bool)
     gone = key_filter(copies, count)
-    both = met(classes.select("class_id"), gone)
-    kept = key_filter(both, count)  # few of the classes pass the first filter
+    kept = key_filter(classes.select("class_id"), count, gone)  # few of the classes pass the first filter
 
     def standing(ids: pa.Array) -> np.ndarray:
         x = ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -375,16 +374,6 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_colu
     return out.union(nameless)
 
 
-def met(keys: DataFrame, found: np.ndarray) -> DataFrame:
-    """Those keys that a filter lets through."""
-
-    def rows(batches):
-        for b in batches:
-            yield b.filter(pa.array(passes(found, b.column(0).to_numpy(zero_copy_only=False))))
-
-    return keys.mapInArrow(rows, keys.schema)
-
-
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, nine tenths: one row for each document with its set's size and its component."""
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

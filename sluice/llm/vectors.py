@@ -47,14 +47,19 @@ def summed(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def key_filter(keys: DataFrame, count: int) -> np.ndarray:
-    """Which slots `count` longs of a column take, as bits, 256 for each: a key that is in it always passes, another one rarely."""
+def key_filter(keys: DataFrame, count: int, among: np.ndarray | None = None) -> np.ndarray:
+    """Which slots `count` longs of a column take, as bits, 256 for each: a key that is in it always passes, another one rarely.
+
+    among: only keys that this filter lets through are marked. They are looked up in the same function,
+    since every further Python function of a stage takes one more worker for each task.
+    """
     bits = min(max(count, 64).bit_length() + 8, 27)
 
     def mark(batches):
         seen = np.zeros(1 << bits - 3, np.uint8)
         for b in batches:
-            s = slot(mixed(b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), bits)
+            x = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            s = slot(mixed((x if among is None else x[passes(among, x)]).view(np.uint64)), bits)
             np.bitwise_or.at(seen, s >> 3, (128 >> (s & 7)).astype(np.uint8))
         for k in range(0, len(seen), CHUNK):
             if seen[k : k + CHUNK].any():

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from sluice.llm import jaccard as J
 from sluice.llm.shingles import shingle_sets
@@ -167,3 +168,26 @@ def test_large_texts_with_a_common_passage(spark):
     for width, num, den in [(3, 90, 100), (5, 80, 100)]:
         got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in J.join(df, width, num, den).collect())
         assert got == brute(rows, width, num, den)
+
+
+def test_filters_take_one_python_function_in_a_stage(spark, monkeypatch):
+    """Two in a stage double the workers of an executor, which all stay in memory and get the counters of shingles."""
+    plans, made = [], J.key_filter
+
+    def noted(keys, *rest):
+        plans.append(keys._jdf.queryExecution().executedPlan().toString())
+        return made(keys, *rest)
+
+    monkeypatch.setattr(J, "key_filter", noted)
+    docs = spark.createDataFrame([(d, "x") for d in range(3000)], "doc_id long, text string")
+    members = docs.selectExpr("doc_id", "doc_id - doc_id % 3 as class_id")
+    _, standing = J.one_of_each(docs, members.select("class_id").distinct(), members)
+    stands = standing(pa.array([*range(3000), None], pa.int64()))
+    assert len(plans) == 2 and not any("MapInArrow" in p for p in plans)
+    assert stands[:3000:3].all() and not stands[3000]
+    assert stands[:3000].sum() < 1050  # a copy passes now and then
+    firsts = np.arange(0, 3000, 3)
+    of = spark.createDataFrame([(int(k),) for k in firsts], "k long")
+    third = made(of.filter("k < 900"), 300)
+    assert (made(of, 1000, third) == made(of.filter("k < 900"), 1000)).mean() > 0.999
+    assert made(of, 1000, np.zeros_like(third)).sum() == 0
